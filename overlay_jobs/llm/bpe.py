@@ -180,23 +180,28 @@ def bpe_decode(ids: Column, path: str | None = None) -> Column:
     return decode(ids)
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, with_ids: bool = False) -> DataFrame:
     """Encode each whole text, decode the ids again, and return digests of both.
 
     One row per input row: id, n_tokens, ids_sha256, decoded_sha256. Null and empty texts have no tokens; ties and repeated rows
     are coded each for itself; an empty table gives an empty result; other columns are not touched, so their names can't clash.
-    The ids stay in the Python task: they would be larger than the text on their way back.
+    with_ids adds them (little-endian, 32 bits); else they stay in the Python task, as they would be larger than the text on
+    their way back.
     """
     path = path or default_path()
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
 
-    @F.arrow_udf("struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>")
+    @F.arrow_udf("struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string" + (", ids: binary>" if with_ids else ">"))
     def both(texts: pa.Array) -> pa.Array:
-        own, out = automaton(path), ([], [], [])
+        own, out = automaton(path), ([], [], [], [])
         for text in texts:
             ids = own.encode(text.as_py() or "")
             out[0].append(len(ids) // 4)
             out[1].append(hashlib.sha256(ids).hexdigest())
             out[2].append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
-        return pa.StructArray.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
+            if with_ids:
+                out[3].append(ids)
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.binary()]
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k, _ in zip(out, kinds, names)], names)
 
     return docs.select(F.col(id_col), both(F.col(text_col)).alias("_coded")).select(id_col, "_coded.*")

@@ -43,13 +43,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     return levels.select("source", "source_size", F.least(F.col("w") * F.coalesce(water, F.lit(0.0)), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
-    """One row per input row: id, source, size (words), source_size, target, taken (words taken, repeats counted).
-
-    Null texts have size 0; a null source is a source of its own, the last; repeated rows and rows with equal ids share a hash and
-    are taken or left together; an empty table gives an empty result; other columns are not read. A source's taken words differ
-    from its target by half of its boundary row at most.
-    """
+def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], most: int) -> tuple[DataFrame, DataFrame]:
+    """Sizes and hashes of the rows, and per source (key): source_size, target, rounds and the threshold of the next round."""
     slim = settle(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), place(F.col(id_col)).alias("h")), "mix-sizes")
     goals = settle(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "mix-targets")
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -68,8 +63,29 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             break
     # the row on the boundary is taken if that comes nearer to the budget
     last = bound.select(F.col("source").alias("own"), F.when(F.col("run") - F.col("budget") < F.col("budget") - F.col("under"), F.col("lo") + 1).otherwise(F.col("lo")).alias("threshold"))
-    plan = goals.join(last, F.col("source").eqNullSafe(F.col("own")), "left").select(F.col("source").alias("key"), "source_size", "target", "rounds", F.coalesce("threshold", F.lit(0).cast("long")).alias("threshold"))
-    plan = broadcast_if_small(settle(plan, "mix-plan"))
-    out = slim.join(plan, F.col("source").eqNullSafe(F.col("key")))
-    taken = F.col("size") * (F.col("rounds") + (F.col("h") < F.col("threshold")).cast("long"))
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"), (F.col("rounds") + (F.col("h") < F.col("threshold")).cast("long")).alias("copies"))
+    out = goals.join(last, F.col("source").eqNullSafe(F.col("own")), "left").select(F.col("source").alias("key"), "source_size", "target", "rounds", F.coalesce("threshold", F.lit(0).cast("long")).alias("threshold"))
+    return slim, settle(out, "mix-plan")
+
+
+def _copies() -> Column:
+    return F.col("rounds") + (F.col("h") < F.col("threshold")).cast("long")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
+    """One row per input row: id, source, size (words), source_size, target, copies, taken (words taken, repeats counted).
+
+    Null texts have size 0; a null source is a source of its own, the last; repeated rows and rows with equal ids share a hash and
+    are taken or left together; an empty table gives an empty result; other columns are not read. A source's taken words differ
+    from its target by half of its boundary row at most.
+    """
+    slim, plans = plan(docs, id_col, text_col, source_col, weights, most)
+    out = slim.join(broadcast_if_small(plans), F.col("source").eqNullSafe(F.col("key")))
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", _copies().alias("copies"), (F.col("size") * _copies()).alias("taken"))
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
+    """The mix itself: every row with all its columns, as often as it is taken; cases as for mix(). Rows are not shuffled."""
+    _, plans = plan(docs, id_col, text_col, source_col, weights, most)
+    rows = docs.select(F.struct("*").alias("row"), F.col(source_col).alias("source"), place(F.col(id_col)).alias("h"))
+    out = rows.join(broadcast_if_small(plans), F.col("source").eqNullSafe(F.col("key")))
+    return out.where(_copies() > 0).select("row", F.explode(F.array_repeat(F.lit(1), _copies().cast("int")))).select("row.*")

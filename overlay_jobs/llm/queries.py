@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from overlay_jobs.llm import bpe, chat, mixing, pii, quality, secrets
+from overlay_jobs.llm import bpe, chat, minhash, mixing, pii, quality, repeats, secrets, topk, warc
+from overlay_jobs.session import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,20 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_archive(_table(spark, sf_dir, "pages"), path)
+    return warc.read_archive(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def _digest(found: DataFrame, kinds: tuple[str, ...], base: Callable[[Column], Column]) -> DataFrame:
     """Counts of the base kinds, SHA-256 of the base spans as text, and all spans as text."""
     say = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -30,6 +45,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(pii.find_pii(_table(spark, sf_dir, "documents")), pii.KINDS, lambda s: s["base"])
 
 
+def op6_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -48,12 +67,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op5_pii, op7_quality, op8_secrets, op9_chat, op10_bpe)}
+    return {f.__name__: f for f in (op1_mixing, op2_topk, op3_repeats, op4_warc, op5_pii, op6_near, op7_quality, op8_secrets, op9_chat, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where SQL can express the operator; the others are held against brute force in tests/llm."""
-    return {"op1_mixing": OP1, "op7_quality": OP7, "op9_chat": OP9}
+    return {"op1_mixing": OP1, "op2_topk": OP2, "op7_quality": OP7, "op9_chat": OP9}
 
 
 OP1 = r"""
@@ -84,6 +103,17 @@ SELECT doc_id, size, source_size, target,
 FROM runs
 """
 
+OP2 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
 OP7 = r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,

@@ -74,7 +74,8 @@ def harmonize_activity(df: DataFrame, crosswalk: DataFrame, thin_classifier: Cal
     """Adds ACTIVITY, ACTIVITY_FIELD, ACTIVITY_CONF, ACTIVITY_STATUS, RAN_CLASSIFY_THIN, ACRES_REPORTED and ACRES_GEO.
 
     The crosswalk has one row per (field, value): a few hundred at most, checked here, so it is looked up as broadcast tables and
-    the records are not shuffled. Without an area function or geometry ACRES_GEO is null. ACRES_REPORTED must not be summed.
+    the records are not shuffled. Without an area function or geometry ACRES_GEO is null. ACRES_REPORTED must not be summed. As Spark
+    does not tell ACTIVITY from activity, the descriptor moves to activity_raw.
     """
     known = crosswalk.select("field", "value", "activity", "effect", "confidence")
     if known.limit(10_001).count() > 10_000:
@@ -112,6 +113,8 @@ def harmonize_activity(df: DataFrame, crosswalk: DataFrame, thin_classifier: Cal
         "ACRES_REPORTED": F.col(acres_col).try_cast("double") if acres_col in df.columns else F.lit(None).cast("double"),
         "ACRES_GEO": area(F.col("geometry")) * L.M2_TO_ACRES if area is not None and "geometry" in df.columns else F.lit(None).cast("double"),
     }
+    if "activity" in df.columns:
+        out = out.withColumn("activity_raw", F.col("activity"))
     return out.withColumns(added).drop(*(f"_c_{f}" for f in candidates), "_prim", "_fall", "_veto", "_chosen", "_final", "_dropped", "_status")
 
 
@@ -126,7 +129,7 @@ def harmonize_summary(annotated: DataFrame) -> DataFrame:
 
 def quarantine_summary(annotated: DataFrame) -> DataFrame:
     own = annotated.where("ACTIVITY_STATUS = 'quarantined'")
-    fields = [f for f in (*PRIMARY, *FALLBACK) if f in annotated.columns]
+    fields = [F.col("activity_raw").alias("activity") if f == "activity" else F.col(f) for f in (*PRIMARY, *FALLBACK) if f in annotated.columns or (f == "activity" and "activity_raw" in annotated.columns)]
     return own.groupBy(*fields).agg(F.count("*").alias("records"), F.coalesce(F.sum("ACRES_GEO"), F.lit(0.0)).alias("acres"))
 
 

@@ -95,10 +95,11 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A descriptor record per line item."""
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate")
-    slot = ((F.col("l_orderkey") * 4 + F.col("l_linenumber")) % len(DESCRIPTORS)).cast("int")
     names = ("activity", "type", "method", "twig_category", "category", "equipment")
-    row = F.get(F.array(*(F.struct(*(F.lit(v).cast("string").alias(n) for n, v in zip(names, r))) for r in DESCRIPTORS)), slot)
-    return line.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("record"), row.alias("d"), F.col("l_quantity").alias("acres"), F.col("l_shipdate").alias("treatment_date"), F.when(F.col("l_orderkey") % 5 == 0, "Planned").otherwise("Completed").alias("status"), F.when(F.col("l_orderkey") % 7 == 0, "DUPLICATE_DROP").alias("error"), F.when(F.col("l_orderkey") % 4 == 0, "BIL").when(F.col("l_orderkey") % 4 == 1, "CFLR").otherwise("GAOA").alias("fund_source")).select("record", "d.*", "acres", "treatment_date", "status", "error", "fund_source")
+    rows = spark.createDataFrame([(n, *r) for n, r in enumerate(DESCRIPTORS)], "slot long, " + ", ".join(f"{n} string" for n in names))
+    slot = (F.col("l_orderkey") * 4 + F.col("l_linenumber")) % len(DESCRIPTORS)
+    line = line.join(F.broadcast(rows), slot == F.col("slot"))  # a fixed table of 25 rows
+    return line.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("record"), *names, F.col("l_quantity").alias("acres"), F.col("l_shipdate").alias("treatment_date"), F.when(F.col("l_orderkey") % 5 == 0, "Planned").otherwise("Completed").alias("status"), F.when(F.col("l_orderkey") % 7 == 0, "DUPLICATE_DROP").alias("error"), F.when(F.col("l_orderkey") % 4 == 0, "BIL").when(F.col("l_orderkey") % 4 == 1, "CFLR").otherwise("GAOA").alias("fund_source"))
 
 
 def areas_of_interest(spark: SparkSession, sf_dir: str) -> DataFrame:

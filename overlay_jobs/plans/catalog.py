@@ -116,7 +116,7 @@ def qa_filters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def year_comp_from_ms(spark: SparkSession, sf: str) -> DataFrame:
-    e = T.table(spark, sf, "events").select("event_id", F.unix_millis("ts").alias("treatment_date"))
+    e = T.table(spark, sf, "events").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("treatment_date"))
     return e.select("event_id", H.completion_year(e).alias("YEAR_COMP"))
 
 
@@ -213,7 +213,7 @@ def queries() -> dict[str, Query]:
         "atom_labels": lambda s, d: _labels(T.zones(s, d)),
         "filter_activity_any": lambda s, d: _ids(A.filter_by_activity(T.zones(s, d), ["Mastication", "Removal"])),
         "filter_activity_all": lambda s, d: _ids(A.filter_by_activity(T.zones(s, d), ["Mastication", "Removal"], "all")),
-        "filter_year_range": lambda s, d: _ids(A.filter_by_year_range(T.zones(s, d), 2008, 2009)),
+        "filter_year_range": lambda s, d: _ids(A.filter_by_year_range(T.zones(s, d), 2010, 2011)),
         "filter_complete": lambda s, d: _ids(A.filter_complete(T.zones(s, d), "Mechanical + Broadcast Burn")),
         "trt_eff_counts": lambda s, d: T.zones(s, d).groupBy("TRT_EFF").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "TRT_EFF"),
         "numeric_profile": lambda s, d: A.profile(T.treatments(s, d), ["ACRES_GIS", "YEAR_COMP"]),

@@ -156,7 +156,7 @@ ORACLES = {
     "event_json": f"WITH {EVENTS} SELECT ATOM_ID, count(*)::INTEGER AS n, count(*) FILTER (YEAR_COMP IS NULL)::INTEGER AS n_no_year FROM e GROUP BY ATOM_ID",
     "filter_activity_any": f"WITH {ZONES} SELECT ATOM_ID, TRT_ACTIVITIES FROM a WHERE list_has_any(string_split(TRT_ACTIVITIES, '|'), ['Mastication', 'Removal'])",
     "filter_activity_all": f"WITH {ZONES} SELECT ATOM_ID, TRT_ACTIVITIES FROM a WHERE list_has_all(string_split(TRT_ACTIVITIES, '|'), ['Mastication', 'Removal'])",
-    "filter_year_range": f"WITH {ZONES} SELECT ATOM_ID, TRT_ACTIVITIES FROM a WHERE FIRST_TRT_YEAR <= 2009 AND LAST_TRT_YEAR >= 2008",
+    "filter_year_range": f"WITH {ZONES} SELECT ATOM_ID, TRT_ACTIVITIES FROM a WHERE FIRST_TRT_YEAR <= 2011 AND LAST_TRT_YEAR >= 2010",
     "filter_complete": f"WITH {ZONES} SELECT ATOM_ID, TRT_ACTIVITIES FROM a WHERE COMPLETE AND TRT_EFF = 'Mechanical + Broadcast Burn'",
     "acres_by_activity": f"WITH {EVENTS} SELECT ACTIVITY, sum(ACRES) AS acres FROM e WHERE ACTIVITY IS NOT NULL GROUP BY ACTIVITY",
     "acres_by_effect": f"WITH {ZONES} SELECT TRT_EFF, count(*) AS atoms, sum(ACRES) AS acres, count(*) FILTER (COMPLETE) AS complete FROM a GROUP BY TRT_EFF",

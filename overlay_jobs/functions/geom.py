@@ -26,8 +26,8 @@ def _sum(items: Column, zero: float = 0.0) -> Column:
 def _edges(ring: Column) -> Column:
     """Pairs of consecutive vertices, relative to the ring's first one."""
     first = ring[0]
-    pairs = F.arrays_zip(F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0))).alias("p"), F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))).alias("q"))
-    return F.transform(pairs, lambda e: F.struct((e["p"]["x"] - first["x"]).alias("ax"), (e["p"]["y"] - first["y"]).alias("ay"), (e["q"]["x"] - first["x"]).alias("bx"), (e["q"]["y"] - first["y"]).alias("by")))
+    size = F.greatest(F.size(ring) - 1, F.lit(0))
+    return F.zip_with(F.slice(ring, 1, size), F.slice(ring, 2, size), lambda p, q: F.struct((p["x"] - first["x"]).alias("ax"), (p["y"] - first["y"]).alias("ay"), (q["x"] - first["x"]).alias("bx"), (q["y"] - first["y"]).alias("by")))
 
 
 def ring_area(ring: Column) -> Column:

@@ -70,6 +70,32 @@ def _rings(edges: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))))
 
 
+def _repair(geometry: pa.Array) -> pa.Array:
+    """Polygons whose rings cross themselves or each other, as the area that they cover by the even-odd rule; others unchanged."""
+    out = []
+    for g in geometry.to_pylist():
+        seg = K.ring_segments(K.to_units(g))
+        noded = K.node(seg)
+        if len(noded) != len(seg):
+            inside = [f["edges"] for f in K.faces(noded) if K.covers(np.array([f["point"]]), seg)[0]]
+            g = [[[{"x": x * K.UNIT, "y": y * K.UNIT} for x, y in ring] for ring in part] for part in K.dissolve(inside)]
+        out.append(g)
+    return pa.array(out, pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))))
+
+
+def repair_geometry(df: DataFrame, geometry: str = "geometry") -> DataFrame:
+    """Closed rings without repeats, self-crossing polygons resolved, empty ones dropped."""
+    out = df.where(F.col(geometry).isNotNull()).withColumn(geometry, G.clean_rings(F.col(geometry)))
+
+    def fix(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            i = b.schema.get_field_index(geometry)
+            yield b.set_column(i, geometry, _repair(b.column(i)))
+
+    out = settle(out.mapInArrow(fix, out.schema), "repaired")
+    return out.where(G.not_empty(F.col(geometry)))
+
+
 def tiles(df: DataFrame, tile: float = TILE, limit: int = TILE_VERTICES) -> DataFrame:
     """One row per polygon and tile (level, tx, ty); a tile with too many vertices is split into four, again and again."""
     own = df.withColumn("_n", F.size(G.vertices(F.col("geometry"))))
@@ -97,7 +123,7 @@ def build_atomic_zones(df: DataFrame, snap: float = 1.0, min_area_m2: float = L.
     across seams where they share a stretch of one. Faces that no polygon covers are not returned.
     """
     own = df.select(F.col(id_col).cast("long").alias("id"), G.snap(F.col("geometry"), snap).alias("geometry"))
-    own = G.drop_slivers(own.where(G.not_empty(F.col("geometry"))), min_area_m2)
+    own = G.drop_slivers(repair_geometry(own), min_area_m2)
     pieces = tiles(own, tile).groupBy("level", "tx", "ty").applyInArrow(lambda t: _tile_faces(t, tile), f"piece string, cover array<bigint>, px double, py double, edges {_EDGE}, seams {_EDGE}")
     pieces = settle(pieces, "pieces")
     if not pieces.limit(1).count():
@@ -131,10 +157,10 @@ def contains(geometry: Column, x: Column, y: Column) -> Column:
 def assign_points(points: DataFrame, polygons: DataFrame, point_id: str = "_atom_id", polygon_id: str = "OBJECTID", x: str = "px", y: str = "py", cell: float = 1_000.0) -> DataFrame:
     """Every pair of a point and a polygon strictly around it: point_id, polygon_id. Equi-join on grid cells, then the exact test."""
     spots = points.select(F.col(point_id), F.col(x).alias("_x"), F.col(y).alias("_y"), F.floor(F.col(x) / cell).cast("long").alias("_cx"), F.floor(F.col(y) / cell).cast("long").alias("_cy"))
-    around = _cells(polygons.select(F.col(polygon_id).cast("long").alias(polygon_id), F.col("geometry").alias("geometry")), F.lit(cell))
-    b = G.bounds(F.col("geometry"))
+    around = polygons.select(F.col(polygon_id).cast("long").alias(polygon_id), F.col("geometry").alias("geometry"))
+    around = _cells(around.withColumns(G.bounds(F.col("geometry"))), F.lit(cell))
     pairs = spots.join(around, (F.col("_cx") == F.col("cx")) & (F.col("_cy") == F.col("cy")))
-    pairs = pairs.where((F.col("_x") > b["xmin"]) & (F.col("_x") < b["xmax"]) & (F.col("_y") > b["ymin"]) & (F.col("_y") < b["ymax"]))
+    pairs = pairs.where("_x > xmin AND _x < xmax AND _y > ymin AND _y < ymax")
     return pairs.where(contains(F.col("geometry"), F.col("_x"), F.col("_y"))).select(point_id, polygon_id)
 
 
@@ -196,7 +222,7 @@ def adjacent_components(atoms: DataFrame, key_cols: list[str], id_col: str = "AT
     """node, component of atoms that share an edge with an atom of equal keys (nulls equal nulls). Grouped by edge and key, so
     no group has more than the two sides of an edge; the few distinct keys are never gathered."""
     key = F.md5(F.to_json(F.struct(*key_cols), {"ignoreNullFields": "false"}))
-    rows = atoms.select(F.col(id_col).alias("_id"), key.alias("_key"), F.explode(_unit_edges(F.col("geometry"))).alias("e"))
+    rows = atoms.select(F.col(id_col).alias("_id"), key.alias("_key"), _unit_edges(F.col("geometry")).alias("e")).select("_id", "_key", F.explode("e").alias("e"))
     ordered = (F.col("e.ax") < F.col("e.bx")) | ((F.col("e.ax") == F.col("e.bx")) & (F.col("e.ay") < F.col("e.by")))
     ends = [F.when(ordered, F.col(f"e.{p}")).otherwise(F.col(f"e.{q}")).alias(n) for p, q, n in (("ax", "bx", "x0"), ("ay", "by", "y0"), ("bx", "ax", "x1"), ("by", "ay", "y1"))]
     links = rows.select("_id", "_key", *ends).groupBy("x0", "y0", "x1", "y1", "_key").agg(F.min("_id").alias("a"), F.max("_id").alias("b")).where("a <> b").select("a", "b").distinct()
@@ -229,11 +255,11 @@ def build_interactions(df: DataFrame, id_col: str = "OBJECTID", snap: float = 0.
     """
     least = min_acres / L.M2_TO_ACRES
     own = df.withColumn("geometry", G.reproject(F.col("geometry"), crs, target_crs)) if crs and crs != target_crs else df
-    own = settle(own.withColumn("geometry", G.clean_rings(F.col("geometry"))).where(G.not_empty(F.col("geometry"))), "polygons")
+    own = repair_geometry(own)
     if pre_dissolve:
         own = own.withColumn("_g", G.geometry_key(F.col("geometry"))).dropDuplicates([*pre_dissolve, "_g"]).drop("_g")
     zones = settle(build_atomic_zones(own, snap, 0.0 if absorb_slivers else least, id_col, tile), "zones-numbered")
-    links = assign_points(zones, own, "_atom_id", id_col)
+    links = settle(assign_points(zones, own, "_atom_id", id_col), "links-zone-source")
     labelled = aggregate_events(links, own, "_atom_id", id_col, extra, dedupe)
     atoms = labelled.join(zones.select("_atom_id", "geometry"), "_atom_id").withColumnRenamed("_atom_id", "ATOM_ID")
     merged = G.drop_slivers(merge_adjacent(atoms), least)
@@ -277,4 +303,4 @@ def grid_heatmap(df: DataFrame, bounds: tuple[float, float, float, float], cell:
 
 def event_points(atoms: DataFrame) -> DataFrame:
     """x, y of the zone's centroid and the activity of every event."""
-    return atoms.select(G.centroid(F.col("geometry")).alias("c"), F.explode("EVENTS").alias("e")).select(F.col("c.x").alias("x"), F.col("c.y").alias("y"), F.col("e.ACTIVITY").alias("ACTIVITY"))
+    return atoms.select(G.centroid(F.col("geometry")).alias("c"), "EVENTS").select("c", F.explode("EVENTS").alias("e")).select(F.col("c.x").alias("x"), F.col("c.y").alias("y"), F.col("e.ACTIVITY").alias("ACTIVITY"))

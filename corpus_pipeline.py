@@ -19,13 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest id stays, once. A document without an id stays only if no
-    other one of its class has an id."""
-    first = minhash.near_duplicates(docs).where("is_first").select("doc_id").distinct()
-    first = settle(first.withColumnRenamed("doc_id", "first_id"), "first-of-class")
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    named, unnamed = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), kept.where("doc_id IS NULL").dropDuplicates(["text"])
-    return named.unionByName(unnamed)
+    """Of each class of near-duplicates the document with the smallest id stays, once."""
+    return minhash.keep_one(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

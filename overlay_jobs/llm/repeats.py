@@ -149,17 +149,20 @@ def _span(from_: str, to: str) -> list:
     return [F.col("text"), F.expr(from_).cast("int").alias("a"), F.expr(to).cast("int").alias("b")]
 
 
-def repeated_spans(texts: DataFrame, key_col: str, bytes_col: str) -> DataFrame:
+def repeated_spans(texts: DataFrame, key_col: str, bytes_col: str, id_col: str) -> DataFrame:
     """text (a key), a, b: byte ranges (end beyond the text possible) that strings of LENGTH bytes cover which start elsewhere too.
 
-    Rows with the same key must have the same bytes; each row counts as a text of its own.
+    Rows with the same key must have the same bytes; each row counts as a text of its own. The row with the smallest id stands for
+    its key where bytes are cut out, so that copies do not meet in one task.
     """
     runs = settle(texts.select(F.col(key_col).alias("text"), F.col(bytes_col).alias("data")).mapInArrow(_runs, RUNS), "repeats-runs")
     done1, open1 = _finished_and_open(runs.withColumn("wants", F.lit(True)), "1")
     spans = done1.select(*_span(f"greatest(0, at - {WINDOW - 1})", f"at + {LENGTH}"))
+    first = texts.groupBy(F.col(key_col).alias("key")).agg(F.min(id_col).alias("first"))
     spots = open1.groupBy("text").agg(F.collect_list(F.struct("at", "lo", "hi", "wants")).alias("spots"))
+    spots = settle(spots.join(first, F.col("text") == F.col("key")).drop("key"), "repeats-places")
     cut = F.arrow_udf(_cut, "array<struct<at: int, lo: int, hi: int, wants: boolean, left: int, bytes: binary>>")
-    held = texts.select(F.col(key_col).alias("own"), F.col(bytes_col).alias("data")).join(spots, F.col("own") == F.col("text"))
+    held = texts.select(F.col(key_col).alias("own"), F.col(id_col).alias("id"), F.col(bytes_col).alias("data")).join(spots, (F.col("own") == F.col("text")) & F.col("id").eqNullSafe(F.col("first")))
     held = held.select("text", F.explode(cut("data", "spots")).alias("s")).select("text", "s.*").dropDuplicates(["text", "at"])
     spots = settle(held, "repeats-spots")
     block = F.arrow_udf(_blocks, "array<struct<block: int, core: bigint, cover: bigint>>")
@@ -210,7 +213,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     looked at; an empty table gives an empty result; other columns are not read.
     """
     own = _keyed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), "t").select("id", "_key", "_bytes")
-    spans = repeated_spans(own, "_key", "_bytes").groupBy("text").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    spans = repeated_spans(own, "_key", "_bytes", "id").groupBy("text").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     spans = settle(spans, "repeats-spans")
     remove = F.arrow_udf(_remove, "struct<n_bytes: bigint, n_removed: bigint, n_spans: bigint, kept_sha256: string>")
     out = own.join(spans, F.col("_key") == F.col("text"), "left")

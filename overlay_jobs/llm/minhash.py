@@ -4,13 +4,15 @@ A text is a bag of shingles. Each shingle of count c owns Poisson processes over
 blocks (0, 1], (1, 2], (2, 4], (4, 8] ... up to c, with the block's length as its rate; a point of a block is halved down to
 a unit cell and counts only below c. Every point has a time and a register; a register keeps its earliest time. Two bags agree in
 a register with exactly the probability of their weighted Jaccard similarity. Points later than the last register's time cannot
-matter, so a text stops drawing early. BANDS bands of ROWS registers make candidate pairs: each bucket pairs its members with a
-few hubs, which grows in proportion to the members; the pairs are verified on the whole texts, and verified links make classes.
+matter, so a text stops drawing early. BANDS bands of ROWS registers make candidate pairs: all pairs of a bucket's members. Texts
+are dealt to blocks, and two blocks that meet in a bucket are compared at once on the whole texts, so that a pair is no row of its
+own: rows grow with the members times the blocks they meet. Verified links make classes.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +21,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from overlay_jobs.functions.graph import connected_components
-from overlay_jobs.session import settle
+from overlay_jobs.session import broadcast_if_small, settle
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
-#: Members of a bucket that the others are compared with.
-HUBS = 4
+#: Texts and bytes of text in a block, about.
+BLOCK_TEXTS, BLOCK_BYTES = 256, 4 << 20
+#: Shingles that are multiplied out at a time, and products that are listed at a time.
+DENSE, LISTED = 4096, 1 << 21
 #: Bytes of text that are signed side by side.
 BATCH = 2 << 20
 
@@ -162,28 +166,143 @@ def overlap(a: Counter, b: Counter) -> float:
     return both / total if total else 0.0
 
 
-def similar(a: Column, b: Column, least: float) -> Column:
-    """Whether two whole texts overlap by at least `least`."""
-
-    @F.arrow_udf("boolean")
-    def verify(left: pa.Array, right: pa.Array) -> pa.Array:
-        last, bag, out = None, None, []
-        for x, y in zip(left.to_pylist(), right.to_pylist()):
-            if x != last:
-                last, bag = x, _bag(x or "")
-            out.append(overlap(bag, _bag(y or "")) >= least - 1e-12)
-        return pa.array(out, pa.bool_())
-
-    return verify(a, b)
+def _token_bags(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and token of the shingles of texts, by text. The k-th time a shingle stands in a text is a token of its own,
+    so the overlap of two bags is that of two sets."""
+    out, i = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))], 0
+    ends = np.cumsum([len(t) for t in texts])
+    while i < len(texts):
+        j = min(max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + BATCH))), len(texts))
+        part = texts[i:j]
+        starts = np.cumsum([0, *(len(t) for t in part[:-1])])
+        text, shingle = shingle_hashes(np.frombuffer(b"".join(part), np.uint8), starts)
+        order = np.lexsort((shingle, text))
+        text, shingle = text[order], shingle[order]
+        first = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (shingle[1:] != shingle[:-1]))) if len(text) else np.zeros(0, np.int64)
+        nth = np.arange(len(text)) - np.repeat(first, np.diff(np.append(first, len(text))))
+        out.append((text + i, _mix(shingle + nth.astype(np.uint64) * _GOLDEN)))
+        i = j
+    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+
+
+def _common(text_a: np.ndarray, token_a: np.ndarray, n_a: int, text_b: np.ndarray, token_b: np.ndarray, n_b: int, known: np.ndarray) -> np.ndarray:
+    """Tokens that each text of one side shares with each of the other. known: the tokens that can be shared, in order."""
+    out = np.zeros((n_a, n_b))
+    if not len(known):
+        return out
+    sides = []
+    for text, token in ((text_a, token_a), (text_b, token_b)):
+        at = np.minimum(np.searchsorted(known, token), len(known) - 1)
+        own = np.flatnonzero(known[at] == token)
+        own = own[np.argsort(at[own], kind="stable")]
+        sides.append((text[own], at[own], np.bincount(at[own], minlength=len(known))))
+    (ta, ka, da), (tb, kb, db) = sides
+    # a token of many texts is multiplied out, of few its pairs are listed
+    heavy = da * db * 16 > n_a * n_b
+    ids = np.flatnonzero(heavy)
+    for k in range(0, len(ids), DENSE):
+        part = ids[k : k + DENSE]
+        x, y = np.zeros((len(part), n_a), np.float32), np.zeros((len(part), n_b), np.float32)
+        for m, t, own in ((x, ta, ka), (y, tb, kb)):
+            lo, hi = np.searchsorted(own, part[0]), np.searchsorted(own, part[-1], side="right")
+            within = np.flatnonzero(heavy[own[lo:hi]]) + lo
+            m[np.searchsorted(part, own[within]), t[within]] = 1
+        out += x.T @ y
+    few = np.flatnonzero(~heavy[ka])
+    ta, ka = ta[few], ka[few]
+    start = np.cumsum(db) - db
+    sums = np.concatenate([[0], np.cumsum(db[ka])])
+    i = 0
+    while i < len(ta):
+        j = max(i + 1, int(np.searchsorted(sums, sums[i] + LISTED, side="right")) - 1)
+        times = db[ka[i:j]]
+        nth = np.arange(sums[j] - sums[i]) - np.repeat(sums[i:j] - sums[i], times)
+        out += np.bincount(np.repeat(ta[i:j], times) * n_b + tb[np.repeat(start[ka[i:j]], times) + nth], minlength=n_a * n_b).reshape(n_a, n_b)
+        i = j
+    return out
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    left, right = texts.select(F.col("key").alias("a"), F.col("text").alias("x")), texts.select(F.col("key").alias("b"), F.col("text").alias("y"))
-    return pairs.join(right, "b").join(left, "a").where(similar(F.col("x"), F.col("y"), least)).select("a", "b")
+def _forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Links of a symmetric table that join what it joins, less than one per node."""
+    left, out = np.ones(len(near), bool), []
+    for s in range(len(near)):
+        todo = [s] if left[s] else []
+        left[s] = False
+        while todo:
+            u = todo.pop()
+            new = np.flatnonzero(near[u] & left)
+            left[new] = False
+            todo += new.tolist()
+            out += [(u, v) for v in new.tolist()]
+    return out
 
 
-def _pair(x: str, y: str) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+def _near(text: np.ndarray, token: np.ndarray, n: int, on_left: np.ndarray, least: float) -> np.ndarray:
+    """Which of n texts are near to each other: of one block all pairs, of two blocks those across."""
+    size = np.bincount(text, minlength=n).astype(np.float64)
+    near = np.zeros((n, n), bool)
+    if on_left.all():
+        known, count = np.unique(token, return_counts=True)
+        both = _common(text, token, n, text, token, n, known[count > 1])
+        near[:] = both / np.maximum(size[:, None] + size[None, :] - both, 1) >= least - 1e-12
+        np.fill_diagonal(near, False)
+        return near
+    a, b = np.flatnonzero(on_left), np.flatnonzero(~on_left)
+    place = np.zeros(n, np.int64)
+    place[a], place[b] = np.arange(len(a)), np.arange(len(b))
+    left = on_left[text]
+    both = _common(place[text[left]], token[left], len(a), place[text[~left]], token[~left], len(b), np.intersect1d(token[left], token[~left]))
+    across = both / np.maximum(size[a][:, None] + size[b][None, :] - both, 1) >= least - 1e-12
+    near[np.ix_(a, b)], near[np.ix_(b, a)] = across, across.T
+    return near
+
+
+LINKS = "a binary, b binary, n bigint"
+_LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("n", pa.int64())])
+
+
+def _links(rows: pa.Table, least: float) -> pa.RecordBatch:
+    """Rows (i, j, on_left, key, text) of whole pairs of blocks, by pair -> a text's number of links (b is null), and links that
+    join what all links join (n is 0)."""
+    i, j = rows["i"].to_numpy(), rows["j"].to_numpy()
+    key, on_left = rows["key"].to_pylist(), rows["on_left"].to_numpy()
+    text, token = _token_bags(rows["text"].to_pylist())
+    begin = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+    a, b, n = [], [], []
+    for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(i)]):
+        x, y = np.searchsorted(text, [lo, hi])
+        near = _near(text[x:y] - lo, token[x:y], hi - lo, on_left[lo:hi], least)
+        count = near.sum(axis=1)
+        for k in np.flatnonzero(count).tolist():
+            a.append(key[lo + k])
+            b.append(None)
+            n.append(int(count[k]))
+        for u, v in _forest(near) if count.any() else ():
+            a.append(key[lo + u])
+            b.append(key[lo + v])
+            n.append(0)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(n, pa.int64())], schema=_LINKS)
+
+
+def compare_blocks(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """_links() over batches that are in the order of the pairs of blocks; a pair may go on in the next batch."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            i, j = batch.column("i").to_numpy(), batch.column("j").to_numpy()
+            edge = np.flatnonzero((i != i[-1]) | (j != j[-1]))
+            cut = int(edge[-1]) + 1 if len(edge) else 0
+            if cut or (held and (held[-1].column("i")[-1].as_py(), held[-1].column("j")[-1].as_py()) != (int(i[0]), int(j[0]))):
+                yield _links(pa.Table.from_batches([*held, batch.slice(0, cut)]), least)
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield _links(pa.Table.from_batches(held), least)
+
+    return compare
 
 
 def text_key(text: Column) -> Column:
@@ -198,9 +317,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more than its rows. Null counts as empty; texts without words are near only to equal texts. Rows with a null id get the
     class of their text and are never first unless all its ids are null. Repeated rows are copies of each other and are first
     together. An empty table gives an empty result; other columns are not read. Bands find a pair of similarity 0.8 with
-    probability 0.9999. A bucket compares its members with HUBS of them, each drawn anew for every bucket: all with the first, and
-    with the others those that are not in their classes by then. So the work follows the members, while a text meets other hubs
-    in each of the buckets that it shares with its near ones.
+    probability 0.9999, and every pair that shares a bucket is verified, on 64-bit hashes of its shingles. That is work with the
+    square of a bucket, done by blocks of about BLOCK_TEXTS texts or BLOCK_BYTES in tasks of two blocks each.
     """
     out = _classes(docs, id_col, text_col, least)
     return out.select(F.col("id").alias(id_col), "class_id", "n_links", "is_first")
@@ -226,28 +344,30 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataF
     """id, key of the text, class_id, n_links, is_first."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.col(id_col).alias("id"), text.alias("text"), text_key(F.col(text_col)).alias("key"))
-    signed = settle(own.select("id", "key", bands(F.col("text")).alias("bands")), "near-signatures")
-    copies = settle(signed.groupBy("key").agg(F.min("id").alias("least"), F.first("bands").alias("bands")), "near-copies")
-    rows = copies.where(F.col("bands").isNotNull()).select("key", F.explode("bands").alias("bucket"))
-    buckets = settle(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "near-buckets")
+    signed = settle(own.select("id", "key", F.octet_length("text").alias("size"), bands(F.col("text")).alias("bands")), "near-signatures")
+    copies = settle(signed.groupBy("key").agg(F.min("id").alias("least"), F.first("bands").alias("bands"), F.first("size").alias("size")), "near-copies")
+    rows = copies.where(F.col("bands").isNotNull()).select("key", "size", F.explode("bands").alias("bucket"))
+    buckets = settle(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "near-buckets")
     shared = settle(rows.join(buckets, "bucket"), "near-shared")
-    hubs = settle(shared.groupBy("bucket").agg(*(F.min_by("key", F.xxhash64("bucket", "key", F.lit(r))).alias(f"hub{r}") for r in range(HUBS))), "near-hubs")
-    members = settle(shared.join(hubs, "bucket").drop("bucket"), "near-members")
+    # a text is at home in its largest bucket, and homes of many texts are dealt to several blocks
+    homes = settle(shared.groupBy("key").agg(F.max(F.struct("n", "bucket")).alias("home"), F.first("size").alias("size")).select("key", "home.bucket", "size"), "near-homes")
+    dealt = homes.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("size") / BLOCK_BYTES)).alias("blocks")).where("blocks > 1")
+    homes = homes.join(broadcast_if_small(settle(dealt, "near-dealt")), "bucket", "left")
+    homes = homes.select("key", F.xxhash64("bucket", F.pmod(F.xxhash64("key"), F.coalesce("blocks", F.lit(1)))).alias("block"))
+    members = settle(shared.select("key", "bucket").join(homes, "key"), "near-members")
+    others = members.groupBy("bucket", F.col("block").alias("other")).agg(F.count("*").alias("n"))
+    met = members.join(others, "bucket").where("block <> other OR n > 1")
+    met = met.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("on_left"), "key").distinct()
+    met = settle(met, "near-met")
     # the row with the smallest id stands for its text, so that copies do not meet in one task
-    asked = settle(members.select("key").distinct().join(copies.select("key", "least"), "key").select(F.col("key").alias("asked"), "least"), "near-asked")
+    asked = settle(met.select("key").distinct().join(copies.select("key", "least"), "key").select(F.col("key").alias("asked"), "least"), "near-asked")
     # asked grows with the input: a merge join at any size
-    texts = own.join(asked.hint("merge"), (F.col("key") == F.col("asked")) & F.col("id").eqNullSafe(F.col("least"))).select("key", "text")
+    texts = own.join(asked.hint("merge"), (F.col("key") == F.col("asked")) & F.col("id").eqNullSafe(F.col("least"))).select("key", F.col("text").cast("binary").alias("text"))
     texts = settle(texts.dropDuplicates(["key"]), "near-texts")
-    pairs = settle(members.where("key <> hub0").select(*_pair("key", "hub0")).distinct(), "near-pairs-0")
-    links = settle(_verified(pairs, texts, least), "near-links-0")
-    classes = connected_components(links)
-    mine, theirs = (classes.select(F.col("node").alias(n), F.col("component").alias(c)) for n, c in (("key", "c"), ("hub", "d")))
-    others = members.select("key", F.explode(F.array(*(f"hub{r}" for r in range(1, HUBS)))).alias("hub")).where("key <> hub").distinct()
-    apart = others.join(mine, "key", "left").join(theirs, "hub", "left").where(F.coalesce("c", "key") != F.coalesce("d", "hub"))
-    more = settle(apart.select(*_pair("key", "hub")).distinct().join(pairs, ["a", "b"], "left_anti"), "near-pairs-1")
-    links = links.union(settle(_verified(more, texts, least), "near-links-1"))
-    classes = connected_components(links)
-    degree = links.select("a", "b").union(links.select("b", "a")).groupBy("a").agg(F.count("*").alias("n_links"))
+    met = met.join(texts, "key").select("i", "j", "on_left", "key", "text").repartition("i", "j").sortWithinPartitions("i", "j", "key")
+    links = settle(met.mapInArrow(compare_blocks(least), LINKS), "near-links")
+    classes = connected_components(links.where("b IS NOT NULL").select("a", "b"))
+    degree = links.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n_links"))
     named = copies.select("key", "least").join(classes, F.col("key") == F.col("node"), "left").join(degree, F.col("key") == F.col("a"), "left")
     named = named.select("key", "least", F.coalesce("component", "key").alias("component"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     # the least id of a class, and of texts that share it the least key, stands for the class; null ids come last

@@ -179,6 +179,22 @@ def plain_classes(rows, least=0.8):
     return [least_id.get(find(i)) for i in range(len(rows))]
 
 
+def test_near_pairs_among_texts_of_one_template(spark, monkeypatch):
+    """Texts that share a template at about 0.7 are apart; each has one text at 0.85, and every such pair is a link."""
+    monkeypatch.setattr(minhash, "BLOCK_TEXTS", 40, raising=False)  # buckets of several blocks
+    rnd = random.Random(29)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    template, rows = [word() for _ in range(165)], []
+    for k in range(150):
+        tail = [word() for _ in range(35)]
+        rows += [(2 * k, " ".join(template + tail), "s"), (2 * k + 1, " ".join(template + tail[:23] + [word() for _ in range(12)]), "s")]
+    bags = [minhash._bag(t) for _, t, _ in rows]
+    near = {i: {j for j in range(300) if i != j and minhash.overlap(bags[i], bags[j]) >= 0.8} for i in range(300)}
+    assert all(near[i] == {i ^ 1} for i in range(300))
+    out = minhash.near_duplicates(docs(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in out) == [(i, i & ~1, 1) for i in range(300)]
+
+
 def test_near_duplicates(spark):
     rng = random.Random(21)
     rows = [(n, word_salad(rng, 120), "s") for n in range(60)]

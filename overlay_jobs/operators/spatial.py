@@ -286,11 +286,15 @@ def dissolve(df: DataFrame, by: list[str], aggs: dict[str, Column] | None = None
     return whole.drop("_c")
 
 
-def grid_heatmap(df: DataFrame, bounds: tuple[float, float, float, float], cell: float = 5_000.0, x: Column | None = None, y: Column | None = None) -> DataFrame:
+def grid_heatmap(df: DataFrame, bounds: tuple[float, float, float, float] | None = None, cell: float = 5_000.0, x: Column | None = None, y: Column | None = None) -> DataFrame:
     """ix, iy, n: centroids per cell of a grid that begins at the lower left bound. Edges are the multiples below the upper bound,
-    so a last narrower cell is cut off; the last edge belongs to the last cell; empty cells are left out."""
-    x0, y0, x1, y1 = bounds
+    so a last narrower cell is cut off; the last edge belongs to the last cell; empty cells are left out. Without bounds the grid
+    has no end and cells are numbered from the origin, so that every centroid counts."""
     centre = G.centroid(F.col("geometry")) if x is None or y is None else F.struct(x.alias("x"), y.alias("y"))
+    if bounds is None:
+        own = df.select(centre.alias("c")).select(*(F.floor(F.col(f"c.{v}") / cell).cast("int").alias(f"i{v}") for v in "xy"))
+        return own.where("ix IS NOT NULL AND iy IS NOT NULL").groupBy("ix", "iy").agg(F.count("*").alias("n"))
+    x0, y0, x1, y1 = bounds
     nx, ny = (max(math.ceil((hi - lo) / cell - 1e-12) - 1, 0) for lo, hi in ((x0, x1), (y0, y1)))
 
     def index(v: Column, lo: float, n: int) -> Column:

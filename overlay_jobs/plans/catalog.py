@@ -142,7 +142,7 @@ def reproject_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def centroid_grid_heatmap(spark: SparkSession, sf: str) -> DataFrame:
-    return S.grid_heatmap(T.boxes(spark, sf), (0.0, 0.0, 130_000.0, 130_000.0))
+    return S.grid_heatmap(T.boxes(spark, sf))
 
 
 def assign_points(spark: SparkSession, sf: str) -> DataFrame:
@@ -196,7 +196,7 @@ def interactions_by_effect(spark: SparkSession, sf: str) -> DataFrame:
 def event_points(spark: SparkSession, sf: str) -> DataFrame:
     """Chart data of the merged layer: events per activity and grid cell."""
     own = S.event_points(_layer(spark, sf))
-    return S.grid_heatmap(own, (0.0, 0.0, 130_000.0, 130_000.0), x=F.col("x"), y=F.col("y"))
+    return S.grid_heatmap(own, x=F.col("x"), y=F.col("y"))
 
 
 def dense_ids(spark: SparkSession, sf: str) -> DataFrame:

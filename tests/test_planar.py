@@ -141,3 +141,13 @@ def test_flags_edge_cases(spark):
     assert [r["ac_flag"] for r in out] == [False] * 3 and [r["ac_flag_abs"] for r in out] == [False] * 3
     plain = P.flag_acre_mismatch(df.drop("ACRES_MGT")).orderBy("OBJECTID").collect()
     assert [r["acres_diff"] for r in plain] == [10.0, 10.0, 8.0] and plain[1]["ac_flag_abs"]
+
+
+def test_heatmap_query_counts_boxes_far_up(spark, monkeypatch):
+    """Boxes of large customer keys lie beyond any fixed window; the query counts them all."""
+    from overlay_jobs.plans import catalog
+
+    far = spark.createDataFrame([(1, square(0, 0, 60)), (2, square(90, 200_000, 60)), (3, square(90, 1_350_000, 60))], f"OBJECTID long, geometry {G.POLYGON}")
+    monkeypatch.setattr(catalog.T, "boxes", lambda *a: far)
+    got = sorted(tuple(r) for r in catalog.centroid_grid_heatmap(spark, "").collect())
+    assert got == [(0, 0, 1), (0, 40, 1), (0, 270, 1)]

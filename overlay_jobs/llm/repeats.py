@@ -94,7 +94,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _finished_and_open(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """Of rows with core, cover and wants: those whose strings all repeat, and those that the next pass splits.
 
-    Rows that agree in core and cover are stood for by the one that comes first; it goes on only as a partner (wants false).
+    Rows that agree in core and cover are stood for by the place (text, at) that comes first; it goes on only as a partner (wants
+    false), in as many rows as its text has copies.
     """
     groups = rows.groupBy("core").agg(F.count("*").alias("n"), F.min("cover").alias("lo_cover"), F.max("cover").alias("hi_cover"), F.max("wants").alias("wanted")).where("n > 1 AND wanted")
     groups = settle(groups.select("core", (F.col("lo_cover") != F.col("hi_cover")).alias("mixed")), f"repeats-{name}-groups")
@@ -159,6 +160,8 @@ def repeated_spans(texts: DataFrame, key_col: str, bytes_col: str, id_col: str)
     done1, open1 = _finished_and_open(runs.withColumn("wants", F.lit(True)), "1")
     spans = done1.select(*_span(f"greatest(0, at - {WINDOW - 1})", f"at + {LENGTH}"))
     first = texts.groupBy(F.col(key_col).alias("key")).agg(F.min(id_col).alias("first"))
+    # copies of a text bring the same rows: one of each goes on, so that what is gathered is bounded by the text's own anchors
+    open1 = open1.select("text", "at", "lo", "hi", "wants").distinct()
     spots = open1.groupBy("text").agg(F.collect_list(F.struct("at", "lo", "hi", "wants")).alias("spots"))
     spots = settle(spots.join(first, F.col("text") == F.col("key")).drop("key"), "repeats-places")
     cut = F.arrow_udf(_cut, "array<struct<at: int, lo: int, hi: int, wants: boolean, left: int, bytes: binary>>")

@@ -108,6 +108,27 @@ def plain_repeats(texts, length=400):
     return out
 
 
+def test_copies_are_gathered_once(spark, monkeypatch):
+    """Many copies of a text that shares a passage with another: what is gathered for it is bounded by its own anchors."""
+    rng, places = random.Random(31), []
+    text, other = word_salad(rng, 300), word_salad(rng, 300)
+    other = other[:500] + text[300:900] + other[900:]
+    texts = [text] * 40 + [other]
+    settle = repeats.settle
+
+    def watched(df, name):
+        out = settle(df, name)
+        if name == "repeats-places":
+            places.append(out)
+        return out
+
+    monkeypatch.setattr(repeats, "settle", watched)
+    got = collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.remove_repeats(docs(spark, [(n, t, "s") for n, t in enumerate(texts)])).collect())
+    assert got == collections.Counter((n, *x) for n, x in enumerate(plain_repeats(texts)))
+    own = [[s["at"] for s in r["spots"]] for r in places[0].collect()]
+    assert own and all(len(x) == len(set(x)) for x in own)
+
+
 def test_repeats(spark):
     rng = random.Random(12)
     passages = [word_salad(rng, 150) for _ in range(3)]

@@ -208,3 +208,16 @@ def test_rotation(spark):
 
 def test_queries_have_the_columns_of_their_contracts():
     assert set(Q.oracle_sql()) <= set(Q.queries()) and len(Q.queries()) == 10
+
+
+def test_rotation_cuts_parts_by_place(spark):
+    """Null, tied and repeated turn numbers do not pile up in one part."""
+    rows = [*((None, None, "ab"[i % 2], f"x{i}") for i in range(25)), *((5, 3, "c", "same") for _ in range(25)), *((6, 10**6 + i, "d", "far") for i in range(8))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted(chat.rotate(df, part=7).collect(), key=lambda r: r["part"])
+    assert max(r["n_turns"] for r in got) == 7
+    out = {}
+    for r in got:
+        text, masks = out.get((r["conv_id"], r["speaker"]), ("", ""))
+        out[r["conv_id"], r["speaker"]] = (text + r["rendered"], ",".join(x for x in (masks, r["masks"]) if x))
+    assert out == plain_chat(rows)

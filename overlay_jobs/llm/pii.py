@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+import warnings
 
 import numpy as np
 import pyarrow as pa
@@ -223,7 +224,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: i
     """Train on at most `rows` texts (those with the smallest hashes of ids) and at most `limit` stretches of them.
 
     The base spans are the labels; training reads the first 4,000 characters of a sampled text, finding spans reads all of every
-    text. Texts with neither digits nor @ are passed over. No texts, or none with data: no weights,
+    text. Texts with neither digits nor @ are passed over. If that sample has no base span, it is drawn anew from the texts of the
+    whole table that have one, by what stands around their spans. No texts, or none with data in the table: no weights, a warning,
     and then nothing is added to the base spans.
     """
     h = F.xxhash64(F.col(id_col).cast("string"))
@@ -231,8 +233,29 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: i
     if last is None:
         return {}
     some = docs.where(h <= last).select(h.alias("h"), F.substring(F.col(text_col), 1, 4000).alias("t")).where(F.col("t").rlike("[0-9@]"))
+    examples = _examples(sorted(tuple(r) for r in some.limit(2 * rows).collect()), limit)
+    if not any(gold for _, gold in examples):
+        around = F.arrow_udf(_around, "array<string>")
+        some = docs.where(F.col(text_col).rlike("[0-9@]")).select(h.alias("h"), F.explode(around(F.col(text_col))).alias("t"))
+        examples = _examples([tuple(r) for r in some.orderBy("h", "t").limit(rows).collect()], limit)
+    if not any(gold for _, gold in examples):
+        warnings.warn("no text has a base span: nothing is added to the base spans", stacklevel=2)
+        return {}
+    return train(examples)
+
+
+def _around(texts: pa.Array) -> pa.Array:
+    """What stands around the first few base spans of whole texts."""
+    out = []
+    for t in texts:
+        text = t.as_py() or ""
+        out.append([text[max(0, a - 200) : b + 200] for a, b, _ in sorted(base_spans(text))[:4]])
+    return pa.array(out, pa.list_(pa.string()))
+
+
+def _examples(texts: list[tuple[int, str]], limit: int) -> list:
     examples: list = []
-    for _, text in sorted(tuple(r) for r in some.limit(2 * rows).collect()):
+    for _, text in texts:
         base = base_spans(text)
         areas = stretches(text) + [(a, b) for a, b, k in base if k == 0]
         for a, b in areas:
@@ -241,7 +264,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: i
             examples += _variants(examples[-1][0], gold)
         if len(examples) >= limit:
             break
-    return train(examples[:limit]) if any(gold for _, gold in examples) else {}
+    return examples[:limit]
 
 
 FOUND = "array<struct<kind: string, start: bigint, end: bigint, base: boolean>>"

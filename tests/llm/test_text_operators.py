@@ -221,3 +221,11 @@ def test_rotation_cuts_parts_by_place(spark):
         text, masks = out.get((r["conv_id"], r["speaker"]), ("", ""))
         out[r["conv_id"], r["speaker"]] = (text + r["rendered"], ",".join(x for x in (masks, r["masks"]) if x))
     assert out == plain_chat(rows)
+
+
+def test_training_finds_labels_late_in_long_texts(spark):
+    """Data beyond the first 4,000 characters of a text still trains the field; a table without data warns."""
+    late = ["word 7 " * 700 + f" call +49 30 123456{i:02d} or write to ann{i}@mail.example.org today" for i in range(20)]
+    assert pii.fit(docs(spark, late))
+    with pytest.warns(UserWarning):
+        assert pii.fit(docs(spark, ["word 7"])) == {}

@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when it was counted and has at most so many (narrow) rows.
 BROADCAST_ROWS = 100_000
+#: A key is hot if it has more than a HOT_SHARE-th of all rows, and HOT_LEAST rows at least: there are at most HOT_SHARE such keys.
+HOT_SHARE, HOT_LEAST = 1_000, 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where none is set (tests on one machine) a new temporary one."""
+    """The folder in spark.checkpoint.dir; where none is set a new temporary one if the master is local, else ValueError."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -35,9 +39,37 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_path = path
+    return out
+
+
+def discard(*settled: DataFrame) -> None:
+    """Remove settled tables that nothing will read any more: everything made from them must be settled itself by now."""
+    for df in settled:
+        if path := getattr(df, "_settled_path", None):
+            hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a settled, narrow table for broadcast if it has at most `rows` rows; else leave the choice to Spark's planner."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, own: str) -> DataFrame:
+    """left left-joined with right on left.key = right.own, where `own` is unique and some keys may hold most rows of left.
+
+    Keys that are hot in left take their row of right by broadcast (HOT_SHARE rows at most), the others by an ordinary join, so no
+    task gets all rows of a key. Both sides should be settled, as they are read more than once.
+    """
+    counts = left.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_n"))
+    total, most = counts.agg(F.sum("_n"), F.max("_n")).head()
+    bound = max(HOT_LEAST, (total or 0) // HOT_SHARE)
+    if (most or 0) <= bound:
+        return left.join(right, F.col(key) == F.col(own), "left")
+    hot = settle(counts.where(F.col("_n") > bound).select("_hot"), "hot-keys")
+    some = right.join(F.broadcast(hot), F.col(own) == F.col("_hot"), "left_semi")
+    is_hot = F.col(key) == F.col("_hot")
+    return left.join(F.broadcast(hot), is_hot, "left_anti").join(right, F.col(key) == F.col(own), "left").unionByName(
+        left.join(F.broadcast(hot), is_hot, "left_semi").join(F.broadcast(some), F.col(key) == F.col(own), "left"))

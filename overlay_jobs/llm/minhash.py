@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from overlay_jobs.functions.graph import connected_components
-from overlay_jobs.session import broadcast_if_small, settle
+from overlay_jobs.session import broadcast_if_small, join_hot, settle
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 #: Texts and bytes of text in a block, about.
 BLOCK_TEXTS, BLOCK_BYTES = 256, 4 << 20
+#: Rows of a bucket for each of its salts; rounds of comparing one text of each label.
+SALT_ROWS, ROUNDS = 4096, 4
 #: Shingles that are multiplied out at a time, and products that are listed at a time.
 DENSE, LISTED = 4096, 1 << 21
 #: Bytes of text that are signed side by side.
@@ -309,39 +311,131 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, links: bool = True) -> DataFrame:
     """One row per input row: id, class_id (the smallest id in its class of near-duplicates), n_links (verified links of its text
-    to other texts), is_first (whether it is the row that stands for its class).
+    to other texts; only with `links`), is_first (whether it is the row that stands for its class).
 
     Equal texts are one class from the start and are signed once a row but compared once in all, so a group of copies costs no
-    more than its rows. Null counts as empty; texts without words are near only to equal texts. Rows with a null id get the
-    class of their text and are never first unless all its ids are null. Repeated rows are copies of each other and are first
-    together. An empty table gives an empty result; other columns are not read. Bands find a pair of similarity 0.8 with
-    probability 0.9999, and every pair that shares a bucket is verified, on 64-bit hashes of its shingles. That is work with the
-    square of a bucket, done by blocks of about BLOCK_TEXTS texts or BLOCK_BYTES in tasks of two blocks each.
+    more than its rows. Null counts as empty; texts without words are near only to equal texts; very long texts are signed and
+    compared whole. Rows with a null id get the class of their text and are never first unless all its ids are null. Repeated
+    rows are copies of each other and are first together. An empty table gives an empty result; other columns are not read.
+
+    Bands find a pair of similarity 0.8 with probability 0.9999; verification is on 64-bit hashes of shingles. With `links` every
+    pair that shares a bucket is verified: work with the square of a bucket. Without, pairs whose texts are in one class already
+    are passed over, which changes no class; all other pairs that share a bucket are verified.
     """
-    out = _classes(docs, id_col, text_col, least)
-    return out.select(F.col("id").alias(id_col), "class_id", "n_links", "is_first")
+    out = _classes(docs, id_col, text_col, least, links)
+    return out.select(F.col("id").alias(id_col), "class_id", *(["n_links"] if links else []), "is_first")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """The rows that stand for their classes, once each, with all their columns; cases as for near_duplicates().
 
     What goes is taken out by id and text in a merge join at any size: it grows with the input. Only rows that stand twice in the
-    table are brought together to be reduced to one.
+    table are brought together to be reduced to one; which one of rows with equal id and text stays is open if they differ
+    elsewhere. Columns may have any names.
     """
-    out = settle(_classes(docs, id_col, text_col, least).select(F.col("id").alias("_gone_id"), F.col("key").alias("_gone_key"), "is_first"), "near-rows")
-    same = F.col(id_col).eqNullSafe(F.col("_gone_id")) & (text_key(F.col(text_col)) == F.col("_gone_key"))
-    twice = settle(out.where("is_first").groupBy("_gone_id", "_gone_key").count().where("count > 1").drop("count"), "near-repeated")
+    out = settle(_classes(docs, id_col, text_col, least, False).select("id", "key", "is_first"), "near-rows")
+    twice = settle(out.where("is_first").groupBy("id", "key").count().where("count > 1").drop("count"), "near-repeated")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"), text_key(F.col(text_col)).alias("own_key"))
+    same = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key"))
     gone = out.where("NOT is_first").drop("is_first").union(twice)
-    kept = docs.join(gone.hint("merge"), same, "left_anti")
-    if not twice.limit(1).count():
-        return kept
-    return kept.union(docs.join(twice, same, "left_semi").dropDuplicates([id_col, text_col]))
+    kept = rows.join(gone.hint("merge"), same, "left_anti")
+    if twice.limit(1).count():
+        kept = kept.union(rows.join(twice, same, "left_semi").dropDuplicates(["own_id", "own_key"]))
+    return kept.select("row.*")
+
+
+def _blocks(members: DataFrame, name: str) -> DataFrame:
+    """members (key, bucket, n, size) -> key, block: a text is at home in its largest bucket, and homes of many texts are dealt to
+    several blocks."""
+    homes = settle(members.groupBy("key").agg(F.max(F.struct("n", "bucket")).alias("home"), F.first("size").alias("size")).select("key", "home.bucket", "size"), f"{name}-homes")
+    dealt = homes.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("size") / BLOCK_BYTES)).alias("blocks")).where("blocks > 1")
+    homes = homes.join(broadcast_if_small(settle(dealt, f"{name}-dealt")), "bucket", "left")
+    return settle(homes.select("key", F.xxhash64("bucket", F.pmod(F.xxhash64("key"), F.coalesce("blocks", F.lit(1)))).alias("block")), f"{name}-blocks")
+
+
+def _meetings(members: DataFrame, by_label: bool, name: str) -> DataFrame:
+    """members (key, bucket, n, block, label) -> i, j, on_left, key, label: the pairs of blocks that share a bucket, by member.
+
+    With by_label only blocks that hold a text of another label. Buckets of many members are salted: none is one task's.
+    """
+    salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
+    others = members.groupBy("bucket", "n", F.col("block").alias("other")).agg(F.count("*").alias("k"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    others = others.select(F.col("bucket").alias("at"), "other", "k", "lo", "hi", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    own = members.withColumn("own_salt", F.pmod(F.xxhash64("key"), salts).cast("int"))
+    meets = (F.col("lo") != F.col("label")) | (F.col("hi") != F.col("label")) if by_label else (F.col("block") != F.col("other")) | (F.col("k") > 1)
+    met = own.join(others, (F.col("bucket") == F.col("at")) & (F.col("own_salt") == F.col("salt")) & meets)
+    met = met.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("on_left"), "key", "label")
+    return settle(met.distinct(), name)
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
-    """id, key of the text, class_id, n_links, is_first."""
+def _verified(met: DataFrame, texts: DataFrame, least: float, name: str) -> DataFrame:
+    """Pairs of blocks -> LINKS, between labels."""
+    met = met.join(texts, "key").select("i", "j", "on_left", F.col("label").alias("key"), "text").repartition("i", "j").sortWithinPartitions("i", "j", "on_left", "key")
+    return settle(met.mapInArrow(compare_blocks(least), LINKS), name)
+
+
+def _relabelled(labels: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """labels (key, label), and links between labels -> labels by component. A label is the least key of its texts."""
+    names = settle(connected_components(found.where("b IS NOT NULL").select("a", "b")).select("node", "component"), f"{name}-names")
+    out = join_hot(labels, names, "label", "node").select("key", F.coalesce("component", "label").alias("label"))
+    return settle(out, f"{name}-labels")
+
+
+def _components(shared: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """key, label for the texts of shared (key, bucket, n, size): equal labels for texts that links join.
+
+    First all pairs of a block, a text in one block; then, where a bucket is larger than a block, the same for one text of each of
+    its labels, until that joins nothing more; last all pairs of blocks in buckets with several labels that share no block from the start, texts
+    of one label in blocks of their own.
+    """
+    keys = shared.select("key").distinct()
+    labels = settle(keys.withColumn("label", F.col("key")), "near-single")
+    homes = _blocks(shared, "near-first")
+    crowded = homes.groupBy("block").agg(F.count("*").alias("k")).where("k > 1").drop("k")
+    met = homes.join(crowded, "block").select(F.col("block").alias("i"), F.col("block").alias("j"), F.lit(True).alias("on_left"), "key", F.col("key").alias("label"))
+    found = _verified(met, texts, least, "near-links-0")
+    members = shared.drop("n").join(homes, "key")
+    for n in range(1, 1 + ROUNDS):
+        if found.where("b IS NOT NULL").limit(1).count():
+            labels = _relabelled(labels, found, f"near-{n}")
+        # buckets with texts of several labels that were not all in one block
+        members = members.drop("label").join(labels, "key")
+        open_ = members.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("block").alias("b0"), F.max("block").alias("b1")).where("l0 <> l1 AND b0 <> b1").select("bucket")
+        members = settle(members.join(settle(open_, f"near-open-{n}"), "bucket"), f"near-members-{n}")
+        if not members.limit(1).count():
+            return labels
+        if n == ROUNDS or members.groupBy("bucket").count().agg(F.max("count")).head()[0] <= BLOCK_TEXTS:
+            break
+        one = settle(members.groupBy("bucket", "label").agg(F.min(F.struct("key", "size")).alias("one")), f"near-ones-{n}")
+        counted = one.groupBy("bucket").agg(F.count("*").alias("n"))
+        ones = one.join(counted, "bucket").select(F.col("one.key").alias("key"), "bucket", "n", F.col("one.size").alias("size"), "label")
+        blocks = _blocks(ones, f"near-ones-{n}")
+        named = blocks.join(labels, "key")
+        crowded = named.groupBy("block").agg(F.count("*").alias("k")).where("k > 1").drop("k")
+        met = named.join(crowded, "block").select(F.col("block").alias("i"), F.col("block").alias("j"), F.lit(True).alias("on_left"), "key", "label")
+        found = _verified(met, texts, least, f"near-links-{n}")
+        if not found.where("b IS NOT NULL").limit(1).count():
+            break
+    # what is left: every pair of blocks, blocks of one label where it has many texts
+    counted = settle(members.groupBy("bucket").agg(F.count("*").alias("n")), "near-open-counts")
+    members = members.drop("block").join(counted, "bucket")
+    homes = settle(members.groupBy("key", "label").agg(F.max(F.struct("n", "bucket")).alias("home"), F.first("size").alias("size")).select("key", "label", "home.bucket", "size"), "near-last-homes")
+    crowds = settle(homes.groupBy("bucket", "label").agg(F.count("*").alias("k"), F.sum("size").alias("bytes")), "near-crowds")
+    weight = lambda k, b: F.greatest(k / BLOCK_TEXTS, b / BLOCK_BYTES)
+    many = weight(F.col("k"), F.col("bytes")) >= 0.5
+    pools = crowds.where(~many).groupBy("bucket").agg(F.ceil(weight(F.sum("k"), F.sum("bytes"))).alias("pools"))
+    crowds = crowds.where(many).select(F.col("bucket").alias("cb"), F.col("label").alias("cl"), F.ceil(weight(F.col("k"), F.col("bytes"))).alias("parts"))
+    homes = homes.join(pools, "bucket", "left").join(crowds, (F.col("bucket") == F.col("cb")) & (F.col("label") == F.col("cl")), "left")
+    block = F.when(F.col("parts").isNotNull(), F.xxhash64("bucket", "label", F.pmod(F.xxhash64("key"), F.col("parts")))).otherwise(F.xxhash64("bucket", F.pmod(F.xxhash64("label"), F.coalesce("pools", F.lit(1)))))
+    members = settle(members.join(homes.select("key", block.alias("block")), "key"), "near-last-members")
+    found = _verified(_meetings(members, True, "near-last-met"), texts, least, "near-last-links")
+    return _relabelled(labels, found, "near-last") if found.where("b IS NOT NULL").limit(1).count() else labels
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, least: float, with_links: bool) -> DataFrame:
+    """id, key of the text, class_id, n_links (with_links), is_first."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.col(id_col).alias("id"), text.alias("text"), text_key(F.col(text_col)).alias("key"))
     signed = settle(own.select("id", "key", F.octet_length("text").alias("size"), bands(F.col("text")).alias("bands")), "near-signatures")
@@ -349,30 +443,26 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataF
     rows = copies.where(F.col("bands").isNotNull()).select("key", "size", F.explode("bands").alias("bucket"))
     buckets = settle(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "near-buckets")
     shared = settle(rows.join(buckets, "bucket"), "near-shared")
-    # a text is at home in its largest bucket, and homes of many texts are dealt to several blocks
-    homes = settle(shared.groupBy("key").agg(F.max(F.struct("n", "bucket")).alias("home"), F.first("size").alias("size")).select("key", "home.bucket", "size"), "near-homes")
-    dealt = homes.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("size") / BLOCK_BYTES)).alias("blocks")).where("blocks > 1")
-    homes = homes.join(broadcast_if_small(settle(dealt, "near-dealt")), "bucket", "left")
-    homes = homes.select("key", F.xxhash64("bucket", F.pmod(F.xxhash64("key"), F.coalesce("blocks", F.lit(1)))).alias("block"))
-    members = settle(shared.select("key", "bucket").join(homes, "key"), "near-members")
-    others = members.groupBy("bucket", F.col("block").alias("other")).agg(F.count("*").alias("n"))
-    met = members.join(others, "bucket").where("block <> other OR n > 1")
-    met = met.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("on_left"), "key").distinct()
-    met = settle(met, "near-met")
     # the row with the smallest id stands for its text, so that copies do not meet in one task
-    asked = settle(met.select("key").distinct().join(copies.select("key", "least"), "key").select(F.col("key").alias("asked"), "least"), "near-asked")
+    asked = settle(shared.select("key").distinct().join(copies.select("key", "least"), "key").select(F.col("key").alias("asked"), "least"), "near-asked")
     # asked grows with the input: a merge join at any size
     texts = own.join(asked.hint("merge"), (F.col("key") == F.col("asked")) & F.col("id").eqNullSafe(F.col("least"))).select("key", F.col("text").cast("binary").alias("text"))
     texts = settle(texts.dropDuplicates(["key"]), "near-texts")
-    met = met.join(texts, "key").select("i", "j", "on_left", "key", "text").repartition("i", "j").sortWithinPartitions("i", "j", "key")
-    links = settle(met.mapInArrow(compare_blocks(least), LINKS), "near-links")
-    classes = connected_components(links.where("b IS NOT NULL").select("a", "b"))
-    degree = links.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n_links"))
-    named = copies.select("key", "least").join(classes, F.col("key") == F.col("node"), "left").join(degree, F.col("key") == F.col("a"), "left")
-    named = named.select("key", "least", F.coalesce("component", "key").alias("component"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    named = copies.select("key", "least")
+    if with_links:
+        members = settle(shared.join(_blocks(shared, "near"), "key").withColumn("label", F.col("key")), "near-members")
+        links = _verified(_meetings(members, False, "near-met"), texts, least, "near-links")
+        classes = connected_components(links.where("b IS NOT NULL").select("a", "b"))
+        degree = links.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n_links"))
+        named = named.join(degree, F.col("key") == F.col("a"), "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+    else:
+        classes = _components(shared, texts, least).select(F.col("key").alias("node"), F.col("label").alias("component"))
+    named = named.join(classes, F.col("key") == F.col("node"), "left").withColumn("component", F.coalesce("component", "key"))
+    named = settle(named.drop("a", "node"), "near-named")
     # the least id of a class, and of texts that share it the least key, stands for the class; null ids come last
     order = F.struct(F.col("least").isNull().alias("no_id"), "least", "key")
-    firsts = named.groupBy("component").agg(F.min(order).alias("f"))
-    named = named.join(firsts, "component").select(F.col("key").alias("text_key"), F.col("f.least").alias("class_id"), (F.col("f.key") == F.col("key")).alias("leads"), "n_links")
-    out = signed.select("id", "key").join(settle(named, "near-classes"), F.col("key") == F.col("text_key"))
-    return out.select("id", "key", "class_id", "n_links", (F.col("leads") & F.col("id").eqNullSafe(F.col("class_id"))).alias("is_first"))
+    firsts = settle(named.groupBy("component").agg(F.min(order).alias("f")).select(F.col("component").alias("of"), "f"), "near-firsts")
+    more = ["n_links"] if with_links else []
+    named = join_hot(named, firsts, "component", "of").select(F.col("key").alias("text_key"), F.col("f.least").alias("class_id"), (F.col("f.key") == F.col("key")).alias("leads"), *more)
+    out = join_hot(signed.select("id", "key"), settle(named, "near-classes"), "key", "text_key")
+    return out.select("id", "key", "class_id", *more, (F.col("leads") & F.col("id").eqNullSafe(F.col("class_id"))).alias("is_first"))

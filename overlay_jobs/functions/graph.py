@@ -18,10 +18,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     around = both if large else both.where("v < u")
     least = around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"), "n")
     side = both.where("v > u") if large else around
-    total, most = least.agg(F.sum("n"), F.max("n")).head()
-    bound = max(HOT_LEAST, (total or 0) // HOT_SHARE)
+    total = 2 * edges.count()
+    bound = max(HOT_LEAST, total // HOT_SHARE)
     joined = side.join(least, F.col("u") == F.col("c"))
-    if (most or 0) > bound:
+    if total > bound and least.agg(F.max("n")).head()[0] > bound:
         hot = settle(least.where(F.col("n") > bound), "hot-nodes")
         cold = side.join(F.broadcast(hot), F.col("u") == F.col("c"), "left_anti").join(least, F.col("u") == F.col("c"))
         joined = side.join(F.broadcast(hot), F.col("u") == F.col("c")).select("u", "v", "c", "m").union(cold.select("u", "v", "c", "m"))

@@ -63,10 +63,10 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, own: str) -> DataFrame
     Keys that are hot in left take their row of right by broadcast (HOT_SHARE rows at most), the others by an ordinary join, so no
     task gets all rows of a key. Both sides should be settled, as they are read more than once.
     """
+    total = left.count()
+    bound = max(HOT_LEAST, total // HOT_SHARE)
     counts = left.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_n"))
-    total, most = counts.agg(F.sum("_n"), F.max("_n")).head()
-    bound = max(HOT_LEAST, (total or 0) // HOT_SHARE)
-    if (most or 0) <= bound:
+    if total <= bound or (counts.agg(F.max("_n")).head()[0] or 0) <= bound:
         return left.join(right, F.col(key) == F.col(own), "left")
     hot = settle(counts.where(F.col("_n") > bound).select("_hot"), "hot-keys")
     some = right.join(F.broadcast(hot), F.col(own) == F.col("_hot"), "left_semi")

@@ -91,8 +91,9 @@ def _pairs(seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[i[near]], order[j[near]]
 
 
-def node(seg: np.ndarray, rounds: int = 5) -> np.ndarray:
-    """Segments that meet only in end points: split where they cross, touch or overlap; rounding may ask for another round."""
+def node(seg: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Segments that meet only in end points: split where they cross, touch or overlap. Rounding may ask for another round; an
+    ArithmeticError if that does not end."""
     seg = unique_segments(seg)
     for _ in range(rounds):
         i, j = _pairs(seg)
@@ -119,7 +120,7 @@ def node(seg: np.ndarray, rounds: int = 5) -> np.ndarray:
         new = ((point_ != seg[owner_, :2]).any(axis=1)) & ((point_ != seg[owner_, 2:]).any(axis=1))
         owner_, point_ = owner_[new], point_[new]
         if not len(owner_):
-            break
+            return seg
         every = np.concatenate([np.arange(len(seg)), np.arange(len(seg)), owner_])
         points = np.vstack([seg[:, :2], seg[:, 2:], point_])
         d = seg[every, 2:] - seg[every, :2]
@@ -128,13 +129,21 @@ def node(seg: np.ndarray, rounds: int = 5) -> np.ndarray:
         every, points = every[order], points[order]
         same = every[1:] == every[:-1]
         seg = unique_segments(np.hstack([points[:-1][same], points[1:][same]]))
-    return seg
+    raise ArithmeticError(f"{len(seg)} segments still cross after {rounds} rounds of noding")
 
 
 def faces(seg: np.ndarray) -> list[dict]:
     """Bounded faces of noded segments: directed edges (face on the left; holes included), area in square units, a point inside."""
+    edges, stops, points = face_arrays(seg)
+    own = [(edges[i:j], tuple(p)) for i, j, p in zip(stops[:-1].tolist(), stops[1:].tolist(), points.tolist())]
+    return [{"edges": e, "area": float(((e[:, 0] - p[0]) * (e[:, 3] - p[1]) - (e[:, 2] - p[0]) * (e[:, 1] - p[1])).sum() / 2), "point": p} for e, p in own]
+
+
+def face_arrays(seg: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same laid end to end: directed edges, where each face's begin (and the end), and a point inside each."""
+    none = np.zeros((0, 4)), np.zeros(1, np.int64), np.zeros((0, 2))
     if not len(seg):
-        return []
+        return none
     a = np.vstack([seg[:, :2], seg[:, 2:]])
     b = np.vstack([seg[:, 2:], seg[:, :2]])
     n = len(seg)
@@ -155,44 +164,76 @@ def faces(seg: np.ndarray) -> list[dict]:
     for _ in range(int(np.ceil(np.log2(2 * n))) + 1):
         label = np.minimum(label, label[jump])
         jump = jump[jump]
-    origin = a[0]
-    ra, rb = a - origin, b - origin
-    areas = np.bincount(label, (ra[:, 0] * rb[:, 1] - rb[:, 0] * ra[:, 1]) / 2, minlength=2 * n)
-    by_label = np.argsort(label, kind="stable")
-    labels, starts = np.unique(label[by_label], return_index=True)
-    cycle = dict(zip(labels.tolist(), np.split(by_label, starts[1:])))
-    shells = {k: [e] for k, e in cycle.items() if areas[k] > 0}
-    shell_area = {k: areas[k] for k in shells}
-    keys = np.array(list(shells))
-    if not len(keys):
-        return []
-    low = np.array([a[cycle[k]].min(axis=0) for k in keys])
-    high = np.array([a[cycle[k]].max(axis=0) for k in keys])
-    vertex_of = {k: set(from_[cycle[k]].tolist()) for k in keys.tolist()}
-    for k, e in cycle.items():
-        if areas[k] >= 0:
-            continue
-        p, v = a[e[0]], int(from_[e[0]])
-        around = keys[(low <= p).all(axis=1) & (high >= p).all(axis=1) & (shell_area_of(keys, shell_area) > -areas[k])]
+    # cycles of edges: those with the area on their left are shells, the others bound a part from outside
+    by_cycle = np.argsort(label, kind="stable")
+    _, starts, cycle = np.unique(label[by_cycle], return_index=True, return_inverse=True)
+    cycle = cycle.reshape(-1)
+    stops = np.append(starts, 2 * n)
+    a, b, from_ = a[by_cycle], b[by_cycle], from_[by_cycle]
+    ra, rb = a - a[0], b - a[0]
+    areas = np.add.reduceat((ra[:, 0] * rb[:, 1] - rb[:, 0] * ra[:, 1]) / 2, starts)
+    shells = np.flatnonzero(areas > 0)
+    if not len(shells):
+        return none
+    low, high = np.minimum.reduceat(a, starts, axis=0)[shells], np.maximum.reduceat(a, starts, axis=0)[shells]
+    owner = np.full(len(starts), -1)
+    owner[shells] = np.arange(len(shells))
+    for k in np.flatnonzero(areas < 0).tolist():
+        p, v = a[starts[k]], from_[starts[k]]
+        around = shells[(low <= p).all(axis=1) & (high >= p).all(axis=1) & (areas[shells] > -areas[k])]
         best = None
         for s in around.tolist():
-            if v in vertex_of[s]:
-                continue
-            x, y = a[cycle[s]], b[cycle[s]]
-            if _inside(p, x, y) and (best is None or shell_area[s] < shell_area[best]):
+            own = slice(stops[s], stops[s + 1])
+            if (best is None or areas[s] < areas[best]) and not (from_[own] == v).any() and _inside(p, a[own], b[own]):
                 best = s
         if best is not None:
-            shells[best].append(e)
-    out = []
-    for k, parts in shells.items():
-        e = np.concatenate(parts)
-        edges = np.hstack([a[e], b[e]])
-        out.append({"edges": edges, "area": float(sum(areas[label[x[0]]] for x in parts)), "point": inner_point(edges)})
+            owner[k] = owner[best]
+    face = owner[cycle]
+    kept = np.flatnonzero(face >= 0)
+    kept = kept[np.argsort(face[kept], kind="stable")]
+    edges, face = np.hstack([a[kept], b[kept]]), face[kept]
+    stops = np.searchsorted(face, np.arange(len(shells) + 1))
+    return edges, stops, inner_points(edges, face, len(shells))
+
+
+def inner_points(edges: np.ndarray, face: np.ndarray, n: int) -> np.ndarray:
+    """For each of n faces the middle of the widest span on a line between its middle heights. face: in order."""
+    order = np.lexsort((edges[:, 1], face))
+    f, y = face[order], edges[order, 1]
+    new = np.append(True, (f[1:] != f[:-1]) | (y[1:] != y[:-1]))
+    f, y = f[new], y[new]
+    begin = np.searchsorted(f, np.arange(n))
+    count = np.searchsorted(f, np.arange(n), side="right") - begin
+    k = begin + (count - 1) // 2
+    line = (y[k] + y[np.minimum(k + 1, len(y) - 1)]) / 2
+    own = line[face]
+    up = (edges[:, 1] > own) != (edges[:, 3] > own)
+    e, f, own = edges[up], face[up], own[up]
+    x = e[:, 0] + (own - e[:, 1]) * (e[:, 2] - e[:, 0]) / (e[:, 3] - e[:, 1])
+    order = np.lexsort((x, f))
+    x, f = x[order], f[order]
+    left, right, f = x[0::2], x[1::2], f[0::2]  # a line crosses a face's edges an even number of times
+    widest = np.lexsort((left - right, f))
+    f_, at = np.unique(f[widest], return_index=True)
+    out = np.full((n, 2), np.nan)
+    out[f_, 0], out[f_, 1] = ((left + right) / 2)[widest][at], line[f_]
     return out
 
 
-def shell_area_of(keys: np.ndarray, areas: dict) -> np.ndarray:
-    return np.array([areas[k] for k in keys.tolist()])
+def covered_pairs(points: np.ndarray, polygons: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Point and polygon numbers of every point inside a polygon (its segments; even-odd). Only points in a polygon's box are tested."""
+    order = np.argsort(points[:, 0], kind="stable")
+    xs, ys = points[order, 0], points[order, 1]
+    at, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k, seg in enumerate(polygons):
+        if not len(seg):
+            continue
+        lo, hi = np.searchsorted(xs, [seg[:, 0].min(), seg[:, 0].max()])
+        near = np.flatnonzero((ys[lo:hi] > seg[:, 1].min()) & (ys[lo:hi] < seg[:, 1].max())) + lo
+        hit = order[near[covers(np.column_stack([xs[near], ys[near]]), seg)]] if len(near) else near
+        at.append(hit)
+        of.append(np.full(len(hit), k))
+    return np.concatenate(at), np.concatenate(of)
 
 
 def _inside(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> bool:
@@ -201,20 +242,6 @@ def _inside(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> bool:
     return bool((x > p[0]).sum() % 2)
 
 
-def inner_point(edges: np.ndarray) -> tuple[float, float]:
-    """The middle of the widest span on a line through the middle of the face's heights."""
-    ys = np.unique(edges[:, 1])
-    k = (len(ys) - 1) // 2
-    y = (ys[k] + ys[k + 1]) / 2 if len(ys) > 1 else ys[0]
-    up = (edges[:, 1] > y) != (edges[:, 3] > y)
-    e = edges[up]
-    xs = np.sort(e[:, 0] + (y - e[:, 1]) * (e[:, 2] - e[:, 0]) / (e[:, 3] - e[:, 1]))
-    if len(xs) < 2:
-        return float(edges[0, 0]), float(edges[0, 1])
-    w = np.argmax(xs[1::2] - xs[0:-1:2])
-    return float((xs[2 * w] + xs[2 * w + 1]) / 2), float(y)
-
-
 def covers(points: np.ndarray, seg: np.ndarray) -> np.ndarray:
     """Which points are inside a polygon given by its segments (even-odd)."""
     a, b = seg[:, :2], seg[:, 2:]
@@ -262,25 +289,49 @@ def chain(edges: np.ndarray) -> list[list[list[list[float]]]]:
     return [[r.tolist() for r in p] for p in parts]
 
 
+#: Pairs of segments that are tested at a time.
+PAIRS = 1 << 20
+
+
 def intersects(p: Rings, q: Rings) -> bool:
-    """Whether two polygons share a point."""
+    """Whether two polygons share a point. Segments are paired by a sweep over x, a bounded number of pairs at a time."""
     a, b = ring_segments(p), ring_segments(q)
     if not len(a) or not len(b):
         return False
-    if covers(a[:, :2], b).any() or covers(b[:, :2], a).any():
+    if covers(a[:1, :2], b).any() or covers(b[:1, :2], a).any():
+        return True
+    # rings whose first vertex is outside may still lie inside
+    firsts = [np.array([r[0] for part in rings for r in part]) for rings in (p, q)]
+    if covers(firsts[0], b).any() or covers(firsts[1], a).any():
         return True
-    d1, d2 = a[:, None, 2:] - a[:, None, :2], b[None, :, 2:] - b[None, :, :2]
-    w = b[None, :, :2] - a[:, None, :2]
-    cross = lambda u, v: u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0]
+    lo, hi = np.minimum(b[:, 0], b[:, 2]), np.maximum(b[:, 0], b[:, 2])
+    order = np.argsort(lo, kind="stable")
+    b, lo, hi = b[order], lo[order], hi[order]
+    reach = np.maximum.accumulate(hi)
+    start = np.searchsorted(reach, np.minimum(a[:, 0], a[:, 2]))
+    n = np.maximum(np.searchsorted(lo, np.maximum(a[:, 0], a[:, 2]), side="right") - start, 0)
+    ends = np.cumsum(n)
+    i = 0
+    while i < len(a):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS, side="right")))
+        own = np.repeat(np.arange(i, j), n[i:j])
+        other = np.repeat(start[i:j], n[i:j]) + np.arange(n[i:j].sum()) - np.repeat(np.cumsum(n[i:j]) - n[i:j], n[i:j])
+        if len(own) and _meet(a[own], b[other]).any():
+            return True
+        i = j
+    return False
+
+
+def _meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which segments share a point with the one beside them."""
+    d1, d2, w = a[:, 2:] - a[:, :2], b[:, 2:] - b[:, :2], b[:, :2] - a[:, :2]
+    cross = lambda u, v: u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]
     rs, x, y = cross(d1, d2), cross(w, d2), cross(w, d1)
     with np.errstate(divide="ignore", invalid="ignore"):
         t, u = x / rs, y / rs
-    if ((rs != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)).any():
-        return True
-    line = (rs == 0) & (y == 0)
-    k0, k1 = (w * d1).sum(axis=2), ((w + d2) * d1).sum(axis=2)
-    n = (d1 * d1).sum(axis=2)
-    return bool((line & (np.maximum(k0, k1) >= 0) & (np.minimum(k0, k1) <= n)).any())
+    hit = (rs != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
+    k0, k1, n = (w * d1).sum(axis=1), ((w + d2) * d1).sum(axis=1), (d1 * d1).sum(axis=1)
+    return hit | ((rs == 0) & (y == 0) & (np.maximum(k0, k1) >= 0) & (np.minimum(k0, k1) <= n))
 
 
 def intersection(p: Rings, q: Rings) -> list:

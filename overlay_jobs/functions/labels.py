@@ -88,3 +88,18 @@ def group_members(present: Column, types: tuple[str, ...]) -> Column:
 
 def years_of(counted: Column, types: tuple[str, ...]) -> Column:
     return F.transform(F.filter(counted, lambda e: e["ACTIVITY"].isin(*types)), lambda e: e["YEAR_COMP"])
+
+
+# Activities in the order in which charts show them.
+ACTIVITY_ORDER = ("Mechanical", "Manual", "Mastication", "Removal", "Pile Burn", "Pile Fuels", "Chipping", "Mulching", "Lop and Scatter", "Broadcast Burn", "Prescribed Burn (Range)", "Fire Use")
+
+
+def activity_rank(activity: Column) -> Column:
+    """Place of an activity in ACTIVITY_ORDER, from 1; all others and null come after them, as one category."""
+    at = F.array_position(F.array(*map(F.lit, ACTIVITY_ORDER)), F.coalesce(activity, F.lit("")))
+    return F.when(at > 0, at).otherwise(len(ACTIVITY_ORDER) + 1).cast("int")
+
+
+def activity_category(activity: Column) -> Column:
+    """The activity itself if it has a place of its own, else Other."""
+    return F.when(activity.isin(*ACTIVITY_ORDER), activity).otherwise("Other")

@@ -144,3 +144,8 @@ def profile(rows: DataFrame, cols: list[str]) -> DataFrame:
         aggs.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.percentile(x, 0.25).alias("p25"), F.percentile(x, 0.5).alias("p50"), F.percentile(x, 0.75).alias("p75"), F.max(x).alias("max")).alias(f"s{len(aggs)}"))
     one = rows.agg(*aggs)
     return one.select(F.inline(F.array(*(F.col(f"s{i}") for i in range(len(cols))))))
+
+
+def first_atom(atoms: DataFrame, id_col: str = "ATOM_ID") -> DataFrame:
+    """The row with the smallest id."""
+    return atoms.orderBy(id_col).limit(1)

@@ -14,14 +14,20 @@ def dense_ids(df: DataFrame, order: list[str], name: str = "OBJECTID", start: in
     """Adds start, start + 1 ... in the order of columns (nulls first), without a sort in one task.
 
     Rows are sorted by ranges; each partition numbers its own rows; sizes of partitions (one number each) give the offsets.
-    Rows that tie in all the columns get their numbers in any order: name enough columns.
+    Rows that tie in all the columns get their numbers in any order, and are spread by their place in the input.
     """
+    df, order = df.withColumn("_tie", F.monotonically_increasing_id()), [*order, "_tie"]
     placed = settle(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "dense-ids")
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_least"))
     before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", "_least", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     out = placed.join(F.broadcast(offsets), "_part")
-    return out.withColumn(name, (F.col("_row") - F.col("_least") + F.col("_before") + start).cast("long")).drop("_part", "_row", "_least", "_before")
+    return out.withColumn(name, (F.col("_row") - F.col("_least") + F.col("_before") + start).cast("long")).drop("_part", "_row", "_least", "_before", "_tie")
+
+
+def describe(df: DataFrame, constants: dict[str, object], order: list[str], name: str = "OBJECTID") -> DataFrame:
+    """A project layer with constant descriptor columns and a row id from 1 in the order of columns."""
+    return dense_ids(df.withColumns({k: F.lit(v) for k, v in constants.items()}), order, name)
 
 
 def combine_sources(frames: dict[str, DataFrame], keep: list[str] | None = None, crs: dict[str, int] | None = None, target_crs: int | None = None, id_col: str = "OBJECTID") -> DataFrame:

@@ -163,11 +163,20 @@ def to_event_schema(df: DataFrame, row_id: Column | str, source_label: str = "TW
 
 
 def completion_year(df: DataFrame, col: str = "treatment_date") -> Column:
-    """Year in UTC of a date that is epoch milliseconds in a number column, or text or a timestamp; what can't be read is null."""
+    """Year in UTC of a date that is epoch milliseconds in a number column, or text or a timestamp; what can't be read is null.
+
+    The session's time zone has no part in it: text without a zone is in UTC, as is a timestamp without one.
+    """
     kind = dict(df.dtypes)[col]
-    if kind in ("bigint", "int", "double", "float", "smallint"):
-        return F.year(F.timestamp_millis(F.col(col).try_cast("long")))
-    return F.year(F.try_to_timestamp(F.col(col)) if kind == "string" else F.col(col))
+    utc = lambda ms: F.year(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ms / 86_400_000).cast("int")))
+    if kind in ("bigint", "int", "smallint", "tinyint", "double", "float") or kind.startswith("decimal"):
+        return utc(F.col(col).try_cast("long"))
+    if kind == "timestamp":
+        return utc(F.unix_millis(F.col(col)))
+    if kind != "string":
+        return F.year(F.col(col))
+    zoned = F.col(col).rlike(r"[0-9]:[0-9]{2}.*([zZ]|UTC|GMT|[+-][0-9]{1,2}(:?[0-9]{2})?)\s*$")
+    return F.when(zoned, utc(F.unix_millis(F.col(col).try_cast("timestamp")))).otherwise(F.year(F.col(col).try_cast("timestamp_ntz")))
 
 
 def qa_filter(df: DataFrame, statuses: Sequence[str] = ("Completed",), drop_errors: Sequence[str] = ("DUPLICATE_DROP",), year_start: int | None = None, year_end: int | None = None) -> DataFrame:

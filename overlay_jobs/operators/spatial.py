@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +17,13 @@ from overlay_jobs.functions import labels as L
 from overlay_jobs.functions.graph import connected_components
 from overlay_jobs.operators.atoms import aggregate_events
 from overlay_jobs.operators.combine import dense_ids
-from overlay_jobs.session import settle
+from overlay_jobs.session import broadcast_if_small, settle
 
-#: Side of a tile in metres; polygon vertices of a tile beyond which it is split; splits at most.
-TILE, TILE_VERTICES, LEVELS = 4_000.0, 4_000, 4
+#: Side of a tile in metres; polygon vertices of a tile beyond which it is split; splits at most (to tiles of 62.5 m).
+TILE, TILE_VERTICES, LEVELS = 4_000.0, 4_000, 6
 DISSOLVE_KEY = ("TRT_ACTIVITIES", "TRT_EFF", "TRT_SET", "FIRST_TRT", "LAST_TRT", "FIRST_TRT_YEAR", "LAST_TRT_YEAR", "COMPLETE", "LAST_THIN", "CANOPY", "SURFACE", "AGENCIES")
+#: Areas of interest that are broadcast at most.
+AREAS = 1_000
 _EDGE = "array<struct<ax: double, ay: double, bx: double, by: double>>"
 
 
@@ -45,20 +47,24 @@ def _tile_faces(table: pa.Table, tile: float) -> pa.Table:
     local = (1.0, 1.0, side + 1.0, side + 1.0)
     pieces, points = K.clip(np.vstack(own), local)
     stops = np.arange(1, side + 2, fine, dtype=float)
-    found = K.faces(K.node(np.vstack([pieces, K.frame(local, points, stops, stops)])))
-    at = np.array([f["point"] for f in found]).reshape(-1, 2)
-    inside = np.array([K.covers(at, s) if len(s) else np.zeros(len(at), bool) for s in own]).reshape(len(own), len(at))
-    rows = []
-    for k, f in enumerate(found):
-        cover = sorted({ids[i] for i in np.flatnonzero(inside[:, k])})
-        if not cover:
-            continue
-        e = f["edges"]
-        seam = ((e[:, 0] == e[:, 2]) & ((e[:, 0] == 1) | (e[:, 0] == side + 1))) | ((e[:, 1] == e[:, 3]) & ((e[:, 1] == 1) | (e[:, 1] == side + 1)))
-        say = lambda x: [dict(zip(("ax", "ay", "bx", "by"), r)) for r in (x + origin).tolist()]
-        rows.append({"piece": f"{level}:{cx}:{cy}:{k}", "cover": cover, "px": (at[k, 0] + origin[0]) * K.UNIT, "py": (at[k, 1] + origin[1]) * K.UNIT, "edges": say(e[~seam]), "seams": say(e[seam])})
-    edge = pa.list_(pa.struct([(n, pa.float64()) for n in ("ax", "ay", "bx", "by")]))
-    return pa.Table.from_pylist(rows, pa.schema([("piece", pa.string()), ("cover", pa.list_(pa.int64())), ("px", pa.float64()), ("py", pa.float64()), ("edges", edge), ("seams", edge)]))
+    edges, ends, at = K.face_arrays(K.node(np.vstack([pieces, K.frame(local, points, stops, stops)])))
+    face, polygon = K.covered_pairs(at, own)
+    pairs = np.unique(np.column_stack([face, np.array(ids, np.int64)[polygon]]), axis=0)
+    kept, begin = np.unique(pairs[:, 0], return_index=True)
+    number = np.full(len(at), -1)
+    number[kept] = np.arange(len(kept))
+    of = number[np.repeat(np.arange(len(at)), np.diff(ends))]
+    edges, of = edges[of >= 0], of[of >= 0]
+    seam = ((edges[:, 0] == edges[:, 2]) & ((edges[:, 0] == 1) | (edges[:, 0] == side + 1))) | ((edges[:, 1] == edges[:, 3]) & ((edges[:, 1] == 1) | (edges[:, 1] == side + 1)))
+
+    def lists(mask: np.ndarray) -> pa.Array:
+        rows = pa.StructArray.from_arrays([pa.array(c) for c in (edges[mask] + origin).T], ["ax", "ay", "bx", "by"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(of[mask], np.arange(len(kept) + 1)).astype(np.int32)), rows)
+
+    cover = pa.ListArray.from_arrays(pa.array(np.append(begin, len(pairs)).astype(np.int32)), pa.array(pairs[:, 1]))
+    px, py = ((at[kept] + origin[:2]) * K.UNIT).T
+    pieces = pa.array([f"{level}:{cx}:{cy}:{k}" for k in kept.tolist()], pa.string())
+    return pa.Table.from_arrays([pieces, cover, pa.array(px), pa.array(py), lists(~seam), lists(seam)], ["piece", "cover", "px", "py", "edges", "seams"])
 
 
 def _rings(edges: pa.Array) -> pa.Array:
@@ -171,16 +177,20 @@ def assign_treatments(zones: DataFrame, polygons: DataFrame, id_col: str = "OBJE
 
 
 def _candidates(df: DataFrame, aoi: DataFrame, cell: float) -> DataFrame:
-    """Each pair of a row (_row) and an area of interest (_aoi, _area) whose boxes meet, once."""
+    """Each pair of a row and an area of interest (_aoi, _area) whose boxes meet, once. Cells get the areas' boxes; the areas
+    themselves, which may be large, are joined to the pairs."""
+    aoi = settle(aoi.withColumn("_area_row", F.monotonically_increasing_id()), "areas")
     b, c = G.bounds(F.col("geometry")), G.bounds(F.col("_area"))
     left = _cells(df.withColumns({f"_{k}": v for k, v in b.items()}), F.lit(cell))
-    right = _cells(aoi.withColumns({f"_a{k}": v for k, v in c.items()}).select("_aoi", "_area", *(f"_a{k}" for k in c), F.col("_area").alias("geometry")), F.lit(cell))
-    right = right.select("_aoi", "_area", *(f"_a{k}" for k in c), F.col("cx").alias("_cx"), F.col("cy").alias("_cy"))
+    boxes = aoi.select("_area_row", *(v.alias(f"_a{k}") for k, v in c.items()))
+    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell).cast("long"), F.floor(F.col(hi) / cell).cast("long"))
+    right = boxes.withColumn("_cx", F.explode(span("_axmin", "_axmax"))).withColumn("_cy", F.explode(span("_aymin", "_aymax")))
     pairs = left.join(right, (F.col("cx") == F.col("_cx")) & (F.col("cy") == F.col("_cy")))
     pairs = pairs.where("_xmin <= _axmax AND _axmin <= _xmax AND _ymin <= _aymax AND _aymin <= _ymax")
     # a pair meets in many cells: the one that holds the lower left corner of both boxes counts
     home = (F.floor(F.greatest("_xmin", "_axmin") / cell) == F.col("cx")) & (F.floor(F.greatest("_ymin", "_aymin") / cell) == F.col("cy"))
-    return pairs.where(home).drop("cx", "cy", "_cx", "_cy", *(f"_{k}" for k in b), *(f"_a{k}" for k in c))
+    pairs = pairs.where(home).drop("cx", "cy", "_cx", "_cy", *(f"_{k}" for k in b), *(f"_a{k}" for k in c))
+    return pairs.join(broadcast_if_small(aoi, AREAS), "_area_row").drop("_area_row")
 
 
 def _intersects(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -201,11 +211,18 @@ def clip_intersects(df: DataFrame, aoi: DataFrame, how: str = "inner", aoi_id: s
     return hits.withColumn(aoi_id, F.col("_aoi")).drop("_aoi", "_area")
 
 
-def overlay_intersection(df: DataFrame, aoi: DataFrame, aoi_id: str = "aoi_id", cell: float = 2_000.0) -> DataFrame:
-    """Rows cut to each area of interest they overlap, with the area's id; touching alone gives nothing."""
+def overlay_intersection(df: DataFrame, aoi: DataFrame, aoi_id: str = "aoi_id", cell: float = 2_000.0, attributes: Sequence[str] = ()) -> DataFrame:
+    """Rows cut to each area of interest they overlap, with the area's id; touching alone gives nothing.
+
+    attributes: columns of the area that come along; one whose name a row has already gets the ending _aoi.
+    """
     pairs = _candidates(df, aoi.select(F.col(aoi_id).alias("_aoi"), F.col("geometry").alias("_area")), cell)
     cut = pairs.withColumn("geometry", F.arrow_udf(_intersection, G.POLYGON)("geometry", "_area"))
-    return cut.where(G.not_empty(F.col("geometry"))).withColumn(aoi_id, F.col("_aoi")).drop("_aoi", "_area")
+    out = cut.where(G.not_empty(F.col("geometry"))).withColumn(aoi_id, F.col("_aoi")).drop("_aoi", "_area")
+    if not attributes:
+        return out
+    named = settle(aoi.select(F.col(aoi_id).alias("_of"), *(F.col(a).alias(f"{a}_aoi" if a in df.columns else a) for a in attributes)), "area-attributes")
+    return out.join(broadcast_if_small(named), F.col(aoi_id) == F.col("_of"), "left").drop("_of")
 
 
 def _unit_edges(geometry: Column) -> Column:
@@ -218,6 +235,18 @@ def _unit_edges(geometry: Column) -> Column:
     return F.flatten(F.transform(F.flatten(geometry), edges))
 
 
+def _outlines(rows: DataFrame, key: str) -> DataFrame:
+    """key, _edges: the directed edges of each key's geometries that do not stand in both directions. Inner edges cancel edge by
+    edge, so what is gathered for a key is its outline."""
+    every = rows.select(key, F.explode(_unit_edges(F.col("geometry"))).alias("e"))
+    ordered = (F.col("e.ax") < F.col("e.bx")) | ((F.col("e.ax") == F.col("e.bx")) & (F.col("e.ay") < F.col("e.by")))
+    turned = F.struct(F.col("e.bx").alias("ax"), F.col("e.by").alias("ay"), F.col("e.ax").alias("bx"), F.col("e.ay").alias("by"))
+    both = every.select(key, F.when(ordered, F.col("e")).otherwise(turned).alias("e"), F.when(ordered, 1).otherwise(-1).alias("way"))
+    left = both.groupBy(key, "e").agg(F.sum("way").alias("way")).where("way <> 0")
+    edge = F.when(F.col("way") > 0, F.col("e")).otherwise(turned)
+    return left.select(F.col(key), edge.alias("edge")).groupBy(key).agg(F.collect_list("edge").alias("_edges"))
+
+
 def adjacent_components(atoms: DataFrame, key_cols: list[str], id_col: str = "ATOM_ID") -> DataFrame:
     """node, component of atoms that share an edge with an atom of equal keys (nulls equal nulls). Grouped by edge and key, so
     no group has more than the two sides of an edge; the few distinct keys are never gathered."""
@@ -234,9 +263,10 @@ def merge_adjacent(atoms: DataFrame, key_cols: tuple[str, ...] = DISSOLVE_KEY, d
     FUND_SOURCES, N_EVENTS and ACRES_GIS anew, ATOM_ID dense from 1. distinct_events: one event per source id."""
     atoms = settle(atoms, "atoms")
     names = adjacent_components(atoms, list(key_cols))
-    joined = atoms.join(names, F.col("ATOM_ID") == F.col("node"), "left").withColumn("_c", F.coalesce("component", "ATOM_ID"))
+    joined = settle(atoms.join(names, F.col("ATOM_ID") == F.col("node"), "left").withColumn("_c", F.coalesce("component", "ATOM_ID")), "merged-atoms")
     rows = F.sort_array(F.collect_list(F.struct("ATOM_ID", "EVENTS")))
-    merged = joined.groupBy("_c").agg(*(F.first(k).alias(k) for k in key_cols), F.array_sort(F.array_distinct(F.flatten(F.collect_list("SOURCE_IDS")))).alias("SOURCE_IDS"), F.flatten(F.transform(rows, lambda r: r["EVENTS"])).alias("EVENTS"), F.flatten(F.collect_list(_unit_edges(F.col("geometry")))).alias("_edges"))
+    merged = joined.groupBy("_c").agg(*(F.first(k).alias(k) for k in key_cols), F.array_sort(F.array_distinct(F.flatten(F.collect_list("SOURCE_IDS")))).alias("SOURCE_IDS"), F.flatten(F.transform(rows, lambda r: r["EVENTS"])).alias("EVENTS"))
+    merged = merged.join(_outlines(joined, "_c"), "_c")
     if distinct_events:
         merged = merged.withColumn("EVENTS", F.aggregate("EVENTS", F.slice("EVENTS", 1, 0), lambda done, e: F.when(F.exists(done, lambda d: d["SOURCE_ID"] == e["SOURCE_ID"]), done).otherwise(F.concat(done, F.array(e)))))
     merged = merged.withColumn("geometry", F.arrow_udf(_rings, G.POLYGON)("_edges")).drop("_edges")
@@ -251,14 +281,14 @@ def build_interactions(df: DataFrame, id_col: str = "OBJECTID", snap: float = 0.
     """The layer of zones (columns LAYER): reproject, repair, decompose, assign, aggregate, merge, drop slivers, reproject back.
 
     absorb_slivers: small faces are kept until after the merge, so that equal neighbours take them in. pre_dissolve: columns by
-    which equal geometries are reduced to one row first.
+    which equal geometries are noded once; no record is lost by it.
     """
     least = min_acres / L.M2_TO_ACRES
     own = df.withColumn("geometry", G.reproject(F.col("geometry"), crs, target_crs)) if crs and crs != target_crs else df
     own = repair_geometry(own)
-    if pre_dissolve:
-        own = own.withColumn("_g", G.geometry_key(F.col("geometry"))).dropDuplicates([*pre_dissolve, "_g"]).drop("_g")
-    zones = settle(build_atomic_zones(own, snap, 0.0 if absorb_slivers else least, id_col, tile), "zones-numbered")
+    # equal geometries need to be noded once only; every record is still assigned to its zones
+    noded = own.withColumn("_g", G.geometry_key(F.col("geometry"))).dropDuplicates([*pre_dissolve, "_g"]).drop("_g") if pre_dissolve else own
+    zones = settle(build_atomic_zones(noded, snap, 0.0 if absorb_slivers else least, id_col, tile), "zones-numbered")
     links = settle(assign_points(zones, own, "_atom_id", id_col), "links-zone-source")
     labelled = aggregate_events(links, own, "_atom_id", id_col, extra, dedupe)
     atoms = labelled.join(zones.select("_atom_id", "geometry"), "_atom_id").withColumnRenamed("_atom_id", "ATOM_ID")
@@ -267,6 +297,14 @@ def build_interactions(df: DataFrame, id_col: str = "OBJECTID", snap: float = 0.
     return out.withColumn("geometry", G.reproject(F.col("geometry"), target_crs, crs)) if crs and crs != target_crs else out
 
 
+def dissolve_duplicates(df: DataFrame, by: list[str], aggs: dict[str, Column] | None = None, id_col: str = "OBJECTID") -> DataFrame:
+    """One row per equal geometry and columns `by` (nulls agree): the least id, all `ids`, the given aggregates, the geometry."""
+    own = df.withColumn("_g", G.geometry_key(F.col("geometry")))
+    rules = [c.alias(n) for n, c in (aggs or {}).items()]
+    out = own.groupBy(*by, "_g").agg(F.min(id_col).alias(id_col), F.array_sort(F.collect_set(id_col)).alias("ids"), *rules, F.min_by("geometry", id_col).alias("geometry"))
+    return out.drop("_g")
+
+
 def dissolve(df: DataFrame, by: list[str], aggs: dict[str, Column] | None = None, snap: float = 1.0, tile: float = TILE, id_col: str = "OBJECTID") -> DataFrame:
     """Contiguous unions of rows that agree in the columns `by` (nulls agree), with aggregates of the rows that make them up.
 
@@ -278,8 +316,8 @@ def dissolve(df: DataFrame, by: list[str], aggs: dict[str, Column] | None = None
     first = settle(first.withColumn("_id", F.concat_ws(":", F.col("_atom_id").cast("string"), F.md5(F.to_json(F.struct(*by), {"ignoreNullFields": "false"})))), "dissolve-rows")
     names = adjacent_components(first, by, "_id")
     joined = first.join(names, F.col("_id") == F.col("node"), "left").withColumn("_c", F.coalesce("component", "_id"))
-    whole = joined.groupBy("_c").agg(*(F.first(k).alias(k) for k in by), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_ids")))).alias("ids"), F.flatten(F.collect_list(_unit_edges(F.col("geometry")))).alias("_e"))
-    whole = whole.withColumn("geometry", F.arrow_udf(_rings, G.POLYGON)("_e")).drop("_e")
+    whole = joined.groupBy("_c").agg(*(F.first(k).alias(k) for k in by), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_ids")))).alias("ids"))
+    whole = whole.join(_outlines(joined, "_c"), "_c").withColumn("geometry", F.arrow_udf(_rings, G.POLYGON)("_edges")).drop("_edges")
     if aggs:
         rows = whole.select("_c", F.explode("ids").alias(id_col)).join(df.drop("geometry", *by), id_col).groupBy("_c").agg(*(c.alias(n) for n, c in aggs.items()))
         whole = whole.join(rows, "_c", "left")

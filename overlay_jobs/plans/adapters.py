@@ -107,3 +107,39 @@ def areas_of_interest(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("aoi_id"))
     x, y = F.col("aoi_id") % 5 * 64 + 7, F.lit(7)
     return n.withColumn("geometry", G.box(x * CELL, y * CELL, (x + 20) * CELL, (y + 20) * CELL))
+
+
+def second_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes as raw records of a second source: status, error, treatment_date in epoch milliseconds, and a second part ten cells to
+    the right for every fourth."""
+    k = F.col("OBJECTID")
+    own = boxes(spark, sf_dir)
+    far = G.box((F.col("gx") + 10) * CELL, F.col("gy") * CELL, (F.col("gx") + 10 + F.col("w")) * CELL, (F.col("gy") + F.col("h")) * CELL)
+    date = (F.col("YEAR_COMP") - 1970).cast("long") * 31_557_600_000 + 86_400_000
+    parts = F.when(k % 4 == 0, F.concat("geometry", far)).otherwise(F.col("geometry"))
+    return own.select(k.alias("record"), "ACTIVITY", F.when(k % 5 == 0, "Planned").otherwise("Completed").alias("status"), F.when(k % 7 == 0, "DUPLICATE_DROP").alias("error"), date.alias("treatment_date"), parts.alias("geometry"))
+
+
+def bow_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes with two corners exchanged, so that their rings cross themselves."""
+    own = boxes(spark, sf_dir)
+    at = lambda dx, dy: F.struct(((F.col("gx") + dx) * CELL).cast("double").alias("x"), ((F.col("gy") + dy) * CELL).cast("double").alias("y"))
+    ring = F.array(at(F.lit(0), F.lit(0)), at(F.col("w"), F.col("h")), at(F.col("w"), F.lit(0)), at(F.lit(0), F.col("h")), at(F.lit(0), F.lit(0)))
+    return own.select("OBJECTID", F.array(F.array(ring)).alias("geometry"))
+
+
+def crosswalk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A descriptor record per part of the driver's table, field and value of the whole crosswalk in turn, each plain, between blanks
+    and in capitals."""
+    from overlay_jobs.sources.crosswalk import default_crosswalk
+
+    rows = default_crosswalk(spark)
+    n = rows.count()
+    numbered = rows.orderBy("field", "value").select("field", "value").toPandas()
+    values = spark.createDataFrame([(i, f, v) for i, (f, v) in enumerate(numbered.itertuples(index=False))], "slot long, field string, value string")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("record"))
+    own = part.join(F.broadcast(values), part["record"] % n == values["slot"])  # the crosswalk is a fixed small table
+    form = F.floor(F.col("record") / n) % 3
+    text = F.when(form == 1, F.concat(F.lit("  "), "value", F.lit(" "))).when(form == 2, F.upper("value")).otherwise(F.col("value"))
+    fields = ("activity", "type", "method", "twig_category")
+    return own.select("record", *(F.when(F.col("field") == f, text).alias(f) for f in fields), F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("equipment"), F.lit(1.0).alias("acres"))

@@ -14,11 +14,13 @@ from overlay_jobs.operators import atoms as A
 from overlay_jobs.operators import combine as C
 from overlay_jobs.operators import flags as P
 from overlay_jobs.operators import harmonize as H
+from overlay_jobs.operators import ingest as I  # noqa: E741
 from overlay_jobs.operators import reconcile as R
 from overlay_jobs.operators import spatial as S
 from overlay_jobs.plans import adapters as T
 from overlay_jobs.plans.sql import ORACLES
-from overlay_jobs.session import settle
+from overlay_jobs.session import new_path, settle
+from overlay_jobs.sources import tables as R_
 from overlay_jobs.sources.crosswalk import default_crosswalk
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -199,13 +201,112 @@ def event_points(spark: SparkSession, sf: str) -> DataFrame:
     return S.grid_heatmap(own, x=F.col("x"), y=F.col("y"))
 
 
+def feature_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Boxes written as pages of features and read back with a filter on their attributes."""
+    path = new_path(spark, "pages")
+    R_.write_feature_pages(T.boxes(spark, sf), path, ["OBJECTID", "ACTIVITY", "YEAR_COMP"])
+    back = R_.read_feature_pages(spark, path, "OBJECTID bigint, ACTIVITY string, YEAR_COMP int", where="YEAR_COMP >= 2010")
+    return back.select("OBJECTID", "ACTIVITY", "YEAR_COMP", G.area(F.col("geometry")).alias("area"))
+
+
+def saved_layer(spark: SparkSession, sf: str) -> DataFrame:
+    """A layer that is built and saved with its boxes, read back, and cut to a window by them."""
+    path = f"{new_path(spark, 'layers')}/boxes"
+    build = lambda: R_.with_bounds(T.boxes(spark, sf).select("OBJECTID", "geometry"))
+    R_.read_or_build(spark, path, build)
+    again = R_.read_or_build(spark, path, lambda: build().limit(0))  # a limit that must not show: the table is there
+    R_.save_layer(again.select("OBJECTID", "geometry"), f"{path}-saved")
+    return R_.bbox_prefilter(spark.read.parquet(f"{path}-saved"), (6_000.0, 600.0, 9_000.0, 1_500.0)).select("OBJECTID", "xmin", "ymin", "xmax", "ymax")
+
+
+def members_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Treatments whose customers belong to nations of one region."""
+    n = T.table(spark, sf, "nation").where("n_regionkey = 1").select("n_nationkey")
+    c = T.table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("ZONE"), F.col("c_nationkey").alias("n_nationkey"))
+    return R_.members_of(T.treatments(spark, sf), R_.members_of(c, n, "n_nationkey"), "ZONE").select("OBJECTID", "ZONE")
+
+
+def described_layer(spark: SparkSession, sf: str) -> DataFrame:
+    own = T.treatments(spark, sf).select("ZONE", F.col("OBJECTID").alias("old"))
+    return C.describe(own, {"PROJECT": "north", "PHASE": 2}, ["ZONE", "old"])
+
+
+def year_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    z = T.zones(spark, sf).withColumn("FIRST_TRT_YEAR", F.when(F.col("ATOM_ID") % 2 == 0, F.col("FIRST_TRT_YEAR"))).drop("LAST_TRT_YEAR")
+    return A.fill_year_bounds(z).select("ATOM_ID", "FIRST_TRT_YEAR", "LAST_TRT_YEAR")
+
+
+def complete_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    z = T.zones(spark, sf).select("ATOM_ID", "EVENTS")
+    return A.label_events(z, ordered=True).select("ATOM_ID", "COMPLETE")
+
+
+def activity_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Records by activity in the order of charts."""
+    t = T.treatments(spark, sf).select(L.activity_rank(F.col("ACTIVITY")).alias("place"), L.activity_category(F.col("ACTIVITY")).alias("category"))
+    return t.groupBy("place", "category").agg(F.count("*").alias("n")).orderBy("place")
+
+
+def first_atom(spark: SparkSession, sf: str) -> DataFrame:
+    return A.first_atom(T.zones(spark, sf)).select("ATOM_ID", "N_EVENTS", "TRT_ACTIVITIES")
+
+
+def overlay_attributes(spark: SparkSession, sf: str) -> DataFrame:
+    """Boxes cut to areas of interest, with the areas' attributes; a name that both have is told apart."""
+    n = T.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("aoi_id"), F.col("n_name").alias("ACTIVITY"), F.col("n_regionkey").alias("region"))
+    areas = T.areas_of_interest(spark, sf).join(n, "aoi_id")
+    own = T.boxes(spark, sf).select("OBJECTID", "ACTIVITY", "geometry")
+    return S.overlay_intersection(own, areas, attributes=("ACTIVITY", "region")).select("OBJECTID", "aoi_id", "ACTIVITY", "ACTIVITY_aoi", "region", F.round(G.area(F.col("geometry")), 3).alias("area"))
+
+
+def dissolve_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Equal boxes of an activity as one row, with aggregates of their records."""
+    rules = {"records": F.count("*"), "first_year": F.min("YEAR_COMP"), "agencies": F.concat_ws("|", F.array_sort(F.collect_set(F.trim("AGENCY_C"))))}
+    out = S.dissolve_duplicates(T.boxes(spark, sf), ["ACTIVITY"], rules)
+    return out.where("records > 1").select("OBJECTID", _joined(F.col("ids")).alias("ids"), "records", "first_year", "agencies")
+
+
+def interactions_pre_dissolved(spark: SparkSession, sf: str) -> DataFrame:
+    """Acres by effect of the layer whose equal geometries are noded once: the same as without."""
+    own = S.build_interactions(T.boxes(spark, sf), extra=("SOURCE",), pre_dissolve=("ACTIVITY",))
+    return own.groupBy("TRT_EFF").agg(F.round(F.sum("ACRES_GIS"), 2).alias("acres"), F.round(F.sum(F.when(F.col("COMPLETE"), F.col("ACRES_GIS")).otherwise(0.0)), 2).alias("acres_complete"))
+
+
+def explode_parts(spark: SparkSession, sf: str) -> DataFrame:
+    own = G.explode_parts(T.second_source(spark, sf).select("record", "geometry"))
+    return own.select("record", G.bounds(F.col("geometry"))["xmin"].alias("xmin"), G.area(F.col("geometry")).alias("area"))
+
+
+def repair_bow_ties(spark: SparkSession, sf: str) -> DataFrame:
+    return S.repair_geometry(T.bow_ties(spark, sf)).select("OBJECTID", F.round(G.area(F.col("geometry")), 3).alias("area"), F.size("geometry").alias("parts"))
+
+
+def zones_by_inner_point(spark: SparkSession, sf: str) -> DataFrame:
+    """The sets of boxes around the inner points of all zones."""
+    own = T.boxes(spark, sf)
+    z = S.assign_treatments(S.build_atomic_zones(own, 0.5, 0.0).select("_atom_id", "px", "py"), own)
+    return z.select(_joined(F.col("SOURCE_IDS")).alias("ids")).distinct()
+
+
+def ingest_second_source(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw records through the QA filters, taken apart, clipped and measured."""
+    own = I.ingest_records(T.second_source(spark, sf), T.areas_of_interest(spark, sf), year_start=2008, year_end=2012)
+    return own.select("record", "aoi_id", "YEAR_COMP", G.bounds(F.col("geometry"))["xmin"].alias("xmin"), F.round("GIS_ACRES", 6).alias("GIS_ACRES"))
+
+
+def harmonize_crosswalk(spark: SparkSession, sf: str) -> DataFrame:
+    """Every value of the crosswalk, in several spellings, through the harmoniser."""
+    own = H.harmonize_activity(T.crosswalk_records(spark, sf), default_crosswalk(spark))
+    return own.select("record", "ACTIVITY", "ACTIVITY_FIELD", "ACTIVITY_STATUS")
+
+
 def dense_ids(spark: SparkSession, sf: str) -> DataFrame:
     own = T.treatments(spark, sf).select("ZONE", F.col("OBJECTID").alias("old"))
     return C.dense_ids(own, ["ZONE", "old"], "new")
 
 
 def queries() -> dict[str, Query]:
-    named = (source_coverage_raw, dedupe_events, events_to_rows, atom_years, extract_field, event_json, acres_by_activity, acres_by_effect, value_counts, flag_acre_mismatch, unflagged, to_event_schema, combine_sources, qa_filters, year_comp_from_ms, drop_slivers, snap_to_grid, centroids, reproject_round_trip, centroid_grid_heatmap, assign_points, clip_intersects, overlay_intersection, atomic_cover_areas, dissolve_by_activity, exact_duplicates, build_interactions, interactions_by_effect, event_points, dense_ids)
+    named = (source_coverage_raw, dedupe_events, events_to_rows, atom_years, extract_field, event_json, acres_by_activity, acres_by_effect, value_counts, flag_acre_mismatch, unflagged, to_event_schema, combine_sources, qa_filters, year_comp_from_ms, drop_slivers, snap_to_grid, centroids, reproject_round_trip, centroid_grid_heatmap, assign_points, clip_intersects, overlay_intersection, atomic_cover_areas, dissolve_by_activity, exact_duplicates, build_interactions, interactions_by_effect, event_points, dense_ids, feature_pages, saved_layer, members_of, described_layer, year_bounds, complete_in_order, activity_order, first_atom, overlay_attributes, dissolve_duplicates, interactions_pre_dissolved, explode_parts, repair_bow_ties, zones_by_inner_point, ingest_second_source, harmonize_crosswalk)
     small: dict[str, Query] = {
         "source_coverage_events": lambda s, d: R.event_coverage(T.zones(s, d)),
         "reconcile_audit": lambda s, d: R.audit(T.zones(s, d)),

@@ -140,6 +140,57 @@ b AS (
          1 + OBJECTID % 6 AS w, 1 + (OBJECTID // 7) % 6 AS h FROM t),
 cells AS (SELECT OBJECTID, ACTIVITY, YEAR_COMP, gx + i AS x, y FROM (SELECT *, unnest(range(w)) AS i FROM (SELECT *, gy + unnest(range(h)) AS y FROM b)))"""
 AOI = f"{BOXES}, aoi AS (SELECT n_nationkey::BIGINT AS aoi_id, n_nationkey % 5 * 64 + 7 AS ax, 7 AS ay FROM nation)"
+# the crosswalk's values alone: what the harmoniser makes of each depends on its one descriptor
+XWALK = f"""
+xw AS (SELECT row_number() OVER (ORDER BY field, value) - 1 AS slot, * FROM (VALUES {_XW}) AS v(field, value, activity, effect, confidence)),
+d AS (
+  SELECT p_partkey::BIGINT AS record, field, CASE p_partkey // {len(ROWS)} % 3 WHEN 1 THEN '  ' || value || ' ' WHEN 2 THEN upper(value) ELSE value END AS said
+  FROM part JOIN xw ON p_partkey % {len(ROWS)} = slot),
+x AS (SELECT record, d.field, trim(said) AS said, xw.activity AS target, xw.effect FROM d LEFT JOIN xw ON xw.field = d.field AND xw.value = trim(said) AND lower(trim(said)) NOT IN ('', 'nan', 'none', 'n/a', 'na')),
+g AS (
+  SELECT *, (field = 'twig_category' AND lower(said) = 'unplanned ignition') OR (field = 'method' AND lower(said) = 'wildfire') AS veto,
+         CASE WHEN field = 'method' THEN lower(said) ELSE '' END AS m,
+         target <> 'DROP' AND effect IN ('canopy', 'surface') AS chosen FROM x),
+o AS (
+  SELECT *, CASE target WHEN 'Thin' THEN CASE WHEN m IN ('manual', 'power hand', 'manual logging', 'cut trees and brush') THEN 'Manual' ELSE 'Mechanical' END
+                        WHEN 'Range' THEN CASE WHEN regexp_matches(m, 'fire|prescribed burn|broadcast|jackpot|underburn') THEN 'Prescribed Burn (Range)' ELSE 'DROP' END
+                        WHEN 'Release' THEN CASE WHEN contains(m, 'chemical') THEN 'DROP' WHEN field = 'type' AND lower(said) = 'thinning' THEN 'Mechanical'
+                             WHEN regexp_matches(m, 'manual|hand|cut trees|girdle') THEN 'Lop and Scatter'
+                             WHEN regexp_matches(m, 'mechanical|masticat|tractor|dozer|grind|mow|mobile ground|logging|crush|push|feller|shear|skidder') THEN 'Mastication' END
+                        ELSE target END AS final FROM g),
+e AS (
+  SELECT *, CASE WHEN veto THEN 'dropped' WHEN chosen THEN CASE WHEN final = 'DROP' THEN 'dropped' WHEN final IS NULL THEN 'quarantined' ELSE 'resolved' END
+                 WHEN target = 'DROP' THEN 'dropped' ELSE 'quarantined' END AS status FROM o)"""
+
+# the greedy fold of one zone's events: a row per zone and turn, `taken` says which of the authority's events went to whom
+DEDUPE = f"""{EVENTS},
+ev AS (
+  SELECT ATOM_ID, list({{'i': i, 'id': OBJECTID, 'act': ACTIVITY, 'yr': YEAR_COMP, 'src': SOURCE}} ORDER BY i) AS evs
+  FROM (SELECT *, row_number() OVER (PARTITION BY ATOM_ID ORDER BY OBJECTID) AS i FROM e) GROUP BY ATOM_ID),
+turns AS (
+  SELECT ATOM_ID, evs, list_filter(evs, lambda x: x.src = 'CFT') AS own, list_filter(evs, lambda x: x.src <> 'CFT') AS others FROM ev),
+fold AS (
+  SELECT ATOM_ID, evs, own, others, 0 AS k, []::STRUCT(i BIGINT, mate BIGINT)[] AS taken FROM turns
+  UNION ALL
+  SELECT ATOM_ID, evs, own, others, k + 1,
+         CASE WHEN best IS NULL THEN taken ELSE list_append(taken, {{'i': best, 'mate': others[k + 1].i}}) END
+  FROM (
+    SELECT *, list_sort(list_transform(list_filter(own, lambda x: NOT list_contains(list_transform(taken, lambda t: t.i), x.i)
+               AND (x.act IS NOT DISTINCT FROM others[k + 1].act OR coalesce(x.act IN ('Pile Burn', 'Broadcast Burn') AND others[k + 1].act IN ('Pile Burn', 'Broadcast Burn'), false))
+               AND coalesce(abs(x.yr - others[k + 1].yr) <= 1, true)),
+             lambda x: {{'d': coalesce(abs(x.yr - others[k + 1].yr), 99), 'i': x.i}}))[1].i AS best
+    FROM fold WHERE k < len(others)) AS step),
+folded AS (SELECT * FROM fold WHERE k = len(others)),
+left_over AS (
+  SELECT ATOM_ID, len(evs) AS n_ids, evs, taken, unnest(list_filter(evs, lambda x: NOT list_contains(list_transform(taken, lambda t: t.mate), x.i))) AS x FROM folded),
+paired AS (
+  SELECT ATOM_ID, n_ids, x, evs[list_filter(taken, lambda t: t.i = x.i)[1].mate] AS mate FROM left_over),
+said AS (
+  SELECT ATOM_ID, n_ids, x.i AS i,
+         x.id || ':' || coalesce(CASE WHEN mate IS NOT NULL AND x.act <> mate.act THEN 'Pile Burn' ELSE x.act END, '-') || ':' ||
+         coalesce((CASE WHEN mate IS NULL THEN x.yr WHEN x.yr IS NULL THEN mate.yr WHEN x.yr BETWEEN 2012 AND 2014 THEN x.yr ELSE coalesce(mate.yr, x.yr) END)::VARCHAR, '-') || ':' ||
+         CASE WHEN mate IS NULL THEN x.src ELSE 'CFT+TWIG' END AS s FROM paired)"""
+SECOND = f"{BOXES}, src AS (SELECT *, unnest(CASE WHEN OBJECTID % 4 = 0 THEN [gx, gx + 10] ELSE [gx] END) AS px FROM b), aoi AS (SELECT n_nationkey::BIGINT AS aoi_id, n_nationkey % 5 * 64 + 7 AS ax, 7 AS ay FROM nation)"
 COVER = "SELECT {} AS SOURCE, {} AS YEAR_COMP, count(*) AS n_records, coalesce(sum({}), 0) AS acres, coalesce(string_agg(DISTINCT AGENCY_C, '|' ORDER BY AGENCY_C), '') AS agencies"
 _SIZE = "CASE WHEN ACRES_GIS <= 0 THEN NULL WHEN ACRES_GIS <= 1 THEN '0-1' WHEN ACRES_GIS <= 10 THEN '1-10' WHEN ACRES_GIS <= 100 THEN '10-100' WHEN ACRES_GIS <= 1000 THEN '100-1k' WHEN ACRES_GIS <= 10000 THEN '1k-10k' WHEN ACRES_GIS IS NOT NULL THEN '>10k' END"
 _PROFILE = "SELECT '{0}' AS \"column\", count({0}) AS count, avg({0}) AS mean, stddev_samp({0}) AS std, min({0})::DOUBLE AS min, quantile_cont({0}::DOUBLE, 0.25) AS p25, quantile_cont({0}::DOUBLE, 0.5) AS p50, quantile_cont({0}::DOUBLE, 0.75) AS p75, max({0})::DOUBLE AS max FROM t"
@@ -192,6 +243,22 @@ ORACLES = {
     "atomic_cover_areas": f"WITH {BOXES}, cv AS (SELECT x, y, string_agg(OBJECTID::VARCHAR, '|' ORDER BY OBJECTID) AS ids FROM cells GROUP BY x, y) SELECT ids, (count(*) * 900)::DOUBLE AS area FROM cv GROUP BY ids",
     "dissolve_by_activity": f"WITH {BOXES}, cv AS (SELECT DISTINCT ACTIVITY, x, y FROM cells) SELECT ACTIVITY, (count(*) * 900)::DOUBLE AS area FROM cv GROUP BY ACTIVITY",
     "exact_duplicates": f"WITH {BOXES} SELECT min(OBJECTID) AS first_id, count(*) AS n FROM b GROUP BY gx, gy, w, h, ACTIVITY HAVING count(*) > 1",
+    "feature_pages": f"WITH {BOXES} SELECT OBJECTID, ACTIVITY, YEAR_COMP, (w * h * 900)::DOUBLE AS area FROM b WHERE YEAR_COMP >= 2010",
+    "saved_layer": f"WITH {BOXES} SELECT OBJECTID, (gx * 30)::DOUBLE AS xmin, (gy * 30)::DOUBLE AS ymin, ((gx + w) * 30)::DOUBLE AS xmax, ((gy + h) * 30)::DOUBLE AS ymax FROM b WHERE gx * 30 <= 9000 AND (gx + w) * 30 >= 6000 AND gy * 30 <= 1500 AND (gy + h) * 30 >= 600",
+    "members_of": f"WITH {TREATMENTS} SELECT OBJECTID, ZONE FROM t WHERE ZONE IN (SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1))",
+    "described_layer": f"WITH {TREATMENTS} SELECT ZONE, OBJECTID AS old, 'north' AS PROJECT, 2 AS PHASE, row_number() OVER (ORDER BY ZONE, t.OBJECTID) AS OBJECTID FROM t",
+    "year_bounds": f"WITH {EVENTS} SELECT ATOM_ID, min(YEAR_COMP) AS FIRST_TRT_YEAR, max(YEAR_COMP) AS LAST_TRT_YEAR FROM e GROUP BY ATOM_ID",
+    "complete_in_order": f"WITH {EVENTS} SELECT ATOM_ID, coalesce(min(YEAR_COMP) FILTER (ACTIVITY = 'Broadcast Burn') >= min(YEAR_COMP) FILTER (ACTIVITY IN ('Manual', 'Mechanical')), false) AS COMPLETE FROM e GROUP BY ATOM_ID",
+    "activity_order": f"WITH {TREATMENTS}, o AS (SELECT ['Mechanical', 'Manual', 'Mastication', 'Removal', 'Pile Burn', 'Pile Fuels', 'Chipping', 'Mulching', 'Lop and Scatter', 'Broadcast Burn', 'Prescribed Burn (Range)', 'Fire Use'] AS a) SELECT coalesce(nullif(coalesce(list_position(a, ACTIVITY), 0), 0), 13)::INTEGER AS place, CASE WHEN list_contains(a, ACTIVITY) THEN ACTIVITY ELSE 'Other' END AS category, count(*) AS n FROM t, o GROUP BY 1, 2",
+    "first_atom": f"WITH {ZONES} SELECT ATOM_ID, N_EVENTS, TRT_ACTIVITIES FROM a ORDER BY ATOM_ID LIMIT 1",
+    "overlay_attributes": f"WITH {AOI} SELECT OBJECTID, aoi_id, ACTIVITY, n_name AS ACTIVITY_aoi, n_regionkey AS region, ((least(gx + w, ax + 20) - greatest(gx, ax)) * (least(gy + h, ay + 20) - greatest(gy, ay)) * 900)::DOUBLE AS area FROM b JOIN aoi ON gx < ax + 20 AND gx + w > ax AND gy < ay + 20 AND gy + h > ay JOIN nation ON n_nationkey = aoi_id",
+    "dissolve_duplicates": f"WITH {BOXES} SELECT min(OBJECTID) AS OBJECTID, string_agg(OBJECTID::VARCHAR, '|' ORDER BY OBJECTID) AS ids, count(*) AS records, min(YEAR_COMP) AS first_year, coalesce(string_agg(DISTINCT trim(AGENCY_C), '|' ORDER BY trim(AGENCY_C)), '') AS agencies FROM b GROUP BY gx, gy, w, h, ACTIVITY HAVING count(*) > 1",
+    "explode_parts": f"WITH {SECOND} SELECT OBJECTID AS record, (px * 30)::DOUBLE AS xmin, (w * h * 900)::DOUBLE AS area FROM src",
+    "repair_bow_ties": f"WITH {BOXES} SELECT OBJECTID, (w * h * 450)::DOUBLE AS area, 2 AS parts FROM b",
+    "zones_by_inner_point": f"WITH {BOXES} SELECT DISTINCT ids FROM (SELECT string_agg(OBJECTID::VARCHAR, '|' ORDER BY OBJECTID) AS ids FROM cells GROUP BY x, y)",
+    "ingest_second_source": f"WITH {SECOND} SELECT OBJECTID AS record, aoi_id, YEAR_COMP, (px * 30)::DOUBLE AS xmin, round(w * h * 900 * 0.000247105::DOUBLE, 6) AS GIS_ACRES FROM src JOIN aoi ON px <= ax + 20 AND px + w >= ax AND gy <= ay + 20 AND gy + h >= ay WHERE OBJECTID % 5 <> 0 AND OBJECTID % 7 <> 0 AND YEAR_COMP BETWEEN 2008 AND 2012",
+    "harmonize_crosswalk": f"WITH {XWALK} SELECT record, CASE WHEN status = 'resolved' THEN final END AS ACTIVITY, CASE WHEN veto THEN 'wildfire' WHEN chosen OR target = 'DROP' THEN field END AS ACTIVITY_FIELD, status AS ACTIVITY_STATUS FROM e",
+    "dedupe_events": f"WITH RECURSIVE {DEDUPE.strip()} SELECT ATOM_ID, count(*)::INTEGER AS n_events, any_value(n_ids)::INTEGER AS n_ids, string_agg(s, '|' ORDER BY i) AS events FROM said GROUP BY ATOM_ID",
     "interactions_by_effect": f"""WITH {BOXES},
 cv AS (SELECT x, y, list(DISTINCT ACTIVITY) FILTER (ACTIVITY IS NOT NULL AND YEAR_COMP IS NOT NULL) AS acts FROM cells GROUP BY x, y),
 ef AS (
@@ -204,3 +271,4 @@ n AS (
          list_has_any(p, ['Manual', 'Mechanical']) AND list_contains(p, 'Broadcast Burn') AS done FROM ef)
 SELECT TRT_EFF, round(count(*) * 900 * 0.000247105::DOUBLE, 2) AS acres, round(count(*) FILTER (done) * 900 * 0.000247105::DOUBLE, 2) AS acres_complete FROM n GROUP BY TRT_EFF""",
 }
+ORACLES["interactions_pre_dissolved"] = ORACLES["interactions_by_effect"]

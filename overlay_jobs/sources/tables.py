@@ -6,11 +6,12 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.column import Column
 
 from overlay_jobs.functions import geom as G
 from overlay_jobs.functions.labels import strip
 
+#: Features of a page that is written.
+PAGE_ROWS = 1_000
 CROSSWALK_COLS = ("field", "value", "activity", "effect", "confidence")
 
 
@@ -79,10 +80,16 @@ def check_crosswalk(crosswalk: DataFrame) -> DataFrame:
     return crosswalk
 
 
-def pick(df: DataFrame, condition: Column | str) -> DataFrame:
-    return df.where(condition)
-
-
 def members_of(df: DataFrame, others: DataFrame, on: str) -> DataFrame:
     """Rows whose key stands in another table."""
     return df.join(others.select(on), on, "left_semi")
+
+
+def write_feature_pages(df: DataFrame, path: str, properties: list[str]) -> None:
+    """A layer as pages of GeoJSON features that read_feature_pages() reads, one file each, of PAGE_ROWS features at most."""
+    point = lambda v: F.array(v["x"], v["y"])
+    parts = F.transform("geometry", lambda p: F.transform(p, lambda r: F.transform(r, point)))
+    shape = F.struct(F.lit("MultiPolygon").alias("type"), parts.alias("coordinates"))
+    features = df.select(F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), shape.alias("geometry")).alias("f"))
+    pages = features.withColumn("page", F.floor(F.monotonically_increasing_id() / PAGE_ROWS)).groupBy("page").agg(F.collect_list("f").alias("features"))
+    pages.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features"), {"ignoreNullFields": "false"}).alias("value"), "page").write.partitionBy("page").text(path)

@@ -74,3 +74,20 @@ def test_event_schema(spark):
         H.to_event_schema(df.withColumn("ACTIVITY", F.lit(None).cast("string")), "n")
     with pytest.raises(ValueError):
         H.to_event_schema(df.drop("ACTIVITY"), "n")
+
+
+def test_years_are_in_utc_whatever_the_session(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("America/Denver", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            ms = 1_735_689_600_000  # 2025-01-01T00:00Z
+            for kind in ("bigint", "double", "decimal(20,0)"):
+                df = spark.sql(f"SELECT CAST({ms} AS {kind}) AS treatment_date UNION ALL SELECT CAST({ms - 1} AS {kind})")
+                assert sorted(r[0] for r in df.select(H.completion_year(df)).collect()) == [2024, 2025]
+            text = spark.createDataFrame([("2025-01-01",), ("2025-01-01T00:00:00Z",), ("2024-12-31 23:30:00-01:00",), ("2025-01-01 00:30:00",), ("nothing",), (None,)], "treatment_date string")
+            assert [r[0] for r in text.select(H.completion_year(text)).collect()] == [2025, 2025, 2025, 2025, None, None]
+            own = spark.sql(f"SELECT timestamp_millis({ms}) AS treatment_date")
+            assert own.select(H.completion_year(own)).head()[0] == 2025
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

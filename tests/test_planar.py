@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +152,49 @@ def test_heatmap_query_counts_boxes_far_up(spark, monkeypatch):
     monkeypatch.setattr(catalog.T, "boxes", lambda *a: far)
     got = sorted(tuple(r) for r in catalog.centroid_grid_heatmap(spark, "").collect())
     assert got == [(0, 0, 1), (0, 40, 1), (0, 270, 1)]
+
+
+def test_slanted_polygons_with_holes(spark):
+    """Every polygon's area is that of its zones, and random points lie in the zone of exactly the polygons around them."""
+    rng = random.Random(41)
+    rows = []
+    for n in range(60):
+        cx, cy, turn = rng.uniform(0, 900), rng.uniform(0, 900), rng.uniform(0, 7)
+        ring = lambda r, k: [(cx + r * math.cos(turn + 2 * math.pi * i / k), cy + r * math.sin(turn + 2 * math.pi * i / k)) for i in range(k)]  # noqa: E731, B023
+        outer, inner = ring(rng.uniform(60, 160), rng.choice([3, 5, 8])), ring(rng.uniform(5, 20), 4)[::-1]
+        rings = [outer, inner] if n % 2 else [outer]
+        rows.append((n, [[[{"x": x, "y": y} for x, y in [*r, r[0]]] for r in rings]]))
+    df = spark.createDataFrame(rows, f"OBJECTID long, geometry {G.POLYGON}")
+    zones = S.build_atomic_zones(df, 1 / 512, 0.0, tile=400.0).withColumn("area", G.area(F.col("geometry"))).collect()
+    own = {r["OBJECTID"]: (r["area"], r["geometry"]) for r in df.withColumn("area", G.area(F.col("geometry"))).collect()}
+    total = dict.fromkeys(own, 0.0)
+    for z in zones:
+        for i in z["cover"]:
+            total[i] += z["area"]
+    assert all(abs(total[i] - own[i][0]) < 1.0 for i in own)
+    at = np.array([(rng.uniform(0, 900), rng.uniform(0, 900)) for _ in range(300)])
+    inside = lambda g: K.covers(at, K.ring_segments(K.to_units(g)) * K.UNIT)
+    want, got = [set() for _ in at], [[] for _ in at]
+    for i, (_, g) in own.items():
+        for k in np.flatnonzero(inside(g)):
+            want[k].add(i)
+    for z in zones:
+        for k in np.flatnonzero(inside(z["geometry"])):
+            got[k].append(set(z["cover"]))
+    assert got == [[w] if w else [] for w in want]
+
+
+def test_noding_that_does_not_settle_is_an_error():
+    seg = np.array([[0.0, 0.0, 10.0, 10.0], [0.0, 10.0, 10.0, 0.0]])
+    assert len(K.node(seg)) == 4
+    with pytest.raises(ArithmeticError):
+        K.node(seg, rounds=1)
+
+
+def test_intersects_in_small_portions(monkeypatch):
+    rng = random.Random(3)
+    monkeypatch.setattr(K, "PAIRS", 3)
+    square = lambda x, y, s: [[np.array([[x, y], [x + s, y], [x + s, y + s], [x, y + s], [x, y]], float)]]
+    for _ in range(300):
+        (a, b, s), (c, d, t) = ([rng.randrange(0, 12), rng.randrange(0, 12), rng.randrange(1, 8)] for _ in range(2))
+        assert K.intersects(square(a, b, s), square(c, d, t)) == (a <= c + t and c <= a + s and b <= d + t and d <= b + s)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from overlay_jobs.functions import labels as L
+from overlay_jobs.operators.quantiles import exact_quantile
+from overlay_jobs.session import settle
 
 LABELS = ("TRT_ACTIVITIES", "TRT_EFF", "TRT_SET", "FIRST_TRT", "LAST_TRT", "FIRST_TRT_YEAR", "LAST_TRT_YEAR", "COMPLETE", "LAST_THIN", "CANOPY", "SURFACE", "AGENCIES", "FUND_SOURCES")
 
@@ -137,13 +139,17 @@ def distinct_members(atoms: DataFrame, col: str) -> DataFrame:
 
 
 def profile(rows: DataFrame, cols: list[str]) -> DataFrame:
-    """count, mean, std, min, quartiles and max of numeric columns, one row each, in one pass."""
-    aggs = []
+    """count, mean, std, min, quartiles and max of numeric columns, one row each; quartiles are exact in bounded memory."""
+    rows = settle(rows.select(*cols), "profile")
+    out = None
     for c in cols:
         x = F.col(c).cast("double")
-        aggs.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.percentile(x, 0.25).alias("p25"), F.percentile(x, 0.5).alias("p50"), F.percentile(x, 0.75).alias("p75"), F.max(x).alias("max")).alias(f"s{len(aggs)}"))
-    one = rows.agg(*aggs)
-    return one.select(F.inline(F.array(*(F.col(f"s{i}") for i in range(len(cols))))))
+        quartiles = [exact_quantile(rows, x, q).select(F.col("quantile").alias(name)) for q, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
+        one = rows.agg(F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+        for q in quartiles:  # tables of one row, or none where there is no value
+            one = one.join(q, F.lit(True), "left")
+        out = one if out is None else out.unionByName(one)
+    return out.select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def first_atom(atoms: DataFrame, id_col: str = "ATOM_ID") -> DataFrame:

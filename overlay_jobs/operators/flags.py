@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
+from overlay_jobs.operators.quantiles import exact_quantile
 from overlay_jobs.session import broadcast_if_small, settle
 
 #: Smallest difference in acres that the residual flag takes.
@@ -39,8 +40,12 @@ def flag_acre_mismatch(df: DataFrame, n_std: float = 3.0, min_area_acres: float
         out = df.withColumn("acres_diff", F.col(gis_col) - F.col(mgt_col)).withColumn("log_ac_pred", F.when(_valid(mgt_col), line))
         out = out.withColumn("log_ac_resid", F.when(_valid(mgt_col), F.log10(F.col(mgt_col)) - F.col("log_ac_pred")))
         out = out.withColumn("ac_flag", F.coalesce((F.col("log_ac_resid") < F.lit(None if std is None else -n_std * std).cast("double")) & (F.col("acres_diff") > min_area_acres), F.lit(False)))
-    at = F.percentile_approx("acres_diff", 0.99, 10_000) if approximate else F.percentile("acres_diff", 0.99)
-    limits = settle(out.where(F.col(group_col).isNotNull()).groupBy(F.col(group_col).alias("_group")).agg(at.cast("double").alias("_p99")), "flag-limits")
+    grouped = out.where(F.col(group_col).isNotNull())
+    if approximate:
+        limits = grouped.groupBy(F.col(group_col).alias("_group")).agg(F.percentile_approx("acres_diff", 0.99, 10_000).cast("double").alias("_p99"))
+    else:
+        limits = exact_quantile(grouped, F.col("acres_diff"), 0.99, F.col(group_col)).select(F.col("group").alias("_group"), F.col("quantile").alias("_p99"))
+    limits = settle(limits, "flag-limits")
     out = out.join(broadcast_if_small(limits), F.col(group_col) == F.col("_group"), "left")
     return out.withColumn("ac_flag_abs", F.coalesce(F.col("acres_diff") > F.col("_p99"), F.lit(False))).drop("_group", "_p99")
 
@@ -55,7 +60,9 @@ def flag_counts(df: DataFrame) -> DataFrame:
 
 def flags_by_group(df: DataFrame, group_col: str = "ACTIVITY") -> DataFrame:
     """Flagged records by group: n and median acres_diff."""
-    return df.where(F.col("ac_flag") & F.col(group_col).isNotNull()).groupBy(group_col).agg(F.count("*").alias("n"), F.median("acres_diff").alias("median_diff"))
+    own = settle(df.where(F.col("ac_flag") & F.col(group_col).isNotNull()).select(group_col, "acres_diff"), "flagged-groups")
+    middle = exact_quantile(own, F.col("acres_diff"), 0.5, F.col(group_col)).select(F.col("group").alias("_group"), F.col("quantile").alias("median_diff"))
+    return own.groupBy(group_col).agg(F.count("*").alias("n")).join(middle, F.col(group_col) == F.col("_group"), "left").drop("_group")
 
 
 EDGES = (0, 1, 10, 100, 1_000, 10_000)

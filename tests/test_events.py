@@ -88,3 +88,19 @@ def test_coverage(spark):
     assert [tuple(r) for r in R.event_coverage(z).collect()] == [("CFT", 2012, 2, 2.0, ""), ("TWIG", None, 1, 1.0, "")]
     with pytest.raises(ValueError):
         R.source_coverage({})
+
+
+def test_quantiles_by_refined_histograms(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from overlay_jobs.operators.quantiles import exact_quantile
+
+    rng = random.Random(6)
+    rows = [(g, x) for g in ("a", "b", None) for x in [rng.choice([rng.gauss(0, 1), 3.5, rng.uniform(-1e12, 1e12), 1e-9 * rng.random()]) for _ in range(rng.choice([1, 150, 401]))]] + [("c", 7.0)] * 50 + [("d", None), ("d", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for q in (0.0, 0.25, 0.5, 0.99, 1.0):
+        got, want = ({r["group"]: r["quantile"] for r in exact_quantile(df, F.col("v"), q, F.col("g"), small).collect()} for small in (0, 10**6))
+        assert set(got) == set(want) == {"a", "b", "c", None}
+        assert all(abs(got[k] - want[k]) <= 1e-9 * max(1, abs(want[k])) for k in want)

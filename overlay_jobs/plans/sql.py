@@ -190,6 +190,37 @@ said AS (
          x.id || ':' || coalesce(CASE WHEN mate IS NOT NULL AND x.act <> mate.act THEN 'Pile Burn' ELSE x.act END, '-') || ':' ||
          coalesce((CASE WHEN mate IS NULL THEN x.yr WHEN x.yr IS NULL THEN mate.yr WHEN x.yr BETWEEN 2012 AND 2014 THEN x.yr ELSE coalesce(mate.yr, x.yr) END)::VARCHAR, '-') || ':' ||
          CASE WHEN mate IS NULL THEN x.src ELSE 'CFT+TWIG' END AS s FROM paired)"""
+# the layer on lattice cells: `a` holds the labels of each set of covering boxes; zones are the connected cells of one set, and
+# merged zones the connected cells of one set of labels
+_KEYS = "TRT_ACTIVITIES, TRT_EFF, TRT_SET, FIRST_TRT, LAST_TRT, FIRST_TRT_YEAR, LAST_TRT_YEAR, COMPLETE, LAST_THIN, CANOPY, SURFACE, AGENCIES"
+LAYER = f"""{BOXES},
+cov AS (SELECT x, y, list(OBJECTID ORDER BY OBJECTID) AS ids FROM cells GROUP BY x, y),
+sets AS (SELECT ids, row_number() OVER (ORDER BY ids) AS s FROM (SELECT DISTINCT ids FROM cov)),
+e AS (SELECT s AS ATOM_ID, 0.0::DOUBLE AS ACRES, t.* FROM (SELECT s, unnest(ids) AS id FROM sets) JOIN t ON OBJECTID = id)
+{ZONES[len(EVENTS):]},
+named AS (SELECT *, dense_rank() OVER (ORDER BY {_KEYS}) AS k FROM a),
+cell AS (SELECT x, y, x * 1000000 + y AS c, s, k FROM cov JOIN sets USING (ids) JOIN named ON ATOM_ID = s),
+edge AS (
+  SELECT p.c AS a, q.c AS b, p.s = q.s AS same_set, p.k = q.k AS same_key FROM cell p JOIN cell q ON p.x = q.x + 1 AND p.y = q.y
+  UNION ALL SELECT p.c, q.c, p.s = q.s, p.k = q.k FROM cell p JOIN cell q ON p.x = q.x AND p.y = q.y + 1),
+both_ways AS (SELECT * FROM edge UNION ALL SELECT b, a, same_set, same_key FROM edge),
+zr AS (SELECT c, c AS o FROM cell UNION SELECT b, o FROM zr JOIN both_ways ON a = c AND same_set),
+mr AS (SELECT c, c AS o FROM cell UNION SELECT b, o FROM mr JOIN both_ways ON a = c AND same_key),
+z1 AS (SELECT c, min(o) AS z FROM zr GROUP BY c),
+m1 AS (SELECT c, min(o) AS m FROM mr GROUP BY c),
+zone AS (
+  SELECT z, m, s, k, row_number() OVER (ORDER BY ids, corner) AS number
+  FROM (SELECT z, any_value(m) AS m, any_value(s) AS s, any_value(k) AS k, min({{'x': x, 'y': y}}) AS corner FROM cell JOIN z1 USING (c) JOIN m1 USING (c) GROUP BY z) JOIN sets USING (s)),
+room AS (SELECT m, count(*) AS n_cells, avg(x + 0.5) * 30 AS cx, avg(y + 0.5) * 30 AS cy FROM cell JOIN m1 USING (c) GROUP BY m),
+merged AS (
+  SELECT m, any_value(k) AS k, min(number) AS least, sum(N_EVENTS)::INTEGER AS N_EVENTS, list_distinct(flatten(list(ids))) AS ids
+  FROM zone JOIN sets USING (s) JOIN a ON ATOM_ID = s GROUP BY m),
+funds AS (
+  SELECT m, coalesce(string_agg(DISTINCT trim(FUND_SOURCE), '|' ORDER BY trim(FUND_SOURCE)), '') AS FUND_SOURCES
+  FROM (SELECT m, unnest(ids) AS id FROM merged) JOIN t ON OBJECTID = id GROUP BY m),
+layer AS (
+  SELECT row_number() OVER (ORDER BY least) AS ATOM_ID, merged.N_EVENTS, list_sort(ids) AS ids, n_cells * 900 * 0.000247105::DOUBLE AS ACRES_GIS, cx, cy, funds.FUND_SOURCES, n.*
+  FROM merged JOIN room USING (m) JOIN funds USING (m) JOIN (SELECT DISTINCT k, {_KEYS} FROM named) n USING (k))"""
 SECOND = f"{BOXES}, src AS (SELECT *, unnest(CASE WHEN OBJECTID % 4 = 0 THEN [gx, gx + 10] ELSE [gx] END) AS px FROM b), aoi AS (SELECT n_nationkey::BIGINT AS aoi_id, n_nationkey % 5 * 64 + 7 AS ax, 7 AS ay FROM nation)"
 COVER = "SELECT {} AS SOURCE, {} AS YEAR_COMP, count(*) AS n_records, coalesce(sum({}), 0) AS acres, coalesce(string_agg(DISTINCT AGENCY_C, '|' ORDER BY AGENCY_C), '') AS agencies"
 _SIZE = "CASE WHEN ACRES_GIS <= 0 THEN NULL WHEN ACRES_GIS <= 1 THEN '0-1' WHEN ACRES_GIS <= 10 THEN '1-10' WHEN ACRES_GIS <= 100 THEN '10-100' WHEN ACRES_GIS <= 1000 THEN '100-1k' WHEN ACRES_GIS <= 10000 THEN '1k-10k' WHEN ACRES_GIS IS NOT NULL THEN '>10k' END"
@@ -259,6 +290,8 @@ ORACLES = {
     "ingest_second_source": f"WITH {SECOND} SELECT OBJECTID AS record, aoi_id, YEAR_COMP, (px * 30)::DOUBLE AS xmin, round(w * h * 900 * 0.000247105::DOUBLE, 6) AS GIS_ACRES FROM src JOIN aoi ON px <= ax + 20 AND px + w >= ax AND gy <= ay + 20 AND gy + h >= ay WHERE OBJECTID % 5 <> 0 AND OBJECTID % 7 <> 0 AND YEAR_COMP BETWEEN 2008 AND 2012",
     "harmonize_crosswalk": f"WITH {XWALK} SELECT record, CASE WHEN status = 'resolved' THEN final END AS ACTIVITY, CASE WHEN veto THEN 'wildfire' WHEN chosen OR target = 'DROP' THEN field END AS ACTIVITY_FIELD, status AS ACTIVITY_STATUS FROM e",
     "dedupe_events": f"WITH RECURSIVE {DEDUPE.strip()} SELECT ATOM_ID, count(*)::INTEGER AS n_events, any_value(n_ids)::INTEGER AS n_ids, string_agg(s, '|' ORDER BY i) AS events FROM said GROUP BY ATOM_ID",
+    "build_interactions": f"WITH RECURSIVE {LAYER.strip()} SELECT ATOM_ID, N_EVENTS, {_KEYS}, FUND_SOURCES, ACRES_GIS, array_to_string(ids, '|') AS SOURCE_IDS FROM layer",
+    "event_points": f"WITH RECURSIVE {LAYER.strip()} SELECT floor(cx / 5000)::INTEGER AS ix, floor(cy / 5000)::INTEGER AS iy, sum(N_EVENTS)::BIGINT AS n FROM layer GROUP BY 1, 2",
     "interactions_by_effect": f"""WITH {BOXES},
 cv AS (SELECT x, y, list(DISTINCT ACTIVITY) FILTER (ACTIVITY IS NOT NULL AND YEAR_COMP IS NOT NULL) AS acts FROM cells GROUP BY x, y),
 ef AS (

@@ -78,7 +78,7 @@ def oracle_sql() -> dict[str, str]:
 OP1 = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h
   FROM documents),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (
@@ -95,8 +95,7 @@ plans AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS rounds FROM targets),
 runs AS (
   SELECT s.doc_id, s.size, s.h, p.source_size, p.target, p.rounds, p.target - p.rounds * p.source_size AS budget,
-         sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h) AS incl,
-         sum(s.size) OVER (PARTITION BY s.source, s.h) AS own
+         sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h ROWS UNBOUNDED PRECEDING) AS incl, s.size AS own
   FROM sized s JOIN plans p ON s.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, source_size, target,
        (size * (rounds + CASE WHEN incl <= budget OR (incl - own <= budget AND incl - budget < budget - (incl - own)) THEN 1 ELSE 0 END))::BIGINT AS taken

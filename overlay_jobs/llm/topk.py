@@ -4,7 +4,11 @@ One more component makes all vectors equally long, sqrt(M - |v|^2), where M is t
 Then the nearest vectors are those with the largest inner products. Pivots come from a bounded sample; every vector is indexed
 under its nearest pivot and its distance to it. A pivot's vectors are dealt to slices, so that no task holds more than a slice
 however many vectors are equal. A query first searches one slice near it, which bounds its k-th best score; then only the cells
-that the triangle inequality leaves open, ring by ring outwards from its own distance to the pivot, until no ring can win.
+that the triangle inequality leaves open. Queries of a block are near the same pivot, and cells are copied only to the blocks that
+ask for them. In a cell, queries at about the same distance from its pivot go together, ring by ring outwards from that distance,
+until no ring can win.
+
+Scores are exact: in doubles while squared lengths are below 2^53, else in whole numbers of any size.
 """
 
 from __future__ import annotations
@@ -15,10 +19,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from overlay_jobs.session import settle
+from overlay_jobs.session import broadcast_if_small, settle
 
-#: Pivots; rows of the sample that they are chosen from; queries and vectors in a group at most, about; vectors in a ring.
-PIVOTS, SAMPLE_ROWS, QUERY_BLOCK, SLICE_LEAST, SLICE_MOST, RING = 64, 2_000, 16_384, 64, 65_536, 256
+#: Pivots; rows of the sample that they are chosen from; queries and vectors in a group at most, about; vectors in a ring; queries
+#: that go through the rings together.
+PIVOTS, SAMPLE_ROWS, QUERY_BLOCK, SLICE_LEAST, SLICE_MOST, RING, TOGETHER = 64, 2_000, 16_384, 64, 65_536, 256, 512
+#: Share of the largest length by which distances may be off in doubles.
+SLACK = 1e-6
+#: Below every score; what makes a score a text of so many digits that sorts like it.
+NOTHING, OFFSET, DIGITS = -1e300, 10**301, 302
 #: Squared lengths below this have exact inner products in doubles.
 EXACT = 2.0**53
 
@@ -52,40 +61,66 @@ def choose_pivots(sample: np.ndarray, n: int = PIVOTS, rounds: int = 5) -> np.nd
     return means
 
 
+def _whole(v: np.ndarray) -> np.ndarray:
+    """The same as Python's whole numbers, which have no largest one."""
+    return np.array([[int(x) for x in row] for row in v.tolist()], object).reshape(v.shape)
+
+
+def _radius(norm: np.ndarray, most: float, kth: np.ndarray) -> np.ndarray:
+    """How far a vector may be that reaches a score, with room for rounding."""
+    return np.sqrt(np.maximum(norm + most - 2 * kth, 0)) * (1 + 1e-9) + SLACK * np.sqrt(most) + 1e-6
+
+
 def _search(queries: pa.Table, cell: pa.Table, dim: int, most: float, k: int) -> pa.Table:
-    """Best k of a slice for each of the queries that came to it, ring by ring."""
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    """Best k of a slice for each of the queries that came to it."""
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("exact", pa.string())])
     if not queries.num_rows or not cell.num_rows:
         return schema.empty_table()
     order = np.argsort(np.asarray(cell["far"]), kind="stable")
     far, ids = np.asarray(cell["far"])[order], np.asarray(cell["id"])[order]
     v = _matrix(cell["v"], dim)[order]
     q, own, at = _matrix(queries["q"], dim), np.asarray(queries["asker"]), np.asarray(queries["away"])
-    floor = np.asarray(queries["floor"]).astype(np.float64)
+    floor = np.asarray(queries["floor"])
+    near = np.argsort(at, kind="stable")
+    out = []
+    for i in range(0, len(near), TOGETHER):
+        part = near[i : i + TOGETHER]
+        out.append(_rings(q[part], own[part], at[part], floor[part], v, far, ids, most, k))
+    return pa.concat_tables([pa.Table.from_arrays([pa.array(x) for x in cols], schema=schema) for cols in out])
+
+
+def _rings(q: np.ndarray, own: np.ndarray, at: np.ndarray, floor: np.ndarray, v: np.ndarray, far: np.ndarray, ids: np.ndarray, most: float, k: int) -> tuple:
     norm = (q**2).sum(axis=1)
-    best = np.full((len(q), k), -np.inf)
+    exact = most >= EXACT
+    kind, none = (object, -(10**400)) if exact else (np.float64, -np.inf)
+    best = np.full((len(q), k), none, kind)
     best_id = np.full((len(q), k), np.iinfo(np.int64).max)
+    whole_q = _whole(q) if exact else q
     rings = [(i, min(i + RING, len(v))) for i in range(0, len(v), RING)]
     mid = np.median(at)
     for a, b in sorted(rings, key=lambda r: max(far[r[0]] - mid, mid - far[r[1] - 1], 0)):
         # the k-th best so far as a distance; a ring nearer to or farther from the pivot by more than that can't win
-        kth = np.maximum(best[:, -1], floor)
-        radius = np.sqrt(np.maximum(norm + most - 2 * kth, 0)) * (1 + 1e-9) + 1e-6
+        kth = np.maximum(np.array([max(x, -(10**300)) for x in best[:, -1]], np.float64) if exact else best[:, -1], floor)
+        radius = _radius(norm, most, kth)
         open_ = np.flatnonzero((far[a] - at <= radius) & (at - far[b - 1] <= radius))
         if not len(open_):
             continue
-        scores = q[open_] @ v[a:b].T
-        scores[own[open_][:, None] == ids[None, a:b]] = -np.inf
+        scores = whole_q[open_] @ (_whole(v[a:b]) if exact else v[a:b]).T
+        scores[own[open_][:, None] == ids[None, a:b]] = none
         all_s = np.concatenate([best[open_], scores], axis=1)
         all_i = np.concatenate([best_id[open_], np.broadcast_to(ids[a:b], scores.shape)], axis=1)
-        if all_s.shape[1] > 4 * k:  # only scores that reach the k-th best matter
-            cut = np.partition(all_s, -k, axis=1)[:, -k][:, None]
-            drop = all_s < cut
-            all_s, all_i = np.where(drop, -np.inf, all_s), np.where(drop, np.iinfo(np.int64).max, all_i)
-        pick = np.lexsort((all_i, -all_s), axis=1)[:, :k]
+        if exact:
+            pick = np.array([sorted(range(len(s)), key=lambda j: (-s[j], i[j]))[:k] for s, i in zip(all_s.tolist(), all_i.tolist())])
+        else:
+            if all_s.shape[1] > 4 * k:  # only scores that reach the k-th best matter
+                cut = np.partition(all_s, -k, axis=1)[:, -k][:, None]
+                drop = all_s < cut
+                all_s, all_i = np.where(drop, -np.inf, all_s), np.where(drop, np.iinfo(np.int64).max, all_i)
+            pick = np.lexsort((all_i, -all_s), axis=1)[:, :k]
         best[open_], best_id[open_] = np.take_along_axis(all_s, pick, 1), np.take_along_axis(all_i, pick, 1)
-    row, col = np.nonzero(np.isfinite(best))
-    return pa.Table.from_arrays([pa.array(own[row]), pa.array(best_id[row, col]), pa.array(best[row, col].astype(np.int64))], schema=schema)
+    row, col = np.nonzero(best > none)
+    score = [min(max(x, -(2**63)), 2**63 - 1) for x in best[row, col].tolist()] if exact else best[row, col].astype(np.int64)
+    return own[row], best_id[row, col], score, [f"{x + OFFSET:0{DIGITS}d}" for x in best[row, col].tolist()] if exact else [""] * len(row)
 
 
 def top_k(vectors: DataFrame, asked: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, scale: int = 256) -> DataFrame:
@@ -95,18 +130,23 @@ def top_k(vectors: DataFrame, asked: Column, id_col: str = "vec_id", vec_col: st
     Vectors that are null or hold null or non-finite components, and rows with a null id, take no part; shorter vectors count as
     padded with zeros; rows that share the query's id are not its candidates, and a query whose id repeats is asked once (its
     smallest vector); repeated candidates each count; fewer than k candidates give fewer rows; an empty table or no query gives
-    an empty result; other columns are not read. Squared lengths must stay below 2^53 after scaling, else ValueError.
+    an empty result; other columns are not read. Scores beyond a long are ranked by their whole value and returned as the nearest
+    long. Squared lengths of 1e299 and more, which only doubles can have, are a ValueError.
     """
     spark = vectors.sparkSession
-    x = F.transform(F.col(vec_col), lambda c: F.floor(c.cast("double") * scale).cast("double"))
+
+    def scaled(c: Column) -> Column:
+        y = c.cast("double") * scale
+        return F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).otherwise(y)  # beyond 2^53 doubles are whole
+
     fine = F.forall(F.col(vec_col), lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
-    own = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), x.alias("v"), asked.alias("asked"))
+    own = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vec_col), scaled).alias("v"), asked.alias("asked"))
     own = settle(own.withColumn("square", F.aggregate("v", F.lit(0.0), lambda total, c: total + c * c)), "top-vectors")
     n, most, dim, n_asked = own.agg(F.count("*"), F.max("square"), F.max(F.size("v")), F.count_if("asked")).head()
     if not n or not n_asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if most >= EXACT:
-        raise ValueError("squared lengths of 2^53 or more have no exact inner products in doubles")
+    if not most < 1e299:
+        raise ValueError("squared lengths of 1e299 and more")
     h = F.xxhash64("id")
     sample = own.select("v", h.alias("h")).orderBy("h").limit(SAMPLE_ROWS).toArrow()
     pivots = choose_pivots(_lift(_matrix(sample["v"], dim), most))
@@ -125,9 +165,12 @@ def top_k(vectors: DataFrame, asked: Column, id_col: str = "vec_id", vec_col: st
     dealt = F.create_map(*(F.lit(y) for p, (slices, _, _) in cell.items() for y in (p, slices)))
     n_blocks = -(-n_asked // QUERY_BLOCK)
     placed = index.select("id", "v", "pivot", "far", F.pmod(F.xxhash64("id", F.lit(7)), dealt[F.col("pivot")]).cast("int").alias("slice"))
-    placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))) if n_blocks > 1 else placed.withColumn("block", F.lit(0))
-    queries = index.where("asked").groupBy("id").agg(F.min("v").alias("v"))
-    queries = queries.select(F.col("id").alias("asker"), F.col("v").alias("q"), F.pmod(F.xxhash64("id", F.lit(11)), F.lit(n_blocks)).cast("int").alias("part"))
+    # queries of a pivot are blocks of their own, so that a block asks for few cells
+    homes = index.where("asked").groupBy("pivot").count().collect()  # one row per pivot
+    parts = F.create_map(*(F.lit(y) for p, rows in homes for y in (p, -(-rows // QUERY_BLOCK))))
+    queries = index.where("asked").groupBy("id").agg(F.min("v").alias("v"), F.min("pivot").alias("pivot"))
+    part = F.pmod(F.xxhash64("id", F.lit(11)), parts[F.col("pivot")]) * PIVOTS + F.col("pivot")
+    queries = queries.select(F.col("id").alias("asker"), F.col("v").alias("q"), part.cast("int").alias("part"))
 
     def routes(first: bool):  # noqa: ANN202
         @F.arrow_udf("array<struct<pivot: int, far: double, slice: int>>")
@@ -141,7 +184,7 @@ def top_k(vectors: DataFrame, asked: Column, id_col: str = "vec_id", vec_col: st
                 if first:
                     out.append([{"pivot": home, "far": row[home], "slice": int(ids[i].as_py() % cell[home][0])}])
                     continue
-                radius = np.sqrt(max((q[i] ** 2).sum() + most - 2 * floors[i], 0)) * (1 + 1e-9) + 1e-6
+                radius = _radius((q[i] ** 2).sum(), most, floors[i])
                 left = [p for p, (_, lo, hi) in cell.items() if max(row[p] - hi, lo - row[p], (row[p] - row[home]) / 2) <= radius]
                 out.append([{"pivot": p, "far": row[p], "slice": s} for p in left for s in range(cell[p][0])])
             return pa.array(out, pa.list_(pa.struct([("pivot", pa.int32()), ("far", pa.float64()), ("slice", pa.int32())])))
@@ -150,11 +193,15 @@ def top_k(vectors: DataFrame, asked: Column, id_col: str = "vec_id", vec_col: st
 
     def visit(asking: DataFrame, first: bool) -> DataFrame:
         sent = asking.select("asker", "q", "part", "floor", F.explode(routes(first)("q", "floor", "asker")).alias("r")).select("asker", "q", "part", "floor", F.col("r.pivot").alias("to"), F.col("r.slice").alias("at"), F.col("r.far").alias("away"))
-        return sent.groupBy("to", "at", "part").cogroup(placed.groupBy("pivot", "slice", "block")).applyInArrow(lambda q, c: _search(q, c, dim, most, k), "query_id long, vec_id long, score long")
-
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    seen = visit(queries.withColumn("floor", F.lit(-(2.0**60))), True).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("worst"))
-    bound = F.when(F.col("n") >= k, F.col("worst").cast("double")).otherwise(F.lit(-(2.0**60)))
-    asking = settle(queries.join(seen, F.col("asker") == F.col("query_id"), "left").select("asker", "q", "part", F.coalesce(bound, F.lit(-(2.0**60))).alias("floor")), "top-bounds")
+        sent = settle(sent, "top-sent")
+        asked_for = sent.select(F.col("to").alias("of"), F.col("at").alias("cut"), F.col("part").alias("block")).distinct()
+        asked_for = broadcast_if_small(settle(asked_for, "top-asked-for"))
+        copied = placed.join(asked_for, (F.col("pivot") == F.col("of")) & (F.col("slice") == F.col("cut"))).select("id", "v", "far", "pivot", "slice", "block")
+        return sent.groupBy("to", "at", "part").cogroup(copied.groupBy("pivot", "slice", "block")).applyInArrow(lambda q, c: _search(q, c, dim, most, k), "query_id long, vec_id long, score long, exact string")
+
+    best = Window.partitionBy("query_id").orderBy(F.desc("exact"), F.desc("score"), "vec_id")
+    seen = visit(queries.withColumn("floor", F.lit(NOTHING)), True).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("worst"))
+    bound = F.when((F.col("n") >= k) & (F.col("worst") > -(2**63)), F.col("worst").cast("double"))
+    asking = settle(queries.join(seen, F.col("asker") == F.col("query_id"), "left").select("asker", "q", "part", F.coalesce(bound, F.lit(NOTHING)).alias("floor")), "top-bounds")
     ranked = visit(asking, False).select("*", F.row_number().over(best).alias("rank")).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

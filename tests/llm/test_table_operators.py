@@ -67,6 +67,25 @@ def test_mixing(spark):
     assert mixing.mix(docs(spark, [])).count() == 0 and mixing.take(docs(spark, [])).count() == 0
 
 
+def test_mixing_of_null_and_repeated_rows(spark):
+    """Rows without ids or with one id are placed each for itself, and equal rows are taken one by one."""
+    rng = random.Random(3)
+    rows = [(None, " ".join("w" for _ in range(rng.randrange(1, 10))) + f" u{n}", "ab"[n % 2]) for n in range(200)]
+    rows += [(5, "one text of five words", "ab"[n % 2]) for n in range(120)] + [(6, None, "a"), (6, "", "b")]
+    out = mixing.mix(docs(spark, rows)).collect()
+    assert len(out) == len(rows)
+    for s in "ab":
+        own = [r for r in out if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own) / 2 + 1e-6
+    again = mixing.mix(docs(spark, rows[::-1]).repartition(3)).collect()
+    assert sorted(map(str, out)) == sorted(map(str, again))
+    equal = [(1, "a b c d", "a")] * 50 + [(2, "a b c d", "b")] * 50
+    frame = docs(spark, equal).repartition(4)
+    got = mixing.mix(frame).collect()
+    assert sum(r["taken"] for r in got if r["source"] == "a") in (284, 288) and sum(r["taken"] for r in got if r["source"] == "b") in (112, 116)
+    assert mixing.take(frame).count() == sum(r["copies"] for r in got)
+
+
 # top-k
 def test_top_k(spark):
     rng = random.Random(5)
@@ -90,7 +109,23 @@ def test_top_k_of_few(spark):
     assert [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect()] == [(0, 1, 1, 256 * 512)]
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
     with pytest.raises(ValueError):
-        topk.top_k(spark.createDataFrame([(0, [1e30])], "vec_id long, embedding array<float>"), F.lit(True))
+        topk.top_k(spark.createDataFrame([(0, [1e200])], "vec_id long, embedding array<double>"), F.lit(True))
+
+
+@pytest.mark.parametrize("size", [4e5, 1e7, 1e30])
+def test_top_k_of_large_components(spark, size):
+    """Products beyond 2^53 and beyond a long are ranked by their whole values."""
+    rng = random.Random(8)
+    rows = [(i, [rng.uniform(-size, size) for _ in range(6)]) for i in range(150)] + [(200, [size] * 6), (201, [size] * 6), (250, [-size] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    fine = [(r["vec_id"], [math.floor(256 * c) for c in r["embedding"]]) for r in df.collect()]
+    got = collections.defaultdict(list)
+    for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    for q, v in fine:
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, c)), i) for i, c in fine if i != q)[:5]
+            assert sorted(got[q]) == [(n + 1, i, max(min(-s, 2**63 - 1), -(2**63))) for n, (s, i) in enumerate(best)]
 
 
 # repeated strings

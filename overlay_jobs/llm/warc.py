@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from overlay_jobs.session import settle
+from overlay_jobs.session import BROADCAST_ROWS, HOT_LEAST, HOT_SHARE, settle
 
 #: Plain bytes of a frame and of a bundle, about; a larger record has a frame to itself.
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 8 << 20
@@ -32,21 +32,24 @@ ARCHIVE = "bundle string, content binary, entries array<struct<record_id: string
 RECORDS = "page_id bigint, url string, record_type string, payload_digest string, payload_bytes bigint, refers_to bigint, payload binary"
 
 
-def _urn(page_id: int | None) -> str:
-    return f"<urn:x-page:{'null' if page_id is None else page_id}>"
+def _urn(page_id: int | None, digest: str) -> str:
+    """A record's identifier names its page and its payload's digest, so that revisits can name it: only rows that repeat each
+    other have the same."""
+    return f"<urn:x-page:{'null' if page_id is None else page_id}:{digest}>"
 
 
 def _page(urn: str) -> int | None:
-    return None if urn == "<urn:x-page:null>" else int(urn[len("<urn:x-page:") : -1])
+    name = urn[len("<urn:x-page:") : -1].split(":")[0]
+    return None if name == "null" else int(name)
 
 
 def make_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     target = (url or "").replace("\r", "%0D").replace("\n", "%0A")
-    head = f"WARC/1.1\r\nWARC-Type: {'revisit' if revisit else 'response'}\r\nWARC-Record-ID: {_urn(page_id)}\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: {target}\r\nWARC-Payload-Digest: sha1:{digest}\r\n"
+    head = f"WARC/1.1\r\nWARC-Type: {'revisit' if revisit else 'response'}\r\nWARC-Record-ID: {_urn(page_id, digest)}\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: {target}\r\nWARC-Payload-Digest: sha1:{digest}\r\n"
     if revisit:
-        head += f"WARC-Profile: {REVISIT}\r\nWARC-Refers-To: {_urn(refers_to)}\r\n"
+        head += f"WARC-Profile: {REVISIT}\r\nWARC-Refers-To: {_urn(refers_to, digest)}\r\n"
     head += f"Content-Type: application/http; msgtype=response\r\nContent-Length: {len(block)}\r\n\r\n"
     return b"".join([head.encode(), block, b"\r\n\r\n"])
 
@@ -106,12 +109,13 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cols = [batch.column(i) for i in range(batch.num_columns)]
         for page, url, payload, sha1, refers, revisit in zip(*(c.to_pylist() for c in cols)):
-            record = make_record(page, url, payload, base64.b32encode(bytes.fromhex(sha1)).decode(), refers, revisit)
+            digest = base64.b32encode(bytes.fromhex(sha1)).decode()
+            record = make_record(page, url, payload, digest, refers, revisit)
             if filled and filled + len(record) > FRAME_BYTES:
                 close_frame()
                 if sum(sizes) >= BUNDLE_BYTES:
                     yield bundle()
-            entries.append({"record_id": _urn(page), "frame": len(frames), "offset": filled, "length": len(record)})
+            entries.append({"record_id": _urn(page, digest), "frame": len(frames), "offset": filled, "length": len(record)})
             frame.append(record)
             filled += len(record)
     close_frame()
@@ -124,33 +128,49 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
 
     Of the records with equal payloads (SHA-1 and length) of at least min_bytes, those with the largest id are responses and the
     others revisit it; a null id counts as smaller than any, and where all are null all are responses; rows that repeat the
-    largest id are all responses. A null payload is empty; an empty table gives an archive without bundles; other columns are
-    not read. Bundles are filled within a task: payloads move only if the table of repeated digests is too large to broadcast.
+    largest id are all responses. A null payload is empty; rows that repeat each other in id and payload have one identifier; an
+    empty table gives an archive without bundles; other columns are not read. A very long payload has a frame to itself, of up to
+    2 GiB. Bundles are filled within a task: payloads move only if the table of repeated digests is too large to broadcast, and
+    then those of digests that stand very often still stay where they are.
     """
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     own = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), payload.alias("payload"))
     own = own.select("*", F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("n"))
     repeats = own.where(F.col("n") >= min_bytes).groupBy("sha1", "n").agg(F.count("*").alias("rows"), F.max("page").alias("first")).where("rows > 1 AND first IS NOT NULL")
-    repeats = settle(repeats.select(F.col("sha1").alias("s"), F.col("n").alias("m"), "first"), "warc-repeats")
-    joined = own.join(repeats, (F.col("sha1") == F.col("s")) & (F.col("n") == F.col("m")), "left")
+    repeats = settle(repeats.select(F.col("sha1").alias("s"), F.col("n").alias("m"), "first", "rows"), "warc-repeats")
+    same = (F.col("sha1") == F.col("s")) & (F.col("n") == F.col("m"))
+    digests, total = repeats.agg(F.count("*"), F.sum("rows")).head()
+    if digests <= BROADCAST_ROWS:
+        joined = own.join(F.broadcast(repeats), same, "left")
+    else:
+        often = F.col("rows") > max(HOT_LEAST, total // HOT_SHARE)  # HOT_SHARE digests at most
+        hot = F.broadcast(repeats.where(often))
+        joined = own.join(hot, same, "left_anti").join(repeats.where(~often), same, "left").unionByName(own.join(hot, same))
     revisit = F.col("first").isNotNull() & (F.col("page").isNull() | (F.col("page") < F.col("first")))
     rows = joined.select("page", "url", "payload", "sha1", F.when(revisit, F.col("first")).alias("refers"), revisit.alias("revisit"))
     rows.mapInArrow(_pack, ARCHIVE).write.parquet(path)
 
 
 def _unpack(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.RecordBatch]:
+    """Records of bundles (content, entries): each frame is opened once, its records are cut out by the record map."""
     open_ = zstandard.ZstdDecompressor()
     for batch in batches:
-        for content in batch.column("content"):
-            content = content.as_py()
-            for at, length in seek_table(content):
-                data, place, rows = open_.decompress(content[at : at + length]), 0, []
-                while place < len(data):
-                    head, block, place = parse_record(data, place)
+        for content, entries in zip(batch.column("content"), batch.column("entries")):
+            content, frames = content.as_py(), {}
+            for entry in entries.as_py():
+                frames.setdefault(entry["frame"], []).append(entry)
+            table = seek_table(content)
+            for frame, own in frames.items():
+                at, length = table[frame]
+                data, rows = open_.decompress(content[at : at + length]), []
+                for entry in own:
+                    head, block, _ = parse_record(data[entry["offset"] : entry["offset"] + entry["length"]])
+                    if head["WARC-Record-ID"] != entry["record_id"]:
+                        raise ValueError(f"{entry['record_id']}: the record map leads to {head['WARC-Record-ID']}")
                     rows.append(_read(head, block, payloads))
                 names = ["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "payload"]
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), types)], names)
 
 
 def _read(head: dict, block: bytes, payloads: bool) -> tuple:
@@ -166,18 +186,20 @@ def _read(head: dict, block: bytes, payloads: bool) -> tuple:
 def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Every record of an archive, payloads checked against their digests: page_id, url, record_type, payload_digest,
     payload_bytes (of the full payload, for revisits too), refers_to, payload (empty for revisits; null if not asked for)."""
-    return spark.read.schema(ARCHIVE).parquet(path).select("content").mapInArrow(lambda batches: _unpack(batches, payloads), RECORDS)
+    return spark.read.schema(ARCHIVE).parquet(path).select("content", "entries").mapInArrow(lambda batches: _unpack(batches, payloads), RECORDS)
 
 
 def record_index(spark: SparkSession, path: str) -> DataFrame:
-    """record_id, bundle, frame, offset, length of every record; reads no contents."""
-    return spark.read.schema(ARCHIVE).parquet(path).select("bundle", F.explode("entries").alias("e")).select("e.record_id", "bundle", "e.frame", "e.offset", "e.length")
+    """record_id, page_id, bundle, frame, offset, length of every record; reads no contents."""
+    rows = spark.read.schema(ARCHIVE).parquet(path).select("bundle", F.explode("entries").alias("e"))
+    page = F.split_part("e.record_id", F.lit(":"), F.lit(3)).try_cast("bigint")  # null for a null id
+    return rows.select("e.record_id", page.alias("page_id"), "bundle", "e.frame", "e.offset", "e.length")
 
 
 def fetch(spark: SparkSession, path: str, ids: DataFrame, id_col: str = "page_id") -> DataFrame:
     """Records of some pages: each asked frame alone is decompressed. ids: a table of page ids; unknown ones give no row."""
-    wanted = ids.select(F.concat(F.lit("<urn:x-page:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(">")).alias("record_id")).distinct()
-    places = record_index(spark, path).join(wanted, "record_id")
+    wanted = ids.select(F.col(id_col).cast("long").alias("asked")).distinct()
+    places = record_index(spark, path).join(wanted, F.col("page_id").eqNullSafe(F.col("asked"))).drop("asked", "page_id")
     contents = spark.read.schema(ARCHIVE).parquet(path).select(F.col("bundle").alias("own"), "content")
 
     @F.arrow_udf("struct<page_id: bigint, url: string, record_type: string, payload_digest: string, payload_bytes: bigint, refers_to: bigint, payload: binary>")

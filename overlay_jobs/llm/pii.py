@@ -1,16 +1,21 @@
 """Personal data: base patterns, and a semi-Markov conditional random field that adds whole spans around them.
 
 The field scores whole candidate segments (not single characters): its features see a segment's digits, groups, separators,
-check digit and the word before it. A stretch of text that could hold data is split into tokens; a segment is at most
-MAX_TOKENS tokens, typed by a kind or left outside. Training maximises the likelihood of the base spans in a bounded sample of
-stretches (sums over all segmentations by forward and backward passes); decoding takes the best segmentation by dynamic
-programming, so that boundaries and kinds are chosen together. Tokens beside stretches are outside by construction, which makes
-decoding stretch by stretch the same as decoding the text.
+check digit and the words before it. Stretches of text that could hold data, wherever they stand in it, are split into tokens; a
+segment is at most MAX_TOKENS tokens, typed by one of the kinds or left outside. All kinds compete in one dynamic programme per
+stretch, so that boundaries and kinds are chosen together; base spans are fixed in it, and only what they leave free is typed.
+Tokens beside stretches are outside by construction, which makes decoding stretch by stretch the same as decoding the text.
+
+Training maximises the likelihood of labelled stretches (sums over all segmentations by forward and backward passes). Labels are
+the base spans of a bounded sample, and the same with their surface marks taken away, as people also write them: phones without
+plus, with other separators, after a cue; cards in groups with dots or slashes; addresses with dots or @ spelled out. Stretches of
+the sample that hold no base span, numbers with a wrong check digit, dates and amounts are labelled as outside.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import re
 import warnings
 
@@ -21,8 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 KINDS = ("email", "ip", "card", "phone")
-#: Longest segment, in tokens; rows that training reads at most, and stretches that it takes from them at most.
-MAX_TOKENS, TRAIN_ROWS, TRAIN_STRETCHES = 16, 4_000, 1_500
+#: Longest segment, in tokens; rows that training reads at most, windows that it takes from them at most, and from one of them.
+MAX_TOKENS, TRAIN_ROWS, TRAIN_WINDOWS, TEXT_WINDOWS = 24, 4_000, 400, 8
+#: What a span must win over being outside, in log-likelihood: false alarms cost more than misses.
+MARGIN = 2.0
+#: Characters of context that a window shows before a stretch.
+CONTEXT = 64
 
 _AFTER_AT = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -71,88 +80,134 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 # stretches and their segments
-_STRETCH = re.compile(r"[+(]?[0-9][0-9\x20().-]{5,}[0-9]|[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,64}(?:\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z0-9-]{1,64})+")
-_TOKEN = re.compile(r"[0-9]+|[\[(](?:at|dot)[\])]|[A-Za-z]+|.", re.S)
-_CUES = {"phone": 3, "tel": 3, "call": 3, "mobile": 3, "fax": 3, "telefon": 3, "teléfono": 3, "téléphone": 3, "card": 2, "visa": 2, "mastercard": 2, "karte": 2, "carte": 2, "tarjeta": 2, "ip": 1, "host": 1, "server": 1, "email": 0, "mail": 0, "contact": 0}
+_NUMBER = re.compile(r"[+(]?[0-9](?:(?:[\x20.()/-]|\[\.\]|\x20dot\x20)*[0-9])+")
+_AT = re.compile(r"\x20?[\[(]at[\])]\x20?|\x20at\x20")
+_HOST = re.compile(r"[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]dot[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]++)++")
+_TOKEN = re.compile(r"[0-9]+|[\[(](?:at|dot|\.)[\])]|[A-Za-z]+|.", re.S)
+#: Words that people write before data of a kind.
+CUES = {
+    "phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "teléfono", "téléphone"),
+    "card": ("card", "visa", "mastercard", "karte", "carte", "tarjeta"),
+    "ip": ("ip", "host", "server", "address"),
+    "email": ("email", "mail", "contact", "write"),
+}
+_CUES = {w: KINDS.index(k) for k, words in CUES.items() for w in words}
 _WORD_BEFORE = re.compile(r"([^\W\d_]+)\W{0,3}\Z")
 Stretch = tuple[str, str]  # a stretch and the word before it
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    if "at)" not in text and "at]" not in text and not _DIGIT.search(text):
-        return []
-    return [(m.start(), m.end()) for m in _STRETCH.finditer(text) if text[m.start()] not in "+(0123456789" or sum("0" <= c <= "9" for c in m[0]) >= 7 or "at" in m[0]]
+    """Where numbers of seven digits or more stand, and addresses with their marks spelled out."""
+    out = []
+    if _DIGIT.search(text):
+        out = [(m.start(), m.end()) for m in _NUMBER.finditer(text) if m.end() - m.start() >= 7 and len(_digits(m[0])) >= 7]
+    if "at)" in text or "at]" in text or " dot " in text:
+        done = 0
+        for m in _AT.finditer(text):
+            host = _HOST.match(text, m.end())
+            if host is None or m.start() < done or (m[0] == " at " and "dot" not in host[0]):
+                continue
+            start = m.start()
+            while start > done and text[start - 1] in _LOCAL:
+                start -= 1
+            if start < m.start():
+                out.append((start, host.end()))
+                done = host.end()
+    return sorted(out)
 
 
 def features(segment: str, kind: int, cue: str) -> list[str] | None:
     """Names of the whole-span features of a segment under a kind; None if no such span can be of the kind."""
-    n = sum("0" <= c <= "9" for c in segment)
+    digits = _digits(segment)
+    n = len(digits)
+    own_cue = f"cue {_CUES.get(cue, -1) == kind}"
     if kind == 0:
-        if not ("@" in segment or "(at)" in segment or "[at]" in segment) or not segment[0].isalnum() or not segment[-1].isalnum():
+        at = "@" if "@" in segment else "brackets" if "at)" in segment or "at]" in segment else "word" if " at " in segment else None
+        if at is None or not segment[0].isalnum() or not segment[-1].isalnum():
             return None
-        return ["bias", "@" if "@" in segment else "spelled @", "dot" if "." in segment else "spelled dot" if "dot" in segment else "no dot", f"cue {_CUES.get(cue, -1) == 0}"]
-    if not 7 <= n <= 19 or not (segment[-1].isdigit() and (segment[0].isdigit() or segment[0] in "+(")) or segment.count("(") != segment.count(")"):
+        host = re.split(r"@|[\[(]at[\])]|\x20at\x20", segment)[-1].strip()
+        dot = "." if "." in host else "spelled" if "dot" in host else "none"
+        return ["bias", f"at {at}", f"dot {dot}", f"host ends in letters {host[-1:].isalpha()}", own_cue]
+    if not 4 <= n <= 19 or not (segment[-1].isdigit() and (segment[0].isdigit() or segment[0] in "+(")) or segment.count("(") != segment.count(")"):
         return None
     groups = [len(g) for g in re.findall(r"[0-9]+", segment)]
-    marks = "".join(sorted(set(re.sub(r"[0-9]", "", segment))))
-    own = ["bias", f"digits {n if n in (7, 8, 9, 10, 11, 12, 15, 16) else 'many' if n > 16 else 'mid'}", f"groups {min(len(groups), 6)}", f"shape {groups}" if groups in ([3, 3, 4], [4, 4, 4, 4], [3, 4], [1, 3, 3, 4], [16]) else "shape other", f"marks {marks}", f"plus {segment[0] == '+'}", f"cue {_CUES.get(cue, -1) == kind}"]
-    if kind == 2:
-        own.append(f"check digit {luhn(_digits(segment))}")
+    parts = re.findall(r"[0-9]+", segment)
+    marks = "".join(sorted(set(re.sub(r"[0-9]", "", segment)) - {" "})) or ("blank" if " " in segment else "none")
     if kind == 1:
-        own.append(f"four parts {len(groups) == 4 and marks == '.' and all(len(p) <= 3 and int(p) <= 255 for p in segment.split('.'))}")
+        if len(parts) != 4:
+            return None
+        fine = all(len(p) <= 3 and int(p) <= 255 for p in parts)
+        return ["bias", f"parts fit {fine}", f"marks {marks}", own_cue]
+    if n < 7:
+        return None
+    size = str(n) if n <= 16 else "many"
+    shape = "-".join(map(str, groups)) if len(groups) <= 5 else "other"
+    own = ["bias", f"digits {size}", f"groups {min(len(groups), 6)}", f"shape {shape}", f"marks {marks}", f"plus {segment[0] == '+'}", own_cue, f"{own_cue}, digits {size}"]
+    if kind == 2:
+        own.append(f"check digit {luhn(digits)}, card length {n >= 13}")
     return own
 
 
-def segments(stretch: Stretch) -> tuple[int, list[tuple[int, int, int, list[str]]]]:
-    """Number of tokens, and (first token, end token, kind, features) of every segment that could be of a kind."""
+def _side(c: str) -> str:
+    """What stands beside a segment in its stretch."""
+    return "nothing" if not c else "digit" if c.isdigit() else "letter" if c.isalpha() else "blank" if c == " " else "mark"
+
+
+def segments(stretch: Stretch, taken: tuple[tuple[int, int], ...] = ()) -> tuple[int, list[tuple[int, int, int, list[str]]]]:
+    """Number of tokens, and (first token, end token, kind, features) of every segment that could be of a kind. taken: character
+    ranges that no segment may touch."""
     text, cue = stretch
     ends = [0, *(m.end() for m in _TOKEN.finditer(text))]
-    spelled = "at" in text
     out = []
     for i in range(len(ends) - 1):
-        if text[ends[i]] in " .-)":
+        if text[ends[i]] in " .-)/[]":
             continue
         for j in range(i + 1, min(i + MAX_TOKENS, len(ends) - 1) + 1):
             piece = text[ends[i] : ends[j]]
-            if sum("0" <= c <= "9" for c in piece) > 19:
+            if any(a < ends[j] and ends[i] < b for a, b in taken):
                 break
-            for kind in (0,) if spelled else (1, 2, 3):
+            sides = f"before {_side(text[: ends[i]][-1:])}", f"after {_side(text[ends[j] : ends[j] + 1])}"
+            for kind in range(4):
                 if (f := features(piece, kind, cue)) is not None:
-                    out.append((i, j, kind, [f"{kind} {x}" for x in f]))
+                    out.append((i, j, kind, [f"{kind} {x}" for x in (*f, *sides)]))
     return len(ends) - 1, out
 
 
-def train(examples: list[tuple[Stretch, list[tuple[int, int, int]]]], rounds: int = 40, rate: float = 0.5, decay: float = 1e-3) -> dict[str, float]:
+def train(examples: list[tuple[Stretch, list[tuple[int, int, int]]]], rounds: int = 60, rate: float = 0.5, decay: float = 1e-4) -> dict[str, float]:
     """Weights by gradient ascent on the log-likelihood. examples: stretches with their spans (start, end, kind) in characters."""
     names: dict[str, int] = {}
-    rows = []
+    rows, every, sizes, gold_of = [], [], [], []
     for (text, cue), gold in examples:
         n, segs = segments((text, cue))
         starts = [0, *(m.end() for m in _TOKEN.finditer(text))]
-        own = [(i, j, np.array([names.setdefault(x, len(names)) for x in f]), (starts[i], starts[j], k) in gold) for i, j, k, f in segs]
-        if own:
-            rows.append((n, own))
-    w = np.zeros(len(names))
-    squares = np.full(len(names), 1e-6)
+        if not segs:
+            continue
+        into: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
+        from_: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
+        first = len(sizes)
+        for s, (i, j, k, f) in enumerate(segs, first):
+            into[j].append((s, i))
+            from_[i].append((s, j))
+            every += [names.setdefault(x, len(names)) for x in f]
+            sizes.append(len(f))
+            gold_of.append((starts[i], starts[j], k) in gold)
+        rows.append((n, into, from_, [(s, i, j) for s, (i, j, _, _) in enumerate(segs, first)]))
+    w, squares = np.zeros(len(names)), np.full(len(names), 1e-6)
+    if not rows:
+        return {}
+    flat, size = np.array(every), np.array(sizes)
+    begin, wanted = np.cumsum(size) - size, np.array(gold_of, float)
     for _ in range(rounds):
-        gradient = -decay * len(rows) * w
-        for n, own in rows:
-            scores = [float(w[f].sum()) for _, _, f, _ in own]
-            into: list[list[int]] = [[] for _ in range(n + 1)]
-            for s, (_, j, _, _) in enumerate(own):
-                into[j].append(s)
-            ahead = [0.0] * (n + 1)
+        scores, chance = np.add.reduceat(w[flat], begin).tolist(), np.zeros(len(size))
+        for n, into, from_, own in rows:
+            ahead, behind = [0.0] * (n + 1), [0.0] * (n + 1)
             for j in range(1, n + 1):
-                ahead[j] = _logsum([ahead[j - 1], *(ahead[own[s][0]] + scores[s] for s in into[j])])
-            behind = [0.0] * (n + 1)
-            from_: list[list[int]] = [[] for _ in range(n + 1)]
-            for s, (i, _, _, _) in enumerate(own):
-                from_[i].append(s)
+                ahead[j] = _logsum([ahead[j - 1], *(ahead[i] + scores[s] for s, i in into[j])]) if into[j] else ahead[j - 1]
             for i in range(n - 1, -1, -1):
-                behind[i] = _logsum([behind[i + 1], *(behind[own[s][1]] + scores[s] for s in from_[i])])
-            for s, (i, j, f, gold) in enumerate(own):
-                p = math.exp(min(0.0, ahead[i] + scores[s] + behind[j] - ahead[n]))
-                gradient[f] += gold - p
+                behind[i] = _logsum([behind[i + 1], *(behind[j] + scores[s] for s, j in from_[i])]) if from_[i] else behind[i + 1]
+            for s, i, j in own:
+                chance[s] = math.exp(min(0.0, ahead[i] + scores[s] + behind[j] - ahead[n]))
+        gradient = np.bincount(flat, np.repeat(wanted - chance, size), len(names)) - decay * len(rows) * w
         squares += gradient**2
         w += rate * gradient / np.sqrt(squares)
     return {x: float(w[i]) for x, i in names.items()}
@@ -163,9 +218,9 @@ def _logsum(xs: list[float]) -> float:
     return top + math.log(sum(math.exp(x - top) for x in xs))
 
 
-def decode(stretch: Stretch, weights: dict[str, float], margin: float = 2.0) -> list[tuple[int, int, int]]:
-    """Best segmentation; spans (start, end, kind) in characters of the stretch. margin: what a span must win over being outside."""
-    n, segs = segments(stretch)
+def decode(stretch: Stretch, weights: dict[str, float], margin: float = MARGIN, taken: tuple[tuple[int, int], ...] = ()) -> list[tuple[int, int, int]]:
+    """Best segmentation; spans (start, end, kind) in characters of the stretch, none that touches `taken`."""
+    n, segs = segments(stretch, taken)
     into: list[list[tuple[float, int, int]]] = [[] for _ in range(n + 1)]
     for i, j, kind, f in segs:
         if (score := sum(weights.get(x, 0.0) for x in f) - margin) > 0:
@@ -189,88 +244,96 @@ def decode(stretch: Stretch, weights: dict[str, float], margin: float = 2.0) ->
 
 
 def _cue(text: str, at: int) -> str:
-    m = _WORD_BEFORE.search(text[max(0, at - 24) : at])
+    m = _WORD_BEFORE.search(text[max(0, at - CONTEXT) : at])
     return m[1].lower() if m else ""
 
 
-def added_spans(text: str, base: list[tuple[int, int, int]], weights: dict[str, float]) -> list[tuple[int, int, int]]:
+def added_spans(text: str, base: list[tuple[int, int, int]], weights: dict[str, float], margin: float = MARGIN) -> list[tuple[int, int, int]]:
     """Spans that the field finds beside the base spans."""
     if not weights:
         return []
     out: list[tuple[int, int, int]] = []
     for a, b in stretches(text):
-        if any(x < b and a < y for x, y, _ in base) or a and text[a - 1].isalnum() or text[b : b + 1].isalnum():
+        if a and text[a - 1].isalnum() or text[b : b + 1].isalnum():
             continue
-        out += [(a + x, a + y, k) for x, y, k in decode((text[a:b], _cue(text, a)), weights)]
+        taken = tuple((x - a, y - a) for x, y, _ in base if x < b and a < y)
+        out += [(a + x, a + y, k) for x, y, k in decode((text[a:b], _cue(text, a)), weights, margin, taken)]
     return out
 
 
-def _variants(stretch: Stretch, gold: list) -> list[tuple[Stretch, list]]:
-    """A base span as people also write it: a phone without its plus after a cue, an address with its @ spelled out."""
-    text, _ = stretch
-    out = []
-    for a, b, k in gold:
-        piece = text[a:b]
-        if k == 3:
-            out.append(((piece[1:], "phone"), [(0, len(piece) - 1, 3)]))
-            out.append(((piece[1:], ""), []))
-        if k == 0 and "@" in piece:
-            said = piece.replace("@", " (at) ", 1)
-            out.append(((said, ""), [(0, len(said), 0)]))
-    return out
+def variants(piece: str, kind: int, draw: random.Random) -> list[tuple[Stretch, bool]]:
+    """A base span with its surface marks taken away, after a cue or not, and whether it still counts as data of its kind."""
+    digits, cue = _digits(piece), draw.choice(CUES[KINDS[kind]])
+    if kind == 3:
+        own = digits[-10:]
+        grouped = f"{own[:-7]}{{0}}{own[-7:-4]}{{0}}{own[-4:]}"
+        mark = draw.choice("-. /")
+        return [((piece.lstrip("+"), cue), True), ((grouped.format(mark), cue), True), ((f"({own[:-7]}) {own[-7:-4]}-{own[-4:]}", ""), True), ((grouped.format(draw.choice("-.")), ""), True), ((own, cue), True), ((own, ""), False), ((own[:8], ""), False), ((f"{own[:4]}-{own[4:6]}-{own[6:8]}", ""), False)]
+    if kind == 2:
+        mark = draw.choice("./-")
+        groups = [digits[i : i + 4] for i in range(0, len(digits), 4)]
+        wrong = digits[:-1] + str((int(digits[-1]) + draw.randrange(1, 10)) % 10)
+        return [((mark.join(groups), ""), True), ((mark.join(groups), cue), True), (("  ".join(groups), ""), True), ((wrong, ""), False), ((mark.join(wrong[i : i + 4] for i in range(0, len(wrong), 4)), ""), False)]
+    if kind == 1:
+        parts = piece.split(".")
+        large = [str(int(p) % 256 + 300) for p in parts]
+        return [(("[.]".join(parts), ""), True), ((" dot ".join(parts), draw.choice([cue, ""])), True), ((".".join(large), ""), False), (("-".join(parts), ""), False), (("/".join(parts), ""), False)]
+    local, _, host = piece.partition("@")
+    at, dot = draw.choice([" (at) ", "(at)", " [at] ", "[at]", " at "]), draw.choice([" (dot) ", "[dot]", " dot "])
+    spelled = host.replace(".", " dot " if at == " at " else draw.choice([dot, "."]))
+    return [((local + at + spelled, draw.choice([cue, ""])), True), ((local + " [at] " + host, ""), True)]
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, limit: int = TRAIN_STRETCHES) -> dict[str, float]:
-    """Train on at most `rows` texts (those with the smallest hashes of ids) and at most `limit` stretches of them.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, limit: int = TRAIN_WINDOWS) -> dict[str, float]:
+    """Train on at most `rows` texts (those with the smallest hashes of id and text) and at most `limit` windows of them.
 
-    The base spans are the labels; training reads the first 4,000 characters of a sampled text, finding spans reads all of every
-    text. Texts with neither digits nor @ are passed over. If that sample has no base span, it is drawn anew from the texts of the
-    whole table that have one, by what stands around their spans. No texts, or none with data in the table: no weights, a warning,
-    and then nothing is added to the base spans.
+    A window is what stands around a base span or another stretch, wherever it is in a whole text. If the sample has no base span,
+    windows are drawn from the texts of the whole table. No texts, or none with data in the table: no weights, a warning, and then
+    nothing is added to the base spans.
     """
-    h = F.xxhash64(F.col(id_col).cast("string"))
-    last = docs.select(h.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).head()[0]
-    if last is None:
-        return {}
-    some = docs.where(h <= last).select(h.alias("h"), F.substring(F.col(text_col), 1, 4000).alias("t")).where(F.col("t").rlike("[0-9@]"))
-    examples = _examples(sorted(tuple(r) for r in some.limit(2 * rows).collect()), limit)
-    if not any(gold for _, gold in examples):
-        around = F.arrow_udf(_around, "array<string>")
-        some = docs.where(F.col(text_col).rlike("[0-9@]")).select(h.alias("h"), F.explode(around(F.col(text_col))).alias("t"))
-        examples = _examples([tuple(r) for r in some.orderBy("h", "t").limit(rows).collect()], limit)
-    if not any(gold for _, gold in examples):
-        warnings.warn("no text has a base span: nothing is added to the base spans", stacklevel=2)
-        return {}
-    return train(examples)
-
-
-def _around(texts: pa.Array) -> pa.Array:
-    """What stands around the first few base spans of whole texts."""
+    h = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+    hashed = docs.where(F.col(text_col).rlike("[0-9@]")).select(h.alias("h"), F.col(text_col).alias("t"))
+    last = hashed.select("h").orderBy("h").limit(rows).agg(F.max("h")).head()[0]
+    around = F.arrow_udf(_windows, "array<struct<text: string, labelled: boolean>>")
+    for some in () if last is None else (hashed.where(F.col("h") <= last), hashed):
+        found = some.select("h", F.explode(around("t")).alias("w")).select("h", "w.*").distinct()
+        # half of the windows hold base spans where there are as many
+        parts = [found.where(c).orderBy("h", "text").limit(limit // 2).collect() for c in ("labelled", "NOT labelled")]
+        if parts[0]:
+            return train(_examples([r["text"] for part in parts for r in part]))
+    warnings.warn("no text has a base span: nothing is added to the base spans", stacklevel=2)
+    return {}
+
+
+def _windows(texts: pa.Array) -> pa.Array:
+    """A few windows of each whole text: base spans first, then other stretches."""
     out = []
     for t in texts:
         text = t.as_py() or ""
-        out.append([text[max(0, a - 200) : b + 200] for a, b, _ in sorted(base_spans(text))[:4]])
-    return pa.array(out, pa.list_(pa.string()))
-
-
-def _examples(texts: list[tuple[int, str]], limit: int) -> list:
-    examples: list = []
-    for _, text in texts:
-        base = base_spans(text)
-        areas = stretches(text) + [(a, b) for a, b, k in base if k == 0]
-        for a, b in areas:
-            gold = [(x - a, y - a, k) for x, y, k in base if a <= x and y <= b]
-            examples.append(((text[a:b], _cue(text, a)), gold))
-            examples += _variants(examples[-1][0], gold)
-        if len(examples) >= limit:
-            break
-    return examples[:limit]
+        base = sorted(base_spans(text))
+        free = [s for s in stretches(text) if not any(a < s[1] and s[0] < b for a, b, _ in base)]
+        spots = [(a, b, True) for a, b, _ in base[:TEXT_WINDOWS]] + [(a, b, False) for a, b in free[: TEXT_WINDOWS // 2]]
+        out.append([{"text": text[max(0, a - CONTEXT) : b + CONTEXT], "labelled": own} for a, b, own in spots if b - a <= 4 * CONTEXT])
+    return pa.array(out, pa.list_(pa.struct([("text", pa.string()), ("labelled", pa.bool_())])))
+
+
+def _examples(windows: list[str]) -> list:
+    """Stretches with their spans: those of the windows, and the variants of their base spans."""
+    out: list = []
+    for window in windows:
+        draw = random.Random(window)
+        base = base_spans(window)
+        for a, b in stretches(window):
+            out.append(((window[a:b], _cue(window, a)), [(x - a, y - a, k) for x, y, k in base if a <= x and y <= b]))
+        for a, b, k in base:
+            out += [(stretch, [(0, len(stretch[0]), k)] if counts else []) for stretch, counts in variants(window[a:b], k, draw)]
+    return out
 
 
 FOUND = "array<struct<kind: string, start: bigint, end: bigint, base: boolean>>"
 
 
-def pii_spans(text: Column, weights: dict[str, float]) -> Column:
+def pii_spans(text: Column, weights: dict[str, float], margin: float = MARGIN) -> Column:
     """Spans of personal data by kind as in KINDS, then start; offsets in code points, end exclusive; `base` tells those of the
     fixed patterns. Null text: none."""
 
@@ -280,17 +343,18 @@ def pii_spans(text: Column, weights: dict[str, float]) -> Column:
         for t in texts:
             text = t.as_py() or ""
             base = base_spans(text)
-            rows.append(sorted([(k, a, b, True) for a, b, k in base] + [(k, a, b, False) for a, b, k in added_spans(text, base, weights)]))
+            rows.append(sorted([(k, a, b, True) for a, b, k in base] + [(k, a, b, False) for a, b, k in added_spans(text, base, weights, margin)]))
         return pa.array([[{"kind": KINDS[k], "start": a, "end": b, "base": own} for k, a, b, own in x] for x in rows], pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())])))
 
     return spans(text)
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: dict[str, float] | None = None) -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: dict[str, float] | None = None, margin: float = MARGIN) -> DataFrame:
     """One row per input row: id and `spans` (array of kind, start, end, base) over the whole text.
 
     Null and empty texts have no spans; repeated rows are searched each for itself; an empty table gives an empty result; other
-    columns are not touched, so their names can't clash. Spans of different kinds may overlap where the base patterns do.
+    columns are not touched, so their names can't clash; very long texts are searched whole. Spans of different kinds may overlap
+    where the base patterns do; added spans touch no other span.
     """
     weights = fit(docs, id_col, text_col) if weights is None else weights
-    return docs.select(F.col(id_col), pii_spans(F.col(text_col), weights).alias("spans"))
+    return docs.select(F.col(id_col), pii_spans(F.col(text_col), weights, margin).alias("spans"))

@@ -1,17 +1,18 @@
 """Secret scans with one combined deterministic automaton.
 
-Every rule is a small expression over bytes (lengths beyond a short beginning are left to the exact step). All rules together become one automaton by subset construction (positions of the
-expressions are its raw states, its start is always open), which is minimised and laid out as transition arrays over classes of
-bytes. One pass over the bytes of a batch runs it on many pieces of text side by side; pieces begin after bytes that bring every
-state back to the start, so no match crosses them. Where a rule fires, its own expression cuts the exact spans in that piece.
+Every rule is a regular expression over bytes; its syntax tree gives the raw states. All rules together become one automaton by
+subset construction (its start is always open), which is minimised and laid out as transition arrays over classes of bytes. One
+pass over the bytes of a batch runs it on many pieces of text side by side; pieces begin after bytes that bring every state back
+to the start, so no match crosses them. Where a rule fires, the automaton of the reversed expressions, run from the end of the
+piece, marks where spans may start, and the rule's own automaton, run from there, gives the longest span.
 """
 
 from __future__ import annotations
 
 import functools
 import operator
-import re
 from dataclasses import dataclass
+from re import _parser as syntax
 
 import numpy as np
 import pyarrow as pa
@@ -19,66 +20,72 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-LOWER, UPPER, DIGIT = b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
-ALNUM = LOWER + UPPER + DIGIT
-#: Text is cut into pieces of about so many bytes, which the automaton reads side by side.
-PIECE = 512
-
-
-# expressions: ("set", bytes), ("cat", parts), ("alt", parts), ("star", part)
-def one(chars: bytes) -> tuple:
-    return ("set", frozenset(chars))
-
-
-def word(text: bytes, any_case: bool = False) -> tuple:
-    return ("cat", tuple(one(bytes([c]).lower() + bytes([c]).upper() if any_case else bytes([c])) for c in text))
-
-
-def cat(*parts: tuple) -> tuple:
-    return ("cat", parts)
-
-
-def alt(*parts: tuple) -> tuple:
-    return ("alt", parts)
-
-
-def maybe(part: tuple) -> tuple:
-    return ("alt", (part, ("cat", ())))
-
-
-def star(part: tuple) -> tuple:
-    return ("star", part)
-
-
-def at_least(n: int, part: tuple) -> tuple:
-    return ("cat", (*(part,) * n, ("star", part)))
+#: Text is cut into pieces of about so many bytes, which the automaton reads side by side; pieces that are left when fewer than
+#: LANES still run are read one by one.
+PIECE, LANES = 512, 16
 
 
 @dataclass(frozen=True)
 class Rule:
-    """fires: expression that every span begins with or contains, lengths that only `least` asks for left out (they would multiply the states); exact: cuts spans, leftmost and not overlapping; a span counts if `group` has `least` bytes."""
+    """Spans are the leftmost longest matches of head + value, without overlaps; those whose value has less than `least` bytes
+    drop out. The head must not be able to give back what the value could begin with."""
 
     kind: str
-    fires: tuple
-    exact: bytes
-    group: int = 0
+    head: bytes
+    value: bytes
     least: int = 1
 
 
-_VALUE = ALNUM + b"+/_.=-"
-#: The first three are the base kinds; the others add spans.
+#: The first three are the base kinds; the others add spans. A run of hex digits is whole, so its length can stand in the expression.
 RULES = (
-    Rule("assign", cat(alt(*(word(w, True) for w in (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key"))), maybe(one(b"\"'")), star(one(b" ")), one(b":="), star(one(b" ")), maybe(one(b"\"'")), at_least(1, one(_VALUE))), rb"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12),
-    Rule("access", cat(word(b"AKIA"), one(UPPER + DIGIT), star(one(UPPER + DIGIT))), rb"AKIA[A-Z0-9]+", 0, 18),
-    Rule("hex", at_least(16, one(DIGIT + b"abcdef")), rb"[0-9a-f]+", 0, 16),
-    Rule("github", cat(word(b"gh"), one(b"pousr"), word(b"_"), at_least(1, one(ALNUM))), rb"gh[pousr]_[A-Za-z0-9]+", 0, 40),
-    Rule("slack", cat(word(b"xox"), one(b"abprs"), word(b"-"), at_least(1, one(ALNUM + b"-"))), rb"xox[abprs]-[A-Za-z0-9-]+", 0, 20),
-    Rule("jwt", cat(word(b"eyJ"), at_least(1, one(ALNUM + b"_-"))), rb"eyJ[A-Za-z0-9_-]{4,}\.eyJ[A-Za-z0-9_.-]+", 0, 36),
-    Rule("pem", cat(word(b"-----BEGIN "), star(one(UPPER + b" ")), word(b"PRIVATE KEY-----")), rb"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    Rule("assign", rb"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?", rb"[A-Za-z0-9+/_.=-]+", 12),
+    Rule("access", b"", rb"AKIA[A-Z0-9]+", 18),
+    Rule("hex", b"", rb"[0-9a-f]{16,}"),
+    Rule("github", b"", rb"gh[pousr]_[A-Za-z0-9]+", 40),
+    Rule("slack", b"", rb"xox[abprs]-[A-Za-z0-9-]+", 20),
+    Rule("jwt", b"", rb"eyJ[A-Za-z0-9_-]{4,}\.eyJ[A-Za-z0-9_.-]+", 36),
+    Rule("pem", b"", rb"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
 
 
-@dataclass(frozen=True)
+def expression(pattern: bytes) -> tuple:
+    """A regular expression as ("set", bytes), ("cat", parts), ("alt", parts) or ("star", part)."""
+    return _expression(syntax.parse(pattern), False)
+
+
+def _expression(tree, any_case: bool) -> tuple:  # noqa: ANN001
+    parts: list[tuple] = []
+    for what, arg in tree:
+        name = str(what)
+        if name == "LITERAL":
+            both = {arg, *bytes([arg]).lower(), *bytes([arg]).upper()} if any_case else {arg}
+            parts.append(("set", frozenset(both)))
+        elif name == "IN":
+            own = frozenset(b for kind, x in arg for b in ([x] if str(kind) == "LITERAL" else range(x[0], x[1] + 1)))
+            parts.append(("set", own))
+        elif name == "SUBPATTERN":
+            parts.append(_expression(arg[3], any_case or bool(arg[1] & syntax.SRE_FLAG_IGNORECASE)))
+        elif name == "BRANCH":
+            parts.append(("alt", tuple(_expression(x, any_case) for x in arg[1])))
+        elif name == "MAX_REPEAT":
+            low, high, own = arg[0], arg[1], _expression(arg[2], any_case)
+            parts += [own] * low
+            parts += [("star", own)] if high == syntax.MAXREPEAT else [("alt", (own, ("cat", ())))] * (high - low)
+        else:
+            raise ValueError(f"{name} has no place in a rule")
+    return ("cat", tuple(parts))
+
+
+def _reversed(x: tuple) -> tuple:
+    what, arg = x
+    if what == "cat":
+        return ("cat", tuple(_reversed(y) for y in reversed(arg)))
+    if what == "alt":
+        return ("alt", tuple(map(_reversed, arg)))
+    return x if what == "set" else ("star", _reversed(arg))
+
+
+@dataclass(frozen=True, eq=False)
 class Automaton:
     classes: np.ndarray  # byte -> class
     step: np.ndarray  # state * n_classes + class -> state * n_classes
@@ -86,9 +93,15 @@ class Automaton:
     resets: np.ndarray  # byte -> whether it brings every state to the start
     n_classes: int
 
+    @functools.cached_property
+    def lists(self) -> tuple[list[int], list[int]]:
+        """step and fired for reading one byte after the other."""
+        return self.step.tolist(), self.fired.tolist()
 
-def _positions(rules: tuple[Rule, ...]) -> tuple[list, list[set], set, dict[int, int]]:
-    """Sets of bytes at each position, positions that may follow, those that may come first, and the rules' bits of the last ones."""
+
+def _positions(rules: tuple[tuple, ...]) -> tuple[list, list[set], set, dict[int, int]]:
+    """Sets of bytes at each position of the rules' expressions, positions that may follow, those that may come first, and the
+    rules' bits of the last ones."""
     chars: list[frozenset] = []
     follow: list[set] = []
 
@@ -119,24 +132,32 @@ def _positions(rules: tuple[Rule, ...]) -> tuple[list, list[set], set, dict[int,
     start: set = set()
     bits: dict[int, int] = {}
     for k, rule in enumerate(rules):
-        _, first, last = build(rule.fires)
+        _, first, last = build(rule)
         start |= first
         for p in last:
             bits[p] = bits.get(p, 0) | 1 << k
     return chars, follow, start, bits
 
 
-@functools.lru_cache(maxsize=4)
-def compile_rules(rules: tuple[Rule, ...] = RULES) -> Automaton:
-    """Subset construction over all rules, then minimisation by splitting classes of states until none splits."""
+def compile_expressions(rules: tuple[tuple, ...], anchored: bool = False) -> Automaton:
+    """Subset construction over all expressions, then minimisation by splitting classes of states until none splits.
+
+    Anchored: matches begin at the first byte only; state 0 is then the start and state 1 the dead one.
+    """
     chars, follow, start, bits = _positions(rules)
     kinds: dict[tuple, int] = {}
     classes = np.array([kinds.setdefault(tuple(b in c for c in chars), len(kinds)) for b in range(256)], np.uint8)
     member = [[bool(sig[p]) for p in range(len(chars))] for sig in kinds]
-    ids, todo, rows = {frozenset(): 0}, [frozenset()], []
+    begin = frozenset({-1}) if anchored else frozenset()
+    ids, todo, rows = {begin: 0}, [begin], []
+    if anchored:
+        ids[frozenset()] = 1
+        todo.append(frozenset())
     while todo:
         state = todo.pop(0)
-        reach = set(start).union(*(follow[p] for p in state))
+        reach = set().union(*(follow[p] for p in state if p >= 0))
+        if not anchored or -1 in state:
+            reach |= start
         row = []
         for has in member:
             nxt = frozenset(p for p in reach if has[p])
@@ -169,9 +190,29 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> Automaton:
     return Automaton(classes, (small * n).astype(np.int32).reshape(-1), fired, resets, n)
 
 
-def scan(data: np.ndarray, starts: np.ndarray, rules: tuple[Rule, ...] = RULES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class Compiled:
+    rules: tuple[Rule, ...]
+    combined: Automaton  # all rules, forwards
+    starts: Automaton  # all rules reversed: fires where a span may start
+    spans: tuple[Automaton, ...]  # each rule by itself, anchored
+    heads: tuple[Automaton | None, ...]
+
+
+def compile_rules(rules: tuple[Rule, ...] = RULES) -> Compiled:
+    """Done once, on the driver; tasks get the tables."""
+    return _compiled(rules)
+
+
+@functools.lru_cache(maxsize=4)
+def _compiled(rules: tuple[Rule, ...]) -> Compiled:
+    whole = tuple(expression(r.head + r.value) for r in rules)
+    heads = tuple(compile_expressions((expression(r.head),), True) if r.head else None for r in rules)
+    return Compiled(rules, compile_expressions(whole), compile_expressions(tuple(map(_reversed, whole))), tuple(compile_expressions((x,), True) for x in whole), heads)
+
+
+def scan(data: np.ndarray, starts: np.ndarray, auto: Automaton) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Run the automaton over the bytes of texts that begin at `starts`; gives begin, end and fired bits of pieces where a rule fired."""
-    auto = compile_rules(rules)
     resets = np.flatnonzero(auto.resets[data]) + 1
     cuts = resets[np.minimum(np.searchsorted(resets, np.arange(PIECE, len(data), PIECE)), len(resets) - 1)] if len(resets) else resets
     begin = np.unique(np.concatenate([starts, cuts]))
@@ -185,19 +226,67 @@ def scan(data: np.ndarray, starts: np.ndarray, rules: tuple[Rule, ...] = RULES)
     state, fired = np.zeros(len(begin), np.int32), np.zeros(len(begin), np.uint16)
     # pieces are sorted by length: those still running are the first ones
     running = np.searchsorted(-length, -np.arange(int(length[0])), side="left")
+    done = len(running)
     for j, n in enumerate(running.tolist()):
+        if n < LANES:
+            done = j
+            break
         now = auto.step[state[:n] + kinds[begin[:n] + j]]
         state[:n] = now
         fired[:n] |= auto.fired[now]
+    step, out = auto.lists
+    for i in range(int(running[done]) if done < len(running) else 0):
+        now, seen = int(state[i]), int(fired[i])
+        for kind in kinds[begin[i] + done : begin[i] + length[i]].tolist():
+            now = step[now + kind]
+            seen |= out[now]
+        fired[i] = seen
     hit = np.flatnonzero(fired)
     hit = hit[np.argsort(begin[hit])]
     return begin[hit], begin[hit] + length[hit], fired[hit]
 
 
-def find(texts: pa.Array, rules: tuple[Rule, ...] = RULES) -> list[list[tuple[int, int, int]]]:
+def _longest(auto: Automaton, kinds: list[int], at: int) -> int:
+    """End of the longest match of an anchored automaton that begins at a place; -1 if there is none."""
+    step, out = auto.lists
+    dead, now, end = auto.n_classes, 0, -1
+    for i in range(at, len(kinds)):
+        now = step[now + kinds[i]]
+        if now == dead:
+            break
+        if out[now]:
+            end = i + 1
+    return end
+
+
+def cut(piece: np.ndarray, bits: int, compiled: Compiled) -> list[tuple[int, int, int]]:
+    """(start, end, number of the rule) of the spans in a piece where the rules of `bits` fired."""
+    step, out = compiled.starts.lists
+    now, marks = 0, []
+    for kind in reversed(compiled.starts.classes[piece].tolist()):
+        now = step[now + kind]
+        marks.append(out[now] & bits)
+    marks.reverse()
+    found = []
+    for k, rule in enumerate(compiled.rules):
+        if not bits >> k & 1:
+            continue
+        kinds = compiled.spans[k].classes[piece].tolist()
+        done = 0
+        for at in [i for i, m in enumerate(marks) if m >> k & 1]:
+            if at < done:
+                continue
+            done = _longest(compiled.spans[k], kinds, at)
+            value = _longest(compiled.heads[k], compiled.heads[k].classes[piece].tolist(), at) if compiled.heads[k] else at
+            if done - value >= rule.least:
+                found.append((at, done, k))
+    return found
+
+
+def find(texts: pa.Array, compiled: Compiled | None = None) -> list[list[tuple[int, int, int]]]:
     """(start, end, number of the rule) of each secret of each text, in code points, by start and then rule."""
+    compiled = compiled or compile_rules()
     found: list[list[tuple[int, int, int]]] = [[] for _ in range(len(texts))]
-    exact = [re.compile(r.exact) for r in rules]
     texts = texts.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     buffer = texts.buffers()[2]
@@ -210,16 +299,14 @@ def find(texts: pa.Array, rules: tuple[Rule, ...] = RULES) -> list[list[tuple[in
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (4 << 20))))
         to = min(to, len(texts))
         part, base = data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
-        begins, ends, bits = scan(part, base[:-1], rules)
+        begins, ends, bits = scan(part, base[:-1], compiled.combined)
         owners = np.searchsorted(base, begins, side="right") - 1
         for begin, end, bit, owner in zip(begins.tolist(), ends.tolist(), bits.tolist(), owners.tolist()):
-            piece = part[begin:end].tobytes()
-            spans = [(begin + m.start(), begin + m.end(), k) for k, rule in enumerate(rules) if bit >> k & 1 for m in exact[k].finditer(piece) if m.end(rule.group) - m.start(rule.group) >= rule.least]
-            found[at + owner] += spans
+            found[at + owner] += [(begin + a, begin + b, k) for a, b, k in cut(part[begin:end], bit, compiled)]
         for owner in set(owners.tolist()):
             if spans := found[at + owner]:
-                text = part[base[owner] : base[owner + 1]].tobytes()
-                points = np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)  # code points up to a byte
+                text = part[base[owner] : base[owner + 1]]
+                points = np.cumsum((text & 0xC0) != 0x80)  # code points up to a byte
                 place = lambda x: int(points[x - 1]) if x else 0
                 found[at + owner] = sorted((place(a - int(base[owner])), place(b - int(base[owner])), k) for a, b, k in spans)
         at = to
@@ -231,11 +318,11 @@ SPANS = "array<struct<kind: string, start: bigint, end: bigint>>"
 
 def secret_spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """Spans of secrets in a text, by start and then in the rules' order; offsets in code points, end exclusive. Null text: none."""
-    compile_rules(rules)
+    compiled = compile_rules(rules)
 
     @F.arrow_udf(SPANS)
     def spans(texts: pa.Array) -> pa.Array:
-        return pa.array([[{"kind": rules[k].kind, "start": a, "end": b} for a, b, k in x] for x in find(texts, rules)], pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))
+        return pa.array([[{"kind": rules[k].kind, "start": a, "end": b} for a, b, k in x] for x in find(texts, compiled)], pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))
 
     return spans(text)
 
@@ -243,10 +330,12 @@ def secret_spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 def redacted(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """The text with every secret replaced by [kind]; of overlapping ones the longer cover counts. Null stays null."""
 
+    compiled = compile_rules(rules)
+
     @F.arrow_udf("string")
     def redact(texts: pa.Array) -> pa.Array:
         out = texts.to_pylist()
-        for i, spans in enumerate(find(texts, rules)):
+        for i, spans in enumerate(find(texts, compiled)):
             if spans:
                 parts, done = [], 0
                 for a, b, k in spans:

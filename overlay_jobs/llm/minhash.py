@@ -21,15 +21,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from overlay_jobs.functions.graph import connected_components
-from overlay_jobs.session import broadcast_if_small, join_hot, settle
+from overlay_jobs.session import discard, join_hot, settle
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 #: Texts and bytes of text in a block, about.
-BLOCK_TEXTS, BLOCK_BYTES = 256, 4 << 20
+BLOCK_TEXTS, BLOCK_BYTES = 1024, 4 << 20
 #: Rows of a bucket for each of its salts; rounds of comparing one text of each label.
-SALT_ROWS, ROUNDS = 4096, 4
+SALT_ROWS, ROUNDS = 4096, 6
 #: Shingles that are multiplied out at a time, and products that are listed at a time.
 DENSE, LISTED = 4096, 1 << 21
 #: Bytes of text that are signed side by side.
@@ -224,18 +224,21 @@ def _common(text_a: np.ndarray, token_a: np.ndarray, n_a: int, text_b: np.ndarra
     return out
 
 
-def _forest(near: np.ndarray) -> list[tuple[int, int]]:
-    """Links of a symmetric table that join what it joins, less than one per node."""
+def _stars(near: np.ndarray, key: list[bytes]) -> list[tuple[int, int]]:
+    """Links from the least key of each component of a symmetric table to its others."""
     left, out = np.ones(len(near), bool), []
     for s in range(len(near)):
-        todo = [s] if left[s] else []
+        todo, own = [s] if left[s] else [], []
         left[s] = False
         while todo:
             u = todo.pop()
+            own.append(u)
             new = np.flatnonzero(near[u] & left)
             left[new] = False
             todo += new.tolist()
-            out += [(u, v) for v in new.tolist()]
+        if len(own) > 1:
+            root = min(own, key=key.__getitem__)
+            out += [(root, v) for v in own if v != root]
     return out
 
 
@@ -264,7 +267,7 @@ _LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("n", pa.int64())])
 
 
 def _links(rows: pa.Table, least: float) -> pa.RecordBatch:
-    """Rows (i, j, on_left, key, text) of whole pairs of blocks, by pair -> a text's number of links (b is null), and links that
+    """Rows (i, j, on_left, key, text) of whole pairs of blocks, by pair -> a text's number of links (b is null), and pairs that
     join what all links join (n is 0)."""
     i, j = rows["i"].to_numpy(), rows["j"].to_numpy()
     key, on_left = rows["key"].to_pylist(), rows["on_left"].to_numpy()
@@ -279,7 +282,7 @@ def _links(rows: pa.Table, least: float) -> pa.RecordBatch:
             a.append(key[lo + k])
             b.append(None)
             n.append(int(count[k]))
-        for u, v in _forest(near) if count.any() else ():
+        for u, v in _stars(near, key[lo:hi]) if count.any() else ():
             a.append(key[lo + u])
             b.append(key[lo + v])
             n.append(0)
@@ -346,19 +349,22 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     return kept.select("row.*")
 
 
-def _blocks(members: DataFrame, name: str) -> DataFrame:
-    """members (key, bucket, n, size) -> key, block: a text is at home in its largest bucket, and homes of many texts are dealt to
-    several blocks."""
-    homes = settle(members.groupBy("key").agg(F.max(F.struct("n", "bucket")).alias("home"), F.first("size").alias("size")).select("key", "home.bucket", "size"), f"{name}-homes")
-    dealt = homes.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("size") / BLOCK_BYTES)).alias("blocks")).where("blocks > 1")
-    homes = homes.join(broadcast_if_small(settle(dealt, f"{name}-dealt")), "bucket", "left")
-    return settle(homes.select("key", F.xxhash64("bucket", F.pmod(F.xxhash64("key"), F.coalesce("blocks", F.lit(1)))).alias("block")), f"{name}-blocks")
+def _parts(rows: Column, size: Column) -> Column:
+    """Number of blocks for so many texts of so many bytes."""
+    return F.ceil(F.greatest(rows / BLOCK_TEXTS, size / BLOCK_BYTES)).cast("int")
+
+
+def _at_home(members: DataFrame, *more: str) -> DataFrame:
+    """members (key, bucket, n, parts, more) -> key, more, block: a text is at home in its largest bucket, and a bucket is dealt to
+    its parts."""
+    homes = members.groupBy("key", *more).agg(F.max(F.struct("n", "bucket", "parts")).alias("h"))
+    return homes.select("key", *more, F.xxhash64("h.bucket", F.pmod(F.xxhash64("key"), F.col("h.parts"))).alias("block"))
 
 
 def _meetings(members: DataFrame, by_label: bool, name: str) -> DataFrame:
     """members (key, bucket, n, block, label) -> i, j, on_left, key, label: the pairs of blocks that share a bucket, by member.
 
-    With by_label only blocks that hold a text of another label. Buckets of many members are salted: none is one task's.
+    With by_label only blocks that hold a text of another label, and blocks are a bucket's own, so that no pair stands twice. Buckets of many members are salted: none is one task's.
     """
     salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
     others = members.groupBy("bucket", "n", F.col("block").alias("other")).agg(F.count("*").alias("k"), F.min("label").alias("lo"), F.max("label").alias("hi"))
@@ -367,71 +373,80 @@ def _meetings(members: DataFrame, by_label: bool, name: str) -> DataFrame:
     meets = (F.col("lo") != F.col("label")) | (F.col("hi") != F.col("label")) if by_label else (F.col("block") != F.col("other")) | (F.col("k") > 1)
     met = own.join(others, (F.col("bucket") == F.col("at")) & (F.col("own_salt") == F.col("salt")) & meets)
     met = met.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("on_left"), "key", "label")
-    return settle(met.distinct(), name)
+    return settle(met if by_label else met.distinct(), name)
+
 
+def _verified(met: DataFrame, least: float, name: str, counted: bool = False) -> DataFrame:
+    """Pairs of blocks with texts (i, j, on_left, label, text) -> LINKS, between labels; with counts only if they are asked for."""
+    met = met.select("i", "j", "on_left", F.col("label").alias("key"), "text").repartition("i", "j").sortWithinPartitions("i", "j", "on_left", "key")
+    links = met.mapInArrow(compare_blocks(least), LINKS)
+    return settle(links if counted else links.where("b IS NOT NULL AND a <> b"), name)
 
-def _verified(met: DataFrame, texts: DataFrame, least: float, name: str) -> DataFrame:
-    """Pairs of blocks -> LINKS, between labels."""
-    met = met.join(texts, "key").select("i", "j", "on_left", F.col("label").alias("key"), "text").repartition("i", "j").sortWithinPartitions("i", "j", "on_left", "key")
-    return settle(met.mapInArrow(compare_blocks(least), LINKS), name)
 
+def _within(rows: DataFrame, least: float, name: str) -> DataFrame:
+    """Links of all pairs within blocks: rows (block, label, text)."""
+    return _verified(rows.select(F.col("block").alias("i"), F.col("block").alias("j"), F.lit(True).alias("on_left"), "label", "text"), least, name)
 
-def _relabelled(labels: DataFrame, found: DataFrame, name: str) -> DataFrame:
-    """labels (key, label), and links between labels -> labels by component. A label is the least key of its texts."""
-    names = settle(connected_components(found.where("b IS NOT NULL").select("a", "b")).select("node", "component"), f"{name}-names")
-    out = join_hot(labels, names, "label", "node").select("key", F.coalesce("component", "label").alias("label"))
-    return settle(out, f"{name}-labels")
 
+def _relabelled(state: DataFrame, found: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """state (key, block, label), and links between labels -> labels by component, and how many links there were. A label is the
+    least key of its texts."""
+    n = found.count()
+    if not n:
+        return state, 0
+    out = join_hot(state, connected_components(found.select("a", "b")), "label", "node").select("key", "block", F.coalesce("component", "label").alias("label"))
+    out = settle(out, name)
+    discard(found, state)
+    return out, n
 
-def _components(shared: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """key, label for the texts of shared (key, bucket, n, size): equal labels for texts that links join.
 
-    First all pairs of a block, a text in one block; then, where a bucket is larger than a block, the same for one text of each of
-    its labels, until that joins nothing more; last all pairs of blocks in buckets with several labels that share no block from the start, texts
-    of one label in blocks of their own.
+def _components(shared: DataFrame, state: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """key, label for the texts of shared (key, bucket, size, n, parts): equal labels for texts that links join. state: key, block,
+    label (the key itself at first); texts: key, block, text.
+
+    First all pairs of a block, a text in one block. Then, where a bucket with several labels is larger than a block, the same for
+    one text of each of its labels, for as long as that joins many of them. Last all pairs of blocks in buckets with several
+    labels that were not in one block from the start; texts of a label of many are blocks of their own.
     """
-    keys = shared.select("key").distinct()
-    labels = settle(keys.withColumn("label", F.col("key")), "near-single")
-    homes = _blocks(shared, "near-first")
-    crowded = homes.groupBy("block").agg(F.count("*").alias("k")).where("k > 1").drop("k")
-    met = homes.join(crowded, "block").select(F.col("block").alias("i"), F.col("block").alias("j"), F.lit(True).alias("on_left"), "key", F.col("key").alias("label"))
-    found = _verified(met, texts, least, "near-links-0")
-    members = shared.drop("n").join(homes, "key")
-    for n in range(1, 1 + ROUNDS):
-        if found.where("b IS NOT NULL").limit(1).count():
-            labels = _relabelled(labels, found, f"near-{n}")
-        # buckets with texts of several labels that were not all in one block
-        members = members.drop("label").join(labels, "key")
-        open_ = members.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("block").alias("b0"), F.max("block").alias("b1")).where("l0 <> l1 AND b0 <> b1").select("bucket")
-        members = settle(members.join(settle(open_, f"near-open-{n}"), "bucket"), f"near-members-{n}")
-        if not members.limit(1).count():
-            return labels
-        if n == ROUNDS or members.groupBy("bucket").count().agg(F.max("count")).head()[0] <= BLOCK_TEXTS:
-            break
-        one = settle(members.groupBy("bucket", "label").agg(F.min(F.struct("key", "size")).alias("one")), f"near-ones-{n}")
-        counted = one.groupBy("bucket").agg(F.count("*").alias("n"))
-        ones = one.join(counted, "bucket").select(F.col("one.key").alias("key"), "bucket", "n", F.col("one.size").alias("size"), "label")
-        blocks = _blocks(ones, f"near-ones-{n}")
-        named = blocks.join(labels, "key")
-        crowded = named.groupBy("block").agg(F.count("*").alias("k")).where("k > 1").drop("k")
-        met = named.join(crowded, "block").select(F.col("block").alias("i"), F.col("block").alias("j"), F.lit(True).alias("on_left"), "key", "label")
-        found = _verified(met, texts, least, f"near-links-{n}")
-        if not found.where("b IS NOT NULL").limit(1).count():
+    found = _within(texts.withColumn("label", F.col("key")), least, "near-links-first")
+    texts = texts.drop("block")
+    state, _ = _relabelled(state, found, "near-state-first")
+    members, n = shared, 0
+    while True:
+        members = settle(members.drop("label", "block").join(state, "key"), f"near-labelled-{n}")
+        labels = members.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("block").alias("b0"), F.max("block").alias("b1"))
+        last, members = members, settle(members.join(labels.where("l0 <> l1 AND b0 <> b1").select("bucket"), "bucket"), f"near-open-{n}")
+        discard(last)
+        rows, parts = members.agg(F.count("*"), F.max("parts")).head()
+        if not rows:
+            return state
+        if parts == 1 or n == ROUNDS:
             break
-    # what is left: every pair of blocks, blocks of one label where it has many texts
-    counted = settle(members.groupBy("bucket").agg(F.count("*").alias("n")), "near-open-counts")
-    members = members.drop("block").join(counted, "bucket")
-    homes = settle(members.groupBy("key", "label").agg(F.max(F.struct("n", "bucket")).alias("home"), F.first("size").alias("size")).select("key", "label", "home.bucket", "size"), "near-last-homes")
-    crowds = settle(homes.groupBy("bucket", "label").agg(F.count("*").alias("k"), F.sum("size").alias("bytes")), "near-crowds")
-    weight = lambda k, b: F.greatest(k / BLOCK_TEXTS, b / BLOCK_BYTES)
-    many = weight(F.col("k"), F.col("bytes")) >= 0.5
-    pools = crowds.where(~many).groupBy("bucket").agg(F.ceil(weight(F.sum("k"), F.sum("bytes"))).alias("pools"))
-    crowds = crowds.where(many).select(F.col("bucket").alias("cb"), F.col("label").alias("cl"), F.ceil(weight(F.col("k"), F.col("bytes"))).alias("parts"))
-    homes = homes.join(pools, "bucket", "left").join(crowds, (F.col("bucket") == F.col("cb")) & (F.col("label") == F.col("cl")), "left")
-    block = F.when(F.col("parts").isNotNull(), F.xxhash64("bucket", "label", F.pmod(F.xxhash64("key"), F.col("parts")))).otherwise(F.xxhash64("bucket", F.pmod(F.xxhash64("label"), F.coalesce("pools", F.lit(1)))))
-    members = settle(members.join(homes.select("key", block.alias("block")), "key"), "near-last-members")
-    found = _verified(_meetings(members, True, "near-last-met"), texts, least, "near-last-links")
-    return _relabelled(labels, found, "near-last") if found.where("b IS NOT NULL").limit(1).count() else labels
+        one = members.groupBy("bucket", "label").agg(F.min(F.struct("key", "size")).alias("one"))
+        crowd = members.select("bucket", "label").distinct().groupBy("bucket").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / BLOCK_TEXTS).cast("int"))
+        one = one.select("bucket", "label", "one.key").join(crowd, "bucket")
+        met = settle(_at_home(one, "label"), f"near-ones-{n}")
+        found = _within(met.join(texts, "key"), least, f"near-links-{n}")
+        state, joined = _relabelled(state, found, f"near-state-{n}")
+        n += 1
+        if 4 * joined < met.count():
+            n = ROUNDS  # few labels are joined this way: the rest pair by pair
+        discard(met)
+    placed, block = members, F.xxhash64("bucket")
+    if parts > 1:
+        # a label of many is dealt to blocks of its own, the others share blocks
+        crowds = members.groupBy("bucket", "label").agg(F.count("*").alias("k"), F.sum("size").alias("bytes"))
+        crowds = settle(crowds.select("bucket", "label", "k", "bytes", _parts(F.col("k"), F.col("bytes")).alias("own"), (_parts(2 * F.col("k"), 2 * F.col("bytes")) > 1).alias("many")), "near-crowds")
+        pools = crowds.where("NOT many").groupBy("bucket").agg(_parts(F.sum("k"), F.sum("bytes")).alias("pools"))
+        placed = members.join(crowds.where("many").drop("k", "bytes"), ["bucket", "label"], "left").join(pools, "bucket", "left")
+        own_block = F.xxhash64("bucket", "label", F.pmod(F.xxhash64("key"), F.col("own")))
+        block = F.when(F.col("many"), own_block).otherwise(F.xxhash64("bucket", F.pmod(F.xxhash64("label"), F.col("pools"))))
+    last, members = members, settle(placed.withColumn("block", block).select("key", "bucket", "n", "block", "label"), "near-last")
+    discard(last)
+    met = _meetings(members, True, "near-last-met")
+    found = _verified(met.join(texts.hint("merge"), "key"), least, "near-links-last")
+    discard(members, met)
+    return _relabelled(state, found, "near-state-last")[0]
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, least: float, with_links: bool) -> DataFrame:
@@ -440,25 +455,30 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, least: float, with_lin
     own = docs.select(F.col(id_col).alias("id"), text.alias("text"), text_key(F.col(text_col)).alias("key"))
     signed = settle(own.select("id", "key", F.octet_length("text").alias("size"), bands(F.col("text")).alias("bands")), "near-signatures")
     copies = settle(signed.groupBy("key").agg(F.min("id").alias("least"), F.first("bands").alias("bands"), F.first("size").alias("size")), "near-copies")
-    rows = copies.where(F.col("bands").isNotNull()).select("key", "size", F.explode("bands").alias("bucket"))
-    buckets = settle(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "near-buckets")
+    rows = copies.where(F.col("bands").isNotNull()).select("key", "least", "size", F.explode("bands").alias("bucket"))
+    buckets = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1").select("bucket", "n", _parts(F.col("n"), F.col("bytes")).alias("parts"))
     shared = settle(rows.join(buckets, "bucket"), "near-shared")
     # the row with the smallest id stands for its text, so that copies do not meet in one task
-    asked = settle(shared.select("key").distinct().join(copies.select("key", "least"), "key").select(F.col("key").alias("asked"), "least"), "near-asked")
-    # asked grows with the input: a merge join at any size
-    texts = own.join(asked.hint("merge"), (F.col("key") == F.col("asked")) & F.col("id").eqNullSafe(F.col("least"))).select("key", F.col("text").cast("binary").alias("text"))
+    homes = settle(_at_home(shared, "least").withColumnRenamed("key", "asked"), "near-homes")
+    shared = shared.drop("least")
+    # homes grow with the input: a merge join at any size
+    texts = own.join(homes.hint("merge"), (F.col("key") == F.col("asked")) & F.col("id").eqNullSafe(F.col("least"))).select("key", "block", F.col("text").cast("binary").alias("text"))
     texts = settle(texts.dropDuplicates(["key"]), "near-texts")
+    state = homes.select(F.col("asked").alias("key"), "block", F.col("asked").alias("label"))
     named = copies.select("key", "least")
     if with_links:
-        members = settle(shared.join(_blocks(shared, "near"), "key").withColumn("label", F.col("key")), "near-members")
-        links = _verified(_meetings(members, False, "near-met"), texts, least, "near-links")
+        members = settle(shared.join(state, "key"), "near-members")
+        met = _meetings(members, False, "near-met")
+        links = _verified(met.join(texts.drop("block").hint("merge"), "key"), least, "near-links", True)
+        discard(members, met)
         classes = connected_components(links.where("b IS NOT NULL").select("a", "b"))
         degree = links.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n_links"))
         named = named.join(degree, F.col("key") == F.col("a"), "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
     else:
-        classes = _components(shared, texts, least).select(F.col("key").alias("node"), F.col("label").alias("component"))
+        classes = _components(shared, state, texts, least).select(F.col("key").alias("node"), F.col("label").alias("component"))
     named = named.join(classes, F.col("key") == F.col("node"), "left").withColumn("component", F.coalesce("component", "key"))
     named = settle(named.drop("a", "node"), "near-named")
+    discard(texts, homes)
     # the least id of a class, and of texts that share it the least key, stands for the class; null ids come last
     order = F.struct(F.col("least").isNull().alias("no_id"), "least", "key")
     firsts = settle(named.groupBy("component").agg(F.min(order).alias("f")).select(F.col("component").alias("of"), "f"), "near-firsts")

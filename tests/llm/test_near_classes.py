@@ -66,3 +66,22 @@ def test_keep_one_with_clashing_names(spark):
     assert got.columns == frame.columns
     assert collections.Counter(r["doc_id"] for r in got.collect()) == {1: 1, 3: 1, None: 1}
     assert minhash.keep_one(docs(spark, [])).count() == 0
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Empty tables, nulls only, and columns whose names the stages use themselves."""
+    import corpus_pipeline
+
+    good = " ".join(f"word{i} and" for i in range(80))
+    tables = {"empty": [], "nulls": [(None, None, None)] * 3, "mixed": [(1, good, None), (None, good + " tail", "s"), (2, None, "s"), (2, "", None)]}
+    for name, rows in tables.items():
+        frame = docs(spark, rows)
+        for extra in ("key", "row", "copies", "bucket", "edge", "at", "_text", "spans"):
+            frame = frame.withColumn(extra, F.lit(extra))
+        path = tmp_path / name
+        frame.write.parquet(f"{path}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            frame = stage(spark, frame, str(path))
+            assert set(frame.columns) >= {"doc_id", "text", "source", "key", "spans"}
+        kept = corpus_pipeline.run(spark, str(path)).count()
+        assert (kept > 0) == (name == "mixed")

@@ -55,7 +55,7 @@ def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights:
     bound = goals.select("source", F.lit(0).cast("long").alias("prefix"), "budget", F.lit(0.0).alias("under"))
     for digit in range(DIGITS):
         shift = BITS * (DIGITS - 1 - digit)
-        small = broadcast_if_small(bound).withColumnRenamed("source", "own")
+        small = broadcast_if_small(bound.select(F.col("source").alias("own"), "prefix", "budget", "under"))
         inside = slim.join(small, F.col("source").eqNullSafe(F.col("own")) & (F.shiftright("h", shift + BITS) == F.col("prefix")))
         cells = inside.groupBy("source", F.shiftright("h", shift).alias("cell")).agg(F.count("*").alias("of"), F.sum("size").alias("size"), F.min("h").alias("lo"), F.max("h").alias("hi"), F.first("budget").alias("budget"), F.first("under").alias("under"))
         run = F.col("under") + F.sum("size").over(Window.partitionBy("source").orderBy("cell"))

@@ -67,6 +67,18 @@ def test_mixing(spark):
     assert mixing.mix(docs(spark, [])).count() == 0 and mixing.take(docs(spark, [])).count() == 0
 
 
+def test_mixing_refines_digit_by_digit(spark, monkeypatch):
+    """Digits of two bits: many rounds of refining one cell."""
+    monkeypatch.setattr(mixing, "BITS", 2)
+    monkeypatch.setattr(mixing, "DIGITS", 30)
+    rng = random.Random(17)
+    rows = [(n, " ".join("w" for _ in range(rng.randrange(1, 40))), "abc"[n % 3]) for n in range(300)]
+    out = mixing.mix(docs(spark, rows)).collect()
+    for s in "abc":
+        own = [r for r in out if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own) / 2 + 1e-6
+
+
 def test_mixing_of_null_and_repeated_rows(spark):
     """Rows without ids or with one id are placed each for itself, and equal rows are taken one by one."""
     rng = random.Random(3)

@@ -1,12 +1,14 @@
 """Quality rules as a short-circuit cascade, with DataFrame functions only.
 
-Each rule is a condition on measures of a text. On a bounded sample the cascade times every rule alone and counts what it
-rejects; rules then stand in the order of rejection per second in one CASE expression, whose later branches run only for texts
-that the earlier ones let pass. The order changes the time, never the verdict.
+Each rule is a condition on measures of a text. On a bounded sample the cascade times every rule's measures and counts which
+rules reject together; rules then stand in the order of rejection per cost, of texts that the rules before them let pass, in one
+CASE expression, whose later branches run only for texts that the earlier ones let pass. The order changes the time, never the
+verdict.
 """
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -15,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-#: Rows of the sample that orders the rules, about.
-SAMPLE_ROWS = 2_000
+#: Rows of the sample that orders the rules at most; timings of which the least counts.
+SAMPLE_ROWS, TIMINGS = 1_000, 3
 BLANKS = " \t\n\x0b\f\r"
 BLANK_RUN = "[ \\t\\n\\x0B\\f\\r]+"
 SYMBOLS = "#*$%&|<>"
@@ -67,12 +69,17 @@ def n_letters(text: Column) -> Column:
 def n_repeat_words(text: Column, width: int = 3) -> Column:
     """Words inside windows of `width` words that stand in the text twice or more, the first one included.
 
-    Windows are told apart by 64-bit hashes, sorted with their places, and compared with their neighbours: n log n for a text.
+    Windows are told apart by 64-bit hashes. Where no hash stands twice that is all; else they are sorted with their places and
+    compared with their neighbours: n log n for a text.
     """
 
     def windows(w: Column) -> Column:
-        places = F.when(F.size(w) >= width, F.sequence(F.lit(0), F.size(w) - width)).otherwise(F.array().cast("array<int>"))
-        return F.sort_array(F.transform(places, lambda i: F.struct(F.xxhash64(*(F.get(w, i + k) for k in range(width))).alias("h"), i.alias("i"))))
+        hashed = F.transform(w, lambda x: F.xxhash64(x))
+        own = lambda h: F.transform(F.slice(h, 1, F.size(h) - (width - 1)), lambda a, i: F.xxhash64(a, *(F.get(h, i + k) for k in range(1, width))))
+        return let(hashed, lambda h: F.when(F.size(h) >= width, own(h)).otherwise(F.array().cast("array<bigint>")))
+
+    def placed(h: Column) -> Column:
+        return F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
     def same(s: Column, ordered: Column, k: Column) -> Column:
         return F.coalesce(F.get(ordered, k)["h"] == s["h"], F.lit(False))
@@ -83,7 +90,9 @@ def n_repeat_words(text: Column, width: int = 3) -> Column:
     def covered(at: Column) -> Column:
         return F.aggregate(F.transform(at, lambda p, k: F.least(F.lit(width), F.coalesce(F.get(at, k + 1) - p, F.lit(width)))), F.lit(0).cast("long"), lambda total, n: total + n)
 
-    return let(words(text), lambda w: let(windows(w), lambda ordered: let(repeated(ordered), covered)))
+    none = F.lit(0).cast("long")
+    in_full = lambda h: let(placed(h), lambda ordered: let(repeated(ordered), lambda at: covered(at)))
+    return let(words(text), lambda w: let(windows(w), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(in_full(h))))
 
 
 MEASURES: dict[str, Callable[[Column], Column]] = {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_lines": n_lines, "n_dup_lines": n_dup_lines, "n_letters": n_letters, "n_repeat_words": n_repeat_words}
@@ -104,12 +113,13 @@ class Measures(dict):
 class Rule:
     name: str
     rejects: Callable[[Measures], Column]
+    base: bool = False
 
 
 #: The first two are the base rules; the others take out texts that are hardly prose.
 RULES = (
-    Rule("few_words", lambda m: m["n_words"] < 50),
-    Rule("repeated_windows", lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"]),
+    Rule("few_words", lambda m: m["n_words"] < 50, True),
+    Rule("repeated_windows", lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"], True),
     Rule("word_length", lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 20 * m["n_words"])),
     Rule("symbols", lambda m: 4 * m["n_symbols"] > m["n_words"]),
     Rule("repeated_lines", lambda m: 100 * m["n_dup_lines"] > 30 * m["n_lines"]),
@@ -117,21 +127,39 @@ RULES = (
 )
 
 
-def order_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules by share rejected per second, both from a sample of about sample_rows rows chosen by the hash of the id."""
+def order_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, known: tuple[str, ...] = ()) -> list[Rule]:
+    """Rules by rejection per cost, from a sample of at most sample_rows rows that are drawn without looking at any column.
+
+    The next rule is always the one that rejects most per cost of the rows that those before it let pass. A rule's cost is the
+    least of a few timings over the sample, beyond the time of a condition that costs nothing, in powers of two, so that noise
+    hardly changes the order; ties go to the cheaper rule, then by the rules' own order. known: measures that are there anyhow.
+    """
     rows = docs.count()
-    sample = docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000)) < max(1, -(-1_000_000 * sample_rows // max(rows, 1)))).select(F.col(text_col).alias("t")).persist()
+    share = min(1.0, 1.2 * sample_rows / max(rows, 1))
+    sample = docs.select(F.col(text_col).alias("t")).where(F.rand(17) < share).limit(sample_rows).persist()
     try:
-        total = max(sample.count(), 1)
-        rank = []
-        for k, rule in enumerate(rules):
-            rejected = F.count_if(F.coalesce(rule.rejects(Measures(F.col("t"))), F.lit(False)))
-            began = time.perf_counter()
-            out = sample.agg(rejected).head()[0]
-            rank.append((-(out / total) / (time.perf_counter() - began), time.perf_counter() - began, k))
-        return [rules[k] for _, _, k in sorted(rank)]
+        own = Measures(F.col("t"))
+        rejected = [F.coalesce(rule.rejects(own), F.lit(False)) for rule in rules]
+        mask = sum((F.when(c, F.lit(1 << k)).otherwise(0) for k, c in enumerate(rejected)), F.lit(0))
+        seen = {r["mask"]: r["count"] for r in sample.select(mask.alias("mask")).groupBy("mask").count().collect()}  # 2^rules rows at most
+        free = Measures(F.col("t"), dict.fromkeys(known, F.length("t")))
+        timed = [F.length("t") < 0, *(F.coalesce(rule.rejects(free), F.lit(False)) for rule in rules)]
+        base, *spent = [min(_seconds(sample.agg(F.count_if(c))) for _ in range(TIMINGS)) for c in timed]
     finally:
         sample.unpersist()
+    cost = [2.0 ** math.ceil(math.log2(max(t - base, 0.01))) for t in spent]
+    left, ordered = list(range(len(rules))), []
+    while left:
+        gain = {k: sum(n for m, n in seen.items() if m >> k & 1 and not any(m >> done & 1 for done in ordered)) for k in left}
+        ordered.append(max(left, key=lambda k: (gain[k] / cost[k], -cost[k], -k)))
+        left.remove(ordered[-1])
+    return [rules[k] for k in ordered]
+
+
+def _seconds(job: DataFrame) -> float:
+    began = time.perf_counter()
+    job.collect()  # one row
+    return time.perf_counter() - began
 
 
 def first_failed(measures: Measures, ordered: list[Rule]) -> Column:
@@ -142,21 +170,28 @@ def first_failed(measures: Measures, ordered: list[Rule]) -> Column:
     return out
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows whose text passes every rule, with all their columns.
 
     A null text counts as empty, has no words and goes. Repeated rows get the same verdict. An empty table stays empty. No column
-    is added, so names can't clash. Very long texts are judged whole.
+    is added, so names can't clash, and no other column is looked at. Very long texts are judged whole.
     """
-    return docs.where(first_failed(Measures(F.col(text_col)), order_rules(docs, id_col, text_col, rules)).isNull())
+    return docs.where(first_failed(Measures(F.col(text_col)), order_rules(docs, text_col, rules)).isNull())
+
+
+#: Measures that judge() returns; it works out others only where the cascade comes to them.
+RETURNED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per input row: id, every measure, base_failed (one of the first two rules), kept. Cases as for keep_good()."""
-    measured = docs.select(F.col(id_col), *(f(F.col(text_col)).alias(name) for name, f in MEASURES.items()))
-    known = Measures(F.lit(None), {name: F.col(name) for name in MEASURES})
-    ordered = order_rules(docs, id_col, text_col, rules)
+    """One row per input row: id, the measures of RETURNED, base_failed (a base rule rejects), kept. Cases as for keep_good().
+
+    Rules over returned measures cost nothing more and stand before those that read the text again.
+    """
+    measured = docs.select(F.col(id_col), F.col(text_col).alias("_text"), *(MEASURES[name](F.col(text_col)).alias(name) for name in RETURNED))
+    known = Measures(F.col("_text"), {name: F.col(name) for name in RETURNED})
+    ordered = order_rules(docs, text_col, rules, known=RETURNED)
     base = F.lit(False)
-    for rule in rules[:2]:
-        base = base | rule.rejects(known)
-    return measured.select("*", base.alias("base_failed"), first_failed(known, ordered).isNull().alias("kept"))
+    for rule in rules:
+        base = base | rule.rejects(known) if rule.base else base
+    return measured.select(id_col, *RETURNED, base.alias("base_failed"), first_failed(known, ordered).isNull().alias("kept"))

@@ -1,10 +1,15 @@
 """BPE encoding and decoding with a tokenization automaton.
 
-States are "the token read last" (and the start). The merges are taken in order; each one, `a b -> c`, changes the automaton
-by a gadget: an arc c is laid beside every path a, b; the arc b is taken away from the state behind a; and c's own state starts
-as a copy of b's. What is left in the end accepts exactly the token sequences that BPE produces, and one sequence for each word.
-With 50,000 merges the table of (state, arc) has 2.5 billion cells, so arcs are worked out by the gadgets' rules when a text
-first asks for them, and kept; a trie of reversed token bytes gives the arcs that end at a byte.
+The merges are taken in order; each one, `a b -> c`, changes the automaton over tokens by a gadget: an arc c is laid beside every
+path a, b; the arc b is taken away from the state behind a; and c's own state starts as a copy of b's. What is left in the end
+accepts exactly the token sequences that BPE produces, and one sequence for each word. The table of states and arcs is kept
+sparse: a state is a reference to the one it was copied from, with the number of its gadget, and one exception for each arc that
+a gadget took away (`removed`); a full table of 50,000 merges would have 2.5 billion cells.
+
+Words are read byte by byte by the determinised form: a state is the set of arcs under way, and its last token is that of the
+word so far, as every prefix has one. Its transition table is filled by subset construction as words ask for transitions, and
+then only looked up. Texts are cut into words by arrays over whole batches, each different word of a batch is walked once, and
+ids are laid out for all texts at a time; decoding joins the labels of the ids.
 """
 
 from __future__ import annotations
@@ -12,18 +17,67 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
-import struct
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-#: Pre-splitting as byte-level BPE has it; \s spelled out, as the property of Unicode.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Words and arcs that are kept per worker before the tables start anew.
-KEPT = 400_000
+#: Words and transitions that are kept per worker before the tables start anew; slots of the transition arrays; characters that
+#: are cut into words at a time; longest word that is walked beside others.
+KEPT, SLOTS, BATCH, LONG = 500_000, 1 << 21, 2 << 20, 256
+#: Kinds of characters: symbols, letters, numbers, the blank, other white space.
+SYMBOL, LETTER, NUMBER, BLANK, SPACE = range(5)
+# Endings that stand as words of their own after an apostrophe, by their first letter.
+ENDINGS = {"s": "", "t": "", "m": "", "d": "", "r": "e", "v": "e", "l": "l"}
+
+
+@functools.cache
+def kinds() -> np.ndarray:
+    """Kind of each code point."""
+    out = np.full(0x110000, SYMBOL, np.uint8)
+    every = "".join(map(chr, range(0x110000)))
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
+        for m in regex.finditer(pattern, every):
+            out[m.start() : m.end()] = kind
+    out[32] = BLANK
+    return out
+
+
+def word_starts(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where words begin in texts laid end to end, as byte-level BPE splits them. codes: code points; first: offsets of texts.
+
+    A word is a run of letters, numbers or symbols with the one blank before it; of white space before a word all but the last
+    character are a word, and that is one too unless it is the blank. An ending after an apostrophe that begins a word ends it.
+    """
+    n = len(codes)
+    kind = kinds()[codes]
+    new_text = np.zeros(n + 1, bool)
+    new_text[first[first < n]] = True
+    new_text[n] = True
+    space = kind >= BLANK
+    group = np.where(space, np.uint8(BLANK), kind)
+    starts = new_text[:n].copy()
+    starts[1:] |= group[1:] != group[:-1]
+    after = np.flatnonzero(starts[1:] & ~new_text[1:n] & space[:-1] & ~space[1:]) + 1  # words with white space before them
+    starts[after - 1] = True
+    starts[after[kind[after - 1] == BLANK]] = False
+    quote = np.flatnonzero((codes == 39) & starts)
+    quote = quote[quote + 1 < n]
+    quote = quote[~new_text[quote + 1]]
+    for letter, rest in ENDINGS.items():
+        at = quote[codes[quote + 1] == ord(letter)]
+        if rest:
+            at = at[at + 2 < n]
+            at = at[(codes[at + 2] == ord(rest)) & ~new_text[at + 2]]
+        end = at + 2 + len(rest)
+        starts[at + 1] = False
+        starts[end[end < n]] = True
+    return np.flatnonzero(starts)
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -43,40 +97,57 @@ class Automaton:
             self.label[i] = spell(t)
         for t, i in added.items():
             self.label[i] = t.encode()
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
-        #: gadget k: (a, b) -> c
-        self.rank = {(vocabulary[a], vocabulary[b]): k for k, (a, b) in enumerate(pairs)}
+        #: the sparse table: arcs b taken away from the state behind a by a gadget's number, and what each state is a copy of
+        self.removed: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.born = [-1] * size
-        for k, (a, b) in enumerate(pairs):
-            c = vocabulary[a + b]
-            if c not in self.parts:
-                self.parts[c], self.born[c] = (vocabulary[a], vocabulary[b]), k
-        #: (node << 8 | byte) -> node over reversed labels; node -> token
-        self.step: dict[int, int] = {}
-        self.token: list[int] = [-1]
+        for k, m in enumerate(merges):
+            a, b = m.split(" ") if isinstance(m, str) else m
+            self._lay_gadget(k, vocabulary[a], vocabulary[b], vocabulary[a + b])
+        #: (node << 8 | byte) -> node over labels; node -> token; whether labels go on from it
+        self.trie: dict[int, int] = {}
+        self.token, self.goes_on = [-1], [True]
         for i in vocabulary.values():
             if i not in self.parts and len(self.label[i]) != 1:
                 continue  # no path of merges leads to it
             node = 0
-            for b in reversed(self.label[i]):
+            for b in self.label[i]:
+                self.goes_on[node] = True
                 key = node << 8 | b
-                if (found := self.step.get(key)) is None:
-                    found = self.step[key] = len(self.token)
+                if (found := self.trie.get(key)) is None:
+                    found = self.trie[key] = len(self.token)
                     self.token.append(-1)
+                    self.goes_on.append(False)
                 node = found
             self.token[node] = i
-        self.added = {t: struct.pack("<I", i) for t, i in added.items()}
+        self.added = {t: np.array([i], np.uint32) for t, i in added.items()}
         self.split_added = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
-        self.words = Words(self)
         self.arcs: dict[tuple[int, int], bool] = {}
-        self.split = regex.compile(SPLIT)
+        self.words: dict[bytes, bytes] = {}
+        self.lengths = np.array([len(x) for x in self.label])
+        self._start_anew()
+
+    def _lay_gadget(self, k: int, a: int, b: int, c: int) -> None:
+        if not all(len(self.label[x]) == 1 or x in self.parts for x in (a, b)) or not self.allowed(a, b, k):
+            return  # no path a, b is left: earlier gadgets took it away
+        self.removed.setdefault((a, b), k)
+        if c not in self.parts:
+            self.parts[c], self.born[c] = (a, b), k
+
+    def _start_anew(self) -> None:
+        """An empty transition table: only the start, where a word's first arc begins."""
+        self.sets: list[tuple] = [((-1, 0),)]
+        self.numbers = {self.sets[0]: 0}
+        self.last = np.full(1 << 16, -1, np.int32)
+        self.transitions: dict[int, int] = {}
+        #: the same for look-ups side by side: (state << 8 | byte) and next state at a slot by hash, or one of those after it
+        self.slot_key, self.slot_state = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, np.int32)
 
     def allowed(self, q: int, c: int, before: int) -> bool:
         """Whether state q has the arc c once the gadgets numbered under `before` are in place."""
-        k = self.rank.get((q, c))
+        k = self.removed.get((q, c))
         if k is not None and k < before:
-            return False  # gadget k took the arc away
+            return False
         born_q, born_c = self.born[q], self.born[c]
         if born_c < 0 and born_q < 0:
             return True
@@ -92,53 +163,161 @@ class Automaton:
         if found is None:
             if len(self.arcs) >= KEPT:
                 self.arcs.clear()
-            found = self.arcs[q, c] = self.allowed(q, c, 1 << 60)
+            found = self.arcs[q, c] = q < 0 or self.allowed(q, c, 1 << 60)
         return found
 
-    def walk(self, word: bytes) -> bytes:
-        """Token ids (little-endian, 32 bits) of the one path that spells the word: each prefix has one last token."""
-        step, token, arc = self.step, self.token, self.arc
-        last = [-1] * (len(word) + 1)
-        for end in range(1, len(word) + 1):
-            node, at = 0, end
-            while at:
-                at -= 1
-                if (node := step.get(node << 8 | word[at])) is None:
-                    break
-                c = token[node]
-                if c >= 0 and (at == 0 or arc(last[at], c)):
-                    last[end] = c
-                    break
-        out, end = [], len(word)
+    def _transition(self, state: int, byte: int) -> int:
+        """The state after a byte: arcs under way go on, the one that ends in an allowed token gives the last token."""
+        last, under_way = -1, []
+        for q, node in self.sets[state]:
+            if (node := self.trie.get(node << 8 | byte)) is None:
+                continue
+            if last < 0 and self.token[node] >= 0 and self.arc(q, self.token[node]):
+                last = self.token[node]
+            if self.goes_on[node]:
+                under_way.append((q, node))
+        new = (*under_way, (last, 0))
+        number = self.numbers.get(new)
+        if number is None:
+            number = self.numbers[new] = len(self.sets)
+            self.sets.append(new)
+            if number >= len(self.last):
+                self.last = np.append(self.last, np.full(len(self.last), -1, np.int32))
+            self.last[number] = last
+        key = state << 8 | byte
+        self.transitions[key] = number
+        if 2 * len(self.transitions) < SLOTS:
+            slot = self._slot(key)
+            while self.slot_key[slot] >= 0:
+                slot = (slot + 1) % SLOTS
+            self.slot_key[slot], self.slot_state[slot] = key, number
+        return number
+
+    @staticmethod
+    def _slot(key):  # noqa: ANN001, ANN205
+        return (key * 0x9E3779B1 >> 7) % SLOTS
+
+    def _next(self, keys: np.ndarray) -> np.ndarray:
+        """Next states for (state << 8 | byte); transitions that are asked for the first time are built."""
+        slot, out, open_ = self._slot(keys), np.full(len(keys), -1, np.int64), np.arange(len(keys))
+        while len(open_):
+            found = self.slot_key[slot[open_]]
+            hit = found == keys[open_]
+            out[open_[hit]] = self.slot_state[slot[open_[hit]]]
+            open_ = open_[(found >= 0) & ~hit]
+            slot[open_] = (slot[open_] + 1) % SLOTS
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            asked, where = np.unique(keys[missing], return_inverse=True)
+            built = [self.transitions.get(k) or self._transition(k >> 8, k & 255) for k in asked.tolist()]
+            out[missing] = np.array(built)[where]
+        return out
+
+    def walk(self, word: bytes) -> list[int]:
+        """Token ids of the one path that spells the word."""
+        state, states, transitions = 0, [], self.transitions
+        for byte in word:
+            state = transitions.get(state << 8 | byte) or self._transition(state, byte)
+            states.append(state)
+        last, out, end = self.last[states].tolist(), [], len(word)
         while end:
-            out.append(last[end])
-            end -= len(self.label[last[end]])
-        out.reverse()
-        return struct.pack(f"<{len(out)}I", *out)
-
-    def encode(self, text: str) -> bytes:
-        if self.split_added is None or not any(t in text for t in self.added):
-            return b"".join(map(self.words.__getitem__, self.split.findall(text)))
-        return b"".join(self.added[part] if part in self.added else b"".join(map(self.words.__getitem__, self.split.findall(part))) for part in self.split_added.split(text) if part)
-
-    def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.label.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
-
-
-class Words(dict):
-    """Word -> ids, filled as words come up."""
-
-    def __init__(self, automaton: Automaton):
-        super().__init__()
-        self.automaton = automaton
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= KEPT:
-            self.clear()
-        ids = self.automaton.walk(word.encode("utf-8", "surrogatepass"))
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+            out.append(last[end - 1])
+            end -= len(self.label[out[-1]])
+        return out[::-1]
+
+    def walk_many(self, words: list[bytes]) -> list[bytes]:
+        """walk() of many words side by side; ids as little-endian 32-bit integers."""
+        if len(self.transitions) >= KEPT:
+            self._start_anew()
+        order = sorted((i for i in range(len(words)) if len(words[i]) <= LONG), key=lambda i: -len(words[i]))
+        out: list[bytes] = [b""] * len(words)
+        for i in range(len(words)):
+            if len(words[i]) > LONG:
+                out[i] = np.array(self.walk(words[i]), "<u4").tobytes()
+        if not order:
+            return out
+        data = np.frombuffer(b"".join(words[i] for i in order), np.uint8).astype(np.int64)
+        size = np.array([len(words[i]) for i in order])
+        begin = np.cumsum(size) - size
+        state, last = np.zeros(len(order), np.int64), np.zeros(len(data), np.int64)
+        running = np.searchsorted(-size, -np.arange(int(size[0])), side="left")
+        for j, n in enumerate(running.tolist()):
+            state[:n] = self._next(state[:n] << 8 | data[begin[:n] + j])
+            last[begin[:n] + j] = self.last[state[:n]]
+        # back from the ends: each last token leads to the place where the one before it ends
+        end, steps, going = size.copy(), [], np.flatnonzero(size)
+        while len(going):
+            token = last[begin[going] + end[going] - 1]
+            steps.append((going, token))
+            end[going] -= self.lengths[token]
+            going = going[end[going] > 0]
+        count = np.bincount(np.concatenate([w for w, _ in steps]), minlength=len(order))
+        stop = np.cumsum(count)
+        flat = np.zeros(stop[-1], "<u4")
+        for r, (w, token) in enumerate(steps):
+            flat[stop[w] - 1 - r] = token
+        raw = flat.tobytes()
+        for i, a, b in zip(order, (stop - count).tolist(), stop.tolist()):
+            out[i] = raw[4 * a : 4 * b]
+        return out
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        new = [w for w in words if w not in self.words]
+        if len(self.words) + len(new) > KEPT:
+            self.words = {}
+            new = words
+        found = dict(zip(new, self.walk_many(new)))
+        self.words.update((w, x) for w, x in found.items() if len(w) <= 64)
+        return [found[w] if w in found else self.words[w] for w in words]
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        if self.split_added is not None and any(t in text for text in texts for t in self.added):
+            parts = [[p for p in self.split_added.split(text) if p] for text in texts]
+            plain = iter(self.encode_many_plain([p for own in parts for p in own if p not in self.added]))
+            return [np.concatenate([np.zeros(0, np.uint32), *(self.added[p] if p in self.added else next(plain) for p in own)]) for own in parts]
+        return self.encode_many_plain(texts)
+
+    def encode_many_plain(self, texts: list[str]) -> list[np.ndarray]:
+        ends = np.cumsum([len(t) for t in texts])
+        out, at = [], 0
+        while at < len(texts):
+            to = min(max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH))), len(texts))
+            out += self._encode_batch(texts[at:to])
+            at = to
+        return out
+
+    def _encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        joined = "".join(texts)
+        if not joined:
+            return [np.zeros(0, np.uint32)] * len(texts)
+        data = np.frombuffer(joined.encode(), np.uint8)
+        first = np.cumsum([0, *map(len, texts)])
+        starts = word_starts(np.frombuffer(joined.encode("utf-32-le"), np.uint32), first[:-1])
+        begin = np.flatnonzero((data & 0xC0) != 0x80)[starts] if len(data) != len(joined) else starts
+        size = np.diff(np.append(begin, len(data)))
+        # words are told apart by hashes; that equal hashes are equal words is then checked byte by byte
+        within = np.arange(len(data)) - np.repeat(begin, size)
+        powers = np.cumprod(np.full(int(size.max()), 0x5851F42D4C957F2D, np.uint64))
+        hashes = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * powers[within], begin)
+        which, _ = pd.factorize(hashes)
+        of = np.zeros(which.max() + 1, np.int64)
+        of[which[::-1]] = np.arange(len(which))[::-1]  # the first word of each hash
+        model = of[which]
+        if (size != size[model]).any() or (data != data[np.repeat(begin[model], size) + within]).any():
+            which = of = np.arange(len(begin))
+        raw = data.tobytes()
+        own = self._ids([raw[a : a + n] for a, n in zip(begin[of].tolist(), size[of].tolist())])
+        count = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        flat, offset = np.frombuffer(b"".join(own), "<u4"), np.cumsum(count) - count
+        times = count[which]
+        end = np.cumsum(times)
+        ids = flat[np.arange(end[-1]) + np.repeat(offset[which] - end + times, times)]
+        cuts = np.append(0, end)[np.searchsorted(starts, first)]
+        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
+    def decode(self, ids: np.ndarray) -> str:
+        return b"".join(map(self.label.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
 @functools.lru_cache(maxsize=2)
@@ -161,9 +340,8 @@ def bpe_encode(text: Column, path: str | None = None) -> Column:
 
     @F.arrow_udf("struct<n_tokens: bigint, ids: binary>")
     def encode(texts: pa.Array) -> pa.Array:
-        own = automaton(path)
-        ids = [own.encode(t or "") for t in texts.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["n_tokens", "ids"])
+        ids = automaton(path).encode_many([t or "" for t in texts.to_pylist()])
+        return pa.StructArray.from_arrays([pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], ["n_tokens", "ids"])
 
     return encode(text)
 
@@ -175,7 +353,7 @@ def bpe_decode(ids: Column, path: str | None = None) -> Column:
     @F.arrow_udf("string")
     def decode(column: pa.Array) -> pa.Array:
         own = automaton(path)
-        return pa.array([None if x is None else own.decode(x) for x in column.to_pylist()], pa.string())
+        return pa.array([None if x is None else own.decode(np.frombuffer(x, "<u4")) for x in column.to_pylist()], pa.string())
 
     return decode(ids)
 
@@ -184,8 +362,8 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Encode each whole text, decode the ids again, and return digests of both.
 
     One row per input row: id, n_tokens, ids_sha256, decoded_sha256. Null and empty texts have no tokens; ties and repeated rows
-    are coded each for itself; an empty table gives an empty result; other columns are not touched, so their names can't clash.
-    with_ids adds them (little-endian, 32 bits); else they stay in the Python task, as they would be larger than the text on
+    are coded each for itself; an empty table gives an empty result; other columns are not touched, so their names can't clash; very long
+    texts are coded whole. with_ids adds them (little-endian, 32 bits); else they stay in the Python task, as they would be larger than the text on
     their way back.
     """
     path = path or default_path()
@@ -193,15 +371,19 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     @F.arrow_udf("struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string" + (", ids: binary>" if with_ids else ">"))
     def both(texts: pa.Array) -> pa.Array:
-        own, out = automaton(path), ([], [], [], [])
-        for text in texts:
-            ids = own.encode(text.as_py() or "")
-            out[0].append(len(ids) // 4)
-            out[1].append(hashlib.sha256(ids).hexdigest())
-            out[2].append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
-            if with_ids:
-                out[3].append(ids)
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.binary()]
-        return pa.StructArray.from_arrays([pa.array(c, k) for c, k, _ in zip(out, kinds, names)], names)
+        own, out, at = automaton(path), ([], [], [], []), 0
+        sizes = np.cumsum(pc.coalesce(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        while at < len(texts):  # ids of a few megabytes of text at a time
+            to = min(max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + 4 * BATCH))), len(texts))
+            for ids in own.encode_many([t or "" for t in texts.slice(at, to - at).to_pylist()]):
+                packed = ids.astype("<u4").tobytes()
+                out[0].append(len(ids))
+                out[1].append(hashlib.sha256(packed).hexdigest())
+                out[2].append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
+                if with_ids:
+                    out[3].append(packed)
+            at = to
+        types = [pa.int64(), pa.string(), pa.string(), pa.binary()]
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k, _ in zip(out, types, names)], names)
 
     return docs.select(F.col(id_col), both(F.col(text_col)).alias("_coded")).select(id_col, "_coded.*")

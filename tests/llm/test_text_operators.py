@@ -1,5 +1,6 @@
 """Quality, secrets, personal data, encoding, chat: against plain versions, and on odd rows."""
 
+import collections
 import hashlib
 import random
 import re
@@ -74,8 +75,16 @@ def test_secrets_are_replaced(spark):
     assert out == ["é [assign]' and [github].", None]
 
 
+def test_long_pieces_without_a_reset_are_linear(monkeypatch):
+    texts = pa.array(["eyJ" * 50_000, "f" * 300_000, "token" + " " * 100_000 + "=" + "a" * 12, "AKIA" * 30_000])
+    found = secrets.find(texts)
+    assert [s for s in found[1]] == [(0, 300_000, 2)] and found[2] == [(0, 100_018, 0)] and found[3] == [(0, 120_000, 1)]
+    monkeypatch.setattr(secrets, "LANES", 0)
+    assert secrets.find(pa.array(["x" * 600 + " token: abcdefghijkl"])) == [[(601, 620, 0)]]
+
+
 def test_automaton_is_minimal_and_total():
-    auto = secrets.compile_rules()
+    auto = secrets.compile_rules().combined
     n = len(auto.step) // auto.n_classes
     table = auto.step.reshape(n, auto.n_classes) // auto.n_classes
     block = auto.fired.reshape(n, auto.n_classes)[:, 0].astype(int)
@@ -117,6 +126,43 @@ def test_field_adds_and_keeps(spark):
     assert pii.find_pii(docs(spark, [])).count() == 0
 
 
+def test_field_finds_planted_variants():
+    """Trained on some windows, held against variants of others: recall and precision by kind; base spans are never touched."""
+    rng = random.Random(14)
+
+    def window(i):
+        base = [f"+{rng.randrange(1, 99)} ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}", f"ann.lee{i}@mail{i % 9}.example.com", ".".join(str(rng.randrange(1, 256)) for _ in range(4)), card(rng)][i % 4]
+        return f"some words {base} and more"
+
+    windows = [window(i) for i in range(400)]
+    weights = pii.train(pii._examples(windows[:160]))
+    hits, missed, false = collections.Counter(), collections.Counter(), collections.Counter()
+    for text in windows[160:]:
+        for a, b, kind in pii.base_spans(text):
+            for (said, cue), counts in pii.variants(text[a:b], kind, random.Random("held out" + text)):
+                own = f"{cue or 'here'} {said} and"
+                base = pii.base_spans(own)
+                added = pii.added_spans(own, base, weights)
+                at = own.index(said, len(cue or "here"))
+                assert not any(x < d and c < y for x, y, _ in base for c, d, _ in added)
+                if not counts:
+                    false[kind] += bool(added or base)
+                elif (at, at + len(said), kind) in base + added:
+                    hits[kind] += 1
+                else:
+                    missed[kind] += 1
+    for kind in range(4):
+        assert hits[kind] / (hits[kind] + missed[kind]) >= 0.9 and hits[kind] / (hits[kind] + false[kind]) >= 0.9, (kind, hits, missed, false)
+    # what a base span leaves free of a stretch is still searched
+    own = "call +49 30 1234567 / 523-555-1055 now"
+    assert all(b <= 5 or a >= 19 for a, b, _ in pii.added_spans(own, [(5, 19, 3)], weights))
+
+
+def card(rng):
+    digits = "4" + "".join(str(rng.randrange(10)) for _ in range(14))
+    return next(digits + str(c) for c in range(10) if pii.luhn(digits + str(c)))
+
+
 def test_dynamic_programme_finds_the_best_segmentation():
     """Against every segmentation of short stretches."""
     rng = random.Random(1)
@@ -155,6 +201,19 @@ def test_encoding_like_the_library(spark):
     assert [r["t"] for r in coded.collect()] == ["ab cd", ""]
 
 
+def test_encoding_with_small_tables(monkeypatch):
+    """Tables that start anew all the time, transitions beyond the arrays, long words: the same ids."""
+    pytest.importorskip("public_tokenizers")
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abé \n'st1.") for _ in range(rng.randrange(80))) for _ in range(200)] + ["é" * 700, ""]
+    want = [x.tolist() for x in bpe.automaton(bpe.default_path()).encode_many(texts)]
+    for name, value in (("KEPT", 20), ("SLOTS", 64), ("BATCH", 100), ("LONG", 5)):
+        monkeypatch.setattr(bpe, name, value)
+    bpe.automaton.cache_clear()
+    assert [x.tolist() for x in bpe.automaton(bpe.default_path()).encode_many(texts)] == want
+    bpe.automaton.cache_clear()
+
+
 def test_gadgets_on_small_vocabularies():
     """The arcs that the gadgets leave accept exactly what merging in order gives."""
     rng = random.Random(11)
@@ -175,7 +234,8 @@ def test_gadgets_on_small_vocabularies():
                     break
                 _, i = min(ranked)
                 word[i : i + 2] = [word[i] + word[i + 1]]
-            assert list(memoryview(own.walk(text.encode())).cast("I")) == [vocabulary[t] for t in word], (merges, text)
+            assert own.walk(text.encode()) == [vocabulary[t] for t in word], (merges, text)
+            assert list(memoryview(own.walk_many([text.encode()])[0]).cast("I")) == [vocabulary[t] for t in word]
 
 
 def plain_chat(rows):

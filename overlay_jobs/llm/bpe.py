@@ -29,7 +29,7 @@ from pyspark.sql.column import Column
 
 #: Words and transitions that are kept per worker before the tables start anew; slots of the transition arrays; characters that
 #: are cut into words at a time; longest word that is walked beside others.
-KEPT, SLOTS, BATCH, LONG = 500_000, 1 << 21, 2 << 20, 256
+KEPT, SLOTS, BATCH, LONG = 250_000, 1 << 20, 2 << 20, 256
 #: Kinds of characters: symbols, letters, numbers, the blank, other white space.
 SYMBOL, LETTER, NUMBER, BLANK, SPACE = range(5)
 # Endings that stand as words of their own after an apostrophe, by their first letter.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from overlay_jobs.llm import bpe, chat, minhash, mixing, pii, quality, repeats, secrets, topk, warc
+from overlay_jobs.llm import bpe, chat, minhash, mixing, pii, quality, ranking, repeats, secrets, token_counts, topk, warc, whitening
 from overlay_jobs.session import new_path
 
 
@@ -66,13 +66,25 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), new_path(spark, "token-cache"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_topk, op3_repeats, op4_warc, op5_pii, op6_near, op7_quality, op8_secrets, op9_chat, op10_bpe)}
+    return {f.__name__: f for f in (op1_mixing, op2_topk, op3_repeats, op4_warc, op5_pii, op6_near, op7_quality, op8_secrets, op9_chat, op10_bpe, op11_token_counts, op12_whitening, op13_ranking)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where SQL can express the operator; the others are held against brute force in tests/llm."""
-    return {"op1_mixing": OP1, "op2_topk": OP2, "op7_quality": OP7, "op9_chat": OP9}
+    return {"op1_mixing": OP1, "op2_topk": OP2, "op7_quality": OP7, "op9_chat": OP9, "op13_ranking": OP13}
 
 
 OP1 = r"""
@@ -156,3 +168,21 @@ SELECT conv_id, speaker, part, count(*)::BIGINT AS n_turns,
        coalesce(sum(length(t)) FILTER (mine), 0)::BIGINT AS n_masked
 FROM placed GROUP BY conv_id, speaker, part
 """
+
+OP13 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS u, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents),
+i AS (
+  SELECT row_number() OVER () AS v, item_id, list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS ts
+  FROM benchmark),
+asked AS (SELECT v, item_id, unnest(ts) AS t FROM i),
+size AS (SELECT count(*)::BIGINT AS docs, sum(len(ts))::BIGINT AS total FROM d WHERE len(ts) > 0),
+tf AS (SELECT u, doc_id, n, t, count(*)::BIGINT AS tf FROM (SELECT u, doc_id, len(ts)::BIGINT AS n, unnest(ts) AS t FROM d) GROUP BY ALL),
+df AS (SELECT t, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, size GROUP BY t),
+s AS (
+  SELECT v, item_id, u, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))))::BIGINT AS score
+  FROM asked JOIN tf USING (t) JOIN df USING (t), size GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""

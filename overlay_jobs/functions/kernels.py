@@ -1,12 +1,15 @@
 """Planar kernels in numpy: noding and faces of the segments of a tile, chaining of edges into rings, polygon tests.
 
-Coordinates are whole numbers of UNIT metres. Vertices are even numbers and tile seams odd ones, so no vertex lies on a seam;
-crossings are rounded to even numbers again. Inside a tile differences stay under 2^26, so cross products are exact in doubles.
+Coordinates are whole numbers of UNIT metres, in 64 bits. Vertices are even numbers and tile seams odd ones, so no vertex lies on a
+seam; crossings are rounded to even numbers again. On which side of a line a point lies is told in whole numbers, which is exact
+for extents up to 2^30 units (1,000 km).
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 UNIT = 1 / 1024
 
@@ -15,48 +18,119 @@ Rings = list[list[np.ndarray]]
 
 def to_units(geometry: list) -> Rings:
     """Parts and rings as arrays of even units."""
-    return [[2 * np.rint(np.array([[p["x"], p["y"]] for p in ring], float) / (2 * UNIT)) for ring in part if len(ring) > 3] for part in geometry or []]
+    return [[_even(np.array([[p["x"], p["y"]] for p in ring], float) / UNIT) for ring in part if len(ring) > 3] for part in geometry or []]
+
+
+def polygon_segments(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Segments of all rings of a column of polygons and the row of each, without a Python object per vertex."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    size = lambda a: pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    parts = column.flatten()
+    rings = parts.flatten()
+    points = rings.flatten()
+    length = size(rings)
+    row = np.repeat(np.repeat(np.arange(len(column)), size(column)), size(parts))
+    xy = np.column_stack([_even(pc.struct_field(points, c).to_numpy(zero_copy_only=False) / UNIT) for c in "xy"]).reshape(-1, 2)
+    ring = np.repeat(np.arange(len(length)), length)
+    own = np.flatnonzero((ring[1:] == ring[:-1]) & (length[ring[1:]] > 3)) if len(ring) else np.zeros(0, np.int64)
+    return np.hstack([xy[own], xy[own + 1]]), row[ring[own]]
 
 
 def ring_segments(rings: Rings) -> np.ndarray:
     parts = [np.hstack([r[:-1], r[1:]]) for part in rings for r in part]
-    return np.vstack(parts) if parts else np.zeros((0, 4))
+    return np.vstack(parts) if parts else np.zeros((0, 4), np.int64)
 
 
 def _even(v: np.ndarray) -> np.ndarray:
-    return 2 * np.rint(v / 2)
+    return 2 * np.rint(v / 2).astype(np.int64)
+
 
+def _side(a: np.ndarray, b: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Above 0 where p is left of the line from a to b, 0 on it."""
+    return (b[:, 0] - a[:, 0]) * (p[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (p[:, 0] - a[:, 0])
 
-def clip(seg: np.ndarray, box: tuple[float, float, float, float]) -> tuple[np.ndarray, np.ndarray]:
-    """Pieces of segments inside a box, and the points where they cross its sides. The same cut from either side of a seam."""
+
+def crossing_rows(seg: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Rows whose segments meet elsewhere than in common end points, or stand twice. Pairs come from a sweep over x within each
+    row, a bounded number at a time."""
+    seg, row = seg[keep := (seg[:, :2] != seg[:, 2:]).any(axis=1)], row[keep]
+    if not len(seg):
+        return np.zeros(0, np.int64)
+    base = seg[:, [0, 2]].min()
+    low, high = seg[:, [0, 2]].min(axis=1) - base, seg[:, [0, 2]].max(axis=1) - base
+    order = np.lexsort((low, row))
+    seg, row = seg[order], row[order]
+    _, place = np.unique(row, return_inverse=True)
+    step = int(high.max()) + 1  # rows lie one after the other on one line
+    lo, hi = low[order] + place * step, high[order] + place * step
+    n = np.searchsorted(lo, hi, side="right") - np.arange(len(seg)) - 1
+    ends, out, at = np.cumsum(n), [], 0
+    while at < len(seg):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
+        some = n[at:to]
+        i = np.repeat(np.arange(at, to), some)
+        j = i + 1 + np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some)
+        p, q = seg[i], seg[j]
+        near = (np.minimum(p[:, 1], p[:, 3]) <= np.maximum(q[:, 1], q[:, 3])) & (np.minimum(q[:, 1], q[:, 3]) <= np.maximum(p[:, 1], p[:, 3]))
+        i, p, q = i[near], p[near], q[near]
+        a, b, c, d = p[:, :2], p[:, 2:], q[:, :2], q[:, 2:]
+        s = [np.sign(v) for v in (_side(a, b, c), _side(a, b, d), _side(c, d, a), _side(c, d, b))]
+        bad = (s[0] * s[1] < 0) & (s[2] * s[3] < 0)
+        for zero, (u, v), w in ((s[0], (a, b), c), (s[1], (a, b), d), (s[2], (c, d), a), (s[3], (c, d), b)):
+            bad |= (zero == 0) & (((w - u) * (v - w)).sum(axis=1) > 0)
+        bad |= ((a == c).all(axis=1) & (b == d).all(axis=1)) | ((a == d).all(axis=1) & (b == c).all(axis=1))
+        out.append(row[i[bad]])
+        at = to
+    return np.unique(np.concatenate(out))
+
+
+def on_row(seg: np.ndarray, y: int) -> np.ndarray:
+    """Where segments that cross a horizontal seam do so: even, a middle goes right."""
+    up = seg[:, 1] < seg[:, 3]
+    px, py, qx, qy = np.where(up[:, None], seg, seg[:, [2, 3, 0, 1]]).T
+    return px + 2 * (((y - py) * (qx - px) + qy - py) // (2 * (qy - py)))
+
+
+def on_column(seg: np.ndarray, x: int) -> np.ndarray:
+    """Where segments that cross a vertical seam do so: even; a middle goes down where the segment rises to the right, else up, so that
+    a segment through a corner of seams passes it on one side only."""
+    right = seg[:, 0] < seg[:, 2]
+    px, py, qx, qy = np.where(right[:, None], seg, seg[:, [2, 3, 0, 1]]).T
+    n, d = (x - px) * (qy - py), qx - px
+    return py + 2 * np.where(qy > py, -((d - n) // (2 * d)), (n + d) // (2 * d))
+
+
+def clip(seg: np.ndarray, box: tuple[int, int, int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of segments inside a box with odd sides, which segment each is of, and the points where they cross its sides.
+
+    A piece has two ends: end points of its segment inside the box, and crossings of its sides. Which crossing of a line is on the
+    box is told after rounding, the same way from either side of a seam.
+    """
     x0, y0, x1, y1 = box
-    seg = seg[(np.minimum(seg[:, 0], seg[:, 2]) < x1) & (np.maximum(seg[:, 0], seg[:, 2]) > x0) & (np.minimum(seg[:, 1], seg[:, 3]) < y1) & (np.maximum(seg[:, 1], seg[:, 3]) > y0)]
-    swap = (seg[:, 0] > seg[:, 2]) | ((seg[:, 0] == seg[:, 2]) & (seg[:, 1] > seg[:, 3]))
-    seg = np.where(swap[:, None], seg[:, [2, 3, 0, 1]], seg)
-    ax, ay, bx, by = seg.T
-    points, at = [seg[:, :2], seg[:, 2:]], [np.zeros(len(seg)), np.ones(len(seg))]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        for x in (x0, x1):
-            t = np.where((ax < x) & (bx > x), (x - ax) / (bx - ax), np.nan)
-            points.append(np.column_stack([np.full(len(seg), x), _even(ay + t * (by - ay))]))
-            at.append(t)
-        for y in (y0, y1):
-            t = np.where((np.minimum(ay, by) < y) & (np.maximum(ay, by) > y), (y - ay) / (by - ay), np.nan)
-            points.append(np.column_stack([_even(ax + t * (bx - ax)), np.full(len(seg), y)]))
-            at.append(t)
-    at_, points_ = np.column_stack(at), np.stack(points, axis=1)
-    order = np.argsort(at_, axis=1)  # nan goes last
-    at_, points_ = np.take_along_axis(at_, order, 1), np.take_along_axis(points_, order[:, :, None], 1)
-    out = []
-    for k in range(5):
-        t = (at_[:, k] + at_[:, k + 1]) / 2
-        mx, my = ax + t * (bx - ax), ay + t * (by - ay)
-        inside = (mx > x0) & (mx < x1) & (my > y0) & (my < y1)
-        out.append(np.hstack([points_[inside, k], points_[inside, k + 1]]))
-    pieces = np.vstack(out)
-    ends = np.vstack([pieces[:, :2], pieces[:, 2:]])
-    on = (ends[:, 0] == x0) | (ends[:, 0] == x1) | (ends[:, 1] == y0) | (ends[:, 1] == y1)
-    return pieces, ends[on]
+    near = np.flatnonzero((np.minimum(seg[:, 0], seg[:, 2]) < x1) & (np.maximum(seg[:, 0], seg[:, 2]) > x0) & (np.minimum(seg[:, 1], seg[:, 3]) < y1) & (np.maximum(seg[:, 1], seg[:, 3]) > y0))
+    own = seg[near]
+    of, points, border = [], [], []
+    for end in (own[:, :2], own[:, 2:]):
+        k = np.flatnonzero((end[:, 0] > x0) & (end[:, 0] < x1) & (end[:, 1] > y0) & (end[:, 1] < y1))
+        of.append(k)
+        points.append(end[k])
+        border.append(np.zeros(len(k), bool))
+    for at, other, find, lo, hi in ((0, 1, on_column, y0, y1), (1, 0, on_row, x0, x1)):
+        for line in (box[at], box[at + 2]):
+            k = np.flatnonzero((own[:, at] < line) != (own[:, at + 2] < line))
+            v = find(own[k], line)
+            k, v = k[inside := (v > lo) & (v < hi)], v[inside]
+            p = np.empty((len(k), 2), np.int64)
+            p[:, at], p[:, other] = line, v
+            of.append(k)
+            points.append(p)
+            border.append(np.ones(len(k), bool))
+    of_, points_, border_ = np.concatenate(of), np.vstack(points), np.concatenate(border)
+    order = np.argsort(of_, kind="stable")
+    of_, points_, border_ = of_[order], points_[order], border_[order]
+    if len(of_) % 2 or (of_[0::2] != of_[1::2]).any():
+        raise ArithmeticError("a segment leaves a tile without entering it")
+    return np.hstack([points_[0::2], points_[1::2]]), near[of_[0::2]], points_[border_]
 
 
 def frame(box: tuple[float, float, float, float], points: np.ndarray, stops_x: np.ndarray, stops_y: np.ndarray) -> np.ndarray:
@@ -72,10 +146,21 @@ def frame(box: tuple[float, float, float, float], points: np.ndarray, stops_x: n
     return np.vstack(out)
 
 
-def unique_segments(seg: np.ndarray) -> np.ndarray:
-    seg = seg[(seg[:, 0] != seg[:, 2]) | (seg[:, 1] != seg[:, 3])]
+def _distinct(seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Segments each once, from the lesser end to the greater, and which of them every given one is; -1 where its ends are equal."""
     swap = (seg[:, 0] > seg[:, 2]) | ((seg[:, 0] == seg[:, 2]) & (seg[:, 1] > seg[:, 3]))
-    return np.unique(np.where(swap[:, None], seg[:, [2, 3, 0, 1]], seg), axis=0) if len(seg) else seg
+    seg = np.where(swap[:, None], seg[:, [2, 3, 0, 1]], seg)
+    real = (seg[:, :2] != seg[:, 2:]).any(axis=1)
+    which = np.full(len(seg), -1)
+    own = seg[real]
+    if not len(own):
+        return own, which
+    order = np.lexsort(own.T[::-1])
+    new = np.append(True, (own[order][1:] != own[order][:-1]).any(axis=1))
+    number = np.empty(len(own), np.int64)
+    number[order] = np.cumsum(new) - 1
+    which[real] = number
+    return own[order][new], which
 
 
 def _pairs(seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,44 +179,76 @@ def _pairs(seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def node(seg: np.ndarray, rounds: int = 60) -> np.ndarray:
     """Segments that meet only in end points: split where they cross, touch or overlap. Rounding may ask for another round; an
     ArithmeticError if that does not end."""
-    seg = unique_segments(seg)
+    return node_owned(seg, np.zeros(len(seg), np.int64), rounds)[0]
+
+
+def node_owned(seg: np.ndarray, owner: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same with owners: numbers of segments and the owners that have each an odd number of times."""
+    seg, which = _distinct(seg)
+    which, owner = which[which >= 0], owner[which >= 0]
     for _ in range(rounds):
         i, j = _pairs(seg)
         p, r, q, s = seg[i, :2], seg[i, 2:] - seg[i, :2], seg[j, :2], seg[j, 2:] - seg[j, :2]
         cross = lambda a, b: a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0]
         rs, w = cross(r, s), q - p
-        with np.errstate(divide="ignore", invalid="ignore"):
-            t, u = cross(w, s) / rs, cross(w, r) / rs
-        hit = (rs != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
-        x = _even(p[hit] + t[hit, None] * r[hit])
+        ts, us = cross(w, s), cross(w, r)
+        sign = np.where(rs < 0, -1, 1)
+        size, ts, us = rs * sign, ts * sign, us * sign
+        hit = (rs != 0) & (ts >= 0) & (ts <= size) & (us >= 0) & (us <= size)
+        x = _even(p[hit] + (ts[hit] / size[hit])[:, None] * r[hit])
         # end points of the other segment stay as they are
-        for own, at in ((u[hit] == 0, seg[j[hit], :2]), (u[hit] == 1, seg[j[hit], 2:]), (t[hit] == 0, seg[i[hit], :2]), (t[hit] == 1, seg[i[hit], 2:])):
+        for own, at in ((us[hit] == 0, seg[j[hit], :2]), (us[hit] == size[hit], seg[j[hit], 2:]), (ts[hit] == 0, seg[i[hit], :2]), (ts[hit] == size[hit], seg[i[hit], 2:])):
             x[own] = at[own]
-        owner, point = [i[hit], j[hit]], [x, x]
-        line = (rs == 0) & (cross(w, r) == 0)
+        of, point = [i[hit], j[hit]], [x, x]
+        line = (rs == 0) & (us == 0)
         for a, b in ((i[line], j[line]), (j[line], i[line])):
             for end in (seg[b, :2], seg[b, 2:]):
                 d = seg[a, 2:] - seg[a, :2]
                 k = ((end - seg[a, :2]) * d).sum(axis=1)
                 inside = (k > 0) & (k < (d * d).sum(axis=1))
-                owner.append(a[inside])
+                of.append(a[inside])
                 point.append(end[inside])
-        owner_, point_ = np.concatenate(owner), np.vstack(point)
-        new = ((point_ != seg[owner_, :2]).any(axis=1)) & ((point_ != seg[owner_, 2:]).any(axis=1))
-        owner_, point_ = owner_[new], point_[new]
-        if not len(owner_):
-            return seg
-        every = np.concatenate([np.arange(len(seg)), np.arange(len(seg)), owner_])
+        of_, point_ = np.concatenate(of), np.vstack(point)
+        new = ((point_ != seg[of_, :2]).any(axis=1)) & ((point_ != seg[of_, 2:]).any(axis=1))
+        of_, point_ = of_[new], point_[new]
+        if not len(of_):
+            return seg, *_odd(which, owner)
+        every = np.concatenate([np.arange(len(seg)), np.arange(len(seg)), of_])
         points = np.vstack([seg[:, :2], seg[:, 2:], point_])
         d = seg[every, 2:] - seg[every, :2]
         along = ((points - seg[every, :2]) * d).sum(axis=1)
         order = np.lexsort((along, every))
         every, points = every[order], points[order]
         same = every[1:] == every[:-1]
-        seg = unique_segments(np.hstack([points[:-1][same], points[1:][same]]))
+        old = every[:-1][same]  # in order
+        seg, number = _distinct(np.hstack([points[:-1][same], points[1:][same]]))
+        begin = np.searchsorted(old, which)
+        count = np.searchsorted(old, which, side="right") - begin
+        which = number[np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        owner = np.repeat(owner, count)[which >= 0]
+        which = which[which >= 0]
     raise ArithmeticError(f"{len(seg)} segments still cross after {rounds} rounds of noding")
 
 
+def _odd(which: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that stand an odd number of times."""
+    if not len(which):
+        return which, owner
+    order = np.lexsort((owner, which))
+    which, owner = which[order], owner[order]
+    first = np.flatnonzero(np.append(True, (which[1:] != which[:-1]) | (owner[1:] != owner[:-1])))
+    odd = first[np.diff(np.append(first, len(which))) % 2 == 1]
+    return which[odd], owner[odd]
+
+
+def _numbers(points: np.ndarray) -> np.ndarray:
+    """The same number for equal points. Extents are below 2^31 units."""
+    if not len(points):
+        return np.zeros(0, np.int64)
+    x, y = (points - points.min(axis=0)).astype(np.int64).T
+    return np.unique((x << 31) + y, return_inverse=True)[1].reshape(-1)
+
+
 def faces(seg: np.ndarray) -> list[dict]:
     """Bounded faces of noded segments: directed edges (face on the left; holes included), area in square units, a point inside."""
     edges, stops, points = face_arrays(seg)
@@ -141,14 +258,18 @@ def faces(seg: np.ndarray) -> list[dict]:
 
 def face_arrays(seg: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same laid end to end: directed edges, where each face's begin (and the end), and a point inside each."""
-    none = np.zeros((0, 4)), np.zeros(1, np.int64), np.zeros((0, 2))
+    return arrangement(seg)[:3]
+
+
+def arrangement(seg: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As face_arrays, and the face on the left of every segment and then of every reversed segment, -1 where there is none."""
+    none = np.zeros((0, 4), np.int64), np.zeros(1, np.int64), np.zeros((0, 2)), np.full(2 * len(seg), -1)
     if not len(seg):
         return none
     a = np.vstack([seg[:, :2], seg[:, 2:]])
     b = np.vstack([seg[:, 2:], seg[:, :2]])
     n = len(seg)
-    _, ids = np.unique(np.vstack([a, b]), axis=0, return_inverse=True)
-    ids = ids.reshape(-1)
+    ids = _numbers(np.vstack([a, b]))
     from_ = ids[: 2 * n]
     angle = np.arctan2(b[:, 1] - a[:, 1], b[:, 0] - a[:, 0])
     order = np.lexsort((angle, from_))
@@ -189,11 +310,42 @@ def face_arrays(seg: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if best is not None:
             owner[k] = owner[best]
     face = owner[cycle]
+    sides = np.empty(2 * n, np.int64)
+    sides[by_cycle] = face
     kept = np.flatnonzero(face >= 0)
     kept = kept[np.argsort(face[kept], kind="stable")]
     edges, face = np.hstack([a[kept], b[kept]]), face[kept]
     stops = np.searchsorted(face, np.arange(len(shells) + 1))
-    return edges, stops, inner_points(edges, face, len(shells))
+    return edges, stops, inner_points(edges, face, len(shells)), sides
+
+
+def carried_covers(sides: np.ndarray, n: int, start: int, marks: list[int], which: np.ndarray, owner: np.ndarray) -> list[frozenset]:
+    """Owners that cover each of n faces: those of the start are known, and whoever owns a segment ends or begins at it.
+
+    Every face is entered once, over one of its segments, from a face that is known already. The faces of a tile hang together, as
+    its frame holds them all.
+    """
+    m = len(sides) // 2
+    begin = np.searchsorted(which, np.arange(m + 1)).tolist()
+    names = owner.tolist()
+    left, right = sides[:m], sides[m:]
+    inner = np.flatnonzero((left >= 0) & (right >= 0) & (left != right))
+    ends = np.concatenate([left[inner], right[inner]])
+    order = np.argsort(ends, kind="stable")
+    to, over = np.concatenate([right[inner], left[inner]])[order].tolist(), np.concatenate([inner, inner])[order].tolist()
+    first = np.searchsorted(ends[order], np.arange(n + 1)).tolist()
+    covers: list[frozenset | None] = [None] * n
+    covers[start] = frozenset(marks)
+    todo = [start]
+    while todo:
+        face = todo.pop()
+        own = covers[face]
+        for k in range(first[face], first[face + 1]):
+            if covers[to[k]] is None:
+                s = over[k]
+                covers[to[k]] = own.symmetric_difference(names[begin[s] : begin[s + 1]]) if begin[s] < begin[s + 1] else own
+                todo.append(to[k])
+    return covers
 
 
 def inner_points(edges: np.ndarray, face: np.ndarray, n: int) -> np.ndarray:
@@ -289,6 +441,81 @@ def chain(edges: np.ndarray) -> list[list[list[list[float]]]]:
     return [[r.tolist() for r in p] for p in parts]
 
 
+def ring_columns(edges: pa.Array) -> pa.Array:
+    """For each list of directed edges (ax, ay, bx, by) that bound an area on their left: its parts and rings, as a column of polygons
+    in metres. Edges that stand in both directions cancel. The rings of all rows are chained together, in arrays."""
+    edges = edges.combine_chunks() if isinstance(edges, pa.ChunkedArray) else edges
+    size = pc.fill_null(pc.list_value_length(edges), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = edges.flatten()
+    e = np.column_stack([pc.struct_field(flat, c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("ax", "ay", "bx", "by")]).reshape(-1, 4)
+    row = np.repeat(np.arange(len(edges)), size)
+    e, row = e[real := (e[:, :2] != e[:, 2:]).any(axis=1)], row[real]
+    # edges that stand in both directions
+    swap = (e[:, 0] > e[:, 2]) | ((e[:, 0] == e[:, 2]) & (e[:, 1] > e[:, 3]))
+    same = np.where(swap[:, None], e[:, [2, 3, 0, 1]], e)
+    order = np.lexsort((*same.T, row))
+    new = np.append(True, (same[order][1:] != same[order][:-1]).any(axis=1) | (row[order][1:] != row[order][:-1])) if len(e) else np.zeros(0, bool)
+    net = np.add.reduceat(np.where(swap[order], -1, 1), np.flatnonzero(new)) if len(e) else np.zeros(0)
+    kept = np.sort(order[np.flatnonzero(new)[net != 0]]) if len(e) else np.zeros(0, np.int64)
+    e, row = e[kept], row[kept]
+    n = len(e)
+    # vertices are numbered within rows; leaving edges lie around each by their angle
+    at_ = _numbers(np.vstack([e[:, :2], e[:, 2:]]))
+    vertex = np.unique(np.tile(row, 2) * (at_.max(initial=0) + 1) + at_, return_inverse=True)[1].reshape(-1)
+    d = (e[:, 2:] - e[:, :2]).astype(float)
+    leave, back = np.arctan2(d[:, 1], d[:, 0]), np.arctan2(-d[:, 1], -d[:, 0])
+    out_of = np.lexsort((leave, vertex[:n]))
+    group = vertex[:n][out_of]
+    first, last = np.searchsorted(group, vertex[n:]), np.searchsorted(group, vertex[n:], side="right")
+    # the next edge is the first one met when turning right from the way back
+    at = last - 1
+    many = np.flatnonzero(last - first > 1)
+    for k in many.tolist():
+        below = int(np.searchsorted(leave[out_of[first[k] : last[k]]], back[k]))
+        at[k] = first[k] + below - 1 if below else last[k] - 1
+    if n and ((last == first).any() or len(np.unique(at)) != n):
+        raise ArithmeticError("edges do not close to rings")
+    following = out_of[at] if n else at
+    # each ring begins at its first edge; the way there from every edge by doubling
+    label, jump = np.arange(n), following.copy()
+    while True:
+        less = np.minimum(label, label[jump])
+        if (less == label).all() and (less == less[following]).all():
+            break
+        label, jump = less, jump[jump]
+    way, jump = (label != np.arange(n)).astype(np.int64), np.where(label == np.arange(n), np.arange(n), following)
+    while (jump != label).any():
+        way, jump = way + way[jump], jump[jump]
+    length = np.bincount(label, minlength=n)
+    place = (length[label] - way) % np.maximum(length[label], 1)
+    order = np.lexsort((place, label))
+    order = order[length[label[order]] > 2]
+    v, ring, of = e[order, :2], label[order], row[order]
+    begin = np.flatnonzero(np.append(True, ring[1:] != ring[:-1])) if len(ring) else np.zeros(0, np.int64)
+    stop = np.append(begin[1:], len(ring)) if len(ring) else begin
+    nxt = np.arange(1, len(ring) + 1)
+    nxt[stop - 1] = begin
+    base = v[np.repeat(begin, stop - begin)]
+    p, q = v - base, v[nxt] - base
+    area = np.add.reduceat(p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1], begin) if len(begin) else np.zeros(0)
+    owner = of[begin]
+    shell = np.where(area > 0, np.arange(len(begin)), -1)
+    for h in np.flatnonzero(area < 0).tolist():
+        mid = (v[begin[h]] + v[nxt[begin[h]]]) / 2  # no vertex of a shell
+        lo, hi = np.searchsorted(owner, [owner[h], owner[h] + 1])
+        homes = [k for k in range(lo, hi) if area[k] > -area[h] and _inside(mid, v[begin[k] : stop[k]], v[nxt[begin[k] : stop[k]]])]
+        shell[h] = min(homes, key=lambda k: area[k]) if homes else -1
+    rings = np.flatnonzero(shell >= 0)
+    rings = rings[np.lexsort((rings != shell[rings], shell[rings], owner[rings]))]
+    points = [np.append(np.arange(begin[k], stop[k]), begin[k]) for k in rings.tolist()]
+    xy = v[np.concatenate(points)] * UNIT if points else np.zeros((0, 2))
+    offset = lambda counts: pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
+    lists = pa.ListArray.from_arrays(offset(stop[rings] - begin[rings] + 1), pa.StructArray.from_arrays([pa.array(c) for c in xy.T], ["x", "y"]))
+    heads = np.flatnonzero(rings == shell[rings])
+    parts = pa.ListArray.from_arrays(offset(np.diff(np.append(heads, len(rings)))), lists)
+    return pa.ListArray.from_arrays(offset(np.bincount(owner[rings[heads]], minlength=len(edges))), parts)
+
+
 #: Pairs of segments that are tested at a time.
 PAIRS = 1 << 20
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
@@ -17,9 +18,9 @@ from overlay_jobs.functions import labels as L
 from overlay_jobs.functions.graph import connected_components
 from overlay_jobs.operators.atoms import aggregate_events
 from overlay_jobs.operators.combine import dense_ids
-from overlay_jobs.session import broadcast_if_small, settle
+from overlay_jobs.session import broadcast_if_small, dealt_out, settle
 
-#: Side of a tile in metres; polygon vertices of a tile beyond which it is split; splits at most (to tiles of 62.5 m).
+#: Side of a tile in metres; segments of a tile beyond which it is split; splits at most (to tiles of 62.5 m).
 TILE, TILE_VERTICES, LEVELS = 4_000.0, 4_000, 6
 DISSOLVE_KEY = ("TRT_ACTIVITIES", "TRT_EFF", "TRT_SET", "FIRST_TRT", "LAST_TRT", "FIRST_TRT_YEAR", "LAST_TRT_YEAR", "COMPLETE", "LAST_THIN", "CANOPY", "SURFACE", "AGENCIES")
 #: Areas of interest that are broadcast at most.
@@ -34,23 +35,31 @@ def _cells(df: DataFrame, size: Column | float, geometry: str = "geometry", shif
     return df.withColumn("cx", F.explode(span(b["xmin"], b["xmax"]))).withColumn("cy", F.explode(span(b["ymin"], b["ymax"])))
 
 
-def _tile_faces(table: pa.Table, tile: float) -> pa.Table:
-    """Faces of one tile: key, cover, inner point, edges inside the tile, edges on its seams."""
+def _tile_sides(tile: float) -> list[int]:
+    """Sides in units of tiles that were split 0, 1 ... LEVELS times: even, each twice the next."""
+    fine = 2 * max(1, round(tile / 2**LEVELS / (2 * K.UNIT)))
+    return [fine << (LEVELS - level) for level in range(LEVELS + 1)]
+
+
+def _tile_faces(table: pa.Table, sides: list[int], finest: int) -> pa.Table:
+    """Faces of one tile from the segments in it and the ids of the polygons around its lower left corner: piece, cover, inner point,
+    edges inside the tile, edges on its seams. Seams are cut where tiles of the finest level have corners."""
     level, cx, cy = (table.column(c)[0].as_py() for c in ("level", "tx", "ty"))
-    side = 2 * round(tile / 2**level / (2 * K.UNIT))
-    fine = 2 * round(tile / 2**LEVELS / (2 * K.UNIT))
-    box = (cx * side + 1, cy * side + 1, cx * side + side + 1, cy * side + side + 1)
-    origin = np.array([box[0] - 1, box[1] - 1] * 2)
-    ids, own = table.column("id").to_pylist(), []
-    for g in table.column("geometry").to_pylist():
-        own.append(K.ring_segments(K.to_units(g)) - origin)
-    local = (1.0, 1.0, side + 1.0, side + 1.0)
-    pieces, points = K.clip(np.vstack(own), local)
-    stops = np.arange(1, side + 2, fine, dtype=float)
-    edges, ends, at = K.face_arrays(K.node(np.vstack([pieces, K.frame(local, points, stops, stops)])))
-    face, polygon = K.covered_pairs(at, own)
-    pairs = np.unique(np.column_stack([face, np.array(ids, np.int64)[polygon]]), axis=0)
-    kept, begin = np.unique(pairs[:, 0], return_index=True)
+    side, fine = sides[level], sides[finest]
+    origin = np.array([cx * side, cy * side] * 2, np.int64)
+    id_, ax, ay, bx, by = (table.column(c) for c in ("id", "ax", "ay", "bx", "by"))
+    mark = ax.is_null().to_numpy()
+    ids = id_.to_numpy()
+    own = np.column_stack([c.filter(pa.array(~mark)).to_numpy().astype(np.int64) for c in (ax, ay, bx, by)]).reshape(-1, 4) - origin
+    pieces, of, points = K.clip(own, (1, 1, side + 1, side + 1))
+    stops = np.arange(1, side + 2, fine)
+    lines = K.frame((1, 1, side + 1, side + 1), points, stops, stops)
+    seg, which, owner = K.node_owned(np.vstack([pieces, lines]), np.append(ids[~mark][of], np.full(len(lines), -1)))
+    which, owner = which[owner >= 0], owner[owner >= 0]
+    edges, ends, at, around = K.arrangement(seg)
+    corner = np.flatnonzero((seg[:, 0] == 1) & (seg[:, 1] == 1) & (seg[:, 3] == 1))[0]  # the first stretch of the lower side
+    covers = K.carried_covers(around, len(at), int(around[corner]), ids[mark].tolist(), which, owner)
+    kept = np.flatnonzero([len(c) > 0 for c in covers])
     number = np.full(len(at), -1)
     number[kept] = np.arange(len(kept))
     of = number[np.repeat(np.arange(len(at)), np.diff(ends))]
@@ -58,79 +67,184 @@ def _tile_faces(table: pa.Table, tile: float) -> pa.Table:
     seam = ((edges[:, 0] == edges[:, 2]) & ((edges[:, 0] == 1) | (edges[:, 0] == side + 1))) | ((edges[:, 1] == edges[:, 3]) & ((edges[:, 1] == 1) | (edges[:, 1] == side + 1)))
 
     def lists(mask: np.ndarray) -> pa.Array:
-        rows = pa.StructArray.from_arrays([pa.array(c) for c in (edges[mask] + origin).T], ["ax", "ay", "bx", "by"])
+        rows = pa.StructArray.from_arrays([pa.array(c.astype(float)) for c in (edges[mask] + origin).T], ["ax", "ay", "bx", "by"])
         return pa.ListArray.from_arrays(pa.array(np.searchsorted(of[mask], np.arange(len(kept) + 1)).astype(np.int32)), rows)
 
-    cover = pa.ListArray.from_arrays(pa.array(np.append(begin, len(pairs)).astype(np.int32)), pa.array(pairs[:, 1]))
+    cover = pa.array([sorted(covers[k]) for k in kept.tolist()], pa.list_(pa.int64()))
     px, py = ((at[kept] + origin[:2]) * K.UNIT).T
     pieces = pa.array([f"{level}:{cx}:{cy}:{k}" for k in kept.tolist()], pa.string())
     return pa.Table.from_arrays([pieces, cover, pa.array(px), pa.array(py), lists(~seam), lists(seam)], ["piece", "cover", "px", "py", "edges", "seams"])
 
 
-def _rings(edges: pa.Array) -> pa.Array:
-    """Rings of directed edges; edges that stand in both directions cancel."""
-    out = []
-    for own in edges.to_pylist():
-        e = np.array([[x["ax"], x["ay"], x["bx"], x["by"]] for x in own]).reshape(-1, 4)
-        out.append([[[{"x": x * K.UNIT, "y": y * K.UNIT} for x, y in ring] for ring in part] for part in K.dissolve([e])])
-    return pa.array(out, pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))))
-
-
 def _repair(geometry: pa.Array) -> pa.Array:
-    """Polygons whose rings cross themselves or each other, as the area that they cover by the even-odd rule; others unchanged."""
-    out = []
-    for g in geometry.to_pylist():
+    """Polygons whose rings cross themselves or each other, as the area that they cover by the even-odd rule; null for the others."""
+    kind = pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
+    geometry = geometry.combine_chunks() if isinstance(geometry, pa.ChunkedArray) else geometry
+    crossing = K.crossing_rows(*K.polygon_segments(geometry))
+    out: list = [None] * len(geometry)
+    for at, g in zip(crossing.tolist(), geometry.take(pa.array(crossing)).to_pylist()):
         seg = K.ring_segments(K.to_units(g))
         noded = K.node(seg)
         if len(noded) != len(seg):
             inside = [f["edges"] for f in K.faces(noded) if K.covers(np.array([f["point"]]), seg)[0]]
-            g = [[[{"x": x * K.UNIT, "y": y * K.UNIT} for x, y in ring] for ring in part] for part in K.dissolve(inside)]
-        out.append(g)
-    return pa.array(out, pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))))
+            out[at] = [[[{"x": x * K.UNIT, "y": y * K.UNIT} for x, y in ring] for ring in part] for part in K.dissolve(inside)]
+    return pa.array(out, kind)
 
 
-def repair_geometry(df: DataFrame, geometry: str = "geometry") -> DataFrame:
-    """Closed rings without repeats, self-crossing polygons resolved, empty ones dropped."""
-    out = df.where(F.col(geometry).isNotNull()).withColumn(geometry, G.clean_rings(F.col(geometry)))
+def _convex(geometry: Column) -> Column:
+    """One ring that turns one way at every vertex and goes round once: it can't cross itself. Told in whole units, so exactly."""
+    unit = lambda v: (F.rint(v / (2 * K.UNIT)) * 2).cast("long")
+    ring = F.transform(geometry[0][0], lambda p: F.struct(unit(p["x"]).alias("x"), unit(p["y"]).alias("y")))
 
-    def fix(batches):  # noqa: ANN001, ANN202
-        for b in batches:
-            i = b.schema.get_field_index(geometry)
-            yield b.set_column(i, geometry, _repair(b.column(i)))
+    def test(r: Column) -> Column:
+        n = F.size(r) - 1
+        step = lambda i, c: F.get(r, i + 1)[c] - F.get(r, i)[c]
+        turns = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.signum(step(i, "x") * step((i + 1) % n, "y") - step(i, "y") * step((i + 1) % n, "x")))
+        ways = F.filter(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.signum(step(i, "x"))), lambda v: v != 0)
+        changes = F.size(F.filter(F.sequence(F.lit(0), F.size(ways) - 1), lambda i: F.get(ways, i) != F.get(ways, (i + 1) % F.size(ways))))
+        return (n >= 3) & (F.abs(F.aggregate(turns, F.lit(0.0), lambda a, v: a + v)) == n) & (changes == 2)
+
+    return F.when((F.size(geometry) == 1) & (F.size(geometry[0]) == 1), F.when(F.size(geometry[0][0]) > 3, G.let(ring, test))).otherwise(F.lit(False))
 
-    out = settle(out.mapInArrow(fix, out.schema), "repaired")
-    return out.where(G.not_empty(F.col(geometry)))
 
+def repair_geometry(df: DataFrame, geometry: str = "geometry") -> DataFrame:
+    """Closed rings without repeats, self-crossing polygons resolved, empty ones dropped. What is convex is told in the JVM; of the
+    others a batch is tested at a time, and only those that do cross themselves are taken apart."""
+    out = dealt_out(df).where(F.col(geometry).isNotNull()).withColumn(geometry, G.clean_rings(F.col(geometry)))
+    kind = out.schema
 
-def tiles(df: DataFrame, tile: float = TILE, limit: int = TILE_VERTICES) -> DataFrame:
-    """One row per polygon and tile (level, tx, ty); a tile with too many vertices is split into four, again and again."""
-    own = df.withColumn("_n", F.size(G.vertices(F.col("geometry"))))
-    base = settle(_cells(own, F.lit(tile), shift=K.UNIT), "tiles")
-    dense = base.groupBy("cx", "cy").agg(F.sum("_n").alias("n")).where(F.col("n") > limit)
+    def fix(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            i, rest = b.schema.get_field_index(geometry), b.drop_columns(["_convex"])
+            asked = pc.indices_nonzero(pc.invert(b.column("_convex")))
+            if len(asked):
+                fixed = _repair(b.column(i).take(asked))
+                changed = pc.indices_nonzero(fixed.is_valid())
+                if len(changed):
+                    at = np.arange(len(b))
+                    at[asked.to_numpy()[changed.to_numpy()]] = len(b) + changed.to_numpy()
+                    rest = rest.set_column(i, rest.schema.field(i), pa.concat_arrays([b.column(i), fixed.cast(b.column(i).type)]).take(pa.array(at)))
+            yield rest
+
+    out = out.withColumn("_convex", F.coalesce(_convex(F.col(geometry)), F.lit(False))).mapInArrow(fix, kind)
+    return settle(out, "repaired").where(G.not_empty(F.col(geometry)))
+
+
+def _div(n: Column, d: Column | int) -> Column:
+    """Floor of n / d in whole numbers, d > 0."""
+    d = F.lit(d).cast("long") if isinstance(d, int) else d
+    return F.call_function("div", n - F.pmod(n, d), d)
+
+
+def _steps(lo: Column, hi: Column) -> Column:
+    """lo, lo + 1 ... hi; null where there are none."""
+    return F.when(lo <= hi, F.sequence(lo, hi))
+
+
+def _on_row(y: Column) -> Column:
+    """Where the segment ax, ay, bx, by crosses a horizontal seam (as kernels.on_row)."""
+    up = F.col("ay") < F.col("by")
+    px, py, qx, qy = (F.when(up, F.col(a)).otherwise(F.col(b)) for a, b in (("ax", "bx"), ("ay", "by"), ("bx", "ax"), ("by", "ay")))
+    return px + 2 * _div((y - py) * (qx - px) + qy - py, 2 * (qy - py))
+
+
+def _on_column(x: Column) -> Column:
+    """Where it crosses a vertical seam (as kernels.on_column)."""
+    right = F.col("ax") < F.col("bx")
+    px, py, qx, qy = (F.when(right, F.col(a)).otherwise(F.col(b)) for a, b in (("ax", "bx"), ("ay", "by"), ("bx", "ax"), ("by", "ay")))
+    n, d = (x - px) * (qy - py), qx - px
+    return py + 2 * F.when(qy > py, -_div(d - n, 2 * d)).otherwise(_div(n + d, 2 * d))
+
+
+def _spread(seg: DataFrame, side: Column, tx: str, ty: str, within: tuple[Column, Column, Column, Column] | None = None) -> DataFrame:
+    """A row per segment and tile (tx, ty) that it may meet: by bands of rows, in each the columns that the segment has there.
+    within: the first and last column, then row."""
+    low = lambda a, b: F.least(F.col(a), F.col(b))
+    high = lambda a, b: F.greatest(F.col(a), F.col(b))
+    cell = lambda v: _div(v - 1, side)
+    x0, x1, y0, y1 = within or (None,) * 4
+    cut = lambda lo, hi, a, b: _steps(F.greatest(lo, a), F.least(hi, b)) if within else _steps(lo, hi)
+    out = seg.withColumn(ty, F.explode(cut(cell(low("ay", "by")), cell(high("ay", "by")), y0, y1)))
+    slope = F.when(F.col("by") != F.col("ay"), (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay")))
+    at = lambda row: F.coalesce(F.col("ax") + (F.least(F.greatest(row * side + 1, low("ay", "by")), high("ay", "by")) - F.col("ay")) * slope, F.col("ax").cast("double"))
+    near, far = at(F.col(ty)), at(F.col(ty) + 1)
+    flat = F.col("ay") == F.col("by")
+    left = F.when(flat, low("ax", "bx")).otherwise(F.greatest(F.floor(F.least(near, far)).cast("long") - 4, low("ax", "bx")))
+    right = F.when(flat, high("ax", "bx")).otherwise(F.least(F.ceil(F.greatest(near, far)).cast("long") + 4, high("ax", "bx")))
+    return out.withColumn(tx, F.explode(cut(cell(left), cell(right), x0, x1)))
+
+
+def _marks(flips: DataFrame, keys: list[str], last: Column | None = None) -> DataFrame:
+    """keys and c, the columns whose lower left corner is inside: a polygon's crossings of a line change that for all columns from c
+    on. last: the last column, where the line goes on beyond the crossings."""
+    c = F.sort_array(F.collect_list("c"))
+    rows = flips.groupBy(*keys).agg(c.alias("c"))
+    ends = F.transform(F.sequence(F.lit(0), F.call_function("div", F.size("c") - 1, F.lit(2))), lambda i: F.struct(F.get("c", 2 * i).alias("lo"), (F.coalesce(F.get("c", 2 * i + 1), last + 1 if last is not None else F.lit(None).cast("long")) - 1).alias("hi")))
+    return rows.select(*keys, F.explode(ends).alias("e")).select(*keys, F.explode(_steps(F.col("e.lo"), F.col("e.hi"))).alias("c"))
+
+
+def tile_segments(df: DataFrame, tile: float = TILE, limit: int = TILE_VERTICES) -> tuple[DataFrame, int]:
+    """level, tx, ty, id, ax, ay, bx, by: every segment of the polygons (id, geometry) in each tile it may meet, and a row without a
+    segment for every polygon around the lower left corner of a tile; and the finest level.
+
+    No geometry is copied: a polygon's inner tiles get its id only. Whether a corner is inside follows from where the polygon
+    crosses the seams below and left of it. A tile with too many segments is split into four, again and again.
+    """
+    sides = _tile_sides(tile)
+    side = F.lit(sides[0]).cast("long")
+    edge = df.select("id", F.explode(_unit_edges(F.col("geometry"))).alias("e")).select("id", *(F.col(f"e.{c}").cast("long").alias(c) for c in ("ax", "ay", "bx", "by")))
+    edge = edge.where("ax <> bx OR ay <> by")
+    base = settle(_spread(edge, side, "tx", "ty"), "tile-segments")
+    # seams between rows of tiles: a segment that crosses one does so in some tile above it
+    row = F.explode(_steps(_div(F.least("ay", "by") - 1, side) + 1, _div(F.greatest("ay", "by") - 1, side)))
+    crossed = edge.withColumn("ty", row)
+    flips = crossed.select("id", "ty", (_div(_on_row(F.col("ty") * side + 1) - 1, side) + 1).alias("c"))
+    marks = _marks(flips, ["id", "ty"]).select("id", F.col("c").alias("tx"), "ty")
+    counts = base.groupBy("tx", "ty").agg(F.count("*").alias("n")).where(F.col("n") > limit)
     level = F.least(F.ceil(F.log2(F.col("n") / limit) / 2), F.lit(LEVELS)).cast("int")
-    dense = settle(dense.select(F.col("cx").alias("dx"), F.col("cy").alias("dy"), level.alias("split")), "dense-tiles")
-    out = base.join(dense, (F.col("cx") == F.col("dx")) & (F.col("cy") == F.col("dy")), "left").withColumn("level", F.coalesce("split", F.lit(0)))
-    b = G.bounds(F.col("geometry"))
-    size = F.lit(tile) / F.pow(F.lit(2.0), F.col("level"))
+    dense = settle(counts.select("tx", "ty", level.alias("level")), "dense-tiles")
+    finest = dense.agg(F.max("level")).head()[0] or 0
+    names = ["level", "tx", "ty", "id", "ax", "ay", "bx", "by"]
+    none = {c: F.lit(None).cast("long") for c in ("ax", "ay", "bx", "by")}
+    if not finest:
+        return base.withColumn("level", F.lit(0)).select(*names).unionByName(marks.withColumns({"level": F.lit(0), **none}).select(*names)), 0
+    marks = settle(marks, "tile-marks")
+    dense = broadcast_if_small(dense)
+    coarse = base.join(dense, ["tx", "ty"], "left_anti").withColumn("level", F.lit(0)).select(*names)
+    coarse = coarse.unionByName(marks.join(dense, ["tx", "ty"], "left_anti").withColumns({"level": F.lit(0), **none}).select(*names))
     per = F.pow(F.lit(2.0), F.col("level")).cast("long")
-
-    def inside(lo: Column, hi: Column, cell: str) -> Column:
-        return F.sequence(F.greatest(F.floor((lo - K.UNIT) / size).cast("long"), F.col(cell) * per), F.least(F.floor((hi - K.UNIT) / size).cast("long"), F.col(cell) * per + per - 1))
-
-    out = out.withColumn("tx", F.explode(inside(b["xmin"], b["xmax"], "cx"))).withColumn("ty", F.explode(inside(b["ymin"], b["ymax"], "cy")))
-    return out.drop("cx", "cy", "dx", "dy", "split", "_n")
-
-
-def build_atomic_zones(df: DataFrame, snap: float = 1.0, min_area_m2: float = L.MIN_AREA_M2, id_col: str = "OBJECTID", tile: float = TILE) -> DataFrame:
+    inner = {"per": per, "sub": F.call_function("div", side, per)}
+    own = base.join(dense, ["tx", "ty"]).withColumns(inner).withColumns({"x0": F.col("tx") * side + 1, "y0": F.col("ty") * side + 1})
+    first = [F.col("tx") * F.col("per"), F.col("tx") * F.col("per") + F.col("per") - 1, F.col("ty") * F.col("per"), F.col("ty") * F.col("per") + F.col("per") - 1]
+    fine = _spread(own, F.col("sub"), "sx", "sy", tuple(first)).select("level", F.col("sx").alias("tx"), F.col("sy").alias("ty"), "id", "ax", "ay", "bx", "by")
+    # corners inside a split tile, from its own lower left one: over its left side, then along the rows
+    keys = ["level", "per", "tx", "ty", "id", "r"]
+    left = own.where("least(ax, bx) < x0 AND greatest(ax, bx) > x0").withColumn("y", _on_column(F.col("x0")))
+    left = left.where((F.col("y") > F.col("y0")) & (F.col("y") < F.col("y0") + side)).withColumn("r", F.explode(_steps(_div(F.col("y") - F.col("y0"), F.col("sub")) + 1, F.col("per") - 1)))
+    along = own.withColumn("r", F.explode(_steps(F.greatest(_div(F.least("ay", "by") - F.col("y0"), F.col("sub")) + 1, F.lit(0).cast("long")), F.least(_div(F.greatest("ay", "by") - F.col("y0"), F.col("sub")), F.col("per") - 1))))
+    along = along.withColumn("x", _on_row(F.col("y0") + F.col("r") * F.col("sub"))).where((F.col("x") > F.col("x0")) & (F.col("x") < F.col("x0") + side))
+    around = marks.join(dense, ["tx", "ty"]).withColumns(inner).withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("per") - 1)))
+    zero = F.lit(0).cast("long").alias("c")
+    flips = left.select(*keys, zero).unionByName(around.select(*keys, zero)).unionByName(along.select(*keys, (_div(F.col("x") - F.col("x0"), F.col("sub")) + 1).alias("c")))
+    flips = flips.where(F.col("c") < F.col("per"))
+    found = _marks(flips, keys, F.col("per") - 1)
+    found = found.select("level", (F.col("tx") * F.col("per") + F.col("c")).alias("tx"), (F.col("ty") * F.col("per") + F.col("r")).alias("ty"), "id").withColumns(none)
+    return coarse.unionByName(fine).unionByName(found.select(*names)), finest
+
+
+def build_atomic_zones(df: DataFrame, snap: float = 1.0, min_area_m2: float = L.MIN_AREA_M2, id_col: str = "OBJECTID", tile: float = TILE, limit: int = TILE_VERTICES) -> DataFrame:
     """_atom_id (dense, from 1, by cover and first vertex), cover (ids of the snapped polygons around the zone), px, py (a point
     inside), geometry. ValueError if there is no face.
 
-    Polygons are snapped, those at or below the sliver size left out; faces likewise. Tiles are noded apart and their faces joined
-    across seams where they share a stretch of one. Faces that no polygon covers are not returned.
+    Polygons are snapped, those at or below the sliver size left out; faces likewise. Segments go to tiles, which are noded apart;
+    covers are carried from face to face over the segments between them, and faces joined across seams where they share a stretch of
+    one. Faces that no polygon covers are not returned.
     """
     own = df.select(F.col(id_col).cast("long").alias("id"), G.snap(F.col("geometry"), snap).alias("geometry"))
     own = G.drop_slivers(repair_geometry(own), min_area_m2)
-    pieces = tiles(own, tile).groupBy("level", "tx", "ty").applyInArrow(lambda t: _tile_faces(t, tile), f"piece string, cover array<bigint>, px double, py double, edges {_EDGE}, seams {_EDGE}")
+    parts, finest = tile_segments(own, tile, limit)
+    sides = _tile_sides(tile)
+    pieces = parts.groupBy("level", "tx", "ty").applyInArrow(lambda t: _tile_faces(t, sides, finest), f"piece string, cover array<bigint>, px double, py double, edges {_EDGE}, seams {_EDGE}")
     pieces = settle(pieces, "pieces")
     if not pieces.limit(1).count():
         raise ValueError("no faces: check the input geometry")
@@ -139,7 +253,7 @@ def build_atomic_zones(df: DataFrame, snap: float = 1.0, min_area_m2: float = L.
     names = connected_components(links)
     joined = pieces.join(names, F.col("piece") == F.col("node"), "left").withColumn("_face", F.coalesce("component", "piece"))
     edges = joined.groupBy("_face").agg(F.first("cover").alias("cover"), F.min(F.struct("px", "py")).alias("p"), F.flatten(F.collect_list("edges")).alias("edges"))
-    rings = F.arrow_udf(_rings, G.POLYGON)
+    rings = F.arrow_udf(K.ring_columns, G.POLYGON)
     out = edges.select("cover", F.col("p.px").alias("px"), F.col("p.py").alias("py"), rings("edges").alias("geometry"))
     out = settle(G.drop_slivers(out, min_area_m2).withColumn("_first", F.array_min(G.vertices(F.col("geometry")))), "zones")
     return dense_ids(out, ["cover", "_first"], "_atom_id").select("_atom_id", "cover", "px", "py", "geometry")
@@ -176,6 +290,23 @@ def assign_treatments(zones: DataFrame, polygons: DataFrame, id_col: str = "OBJE
     return zones.join(found, "_atom_id", "left").withColumn("SOURCE_IDS", F.coalesce("SOURCE_IDS", F.array().cast("array<bigint>")))
 
 
+def assign_zones(zones: DataFrame, own: DataFrame, noded: DataFrame, snap: float, min_area_m2: float, id_col: str = "OBJECTID") -> DataFrame:
+    """Pairs _atom_id, id_col of zones and the polygons `own` around their inner points. The cover of a zone says it already for
+    polygons that were noded and that snapping did not move; only the others are looked for by point."""
+    exact = (1 / snap).is_integer() or snap.is_integer()  # whole units: the cover is that of the very polygon
+    still = (G.snap(F.col("geometry"), snap) == F.col("geometry")) & (G.area(F.col("geometry")) > min_area_m2)
+    marked = own.select(F.col(id_col).cast("long").alias(id_col), "geometry", (still if exact else F.lit(False)).alias("_still"))
+    if noded is not own:
+        kept = noded.select(F.col(id_col).cast("long").alias(id_col), F.lit(True).alias("_noded"))
+        marked = marked.join(kept, id_col, "left").withColumn("_still", F.col("_still") & F.coalesce("_noded", F.lit(False))).drop("_noded")
+    marked = settle(marked.withColumn("geometry", F.when(~F.col("_still"), F.col("geometry"))), "assigned")
+    moved = marked.where(~F.col("_still")).drop("_still")
+    covered = zones.select("_atom_id", F.explode("cover").alias(id_col))
+    if not moved.limit(1).count():
+        return covered
+    return covered.join(moved.select(id_col), id_col, "left_anti").select("_atom_id", id_col).unionByName(assign_points(zones, moved, "_atom_id", id_col))
+
+
 def _candidates(df: DataFrame, aoi: DataFrame, cell: float) -> DataFrame:
     """Each pair of a row and an area of interest (_aoi, _area) whose boxes meet, once. Cells get the areas' boxes; the areas
     themselves, which may be large, are joined to the pairs."""
@@ -269,7 +400,7 @@ def merge_adjacent(atoms: DataFrame, key_cols: tuple[str, ...] = DISSOLVE_KEY, d
     merged = merged.join(_outlines(joined, "_c"), "_c")
     if distinct_events:
         merged = merged.withColumn("EVENTS", F.aggregate("EVENTS", F.slice("EVENTS", 1, 0), lambda done, e: F.when(F.exists(done, lambda d: d["SOURCE_ID"] == e["SOURCE_ID"]), done).otherwise(F.concat(done, F.array(e)))))
-    merged = merged.withColumn("geometry", F.arrow_udf(_rings, G.POLYGON)("_edges")).drop("_edges")
+    merged = merged.withColumn("geometry", F.arrow_udf(K.ring_columns, G.POLYGON)("_edges")).drop("_edges")
     merged = merged.withColumns({"N_EVENTS": F.size("EVENTS"), "FUND_SOURCES": L.pipe_set(F.transform("EVENTS", lambda e: e["FUND_SOURCE"])), "ACRES_GIS": G.area(F.col("geometry")) * L.M2_TO_ACRES})
     return dense_ids(merged, ["_c"], "ATOM_ID").drop("_c")
 
@@ -288,8 +419,9 @@ def build_interactions(df: DataFrame, id_col: str = "OBJECTID", snap: float = 0.
     own = repair_geometry(own)
     # equal geometries need to be noded once only; every record is still assigned to its zones
     noded = own.withColumn("_g", G.geometry_key(F.col("geometry"))).dropDuplicates([*pre_dissolve, "_g"]).drop("_g") if pre_dissolve else own
-    zones = settle(build_atomic_zones(noded, snap, 0.0 if absorb_slivers else least, id_col, tile), "zones-numbered")
-    links = settle(assign_points(zones, own, "_atom_id", id_col), "links-zone-source")
+    sliver = 0.0 if absorb_slivers else least
+    zones = settle(build_atomic_zones(noded, snap, sliver, id_col, tile), "zones-numbered")
+    links = settle(assign_zones(zones, own, noded, snap, sliver, id_col), "links-zone-source")
     labelled = aggregate_events(links, own, "_atom_id", id_col, extra, dedupe)
     atoms = labelled.join(zones.select("_atom_id", "geometry"), "_atom_id").withColumnRenamed("_atom_id", "ATOM_ID")
     merged = G.drop_slivers(merge_adjacent(atoms), least)
@@ -317,7 +449,7 @@ def dissolve(df: DataFrame, by: list[str], aggs: dict[str, Column] | None = None
     names = adjacent_components(first, by, "_id")
     joined = first.join(names, F.col("_id") == F.col("node"), "left").withColumn("_c", F.coalesce("component", "_id"))
     whole = joined.groupBy("_c").agg(*(F.first(k).alias(k) for k in by), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_ids")))).alias("ids"))
-    whole = whole.join(_outlines(joined, "_c"), "_c").withColumn("geometry", F.arrow_udf(_rings, G.POLYGON)("_edges")).drop("_edges")
+    whole = whole.join(_outlines(joined, "_c"), "_c").withColumn("geometry", F.arrow_udf(K.ring_columns, G.POLYGON)("_edges")).drop("_edges")
     if aggs:
         rows = whole.select("_c", F.explode("ids").alias(id_col)).join(df.drop("geometry", *by), id_col).groupBy("_c").agg(*(c.alias(n) for n, c in aggs.items()))
         whole = whole.join(rows, "_c", "left")

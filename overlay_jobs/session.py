@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when it was counted and has at most so many (narrow) rows.
 BROADCAST_ROWS = 100_000
+#: Bytes of input to a core below which rows may be dealt out anew.
+SMALL_BYTES = 32 << 20
 #: A key is hot if it has more than a HOT_SHARE-th of all rows, and HOT_LEAST rows at least: there are at most HOT_SHARE such keys.
 HOT_SHARE, HOT_LEAST = 1_000, 1_000
 
@@ -52,6 +54,19 @@ def discard(*settled: DataFrame) -> None:
             hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def dealt_out(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores where its files are fewer than that and too small to be split so, as for work that
+    is long for its bytes; else as it is."""
+    sc = df.sparkSession.sparkContext
+    files = df.inputFiles()
+    if not 0 < len(files) < sc.defaultParallelism:
+        return df
+    hadoop = sc._jvm.org.apache.hadoop.fs
+    paths = [hadoop.Path(f) for f in files]
+    size = sum(p.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(p).getLen() for p in paths)
+    return df.repartition(sc.defaultParallelism) if size < SMALL_BYTES * sc.defaultParallelism else df
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a settled, narrow table for broadcast if it has at most `rows` rows; else leave the choice to Spark's planner."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,3 +199,110 @@ def test_intersects_in_small_portions(monkeypatch):
     for _ in range(300):
         (a, b, s), (c, d, t) = ([rng.randrange(0, 12), rng.randrange(0, 12), rng.randrange(1, 8)] for _ in range(2))
         assert K.intersects(square(a, b, s), square(c, d, t)) == (a <= c + t and c <= a + s and b <= d + t and d <= b + s)
+
+
+def points_agree(zones, polygons, at):
+    """Covers of the zones around points against the polygons around them."""
+    inside = lambda g: K.covers(at, K.ring_segments(K.to_units(g)) * K.UNIT)
+    want, got = [set() for _ in at], [[] for _ in at]
+    for i, g in polygons:
+        for k in np.flatnonzero(inside(g)):
+            want[k].add(i)
+    for z in zones:
+        for k in np.flatnonzero(inside(z["geometry"])):
+            got[k].append(set(z["cover"]))
+    assert got == [[w] if w else [] for w in want]
+
+
+def test_covers_are_carried_through_split_tiles(spark):
+    """Tiles of several levels, large polygons that hold whole tiles, and edges through the corners of seams."""
+    rng = random.Random(9)
+    side = S._tile_sides(400.0)[0] * K.UNIT
+    rows = [(n, [[[{"x": x + dx, "y": y + dy} for dx, dy in [(0, 0), (s, 0), (s, s), (0, s), (0, 0)]]]]) for n, (x, y, s) in enumerate([(-900.0, -900.0, 2600.0), (10.0, 10.0, 1500.0)])]
+    star = lambda cx, cy, r, k: [(cx + r * (1 if i % 2 else 0.45) * math.cos(math.pi * i / k), cy + r * (1 if i % 2 else 0.45) * math.sin(math.pi * i / k)) for i in range(2 * k)]
+    rings = [star(rng.uniform(100, 500), rng.uniform(100, 500), rng.uniform(20, 300), rng.randrange(3, 9)) for _ in range(40)]
+    off = 1 * K.UNIT  # the seams' corners lie at multiples of the side and one unit
+    for c in range(3):  # diagonals through corners, rising and falling
+        x, y = c * side + off, side + off
+        rings += [[(x - 200 * 1, y - 200), (x + 200, y + 200), (x - 200, y + 200)], [(x - 100, y + 100), (x + 100, y - 100), (x + 100, y + 100)]]
+    rows += [(10 + n, [[[{"x": 2 * K.UNIT * round(x / 2 / K.UNIT), "y": 2 * K.UNIT * round(y / 2 / K.UNIT)} for x, y in [*r, r[0]]]]]) for n, r in enumerate(rings)]
+    df = spark.createDataFrame(rows, f"OBJECTID long, geometry {G.POLYGON}")
+    at = np.array([(rng.uniform(-950, 1750), rng.uniform(-950, 1750)) for _ in range(150)] + [(rng.uniform(50, 650), rng.uniform(50, 650)) for _ in range(400)])
+    found = {}
+    for limit in (4_000, 60):  # one level, several levels
+        zones = S.build_atomic_zones(df, 1 / 512, 0.0, tile=400.0, limit=limit).withColumn("area", G.area(F.col("geometry"))).collect()
+        points_agree(zones, rows, at)
+        found[limit] = sorted((sorted(z["cover"]), round(z["area"], 1)) for z in zones if z["area"] > 1)
+        area = dict.fromkeys((i for i, _ in rows), 0.0)
+        for z in zones:
+            for i in z["cover"]:
+                area[i] += z["area"]
+        plain = {r["OBJECTID"]: r["a"] for r in df.select("OBJECTID", G.area(F.col("geometry")).alias("a")).collect()}
+        assert all(abs(area[i] - plain[i]) < 1.0 for i in plain)
+    assert {str(c) for c, _ in found[4_000]} == {str(c) for c, _ in found[60]}
+    split = S.tile_segments(df.withColumnRenamed("OBJECTID", "id"), 400.0, 60)
+    assert split[1] >= 2 and split[0].where("level = 0").count() and split[0].where("level > 1").count()
+
+
+def test_one_polygon_with_100000_vertices(spark):
+    """A region of 120 km: its segments are dealt to tiles, its inner tiles get its id alone."""
+    n = 100_000
+    a = 2 * np.pi * np.arange(n) / n
+    r = 60_000 + 3_000 * np.sin(40 * a)
+    big = [(1, [[[{"x": float(x), "y": float(y)} for x, y in zip(np.append(r * np.cos(a), r[0]), np.append(r * np.sin(a), 0.0))]]])]
+    small = [(2, [[[{"x": x, "y": y} for x, y in [(100.0, 100.0), (900.0, 100.0), (900.0, 900.0), (100.0, 900.0), (100.0, 100.0)]]]])]
+    df = spark.createDataFrame(big + small, f"OBJECTID long, geometry {G.POLYGON}")
+    zones = S.build_atomic_zones(df, 1 / 512, 0.0).select("cover", G.area(F.col("geometry")).alias("a")).collect()
+    want = float((r**2).mean() * np.pi)
+    assert sorted(z["cover"] for z in zones) == [[1], [1, 2]]
+    assert {len(z["cover"]): round(z["a"]) for z in zones}[2] == 640_000
+    assert abs(sum(z["a"] for z in zones) - want) / want < 1e-6
+    parts, _ = S.tile_segments(df.withColumnRenamed("OBJECTID", "id"))
+    assert parts.where("ax IS NULL").count() > 500 and parts.where("ax IS NOT NULL").count() < 1.2 * n
+
+
+def test_only_crossing_polygons_are_taken_apart(monkeypatch):
+    """The flat test against all pairs of segments, exactly: also with 600 km and a vertex one unit off an edge."""
+    rng = random.Random(4)
+
+    def crosses(ring):
+        e = list(zip(ring, ring[1:]))
+        side = lambda a, b, p: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+        on = lambda a, b, p: side(a, b, p) == 0 and (p[0] - a[0]) * (b[0] - p[0]) + (p[1] - a[1]) * (b[1] - p[1]) > 0
+        for i, (a, b) in enumerate(e):
+            for c, d in e[i + 1 :]:
+                proper = side(a, b, c) * side(a, b, d) < 0 and side(c, d, a) * side(c, d, b) < 0
+                if proper or on(a, b, c) or on(a, b, d) or on(c, d, a) or on(c, d, b) or {a, b} == {c, d}:
+                    return True
+        return False
+
+    rings = [[(2 * rng.randrange(12), 2 * rng.randrange(12)) for _ in range(rng.randrange(3, 7))] for _ in range(300)]
+    far = 600_000 * 1024
+    rings += [[(0, 0), (far, far - 2), (far, 0)], [(0, 0), (far, far - 2), (far // 2, far // 2 - 2), (far, 0)], [(0, 0), (far, far - 2), (far // 2, far // 2), (far, 0)]]
+    rings = [[p for p, q in zip(r, r[-1:] + r) if p != q] for r in rings]
+    rings = [[*r, r[0]] for r in rings if len(r) > 2]
+    column = pa.array([None] + [[[[{"x": x * K.UNIT, "y": y * K.UNIT} for x, y in r]]] for r in rings], pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))))
+    for pairs in (1 << 20, 7):
+        monkeypatch.setattr(K, "PAIRS", pairs)
+        assert K.crossing_rows(*K.polygon_segments(column)).tolist() == [n + 1 for n, r in enumerate(rings) if crosses(r)]
+
+
+def test_convex_is_told_in_the_jvm(spark):
+    ring = lambda *p: [[[{"x": float(x), "y": float(y)} for x, y in [*p, p[0]]]]]
+    star = [(math.cos(4 * math.pi * i / 5), math.sin(4 * math.pi * i / 5)) for i in range(5)]
+    rows = [(1, ring((0, 0), (4, 0), (4, 3), (0, 3))), (2, ring((0, 0), (0, 3), (4, 3), (4, 0))), (3, ring((0, 0), (4, 0), (1, 1), (0, 4))), (4, ring((0, 0), (4, 4), (4, 0), (0, 4))), (5, ring(*star)), (6, []), (7, None), (8, ring((0, 0), (2, 0), (4, 0), (0, 3)))]
+    got = {r["i"]: r["c"] for r in spark.createDataFrame(rows, f"i long, geometry {G.POLYGON}").select("i", S._convex(F.col("geometry")).alias("c")).collect()}
+    assert [bool(got[i]) for i in range(1, 9)] == [True, True, False, False, False, False, False, False]
+
+
+def test_rings_of_a_batch(spark):
+    """Holes, islands in holes, rings that touch in a vertex, edges both ways, empty rows: the same as the plain chaining, row by row."""
+    box = lambda x, y, w, h: [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+    edges = lambda ring: [(*p, *q) for p, q in zip(ring, ring[1:] + ring[:1])]
+    rows = [edges(box(0, 0, 90, 90)) + edges(box(10, 10, 60, 60)[::-1]) + edges(box(20, 20, 30, 30)), edges(box(0, 0, 4, 4)) + edges(box(4, 4, 6, 6)), edges(box(0, 0, 4, 4)) + edges(box(4, 0, 4, 4)), [], None, edges(box(0, 0, 2, 2)) + [(0, 0, 0, 0)]]
+    kind = pa.list_(pa.struct([(c, pa.float64()) for c in ("ax", "ay", "bx", "by")]))
+    got = K.ring_columns(pa.array([None if r is None else [dict(zip(("ax", "ay", "bx", "by"), map(float, e))) for e in r] for r in rows], kind)).to_pylist()
+    plain = [K.dissolve([np.array([e for e in r or [] if e[:2] != e[2:]], float).reshape(-1, 4)]) if r else [] for r in rows]
+    canon = lambda parts, unit: sorted(sorted((tuple(sorted(p)) for p in part), key=len) for part in [[[(x * unit, y * unit) for x, y in ring] for ring in p] for p in parts])
+    assert [canon([[[(p["x"], p["y"]) for p in ring[:-1]] for ring in part] for part in g], 1) for g in got] == [canon([[ring[:-1] for ring in part] for part in g], K.UNIT) for g in plain]
+    assert [len(g) for g in got] == [2, 2, 1, 0, 0, 1] and sorted(len(p) for p in got[0]) == [1, 2]

@@ -25,6 +25,14 @@ from pyspark.sql.column import Column
 PIECE, LANES = 512, 16
 
 
+#: Rules to a word of bits; there are as many words as the rules need.
+WORD = 62
+
+
+def _joined(words: tuple[int, ...]) -> int:
+    return functools.reduce(operator.or_, (w << WORD * n for n, w in enumerate(words)))
+
+
 @dataclass(frozen=True)
 class Rule:
     """Spans are the leftmost longest matches of head + value, without overlaps; those whose value has less than `least` bytes
@@ -89,14 +97,15 @@ def _reversed(x: tuple) -> tuple:
 class Automaton:
     classes: np.ndarray  # byte -> class
     step: np.ndarray  # state * n_classes + class -> state * n_classes
-    fired: np.ndarray  # state * n_classes -> bits of the rules that end here
+    fired: np.ndarray  # state * n_classes -> bits of the first WORD rules that end here
+    more: tuple[np.ndarray, ...]  # the same of the next WORD rules, and so on
     resets: np.ndarray  # byte -> whether it brings every state to the start
     n_classes: int
 
     @functools.cached_property
     def lists(self) -> tuple[list[int], list[int]]:
         """step and fired for reading one byte after the other."""
-        return self.step.tolist(), self.fired.tolist()
+        return self.step.tolist(), [_joined(words) for words in zip(self.fired.tolist(), *(w.tolist() for w in self.more))]
 
 
 def _positions(rules: tuple[tuple, ...]) -> tuple[list, list[set], set, dict[int, int]]:
@@ -167,8 +176,9 @@ def compile_expressions(rules: tuple[tuple, ...], anchored: bool = False) -> Aut
             row.append(ids[nxt])
         rows.append(row)
     table = np.array(rows)
-    out = np.array([functools.reduce(operator.or_, (bits.get(p, 0) for p in s), 0) for s in ids])
-    block = np.unique(out, return_inverse=True)[1].reshape(-1)
+    out = [functools.reduce(operator.or_, (bits.get(p, 0) for p in s), 0) for s in ids]
+    masks: dict[int, int] = {}
+    block = np.array([masks.setdefault(m, len(masks)) for m in out])
     while True:
         _, finer = np.unique(np.column_stack([block, block[table]]), axis=0, return_inverse=True)
         finer = finer.reshape(-1)
@@ -181,13 +191,14 @@ def compile_expressions(rules: tuple[tuple, ...], anchored: bool = False) -> Aut
         if order[b] < 0:
             order[b], names = names, names + 1
     block = order[block]
-    small, small_out = np.zeros((names, len(member)), np.int64), np.zeros(names, np.int64)
-    small[block], small_out[block] = block[table], out
-    n = len(member)
-    fired = np.zeros(names * n, np.uint16)
-    fired[np.arange(names) * n] = small_out
+    small = np.zeros((names, len(member)), np.int64)
+    small[block] = block[table]
+    n, words = len(member), []
+    for k in range(0, max(1, len(rules)), WORD):
+        words.append(np.zeros(names * n, np.int64))
+        words[-1][block * n] = [m >> k & ((1 << WORD) - 1) for m in out]
     resets = (small == 0).all(axis=0)[classes]
-    return Automaton(classes, (small * n).astype(np.int32).reshape(-1), fired, resets, n)
+    return Automaton(classes, (small * n).astype(np.int32).reshape(-1), words[0], tuple(words[1:]), resets, n)
 
 
 @dataclass(frozen=True)
@@ -223,7 +234,8 @@ def scan(data: np.ndarray, starts: np.ndarray, auto: Automaton) -> tuple[np.ndar
     order = np.argsort(-length, kind="stable")
     begin, length = begin[order], length[order]
     kinds = auto.classes[data]
-    state, fired = np.zeros(len(begin), np.int32), np.zeros(len(begin), np.uint16)
+    state, every = np.zeros(len(begin), np.int32), (auto.fired, *auto.more)
+    fired = [np.zeros(len(begin), np.int64) for _ in every]
     # pieces are sorted by length: those still running are the first ones
     running = np.searchsorted(-length, -np.arange(int(length[0])), side="left")
     done = len(running)
@@ -233,17 +245,20 @@ def scan(data: np.ndarray, starts: np.ndarray, auto: Automaton) -> tuple[np.ndar
             break
         now = auto.step[state[:n] + kinds[begin[:n] + j]]
         state[:n] = now
-        fired[:n] |= auto.fired[now]
+        for seen, out in zip(fired, every):
+            seen[:n] |= out[now]
     step, out = auto.lists
     for i in range(int(running[done]) if done < len(running) else 0):
-        now, seen = int(state[i]), int(fired[i])
+        now, seen = int(state[i]), 0
         for kind in kinds[begin[i] + done : begin[i] + length[i]].tolist():
             now = step[now + kind]
             seen |= out[now]
-        fired[i] = seen
-    hit = np.flatnonzero(fired)
+        for n, word in enumerate(fired):
+            word[i] |= seen >> WORD * n & ((1 << WORD) - 1)
+    hit = np.flatnonzero(functools.reduce(operator.or_, fired))
     hit = hit[np.argsort(begin[hit])]
-    return begin[hit], begin[hit] + length[hit], fired[hit]
+    bits = np.array([_joined(words) for words in zip(*(word[hit].tolist() for word in fired))], object)
+    return begin[hit], begin[hit] + length[hit], bits
 
 
 def _longest(auto: Automaton, kinds: list[int], at: int) -> int:
@@ -271,13 +286,13 @@ def cut(piece: np.ndarray, bits: int, compiled: Compiled) -> list[tuple[int, int
     for k, rule in enumerate(compiled.rules):
         if not bits >> k & 1:
             continue
-        kinds = compiled.spans[k].classes[piece].tolist()
-        done = 0
+        kinds, head, done = compiled.spans[k].classes[piece].tolist(), compiled.heads[k], 0
+        head_kinds = head.classes[piece].tolist() if head else []
         for at in [i for i, m in enumerate(marks) if m >> k & 1]:
             if at < done:
                 continue
             done = _longest(compiled.spans[k], kinds, at)
-            value = _longest(compiled.heads[k], compiled.heads[k].classes[piece].tolist(), at) if compiled.heads[k] else at
+            value = _longest(head, head_kinds, at) if head else at
             if done - value >= rule.least:
                 found.append((at, done, k))
     return found

@@ -83,6 +83,27 @@ def test_long_pieces_without_a_reset_are_linear(monkeypatch):
     assert secrets.find(pa.array(["x" * 600 + " token: abcdefghijkl"])) == [[(601, 620, 0)]]
 
 
+def test_many_hits_in_a_text_without_line_ends_are_linear():
+    import time
+
+    one = "token=abcdefghijklmnop" + ","
+    began = time.process_time()
+    found = secrets.find(pa.array([one * 44_000]))[0]
+    assert len(found) == 44_000 and found[-1] == (43_999 * 23, 43_999 * 23 + 22, 0)
+    assert time.process_time() - began < 20  # a megabyte: quadratic work would take minutes
+
+
+@pytest.mark.parametrize("n", [20, 70, 130])
+def test_any_number_of_rules(n, monkeypatch):
+    rules = tuple(secrets.Rule(f"r{k}", b"", f"key{k}x[0-9]+".encode()) for k in range(n))
+    texts = [f"a key{k}x12 b" for k in range(n)] + [" ".join(f"key{k}x7" for k in range(n)), "key"]
+    want = [[(2, 2 + len(f"key{k}x12"), k)] for k in range(n)]
+    for lanes in (16, 10**6):  # side by side, and byte by byte
+        monkeypatch.setattr(secrets, "LANES", lanes)
+        found = secrets.find(pa.array(texts), secrets.compile_rules(rules))
+        assert found[:n] == want and [k for _, _, k in found[n]] == list(range(n)) and found[n + 1] == []
+
+
 def test_automaton_is_minimal_and_total():
     auto = secrets.compile_rules().combined
     n = len(auto.step) // auto.n_classes

@@ -372,20 +372,38 @@ def inner_points(edges: np.ndarray, face: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def covered_pairs(points: np.ndarray, polygons: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Point and polygon numbers of every point inside a polygon (its segments; even-odd). Only points in a polygon's box are tested."""
-    order = np.argsort(points[:, 0], kind="stable")
-    xs, ys = points[order, 0], points[order, 1]
-    at, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for k, seg in enumerate(polygons):
-        if not len(seg):
-            continue
-        lo, hi = np.searchsorted(xs, [seg[:, 0].min(), seg[:, 0].max()])
-        near = np.flatnonzero((ys[lo:hi] > seg[:, 1].min()) & (ys[lo:hi] < seg[:, 1].max())) + lo
-        hit = order[near[covers(np.column_stack([xs[near], ys[near]]), seg)]] if len(near) else near
-        at.append(hit)
-        of.append(np.full(len(hit), k))
-    return np.concatenate(at), np.concatenate(of)
+def inside_leaf(points: np.ndarray, seg: np.ndarray, owner: np.ndarray, corner: np.ndarray, at: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Points of a leaf and owners strictly around them, given which owners (corner, 0 or 1) are around the leaf's lower left corner.
+
+    On the way from the corner along the lower side and then up to the point every segment that is crossed changes sides. Owners
+    without a segment in the leaf cover all of its points or none. A bounded number of points and segments is tested at a time.
+    """
+    x0, y0 = at
+    busy = np.unique(owner)
+    whole = np.setdiff1d(np.flatnonzero(corner), busy)
+    out = [np.repeat(np.arange(len(points)), len(whole))], [np.tile(whole, len(points))]
+    if len(seg):
+        order = np.argsort(owner, kind="stable")
+        seg, own = seg[order], owner[order]
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        ax, ay, bx, by = seg.T
+        low = (ay > y0) != (by > y0)
+        cross = np.where(low, on_row(np.where(low[:, None], seg, [0, 0, 0, 1]), y0), 0)  # even, so never the corner itself
+        step = max(1, PAIRS // len(seg))
+        for k in range(0, len(points), step):
+            px, py = points[k : k + step, :1], points[k : k + step, 1:]
+            along = low & (cross > x0) & (cross <= px)
+            up = (ax > px) != (bx > px)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                y = ay + (px - ax) * (by - ay) / (bx - ax)
+            turns = along.astype(np.int64) + (up & (y > y0) & (y < py))
+            on = ((bx - ax) * (py - ay) == (by - ay) * (px - ax)) & (np.minimum(ax, bx) <= px) & (px <= np.maximum(ax, bx)) & (np.minimum(ay, by) <= py) & (py <= np.maximum(ay, by))
+            inside = (np.add.reduceat(turns, first, axis=1) + corner[own[first]]) % 2 == 1
+            inside &= ~np.logical_or.reduceat(on, first, axis=1)
+            p, q = np.nonzero(inside)
+            out[0].append(p + k)
+            out[1].append(own[first][q])
+    return np.concatenate(out[0]), np.concatenate(out[1])
 
 
 def _inside(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> bool:

@@ -23,18 +23,13 @@ from overlay_jobs.session import broadcast_if_small, dealt_out, settle
 #: Side of a tile in metres; segments of a tile beyond which it is split; splits at most (to tiles of 62.5 m).
 TILE, TILE_VERTICES, LEVELS = 4_000.0, 4_000, 6
 DISSOLVE_KEY = ("TRT_ACTIVITIES", "TRT_EFF", "TRT_SET", "FIRST_TRT", "LAST_TRT", "FIRST_TRT_YEAR", "LAST_TRT_YEAR", "COMPLETE", "LAST_THIN", "CANOPY", "SURFACE", "AGENCIES")
+#: Points of a leaf that go to one task, about.
+LEAF_POINTS = 65_536
 #: Areas of interest that are broadcast at most.
 AREAS = 1_000
 _EDGE = "array<struct<ax: double, ay: double, bx: double, by: double>>"
 
 
-def _cells(df: DataFrame, size: Column | float, geometry: str = "geometry", shift: float = 0.0) -> DataFrame:
-    """One row per cell (cx, cy) that the box of the geometry meets. shift: where the grid begins."""
-    b = G.bounds(F.col(geometry))
-    span = lambda lo, hi: F.sequence(F.floor((lo - shift) / size).cast("long"), F.floor((hi - shift) / size).cast("long"))
-    return df.withColumn("cx", F.explode(span(b["xmin"], b["xmax"]))).withColumn("cy", F.explode(span(b["ymin"], b["ymax"])))
-
-
 def _tile_sides(tile: float) -> list[int]:
     """Sides in units of tiles that were split 0, 1 ... LEVELS times: even, each twice the next."""
     fine = 2 * max(1, round(tile / 2**LEVELS / (2 * K.UNIT)))
@@ -183,9 +178,9 @@ def _marks(flips: DataFrame, keys: list[str], last: Column | None = None) -> Dat
     return rows.select(*keys, F.explode(ends).alias("e")).select(*keys, F.explode(_steps(F.col("e.lo"), F.col("e.hi"))).alias("c"))
 
 
-def tile_segments(df: DataFrame, tile: float = TILE, limit: int = TILE_VERTICES) -> tuple[DataFrame, int]:
+def tile_segments(df: DataFrame, tile: float = TILE, limit: int = TILE_VERTICES) -> tuple[DataFrame, int, DataFrame]:
     """level, tx, ty, id, ax, ay, bx, by: every segment of the polygons (id, geometry) in each tile it may meet, and a row without a
-    segment for every polygon around the lower left corner of a tile; and the finest level.
+    segment for every polygon around the lower left corner of a tile; the finest level; and tx, ty, level of the tiles that are split.
 
     No geometry is copied: a polygon's inner tiles get its id only. Whether a corner is inside follows from where the polygon
     crosses the seams below and left of it. A tile with too many segments is split into four, again and again.
@@ -207,7 +202,7 @@ def tile_segments(df: DataFrame, tile: float = TILE, limit: int = TILE_VERTICES)
     names = ["level", "tx", "ty", "id", "ax", "ay", "bx", "by"]
     none = {c: F.lit(None).cast("long") for c in ("ax", "ay", "bx", "by")}
     if not finest:
-        return base.withColumn("level", F.lit(0)).select(*names).unionByName(marks.withColumns({"level": F.lit(0), **none}).select(*names)), 0
+        return base.withColumn("level", F.lit(0)).select(*names).unionByName(marks.withColumns({"level": F.lit(0), **none}).select(*names)), 0, dense
     marks = settle(marks, "tile-marks")
     dense = broadcast_if_small(dense)
     coarse = base.join(dense, ["tx", "ty"], "left_anti").withColumn("level", F.lit(0)).select(*names)
@@ -229,7 +224,7 @@ def tile_segments(df: DataFrame, tile: float = TILE, limit: int = TILE_VERTICES)
     flips = flips.where(F.col("c") < F.col("per"))
     found = _marks(flips, keys, F.col("per") - 1)
     found = found.select("level", (F.col("tx") * F.col("per") + F.col("c")).alias("tx"), (F.col("ty") * F.col("per") + F.col("r")).alias("ty"), "id").withColumns(none)
-    return coarse.unionByName(fine).unionByName(found.select(*names)), finest
+    return coarse.unionByName(fine).unionByName(found.select(*names)), finest, dense
 
 
 def build_atomic_zones(df: DataFrame, snap: float = 1.0, min_area_m2: float = L.MIN_AREA_M2, id_col: str = "OBJECTID", tile: float = TILE, limit: int = TILE_VERTICES) -> DataFrame:
@@ -242,7 +237,7 @@ def build_atomic_zones(df: DataFrame, snap: float = 1.0, min_area_m2: float = L.
     """
     own = df.select(F.col(id_col).cast("long").alias("id"), G.snap(F.col("geometry"), snap).alias("geometry"))
     own = G.drop_slivers(repair_geometry(own), min_area_m2)
-    parts, finest = tile_segments(own, tile, limit)
+    parts, finest, _ = tile_segments(own, tile, limit)
     sides = _tile_sides(tile)
     pieces = parts.groupBy("level", "tx", "ty").applyInArrow(lambda t: _tile_faces(t, sides, finest), f"piece string, cover array<bigint>, px double, py double, edges {_EDGE}, seams {_EDGE}")
     pieces = settle(pieces, "pieces")
@@ -274,14 +269,55 @@ def contains(geometry: Column, x: Column, y: Column) -> Column:
     return ~on & (F.size(F.filter(every, up)) % 2 == 1)
 
 
-def assign_points(points: DataFrame, polygons: DataFrame, point_id: str = "_atom_id", polygon_id: str = "OBJECTID", x: str = "px", y: str = "py", cell: float = 1_000.0) -> DataFrame:
-    """Every pair of a point and a polygon strictly around it: point_id, polygon_id. Equi-join on grid cells, then the exact test."""
-    spots = points.select(F.col(point_id), F.col(x).alias("_x"), F.col(y).alias("_y"), F.floor(F.col(x) / cell).cast("long").alias("_cx"), F.floor(F.col(y) / cell).cast("long").alias("_cy"))
-    around = polygons.select(F.col(polygon_id).cast("long").alias(polygon_id), F.col("geometry").alias("geometry"))
-    around = _cells(around.withColumns(G.bounds(F.col("geometry"))), F.lit(cell))
-    pairs = spots.join(around, (F.col("_cx") == F.col("cx")) & (F.col("_cy") == F.col("cy")))
-    pairs = pairs.where("_x > xmin AND _x < xmax AND _y > ymin AND _y < ymax")
-    return pairs.where(contains(F.col("geometry"), F.col("_x"), F.col("_y"))).select(point_id, polygon_id)
+def _around(points: pa.Table, parts: pa.Table, sides: list[int], names: tuple[str, str]) -> pa.Table:
+    """Pairs of the points of a leaf and the polygons strictly around them, from the leaf's segments and marks."""
+    none = pa.Table.from_arrays([points.column("_p").slice(0, 0), pa.array([], pa.int64())], names)
+    if not len(points) or not len(parts):
+        return none
+    level, cx, cy = (points.column(c)[0].as_py() for c in ("level", "tx", "ty"))
+    side = sides[level]
+    x0, y0 = cx * side + 1, cy * side + 1
+    p = np.column_stack([points.column(c).to_numpy() for c in ("_x", "_y")]) / K.UNIT
+    mark = parts.column("ax").is_null().to_numpy()
+    ids, number = np.unique(parts.column("id").to_numpy(), return_inverse=True)
+    seg = np.column_stack([parts.column(c).filter(pa.array(~mark)).to_numpy().astype(np.int64) for c in ("ax", "ay", "bx", "by")]).reshape(-1, 4)
+    corner = np.bincount(number[mark], minlength=len(ids)) % 2
+    inside = K.inside_leaf(p, seg, number[~mark], corner, (x0, y0))
+    return pa.Table.from_arrays([points.column("_p").take(pa.array(inside[0])), pa.array(ids[inside[1]], pa.int64())], names)
+
+
+def assign_points(points: DataFrame, polygons: DataFrame, point_id: str = "_atom_id", polygon_id: str = "OBJECTID", x: str = "px", y: str = "py", cell: float = 1_000.0, limit: int = TILE_VERTICES) -> DataFrame:
+    """Every pair of a point and a polygon strictly around it: point_id, polygon_id. Polygons are taken to 1/512 m.
+
+    Space is split where segments are dense. A polygon goes to the leaves that its outline meets by its segments there, and to those
+    inside it by its id alone, where no point needs a test. Leaves with many points are dealt to several tasks.
+    """
+    own = polygons.select(F.col(polygon_id).cast("long").alias("id"), "geometry").where(G.not_empty(F.col("geometry")))
+    parts, finest, dense = tile_segments(own, cell, limit)
+    sides = _tile_sides(cell)
+    at = lambda v, side: F.floor((F.col(v) / K.UNIT - 1) / side).cast("long")
+    spots = points.select(F.col(point_id).alias("_p"), F.col(x).alias("_x"), F.col(y).alias("_y")).where("_x IS NOT NULL AND _y IS NOT NULL AND NOT isnan(_x) AND NOT isnan(_y)")
+    spots = spots.withColumns({"tx": at("_x", sides[0]), "ty": at("_y", sides[0])})
+    if finest:
+        spots = spots.join(broadcast_if_small(dense), ["tx", "ty"], "left").withColumn("level", F.coalesce("level", F.lit(0)))
+        side = F.lit(float(sides[0])) / F.pow(F.lit(2.0), F.col("level"))
+        spots = spots.withColumns({"tx": at("_x", side), "ty": at("_y", side)})
+    else:
+        spots = spots.withColumn("level", F.lit(0))
+    leaf = ["level", "tx", "ty"]
+    spots = settle(spots.withColumn("_n", F.monotonically_increasing_id()), "spots")
+    crowded = spots.groupBy(*leaf).agg(F.ceil(F.count("*") / LEAF_POINTS).alias("deals")).where("deals > 1")
+    if crowded.limit(1).count():
+        crowded = broadcast_if_small(settle(crowded, "crowded-leaves"))
+        spots = spots.join(crowded, leaf, "left").withColumn("deal", F.when(F.col("deals") > 1, F.pmod(F.xxhash64("_n"), F.col("deals"))).otherwise(F.lit(0).cast("long")))
+        parts = parts.join(crowded, leaf, "left").withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("deals", F.lit(1).cast("long")) - 1)))
+    else:
+        spots, parts = spots.withColumn("deal", F.lit(0).cast("long")), parts.withColumn("deal", F.lit(0).cast("long"))
+    keys = [*leaf, "deal"]
+    kind = points.schema[point_id].dataType.simpleString()
+    pairs = spots.select(*keys, "_p", "_x", "_y").groupBy(*keys).cogroup(parts.select(*keys, "id", "ax", "ay", "bx", "by").groupBy(*keys))
+    found = pairs.applyInArrow(lambda a, b: _around(a, b, sides, ("_p", "_q")), f"_p {kind}, _q long")
+    return found.select(F.col("_p").alias(point_id), F.col("_q").alias(polygon_id))
 
 
 def assign_treatments(zones: DataFrame, polygons: DataFrame, id_col: str = "OBJECTID", cell: float = 1_000.0) -> DataFrame:
@@ -308,20 +344,22 @@ def assign_zones(zones: DataFrame, own: DataFrame, noded: DataFrame, snap: float
 
 
 def _candidates(df: DataFrame, aoi: DataFrame, cell: float) -> DataFrame:
-    """Each pair of a row and an area of interest (_aoi, _area) whose boxes meet, once. Cells get the areas' boxes; the areas
-    themselves, which may be large, are joined to the pairs."""
+    """Each pair of a row and an area of interest (_aoi, _area) whose boxes meet, once. Cells get boxes only; rows and areas, which may
+    be large, are joined to the pairs."""
+    df = settle(df.withColumn("_row", F.monotonically_increasing_id()), "clipped-rows")
     aoi = settle(aoi.withColumn("_area_row", F.monotonically_increasing_id()), "areas")
     b, c = G.bounds(F.col("geometry")), G.bounds(F.col("_area"))
-    left = _cells(df.withColumns({f"_{k}": v for k, v in b.items()}), F.lit(cell))
-    boxes = aoi.select("_area_row", *(v.alias(f"_a{k}") for k, v in c.items()))
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell).cast("long"), F.floor(F.col(hi) / cell).cast("long"))
+    left = df.select("_row", *(v.alias(f"_{k}") for k, v in b.items()))
+    left = left.withColumn("cx", F.explode(span("_xmin", "_xmax"))).withColumn("cy", F.explode(span("_ymin", "_ymax")))
+    boxes = aoi.select("_area_row", *(v.alias(f"_a{k}") for k, v in c.items()))
     right = boxes.withColumn("_cx", F.explode(span("_axmin", "_axmax"))).withColumn("_cy", F.explode(span("_aymin", "_aymax")))
     pairs = left.join(right, (F.col("cx") == F.col("_cx")) & (F.col("cy") == F.col("_cy")))
     pairs = pairs.where("_xmin <= _axmax AND _axmin <= _xmax AND _ymin <= _aymax AND _aymin <= _ymax")
     # a pair meets in many cells: the one that holds the lower left corner of both boxes counts
     home = (F.floor(F.greatest("_xmin", "_axmin") / cell) == F.col("cx")) & (F.floor(F.greatest("_ymin", "_aymin") / cell) == F.col("cy"))
-    pairs = pairs.where(home).drop("cx", "cy", "_cx", "_cy", *(f"_{k}" for k in b), *(f"_a{k}" for k in c))
-    return pairs.join(broadcast_if_small(aoi, AREAS), "_area_row").drop("_area_row")
+    pairs = settle(pairs.where(home).select("_row", "_area_row"), "clip-pairs")
+    return df.join(pairs, "_row").join(broadcast_if_small(aoi, AREAS), "_area_row").drop("_area_row", "_row")
 
 
 def _intersects(a: pa.Array, b: pa.Array) -> pa.Array:

@@ -257,7 +257,7 @@ def test_one_polygon_with_100000_vertices(spark):
     assert sorted(z["cover"] for z in zones) == [[1], [1, 2]]
     assert {len(z["cover"]): round(z["a"]) for z in zones}[2] == 640_000
     assert abs(sum(z["a"] for z in zones) - want) / want < 1e-6
-    parts, _ = S.tile_segments(df.withColumnRenamed("OBJECTID", "id"))
+    parts, _, _ = S.tile_segments(df.withColumnRenamed("OBJECTID", "id"))
     assert parts.where("ax IS NULL").count() > 500 and parts.where("ax IS NOT NULL").count() < 1.2 * n
 
 
@@ -306,3 +306,35 @@ def test_rings_of_a_batch(spark):
     canon = lambda parts, unit: sorted(sorted((tuple(sorted(p)) for p in part), key=len) for part in [[[(x * unit, y * unit) for x, y in ring] for ring in p] for p in parts])
     assert [canon([[[(p["x"], p["y"]) for p in ring[:-1]] for ring in part] for part in g], 1) for g in got] == [canon([[ring[:-1] for ring in part] for part in g], K.UNIT) for g in plain]
     assert [len(g) for g in got] == [2, 2, 1, 0, 0, 1] and sorted(len(p) for p in got[0]) == [1, 2]
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_points_in_polygons_by_leaves(spark, monkeypatch, few):
+    """One large polygon with a hole, many small ones, points on edges and vertices, repeated and null points; leaves of several levels
+    and in several deals."""
+    if few:
+        monkeypatch.setattr(S, "LEAF_POINTS", 5)
+    rng = random.Random(12)
+    box = lambda x, y, w, h: [(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)]
+    shapes = {1: [box(-3000.0, -2500.0, 6000.0, 6000.0), box(200.0, 200.0, 500.0, 400.0)[::-1]]}
+    for n in range(2, 120):
+        cx, cy, r, k = rng.uniform(0, 900), rng.uniform(0, 900), rng.uniform(5, 120), rng.randrange(3, 8)
+        ring = [(2 * K.UNIT * round((cx + r * math.cos(2 * math.pi * i / k)) / 2 / K.UNIT), 2 * K.UNIT * round((cy + r * math.sin(2 * math.pi * i / k)) / 2 / K.UNIT)) for i in range(k)]
+        shapes[n] = [[*ring, ring[0]]]
+    shapes[500], shapes[501] = [box(0.0, 0.0, 8.0, 8.0)], [box(8.0, 0.0, 8.0, 8.0)]
+    rows = [(i, [[[{"x": x, "y": y} for x, y in r] for r in rings]]) for i, rings in shapes.items()] + [(900, []), (901, None)]
+    polygons = spark.createDataFrame(rows, f"OBJECTID long, geometry {G.POLYGON}")
+    spots = [(rng.uniform(-200, 1100), rng.uniform(-200, 1100)) for _ in range(400)] + [(8.0, 4.0), (4.0, 4.0), (8.0, 8.0), (0.0, 0.0), (12.0, 4.0), (16.0, 9.0), (4.0, 4.0)]
+    points = spark.createDataFrame([(f"p{n}", x, y) for n, (x, y) in enumerate(spots)] + [("none", None, 1.0)], "_atom_id string, px double, py double")
+    got = S.assign_points(points, polygons, cell=400.0, limit=60 if few else 4_000).collect()
+    want = []
+    for i, rings in shapes.items():
+        seg = np.vstack([K.ring_segments([[np.array(r) / K.UNIT]]) for r in rings])
+        at = np.array(spots) / K.UNIT
+        inside = K.covers(at, seg)
+        d, w = seg[:, 2:] - seg[:, :2], at[:, None, :] - seg[None, :, :2]
+        along = (w * d).sum(axis=2)
+        on = ((d[:, 0] * w[:, :, 1] == d[:, 1] * w[:, :, 0]) & (along >= 0) & (along <= (d * d).sum(axis=1))).any(axis=1)
+        want += [(f"p{n}", i) for n in np.flatnonzero(inside & ~on)]
+    assert sorted((r["_atom_id"], r["OBJECTID"]) for r in got) == sorted(want)
+    assert S.assign_points(points.limit(0), polygons).count() == 0 and S.assign_points(points, polygons.limit(0)).count() == 0

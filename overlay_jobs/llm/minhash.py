@@ -315,17 +315,17 @@ def text_key(text: Column) -> Column:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, links: bool = True) -> DataFrame:
-    """One row per input row: id, class_id (the smallest id in its class of near-duplicates), n_links (verified links of its text
-    to other texts; only with `links`), is_first (whether it is the row that stands for its class).
+    """One row per input row: id, class_id (the smallest id in its class of near-duplicates), n_links (other texts that its text is
+    near; only with `links`), is_first (whether it is the row that stands for its class).
 
     Equal texts are one class from the start and are signed once a row but compared once in all, so a group of copies costs no
     more than its rows. Null counts as empty; texts without words are near only to equal texts; very long texts are signed and
     compared whole. Rows with a null id get the class of their text and are never first unless all its ids are null. Repeated
     rows are copies of each other and are first together. An empty table gives an empty result; other columns are not read.
 
-    Bands find a pair of similarity 0.8 with probability 0.9999; verification is on 64-bit hashes of shingles. With `links` every
-    pair that shares a bucket is verified: work with the square of a bucket. Without, pairs whose texts are in one class already
-    are passed over, which changes no class; all other pairs that share a bucket are verified.
+    Bands find a pair of similarity 0.8 with probability 0.9999; verification is on 64-bit hashes of shingles. For the classes, pairs
+    whose texts are in one class already are passed over, which changes no class; all other pairs that share a bucket are verified.
+    With `links` all pairs of a class are compared as well, as near texts are in one class: work with the square of a class.
     """
     out = _classes(docs, id_col, text_col, least, links)
     return out.select(F.col("id").alias(id_col), "class_id", *(["n_links"] if links else []), "is_first")
@@ -361,19 +361,18 @@ def _at_home(members: DataFrame, *more: str) -> DataFrame:
     return homes.select("key", *more, F.xxhash64("h.bucket", F.pmod(F.xxhash64("key"), F.col("h.parts"))).alias("block"))
 
 
-def _meetings(members: DataFrame, by_label: bool, name: str) -> DataFrame:
-    """members (key, bucket, n, block, label) -> i, j, on_left, key, label: the pairs of blocks that share a bucket, by member.
-
-    With by_label only blocks that hold a text of another label, and blocks are a bucket's own, so that no pair stands twice. Buckets of many members are salted: none is one task's.
+def _meetings(members: DataFrame, name: str) -> DataFrame:
+    """members (key, bucket, n, block, label) -> i, j, on_left, key, label: the pairs of blocks that share a bucket and hold texts of
+    several labels, by member. Blocks are a bucket's own, so that no pair stands twice. Buckets of many members are salted: none is
+    one task's.
     """
     salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
-    others = members.groupBy("bucket", "n", F.col("block").alias("other")).agg(F.count("*").alias("k"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    others = others.select(F.col("bucket").alias("at"), "other", "k", "lo", "hi", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    others = members.groupBy("bucket", "n", F.col("block").alias("other")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    others = others.select(F.col("bucket").alias("at"), "other", "lo", "hi", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     own = members.withColumn("own_salt", F.pmod(F.xxhash64("key"), salts).cast("int"))
-    meets = (F.col("lo") != F.col("label")) | (F.col("hi") != F.col("label")) if by_label else (F.col("block") != F.col("other")) | (F.col("k") > 1)
+    meets = (F.col("lo") != F.col("label")) | (F.col("hi") != F.col("label"))
     met = own.join(others, (F.col("bucket") == F.col("at")) & (F.col("own_salt") == F.col("salt")) & meets)
-    met = met.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("on_left"), "key", "label")
-    return settle(met if by_label else met.distinct(), name)
+    return settle(met.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("on_left"), "key", "label"), name)
 
 
 def _verified(met: DataFrame, least: float, name: str, counted: bool = False) -> DataFrame:
@@ -443,12 +442,28 @@ def _components(shared: DataFrame, state: DataFrame, texts: DataFrame, least: fl
         block = F.when(F.col("many"), own_block).otherwise(F.xxhash64("bucket", F.pmod(F.xxhash64("label"), F.col("pools"))))
     last, members = members, settle(placed.withColumn("block", block).select("key", "bucket", "n", "block", "label"), "near-last")
     discard(last)
-    met = _meetings(members, True, "near-last-met")
+    met = _meetings(members, "near-last-met")
     found = _verified(met.join(texts.hint("merge"), "key"), least, "near-links-last")
     discard(members, met)
     return _relabelled(state, found, "near-state-last")[0]
 
 
+def _links_in_classes(classes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """LINKS of all pairs of texts within classes (node, component, size), as links are never between classes.
+
+    A class is dealt to blocks by its rows and bytes; a text goes to each pair of blocks that has its own, so pairs of texts are
+    compared once, a class of one block in one place.
+    """
+    groups = classes.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1")
+    groups = settle(groups.select(F.col("component").alias("of"), _parts(F.col("n"), F.col("bytes")).alias("parts")), "near-groups")
+    own = join_hot(settle(classes.select("node", "component"), "near-grouped"), groups, "component", "of").where("parts IS NOT NULL")
+    own = own.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    block = lambda c: F.xxhash64("component", c)
+    met = own.select(block(F.least("own", "other")).alias("i"), block(F.greatest("own", "other")).alias("j"), (F.col("own") <= F.col("other")).alias("on_left"), F.col("node").alias("label"))
+    met = settle(met, "near-grouped-met")
+    return _verified(met.join(texts.select("key", "text").hint("merge"), F.col("label") == F.col("key")), least, "near-links", True)
+
+
 def _classes(docs: DataFrame, id_col: str, text_col: str, least: float, with_links: bool) -> DataFrame:
     """id, key of the text, class_id, n_links (with_links), is_first."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -466,16 +481,13 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, least: float, with_lin
     texts = settle(texts.dropDuplicates(["key"]), "near-texts")
     state = homes.select(F.col("asked").alias("key"), "block", F.col("asked").alias("label"))
     named = copies.select("key", "least")
+    classes = _components(shared, state, texts, least).select(F.col("key").alias("node"), F.col("label").alias("component"))
     if with_links:
-        members = settle(shared.join(state, "key"), "near-members")
-        met = _meetings(members, False, "near-met")
-        links = _verified(met.join(texts.drop("block").hint("merge"), "key"), least, "near-links", True)
-        discard(members, met)
-        classes = connected_components(links.where("b IS NOT NULL").select("a", "b"))
+        classes = settle(classes, "near-components")
+        sizes = copies.select(F.col("key").alias("node"), "size")
+        links = _links_in_classes(classes.join(sizes, "node"), texts, least)
         degree = links.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n_links"))
         named = named.join(degree, F.col("key") == F.col("a"), "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
-    else:
-        classes = _components(shared, state, texts, least).select(F.col("key").alias("node"), F.col("label").alias("component"))
     named = named.join(classes, F.col("key") == F.col("node"), "left").withColumn("component", F.coalesce("component", "key"))
     named = settle(named.drop("a", "node"), "near-named")
     discard(texts, homes)

@@ -41,6 +41,11 @@ def test_classes_equal_those_of_all_pairs(spark, monkeypatch, make, block):
     got = minhash.near_duplicates(docs(spark, rows), links=False).collect()
     assert sorted((r["doc_id"], r["class_id"]) for r in got) == sorted(zip([r[0] for r in rows], plain_classes(rows)))
     assert "n_links" not in got[0]
+    bags = [minhash._bag(t) for _, t, _ in rows]
+    want = {i: sum(i != j and rows[i][1] != rows[j][1] and minhash.overlap(bags[i], bags[j]) >= 0.8 for j in range(len(rows))) for i in range(len(rows))}
+    counted = minhash.near_duplicates(docs(spark, rows)).collect()
+    assert {r["doc_id"]: r["n_links"] for r in counted} == {rows[i][0]: n for i, n in want.items()}
+    assert sorted((r["doc_id"], r["class_id"], r["is_first"]) for r in counted) == sorted((r["doc_id"], r["class_id"], r["is_first"]) for r in got)
 
 
 def test_hot_keys_are_broadcast(spark, monkeypatch):

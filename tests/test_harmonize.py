@@ -41,6 +41,14 @@ def test_resolution(spark):
     assert {r["ACRES_REPORTED"] for r in out.values()} == {10.0}
 
 
+def test_thin_classifier_of_ones_own(spark):
+    """Another classifier decides for thinning, and for release with thinning; where it has no answer the default stays."""
+    rows = [(n, *case, 10.0) for n, case in enumerate([(None, "Thinning", None, None, None, "Chain Saw"), (None, "Thinning", None, None, None, "Feller Buncher"), ("Tree Release and Weed", "Thinning", None, None, None, "Chain Saw"), (None, "Mastication", None, None, None, "Chain Saw")])]
+    own = lambda get: F.when(F.lower(get("equipment")) == "chain saw", F.lit("Lop and Scatter"))
+    out = H.harmonize_activity(spark.createDataFrame(rows, COLS), default_crosswalk(spark), own).orderBy("n").collect()
+    assert [r["ACTIVITY"] for r in out] == ["Lop and Scatter", "Mechanical", "Lop and Scatter", "Mastication"]
+
+
 def test_summary_shows_zeros(spark):
     own = H.harmonize_activity(spark.createDataFrame([(1, None, "Mastication", None, None, None, None, 3.0)], COLS), default_crosswalk(spark))
     assert [(r["ACTIVITY_STATUS"], r["records"]) for r in H.harmonize_summary(own).collect()] == [("resolved", 1), ("dropped", 0), ("quarantined", 0)]

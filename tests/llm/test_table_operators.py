@@ -120,8 +120,25 @@ def test_top_k_of_few(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect()] == [(0, 1, 1, 256 * 512)]
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
-    with pytest.raises(ValueError):
-        topk.top_k(spark.createDataFrame([(0, [1e200])], "vec_id long, embedding array<double>"), F.lit(True))
+    twice = spark.createDataFrame([(0, [1.0]), (0, [2.0]), (1, [0.5])], "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(twice, F.col("vec_id") % 50 == 0).collect())) == [(0, 1, 0, 131072), (0, 1, 0, 131072), (0, 2, 1, 32768), (0, 2, 1, 65536)]
+    lone = spark.createDataFrame([(0, [1e306, 1.0])], "vec_id long, embedding array<double>")  # 256e306 is no double
+    assert topk.top_k(lone, F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("outlier", [4e5, 1e30, 1e200, 7e305])
+def test_top_k_with_a_few_large_vectors(spark, outlier):
+    """Large vectors among ordinary ones, as queries and as candidates, repeated ids included."""
+    rng = random.Random(11)
+    rows = [(i, [rng.gauss(0, 0.3) for _ in range(6)]) for i in range(300)] + [(50, [outlier] * 6), (301, [-outlier] * 6), (302, [outlier, 0.5, 0.0, 0.0, 0.0, 0.0]), (100, [0.25] * 6), (350, [0.0] * 6)]
+    df = spark.createDataFrame([(i, v, n) for n, (i, v) in enumerate(rows)], "vec_id long, embedding array<double>, row long")
+    fine = [(i, [math.floor(256 * c) if abs(c) < 1e300 else int(256 * c) for c in v]) for i, v in rows]
+    want = []
+    for n, (q, v) in enumerate(fine):
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, c)), i) for m, (i, c) in enumerate(fine) if m != n)[:5]
+            want += [(q, r + 1, i, max(min(-s, 2**63 - 1), -(2**63))) for r, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0).collect())) == sorted(want)
 
 
 @pytest.mark.parametrize("size", [4e5, 1e7, 1e30])

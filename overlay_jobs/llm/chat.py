@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from overlay_jobs.session import settle
+from overlay_jobs.session import HOT_LEAST, HOT_SHARE, broadcast_if_small, settle
 
 #: Turns in a part; roles that are no participants.
 PART, NARRATORS = 256, ("system",)
@@ -38,6 +38,21 @@ def _placed(own: DataFrame) -> DataFrame:
     return out.select("c", "n", "r", "t", (F.col("at") - F.col("least") + F.col("before")).alias("place"))
 
 
+def _with_speakers(parts: DataFrame, speakers: DataFrame) -> DataFrame:
+    """Settled parts with each speaker of their conversation. Conversations of very many parts have their speakers broadcast where
+    these are few, so that their parts stay where they are; no task gets all of them."""
+    same = F.col("c").eqNullSafe(F.col("sc"))
+    total = parts.count()
+    counts = parts.groupBy(F.col("c").alias("hc")).agg(F.count("*").alias("k")).where(F.col("k") > max(HOT_LEAST, total // HOT_SHARE))
+    hot = settle(counts.select("hc"), "chat-hot")  # HOT_SHARE rows at most
+    if total <= HOT_LEAST or not hot.head(1):
+        return parts.join(speakers, same)
+    is_hot, theirs = F.col("c").eqNullSafe(F.col("hc")), F.col("sc").eqNullSafe(F.col("hc"))
+    some = broadcast_if_small(settle(speakers.join(F.broadcast(hot), theirs, "left_semi"), "chat-hot-speakers"))
+    others = parts.join(F.broadcast(hot), is_hot, "left_anti").join(speakers, same)
+    return others.unionByName(parts.join(F.broadcast(hot), is_hot, "left_semi").join(some, same))
+
+
 def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", part: int = PART) -> DataFrame:
     """conv, speaker, part, n_turns, rendered, masks ("start:end" in code points of the whole rendering, comma-joined), n_masked.
 
@@ -50,7 +65,7 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     parts = _placed(own).groupBy("c", F.floor(F.col("place") / part).cast("long").alias("part")).agg(F.sort_array(F.collect_list(F.struct("n", "r", "t"))).alias("turns"))
     parts = settle(parts, "chat-parts")
     speakers = own.where(F.col("r").isNotNull() & ~F.col("r").isin(*NARRATORS)).select(F.col("c").alias("sc"), F.col("r").alias("speaker")).distinct()
-    views = parts.join(speakers, F.col("c").eqNullSafe(F.col("sc")))
+    views = _with_speakers(parts, settle(speakers, "chat-speakers"))
     tail = "<|im_end|>\n"
     pieces = F.transform("turns", lambda x: F.struct(_head(x["r"], F.col("speaker")).alias("head"), x["t"].alias("body"), F.coalesce(x["r"] == F.col("speaker"), F.lit(False)).alias("own")))
     views = views.select("c", "speaker", "part", F.size("turns").cast("long").alias("n_turns"), pieces.alias("pieces"))

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from overlay_jobs.session import BROADCAST_ROWS, HOT_LEAST, HOT_SHARE, settle
+from overlay_jobs.session import BROADCAST_ROWS, HOT_LEAST, HOT_SHARE, broadcast_if_small, settle
 
 #: Plain bytes of a frame and of a bundle, about; a larger record has a frame to itself.
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 8 << 20
@@ -197,20 +197,18 @@ def record_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fetch(spark: SparkSession, path: str, ids: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """Records of some pages: each asked frame alone is decompressed. ids: a table of page ids; unknown ones give no row."""
-    wanted = ids.select(F.col(id_col).cast("long").alias("asked")).distinct()
-    places = record_index(spark, path).join(wanted, F.col("page_id").eqNullSafe(F.col("asked"))).drop("asked", "page_id")
-    contents = spark.read.schema(ARCHIVE).parquet(path).select(F.col("bundle").alias("own"), "content")
+    """Records of some pages, as of read_archive(). ids: a table of page ids.
 
-    @F.arrow_udf("struct<page_id: bigint, url: string, record_type: string, payload_digest: string, payload_bytes: bigint, refers_to: bigint, payload: binary>")
-    def cut(content: pa.Array, frame: pa.Array, offset: pa.Array, length: pa.Array) -> pa.Array:
-        open_, rows = zstandard.ZstdDecompressor(), []
-        for c, f, o, n in zip(content.to_pylist(), frame.to_pylist(), offset.to_pylist(), length.to_pylist()):
-            at, size = seek_table(c)[f]
-            head, block, _ = parse_record(open_.decompress(c[at : at + size])[o : o + n])
-            rows.append(_read(head, block, True))
-        names = ["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "payload"]
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
-        return pa.StructArray.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], names)
-
-    return places.join(contents, F.col("bundle") == F.col("own")).select(cut("content", "frame", "offset", "length").alias("r")).select("r.*")
+    Places are gathered per bundle first, so a bundle's bytes travel once however many of its records are asked for, and each asked
+    frame is decompressed once, the others not at all. An id that is asked more than once gives its records once; one that stands
+    on several records gives all of them, equal rows as often as they were written; a null id gives the records without an id;
+    unknown ids give no row; other columns of `ids` are not read.
+    """
+    wanted = broadcast_if_small(settle(ids.select(F.col(id_col).cast("long").alias("asked")).distinct(), "warc-asked"))
+    places = record_index(spark, path).join(wanted, F.col("page_id").eqNullSafe(F.col("asked")), "left_semi")
+    places = places.groupBy("bundle").agg(F.collect_list(F.struct("record_id", "frame", "offset", "length")).alias("asked_for"))
+    places = settle(places, "warc-places")
+    if (places.agg(F.sum(F.size("asked_for"))).head()[0] or 0) <= BROADCAST_ROWS:
+        places = F.broadcast(places)
+    contents = spark.read.schema(ARCHIVE).parquet(path).select(F.col("bundle").alias("own"), "content")
+    return contents.join(places, F.col("own") == F.col("bundle")).select("content", F.col("asked_for").alias("entries")).mapInArrow(lambda batches: _unpack(batches, True), RECORDS)

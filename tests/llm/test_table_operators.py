@@ -239,6 +239,10 @@ def test_archives(spark):
     assert whole == frames and whole.startswith(b"WARC/1.1\r\n")
     ids = spark.createDataFrame([(3,), (7,), (999,)], "page_id long")
     assert {r["page_id"] for r in warc.fetch(spark, path, ids).collect()} == {3, 7}
+    # every record of the bundles, some asked for twice, the null id among them
+    ids = spark.createDataFrame([(n, "clash") for n in [*range(60), None, 5, 5]], "page_id long, bundle string")
+    assert collections.Counter(map(tuple, warc.fetch(spark, path, ids).collect())) == collections.Counter(map(tuple, out))
+    assert warc.fetch(spark, path, ids.limit(0)).count() == 0
     empty = new_path(spark, "warc")
     warc.write_archive(df.limit(0), empty)
     assert warc.read_archive(spark, empty).count() == 0

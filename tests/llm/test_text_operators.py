@@ -288,7 +288,7 @@ def test_rotation(spark):
 
 
 def test_queries_have_the_columns_of_their_contracts():
-    assert set(Q.oracle_sql()) <= set(Q.queries()) and len(Q.queries()) == 10
+    assert set(Q.oracle_sql()) <= set(Q.queries()) and len(Q.queries()) == 13
 
 
 def test_rotation_cuts_parts_by_place(spark):
@@ -310,3 +310,13 @@ def test_training_finds_labels_late_in_long_texts(spark):
     assert pii.fit(docs(spark, late))
     with pytest.warns(UserWarning):
         assert pii.fit(docs(spark, ["word 7"])) == {}
+
+
+def test_chat_hot_conversation(spark, monkeypatch):
+    """A conversation, here the null one, with most parts takes its speakers by broadcast; renderings stay the same."""
+    rows = [(None, i, ["ann", "bob", "system"][i % 3], f"t{i}") for i in range(90)] + [(c, i, f"s{i % 2}", "x") for c in range(10) for i in range(3)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    plain = sorted(map(str, chat.rotate(df, part=3).collect()))
+    monkeypatch.setattr(chat, "HOT_LEAST", 5)
+    hot = chat.rotate(df, part=3)
+    assert sorted(map(str, hot.collect())) == plain and len(plain) == 80

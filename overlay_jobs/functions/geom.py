@@ -74,6 +74,21 @@ def bounds(geometry: Column) -> dict[str, Column]:
     return {"xmin": F.array_min(xs), "ymin": F.array_min(ys), "xmax": F.array_max(xs), "ymax": F.array_max(ys)}
 
 
+def hilbert(x: Column, y: Column, bits: int = 16) -> Column:
+    """Place of whole x and y, both in [0, 2^bits), on the Hilbert curve; null if one is null."""
+    side = F.lit((1 << bits) - 1).cast("long")
+    start = F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(0).cast("long").alias("d"))
+
+    def step(t: Column, s: Column) -> Column:
+        right, upper = t["x"].bitwiseAND(s) > 0, t["y"].bitwiseAND(s) > 0
+        quarter = F.when(right, F.when(upper, 2).otherwise(3)).otherwise(F.when(upper, 1).otherwise(0))
+        turned = lambda own, other: F.when(upper, own).when(right, side - other).otherwise(other)
+        return F.struct(turned(t["x"], t["y"]).alias("x"), turned(t["y"], t["x"]).alias("y"), (t["d"] + s * s * quarter).alias("d"))
+
+    halves = F.array(*(F.lit(1 << b).cast("long") for b in reversed(range(bits))))
+    return F.when(x.isNotNull() & y.isNotNull(), F.aggregate(halves, start, step)["d"])
+
+
 def total_bounds(df: DataFrame, geometry: str = "geometry") -> DataFrame:
     own = df.select(*(c.alias(n) for n, c in bounds(F.col(geometry)).items()))
     return own.agg(F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"))

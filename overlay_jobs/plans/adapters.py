@@ -109,6 +109,16 @@ def areas_of_interest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("geometry", G.box(x * CELL, y * CELL, (x + 20) * CELL, (y + 20) * CELL))
 
 
+def districts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A square of 40 cells per hundred customers, in the block of cells where their boxes lie, with
+    `code` and `name` of a nation each."""
+    d = table(spark, sf_dir, "customer").select(F.expr("c_custkey div 100").alias("district")).distinct()
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("code"), F.col("n_name").alias("name"))
+    d = d.join(n, F.col("district") % 25 == F.col("n_nationkey")).drop("n_nationkey")
+    x, y = F.col("district") % 64 * 64 + 7, F.expr("district div 64") * 64 + 7
+    return d.withColumn("geometry", G.box(x * CELL, y * CELL, (x + 40) * CELL, (y + 40) * CELL))
+
+
 def second_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes as raw records of a second source: status, error, treatment_date in epoch milliseconds, and a second part ten cells to
     the right for every fourth."""

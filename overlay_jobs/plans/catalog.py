@@ -219,6 +219,23 @@ def saved_layer(spark: SparkSession, sf: str) -> DataFrame:
     return R_.bbox_prefilter(spark.read.parquet(f"{path}-saved"), (6_000.0, 600.0, 9_000.0, 1_500.0)).select("OBJECTID", "xmin", "ymin", "xmax", "ymax")
 
 
+def layer_window(spark: SparkSession, sf: str) -> DataFrame:
+    """A window of a layer that was saved along a curve: files outside it are not opened."""
+    path = new_path(spark, "window")
+    R_.save_layer(T.boxes(spark, sf).select("OBJECTID", "geometry"), path)
+    return R_.read_window(spark, path, (30_000.0, 300.0, 45_000.0, 2_400.0)).select("OBJECTID", "xmin", "ymin", "xmax", "ymax")
+
+
+def within_boundaries(spark: SparkSession, sf: str) -> DataFrame:
+    """Treatments clipped to the districts of two codes, which come from a boundary layer of feature pages."""
+    path = new_path(spark, "boundaries")
+    R_.write_feature_pages(T.districts(spark, sf), path, ["district", "code", "name"])
+    areas = R_.read_boundaries(spark, path, "district bigint, code string, name string", "code", ("00", "01"))
+    areas = areas.select(F.col("district").alias("aoi_id"), "code", "name", "geometry")
+    own = T.boxes(spark, sf).select("OBJECTID", "geometry")
+    return S.overlay_intersection(own, areas, attributes=("code", "name")).select("OBJECTID", "aoi_id", "code", "name", F.round(G.area(F.col("geometry")), 3).alias("area"))
+
+
 def members_of(spark: SparkSession, sf: str) -> DataFrame:
     """Treatments whose customers belong to nations of one region."""
     n = T.table(spark, sf, "nation").where("n_regionkey = 1").select("n_nationkey")
@@ -306,7 +323,7 @@ def dense_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = (source_coverage_raw, dedupe_events, events_to_rows, atom_years, extract_field, event_json, acres_by_activity, acres_by_effect, value_counts, flag_acre_mismatch, unflagged, to_event_schema, combine_sources, qa_filters, year_comp_from_ms, drop_slivers, snap_to_grid, centroids, reproject_round_trip, centroid_grid_heatmap, assign_points, clip_intersects, overlay_intersection, atomic_cover_areas, dissolve_by_activity, exact_duplicates, build_interactions, interactions_by_effect, event_points, dense_ids, feature_pages, saved_layer, members_of, described_layer, year_bounds, complete_in_order, activity_order, first_atom, overlay_attributes, dissolve_duplicates, interactions_pre_dissolved, explode_parts, repair_bow_ties, zones_by_inner_point, ingest_second_source, harmonize_crosswalk)
+    named = (source_coverage_raw, dedupe_events, events_to_rows, atom_years, extract_field, event_json, acres_by_activity, acres_by_effect, value_counts, flag_acre_mismatch, unflagged, to_event_schema, combine_sources, qa_filters, year_comp_from_ms, drop_slivers, snap_to_grid, centroids, reproject_round_trip, centroid_grid_heatmap, assign_points, clip_intersects, overlay_intersection, atomic_cover_areas, dissolve_by_activity, exact_duplicates, build_interactions, interactions_by_effect, event_points, dense_ids, feature_pages, saved_layer, layer_window, within_boundaries, members_of, described_layer, year_bounds, complete_in_order, activity_order, first_atom, overlay_attributes, dissolve_duplicates, interactions_pre_dissolved, explode_parts, repair_bow_ties, zones_by_inner_point, ingest_second_source, harmonize_crosswalk)
     small: dict[str, Query] = {
         "source_coverage_events": lambda s, d: R.event_coverage(T.zones(s, d)),
         "reconcile_audit": lambda s, d: R.audit(T.zones(s, d)),

@@ -275,6 +275,10 @@ ORACLES = {
     "dissolve_by_activity": f"WITH {BOXES}, cv AS (SELECT DISTINCT ACTIVITY, x, y FROM cells) SELECT ACTIVITY, (count(*) * 900)::DOUBLE AS area FROM cv GROUP BY ACTIVITY",
     "exact_duplicates": f"WITH {BOXES} SELECT min(OBJECTID) AS first_id, count(*) AS n FROM b GROUP BY gx, gy, w, h, ACTIVITY HAVING count(*) > 1",
     "feature_pages": f"WITH {BOXES} SELECT OBJECTID, ACTIVITY, YEAR_COMP, (w * h * 900)::DOUBLE AS area FROM b WHERE YEAR_COMP >= 2010",
+    "layer_window": f"WITH {BOXES} SELECT OBJECTID, (gx * 30)::DOUBLE AS xmin, (gy * 30)::DOUBLE AS ymin, ((gx + w) * 30)::DOUBLE AS xmax, ((gy + h) * 30)::DOUBLE AS ymax FROM b WHERE gx * 30 <= 45000 AND (gx + w) * 30 >= 30000 AND gy * 30 <= 2400 AND (gy + h) * 30 >= 300",
+    "within_boundaries": f"""WITH {BOXES}, d AS (SELECT DISTINCT c_custkey::BIGINT // 100 AS aoi_id FROM customer),
+aoi AS (SELECT aoi_id, lpad(n_nationkey::VARCHAR, 2, '0') AS code, n_name AS name, aoi_id % 64 * 64 + 7 AS ax, aoi_id // 64 * 64 + 7 AS ay FROM d JOIN nation ON n_nationkey = aoi_id % 25 WHERE n_nationkey IN (0, 1))
+SELECT OBJECTID, aoi_id, code, name, ((least(gx + w, ax + 40) - greatest(gx, ax)) * (least(gy + h, ay + 40) - greatest(gy, ay)) * 900)::DOUBLE AS area FROM b JOIN aoi ON gx < ax + 40 AND gx + w > ax AND gy < ay + 40 AND gy + h > ay""",
     "saved_layer": f"WITH {BOXES} SELECT OBJECTID, (gx * 30)::DOUBLE AS xmin, (gy * 30)::DOUBLE AS ymin, ((gx + w) * 30)::DOUBLE AS xmax, ((gy + h) * 30)::DOUBLE AS ymax FROM b WHERE gx * 30 <= 9000 AND (gx + w) * 30 >= 6000 AND gy * 30 <= 1500 AND (gy + h) * 30 >= 600",
     "members_of": f"WITH {TREATMENTS} SELECT OBJECTID, ZONE FROM t WHERE ZONE IN (SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1))",
     "described_layer": f"WITH {TREATMENTS} SELECT ZONE, OBJECTID AS old, 'north' AS PROJECT, 2 AS PHASE, row_number() OVER (ORDER BY ZONE, t.OBJECTID) AS OBJECTID FROM t",

@@ -13,6 +13,8 @@ from overlay_jobs.functions import kernels as K
 from overlay_jobs.operators import combine as C
 from overlay_jobs.operators import flags as P
 from overlay_jobs.operators import spatial as S
+from overlay_jobs.session import new_path
+from overlay_jobs.sources import tables as R
 
 
 def ring(*xy):
@@ -338,3 +340,60 @@ def test_points_in_polygons_by_leaves(spark, monkeypatch, few):
         want += [(f"p{n}", i) for n in np.flatnonzero(inside & ~on)]
     assert sorted((r["_atom_id"], r["OBJECTID"]) for r in got) == sorted(want)
     assert S.assign_points(points.limit(0), polygons).count() == 0 and S.assign_points(points, polygons.limit(0)).count() == 0
+
+
+def test_curve_visits_neighbours(spark):
+    side = 8
+    df = spark.range(side * side).select((F.col("id") % side).alias("x"), F.floor(F.col("id") / side).alias("y"))
+    at = {r["d"]: (r["x"], r["y"]) for r in df.withColumn("d", G.hilbert(F.col("x"), F.col("y"), 3)).collect()}
+    assert sorted(at) == list(range(side * side))
+    assert all(abs(at[d][0] - at[d + 1][0]) + abs(at[d][1] - at[d + 1][1]) == 1 for d in range(side * side - 1))
+
+
+def files_read(df):
+    """Files and rows that the scan of a plan that ran has counted."""
+    plan = df._jdf.queryExecution().executedPlan()
+    while plan.children().size():
+        plan = plan.children().apply(0)
+    count = lambda name: plan.metrics().apply(name).value()
+    return count("numFiles"), count("numOutputRows")
+
+
+def test_windows_leave_out_files(spark):
+    """A window of 1 % of the area opens less than 5 % of the files, and gives what a scan of all rows gives."""
+    rng = random.Random(3)
+    rows = [(n, "clash", square(rng.uniform(0, 1e5), rng.uniform(0, 1e5), rng.uniform(1, 50))) for n in range(8_000)] + [(8_000, "x", None), (8_001, "x", [])]
+    df = spark.createDataFrame(rows, f"OBJECTID long, _curve string, geometry {G.POLYGON}").drop("_curve")
+    path, window = new_path(spark, "window"), (30_000.0, 40_000.0, 40_000.0, 50_000.0)
+    R.save_layer(df, path, files=400)
+    own = R.read_window(spark, path, window)
+    got = {r["OBJECTID"] for r in own.collect()}
+    box = lambda g: (*map(min, zip(*((p["x"], p["y"]) for p in g[0][0]))), *map(max, zip(*((p["x"], p["y"]) for p in g[0][0]))))
+    meets = lambda b: b[0] <= window[2] and b[2] >= window[0] and b[1] <= window[3] and b[3] >= window[1]
+    assert got == {n for n, _, g in rows if g and meets(box(g))} and len(got) > 40
+    files, read = files_read(own)
+    assert files < 20 and read < 8_000 * 0.05
+    assert R.read_window(spark, path, (-9.0, -9.0, -8.0, -8.0)).count() == 0
+    assert spark.read.parquet(path).count() == len(rows)  # the table of boxes is not part of the layer
+    R.save_layer(df.limit(0), path)
+    assert R.read_window(spark, path, window).count() == 0
+
+
+def test_boundaries_by_name(spark):
+    df = spark.createDataFrame([("08", "Ada", square(0, 0, 1)), ("08", "Bee", square(2, 0, 1)), ("8", "Cee", square(4, 0, 1)), (None, "Dee", square(6, 0, 1))], f"code string, name string, geometry {G.POLYGON}")
+    path = new_path(spark, "boundaries")
+    R.write_feature_pages(df, path, ["code", "name"])
+    read = lambda column, *values: sorted(r["name"] for r in R.read_boundaries(spark, path, "code string, name string", column, values).collect())
+    assert read("code", "08") == ["Ada", "Bee"] and read("name", "Cee", "Dee") == ["Cee", "Dee"]
+    with pytest.raises(ValueError, match="Eve"):
+        read("name", "Ada", "Eve")
+
+
+def test_sources_in_two_systems(spark):
+    """Sources combine in the first one's system; the same place comes out the same."""
+    here = table(spark, [square(500_000, 4_400_000, 100)])
+    there = here.withColumn("geometry", G.reproject(F.col("geometry"), 26913, 4269))
+    out = C.combine_sources({"A": here, "B": there}, crs={"A": 26913, "B": 4269}).orderBy("OBJECTID").collect()
+    assert [r["SOURCE"] for r in out] == ["A", "B"]
+    for p, q in zip(out[0]["geometry"][0][0], out[1]["geometry"][0][0]):
+        assert math.isclose(p["x"], q["x"], abs_tol=1e-3) and math.isclose(p["y"], q["y"], abs_tol=1e-3)

@@ -114,6 +114,22 @@ def from_json_events(text: Column, schema: str) -> Column:
     return F.from_json(text, schema)
 
 
+def to_variant_events(events: Column, is_text: bool = False) -> Column:
+    """Events in either form, an array of structs or JSON text, as one VARIANT: parsed once, read by path afterwards. Null fields stay;
+    null events, and text that is no JSON, are null."""
+    return F.try_parse_json(events) if is_text else F.to_variant_object(events)
+
+
+def from_variant_events(variant: Column, schema: str) -> Column:
+    """The events of a VARIANT as an array of structs; fields it does not have are null, and what does not fit the schema is null."""
+    return F.try_variant_get(variant, "$", schema)
+
+
+def event_field(variant: Column, n: int, field: str, kind: str = "string") -> Column:
+    """A field of the n-th event (from 0) of a VARIANT; null where there is none."""
+    return F.try_variant_get(variant, f"$[{n}].{field}", kind)
+
+
 def fill_year_bounds(atoms: DataFrame, events: str = "EVENTS") -> DataFrame:
     """FIRST_TRT_YEAR and LAST_TRT_YEAR from the events where they are missing."""
     years = F.transform(F.col(events), lambda e: e["YEAR_COMP"])

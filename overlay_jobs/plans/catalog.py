@@ -67,6 +67,18 @@ def event_json(spark: SparkSession, sf: str) -> DataFrame:
     return z.select("ATOM_ID", F.size(back).alias("n"), F.size(F.filter(back, lambda e: e["YEAR_COMP"].isNull())).alias("n_no_year"))
 
 
+def event_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as variants, of every second zone from JSON text, written and read back: fields of every event, and whether the first
+    one, read by its path, has an id."""
+    z = T.zones(spark, sf).where(F.size("EVENTS") > 0)
+    kind = z.schema["EVENTS"].dataType.simpleString()
+    own, text = A.to_variant_events(F.col("EVENTS")), A.to_variant_events(A.to_json_events(F.col("EVENTS")), is_text=True)
+    v = settle(z.select("ATOM_ID", F.when(F.col("ATOM_ID") % 2 == 0, own).otherwise(text).alias("v")), "event-variants")
+    least = F.array_min(F.transform(A.from_variant_events(F.col("v"), kind), lambda e: e["SOURCE_ID"]))
+    v = v.select("ATOM_ID", least.alias("least_id"), A.event_field(F.col("v"), 0, "SOURCE_ID", "bigint").isNotNull().alias("has_first"), F.explode(A.from_variant_events(F.col("v"), kind)).alias("e"))
+    return v.select("ATOM_ID", "least_id", "has_first", *(f"e.{c}" for c in ("SOURCE_ID", "ACTIVITY", "YEAR_COMP", "AGENCY_C", "FUND_SOURCE", "FUND_TYPE", "LANDOWNER", "SOURCE")))
+
+
 def _ids(df: DataFrame) -> DataFrame:
     return df.select("ATOM_ID", "TRT_ACTIVITIES")
 
@@ -323,7 +335,7 @@ def dense_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = (source_coverage_raw, dedupe_events, events_to_rows, atom_years, extract_field, event_json, acres_by_activity, acres_by_effect, value_counts, flag_acre_mismatch, unflagged, to_event_schema, combine_sources, qa_filters, year_comp_from_ms, drop_slivers, snap_to_grid, centroids, reproject_round_trip, centroid_grid_heatmap, assign_points, clip_intersects, overlay_intersection, atomic_cover_areas, dissolve_by_activity, exact_duplicates, build_interactions, interactions_by_effect, event_points, dense_ids, feature_pages, saved_layer, layer_window, within_boundaries, members_of, described_layer, year_bounds, complete_in_order, activity_order, first_atom, overlay_attributes, dissolve_duplicates, interactions_pre_dissolved, explode_parts, repair_bow_ties, zones_by_inner_point, ingest_second_source, harmonize_crosswalk)
+    named = (source_coverage_raw, dedupe_events, events_to_rows, atom_years, extract_field, event_json, event_variants, acres_by_activity, acres_by_effect, value_counts, flag_acre_mismatch, unflagged, to_event_schema, combine_sources, qa_filters, year_comp_from_ms, drop_slivers, snap_to_grid, centroids, reproject_round_trip, centroid_grid_heatmap, assign_points, clip_intersects, overlay_intersection, atomic_cover_areas, dissolve_by_activity, exact_duplicates, build_interactions, interactions_by_effect, event_points, dense_ids, feature_pages, saved_layer, layer_window, within_boundaries, members_of, described_layer, year_bounds, complete_in_order, activity_order, first_atom, overlay_attributes, dissolve_duplicates, interactions_pre_dissolved, explode_parts, repair_bow_ties, zones_by_inner_point, ingest_second_source, harmonize_crosswalk)
     small: dict[str, Query] = {
         "source_coverage_events": lambda s, d: R.event_coverage(T.zones(s, d)),
         "reconcile_audit": lambda s, d: R.audit(T.zones(s, d)),

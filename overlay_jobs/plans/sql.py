@@ -236,6 +236,7 @@ ORACLES = {
     "events_to_rows": f"WITH {EVENTS} SELECT ATOM_ID, ACRES AS ACRES_GIS, OBJECTID AS SOURCE_ID, ACTIVITY, YEAR_COMP, AGENCY_C, FUND_SOURCE, FUND_TYPE, LANDOWNER, SOURCE FROM e",
     "extract_field": f"WITH {EVENTS} SELECT ATOM_ID, string_agg(DISTINCT AGENCY_C, '|' ORDER BY AGENCY_C) AS AGENCY_LIST FROM e GROUP BY ATOM_ID",
     "event_json": f"WITH {EVENTS} SELECT ATOM_ID, count(*)::INTEGER AS n, count(*) FILTER (YEAR_COMP IS NULL)::INTEGER AS n_no_year FROM e GROUP BY ATOM_ID",
+    "event_variants": f"WITH {EVENTS} SELECT ATOM_ID, min(OBJECTID) OVER (PARTITION BY ATOM_ID) AS least_id, true AS has_first, OBJECTID AS SOURCE_ID, ACTIVITY, YEAR_COMP, AGENCY_C, FUND_SOURCE, FUND_TYPE, LANDOWNER, SOURCE FROM e",
     "filter_activity_any": f"WITH {ZONES} SELECT ATOM_ID, TRT_ACTIVITIES FROM a WHERE list_has_any(string_split(TRT_ACTIVITIES, '|'), ['Mastication', 'Removal'])",
     "filter_activity_all": f"WITH {ZONES} SELECT ATOM_ID, TRT_ACTIVITIES FROM a WHERE list_has_all(string_split(TRT_ACTIVITIES, '|'), ['Mastication', 'Removal'])",
     "filter_year_range": f"WITH {ZONES} SELECT ATOM_ID, TRT_ACTIVITIES FROM a WHERE FIRST_TRT_YEAR <= 2011 AND LAST_TRT_YEAR >= 2010",

@@ -104,3 +104,15 @@ def test_quantiles_by_refined_histograms(spark):
         got, want = ({r["group"]: r["quantile"] for r in exact_quantile(df, F.col("v"), q, F.col("g"), small).collect()} for small in (0, 10**6))
         assert set(got) == set(want) == {"a", "b", "c", None}
         assert all(abs(got[k] - want[k]) <= 1e-9 * max(1, abs(want[k])) for k in want)
+
+
+def test_events_as_variants(spark):
+    """Both forms give the same events; missing fields, nulls and text that is no JSON are nulls, not errors."""
+    kind = "array<struct<ACTIVITY:string,YEAR_COMP:int>>"
+    events = [("Removal", 2010), (None, None), ('say "é"', 1999)]
+    df = spark.createDataFrame([(0, events, None), (1, None, '[{"ACTIVITY": "Removal"}, {"YEAR_COMP": 3}]'), (2, None, "no json"), (3, [], "[]"), (4, None, "")], f"n long, e {kind}, t string")
+    v = df.select("n", A.to_variant_events(F.col("e")).alias("a"), A.to_variant_events(A.to_json_events(F.col("e")), is_text=True).alias("b"), A.to_variant_events(F.col("t"), is_text=True).alias("c"))
+    rows = v.select("n", *(A.from_variant_events(F.col(c), kind).alias(c) for c in "abc"), A.event_field(F.col("a"), 2, "YEAR_COMP", "int").alias("y"), A.event_field(F.col("a"), 9, "YEAR_COMP", "int").alias("none")).orderBy("n").collect()
+    assert [tuple(e) for e in rows[0]["a"]] == [tuple(e) for e in rows[0]["b"]] == events and (rows[0]["y"], rows[0]["none"]) == (1999, None)
+    assert [tuple(e) for e in rows[1]["c"]] == [("Removal", None), (None, 3)] and rows[1]["a"] is None
+    assert rows[2]["c"] is None and rows[4]["c"] is None and rows[3]["a"] == rows[3]["c"] == []

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from overlay_jobs.functions import labels as L
-from overlay_jobs.operators.quantiles import exact_quantile
+from overlay_jobs.operators.quantiles import SMALL, exact_quantiles
 from overlay_jobs.session import settle
 
 LABELS = ("TRT_ACTIVITIES", "TRT_EFF", "TRT_SET", "FIRST_TRT", "LAST_TRT", "FIRST_TRT_YEAR", "LAST_TRT_YEAR", "COMPLETE", "LAST_THIN", "CANOPY", "SURFACE", "AGENCIES", "FUND_SOURCES")
@@ -154,17 +154,15 @@ def distinct_members(atoms: DataFrame, col: str) -> DataFrame:
     return atoms.select(F.explode(F.split(F.col(col), "\\|")).alias("member")).where("member <> ''").distinct()
 
 
-def profile(rows: DataFrame, cols: list[str]) -> DataFrame:
-    """count, mean, std, min, quartiles and max of numeric columns, one row each; quartiles are exact in bounded memory."""
+def profile(rows: DataFrame, cols: list[str], small: int = SMALL) -> DataFrame:
+    """count, mean, std, min, quartiles and max of numeric columns, one row each: one aggregate over all columns, and one series of
+    passes for all their quartiles, which are exact in bounded memory (see exact_quantiles). No values: null figures."""
     rows = settle(rows.select(*cols), "profile")
-    out = None
-    for c in cols:
-        x = F.col(c).cast("double")
-        quartiles = [exact_quantile(rows, x, q).select(F.col("quantile").alias(name)) for q, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
-        one = rows.agg(F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
-        for q in quartiles:  # tables of one row, or none where there is no value
-            one = one.join(q, F.lit(True), "left")
-        out = one if out is None else out.unionByName(one)
+    x = {c: F.col(c).cast("double") for c in cols}
+    own = lambda c: (F.lit(c).alias("column"), F.count(x[c]).alias("count"), F.avg(x[c]).alias("mean"), F.stddev_samp(x[c]).alias("std"), F.min(x[c]).alias("min"), F.max(x[c]).alias("max"))
+    figures = rows.agg(F.array(*(F.struct(*own(c)) for c in cols)).alias("all")).select(F.inline("all"))
+    quartiles = exact_quantiles(rows, x, (0.25, 0.5, 0.75), small=small).select(F.col("column").alias("_column"), *(F.get("quantiles", F.lit(n)).alias(name) for n, name in enumerate(("p25", "p50", "p75"))))
+    out = figures.join(F.broadcast(quartiles), F.col("column") == F.col("_column"), "left")  # a row for each column
     return out.select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 

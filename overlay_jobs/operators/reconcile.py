@@ -32,47 +32,90 @@ def canonical(a: Column, b: Column, aliases: Sequence[Alias]) -> Column:
     return out
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is evaluated once: what a lambda refers to from outside is evaluated anew for each element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _class_of(label: Column, aliases: Sequence[Alias]) -> Column:
+    """The label, or for one that aliases link to others the first of all that are linked: events of two classes never match."""
+    groups: list[list[str]] = []
+    for rule in aliases or ():
+        linked = [g for g in groups if set(g) & set(rule.members)]
+        groups = [g for g in groups if g not in linked] + [[*dict.fromkeys([m for g in linked for m in g] + list(rule.members))]]
+    out = label
+    for g in groups:
+        out = F.when(label.isin(*g), F.lit(g[0])).otherwise(out)
+    return out
+
+
 def event_deduper(year_tol: int = 1, window: tuple[int, int] | None = None, aliases: Sequence[Alias] = ALIASES, authority: str = "CFT") -> Callable[[Column], Column]:
     """A function from event array to event array that collapses duplicates between the authority and other sources.
 
     Other events take their turns in list order. Each takes the authority's event that nobody took yet, of equal activity or an
     alias of it, whose year is nearest and not farther than year_tol (a missing year matches any, as the farthest); ties go to the
     first in the list. A taken event keeps its place with the alias's label, a reconciled year and SOURCE CFT+TWIG; the other goes.
-    The array is folded once, carrying (own events, which of them are taken): no join and no shuffle. Run it once: collapsed
-    events count as other ones.
-    """
-
-    def dedupe(events: Column) -> Column:
-        placed = F.transform(events, lambda e, i: F.struct(e.alias("e"), i.alias("i"), F.coalesce(e["SOURCE"] == authority, F.lit(False)).alias("own"), F.lit(-1).alias("by")))
+    Null events give null. Run it once: collapsed events count as other ones.
 
-        def take(state: Column, other: Column) -> Column:
-            """other: a placed event of another source."""
-
-            def distance(x: Column) -> Column:
-                return F.coalesce(F.abs(x["e"]["YEAR_COMP"] - other["e"]["YEAR_COMP"]), F.lit(99))
-
-            def fits(x: Column) -> Column:
-                a, b = x["e"]["ACTIVITY"], other["e"]["ACTIVITY"]
-                same = a.eqNullSafe(b) | canonical(a, b, aliases).isNotNull()
-                gap = F.abs(x["e"]["YEAR_COMP"] - other["e"]["YEAR_COMP"])
-                return (x["by"] < 0) & x["own"] & same & F.coalesce(gap <= year_tol, F.lit(True))
-
-            best = F.array_min(F.transform(F.filter(state, fits), lambda x: F.struct(distance(x).alias("d"), x["i"].alias("i"))))["i"]
-            return F.transform(state, lambda x: F.when(x["i"] == best, x.withField("by", other["i"])).otherwise(x))
-
-        taken = F.aggregate(F.filter(placed, lambda x: ~x["own"]), placed, take)
-        used = F.transform(F.filter(taken, lambda x: x["by"] >= 0), lambda x: x["by"])
+    No join, no shuffle, no Python. The authority's events of a label and year wait in one queue in list order, and an event looks
+    only at the heads of the queues of its label and its aliases: work is events times different labels and years, not events times
+    events.
+    """
 
-        def finish(x: Column) -> Column:
-            mate = F.get(events, x["by"])
-            mine, theirs = x["e"]["YEAR_COMP"], mate["YEAR_COMP"]
-            year = F.coalesce(mine, theirs)
-            if window is not None:
-                year = F.when(mine.isNull(), theirs).when(mine.between(*window), mine).otherwise(F.coalesce(theirs, mine))
-            label = F.coalesce(canonical(x["e"]["ACTIVITY"], mate["ACTIVITY"], aliases), x["e"]["ACTIVITY"])
-            return F.when(x["by"] >= 0, x["e"].withField("ACTIVITY", label).withField("YEAR_COMP", year).withField("SOURCE", F.lit(BOTH))).otherwise(x["e"])
+    def queues(own: Column) -> Column:
+        """own: events of a class in list order; label, year, their places, and who took the first of them."""
+        keys = F.array_distinct(F.transform(own, lambda x: F.struct(x["label"].alias("label"), x["year"].alias("year"))))
+        mine = lambda k: F.filter(own, lambda x: x["label"].eqNullSafe(k["label"]) & x["year"].eqNullSafe(k["year"]))
+        return F.transform(keys, lambda k: F.struct(k["label"].alias("label"), k["year"].alias("year"), F.transform(mine(k), lambda x: x["i"]).alias("ids"), F.array().cast("array<int>").alias("takers")))
+
+    def take(state: Column, other: Column) -> Column:
+        head = lambda q: F.get(q["ids"], F.size(q["takers"]))
+        gap = lambda q: F.abs(q["year"] - other["year"])
+
+        def fits(q: Column) -> Column:
+            same = q["label"].eqNullSafe(other["label"]) | canonical(q["label"], other["label"], aliases).isNotNull()
+            return (F.size(q["takers"]) < F.size(q["ids"])) & same & F.coalesce(gap(q) <= year_tol, F.lit(True))
+
+        best = F.array_min(F.transform(F.filter(state, fits), lambda q: F.struct(F.coalesce(gap(q), F.lit(99)).alias("d"), head(q).alias("i"))))["i"]
+        longer = lambda q: q.withField("takers", F.array_append(q["takers"], other["i"]))
+        return _let(best, lambda b: F.when(b.isNull(), state).otherwise(F.transform(state, lambda q: F.when(head(q) == b, longer(q)).otherwise(q))))
+
+    def matches(rows: Column) -> Column:
+        """rows: events of one class; (place of the authority's event, place of the one that took it)."""
+        own, others = F.filter(rows, lambda x: x["own"]), F.filter(rows, lambda x: ~x["own"])
+        ends = _let(own, lambda o: F.aggregate(others, queues(o), take))
+        return F.flatten(F.transform(ends, lambda q: F.transform(q["takers"], lambda t, k: F.struct(F.get(q["ids"], k).alias("i"), t.alias("by")))))
+
+    def marks(events: Column) -> Column:
+        """For each event who took it: a place, -1 for nobody, -2 for one that took another."""
+        own = lambda e: F.coalesce(e["SOURCE"] == authority, F.lit(False))
+        slim = F.transform(events, lambda e, i: F.struct(_class_of(e["ACTIVITY"], aliases).alias("class"), e["ACTIVITY"].alias("label"), e["YEAR_COMP"].cast("int").alias("year"), i.alias("i"), own(e).alias("own")))
+        classes = lambda rows: F.array_distinct(F.transform(rows, lambda x: x["class"]))
+        pairs = _let(slim, lambda rows: F.flatten(F.transform(classes(rows), lambda c: _let(F.filter(rows, lambda x: x["class"].eqNullSafe(c)), matches))))
+
+        def placed(p: Column) -> Column:
+            took = F.transform(p, lambda x: x["by"])
+            rest = F.array_except(F.transform(events, lambda e, i: i), F.concat(took, F.transform(p, lambda x: x["i"])))
+            mark = lambda ids, by: F.transform(ids, lambda i: F.struct(i.alias("i"), F.lit(by).alias("by")))
+            return F.transform(F.sort_array(F.concat(p, mark(took, -2), mark(rest, -1))), lambda x: x["by"])
+
+        return _let(pairs, placed)
 
-        return F.transform(F.filter(taken, lambda x: ~F.array_contains(used, x["i"])), finish)
+    def dedupe(events: Column) -> Column:
+        def whole(evs: Column) -> Column:
+            def finish(x: Column) -> Column:
+                mate = F.get(evs, x["by"])
+                mine, theirs = x["e"]["YEAR_COMP"], mate["YEAR_COMP"]
+                year = F.coalesce(mine, theirs)
+                if window is not None:
+                    year = F.when(mine.isNull(), theirs).when(mine.between(*window), mine).otherwise(F.coalesce(theirs, mine))
+                label = F.coalesce(canonical(x["e"]["ACTIVITY"], mate["ACTIVITY"], aliases), x["e"]["ACTIVITY"])
+                return F.when(x["by"] >= 0, x["e"].withField("ACTIVITY", label).withField("YEAR_COMP", year).withField("SOURCE", F.lit(BOTH))).otherwise(x["e"])
+
+            told = _let(marks(evs), lambda m: F.transform(evs, lambda e, i: F.struct(e.alias("e"), F.get(m, i).alias("by"))))
+            return F.transform(F.filter(told, lambda x: x["by"] > -2), finish)
+
+        return _let(events, whole)
 
     return dedupe
 

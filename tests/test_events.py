@@ -1,7 +1,9 @@
 """Labels, de-duplication, coverage, audit, filters."""
 
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +50,61 @@ def test_dedupe_against_rules(spark, window):
         assert [(e["SOURCE"], e["ACTIVITY"], e["YEAR_COMP"]) for e in r["d"]] == plain_dedupe(own, window=window), own
 
 
+def quick_dedupe(events, tol=1):
+    """The rules without a window, each event against all others at once."""
+    code = {"Pile Burn": 0, "Broadcast Burn": 0}
+    code |= {a: n + 1 for n, a in enumerate(sorted({str(e[0]) for e in events} - set(code)))}
+    own = np.array([i for i, e in enumerate(events) if e[2] == "CFT"])
+    label = np.array([code[str(events[i][0])] for i in own])
+    year = np.array([np.nan if events[i][1] is None else events[i][1] for i in own])
+    free, mates = np.ones(len(own), bool), {}
+    for j, (act, y, source) in enumerate(events):
+        if source != "CFT":
+            gap = np.abs(year - (np.nan if y is None else y))
+            far = np.where(np.isnan(gap), 99, gap)
+            fit = np.flatnonzero(free & (label == code[str(act)]) & ((gap <= tol) | np.isnan(gap)))
+            if len(fit):
+                at = fit[np.argmin(far[fit])]
+                free[at] = False
+                mates[int(own[at])] = j
+    out, gone = [], set(mates.values())
+    for i, e in enumerate(events):
+        mate = events[mates[i]] if i in mates else None
+        if mate:
+            out.append(("CFT+TWIG", e[0] if e[0] == mate[0] else "Pile Burn", mate[1] if e[1] is None else e[1]))
+        elif i not in gone:
+            out.append((e[2], e[0], e[1]))
+    return out
+
+
+def test_dedupe_of_a_hot_zone(spark):
+    rng = random.Random(6)
+    acts = ["Manual", "Pile Burn", "Broadcast Burn", None, *(f"a{n}" for n in range(20))]
+    make = lambda n, years: [(rng.choice(acts), rng.choice(years), rng.choice(["CFT", "TWIG", None])) for _ in range(n)]
+    lists = [make(300, [2012, 2013, None]), make(50_000, [None, *range(1980, 2025)]), [("Manual", 2020, s) for s in ("CFT", "TWIG") for _ in range(2_000)], make(3, [2020])]
+    assert quick_dedupe(lists[0]) == plain_dedupe(lists[0])
+    began = time.time()
+    out = zones(spark, lists).withColumn("d", R.event_deduper()("EVENTS")).orderBy("ATOM_ID").collect()
+    assert time.time() - began < 120
+    for own, r in zip(lists, out):
+        assert [(e["SOURCE"], e["ACTIVITY"], e["YEAR_COMP"]) for e in r["d"]] == quick_dedupe(own)
+
+
+def test_dedupe_of_nothing(spark):
+    z = zones(spark, [[], [("Manual", 2020, "TWIG")], [("Manual", 2020, "CFT")]]).withColumn("EVENTS", F.when(F.col("ATOM_ID") > 0, F.col("EVENTS")))
+    z = z.unionByName(zones(spark, [[]]).withColumn("ATOM_ID", F.lit(9).cast("long")))
+    out = {r[0]: r[1] for r in z.select("ATOM_ID", R.event_deduper()("EVENTS")).collect()}
+    assert out[0] is None and out[9] == [] and len(out[1]) == len(out[2]) == 1
+
+
+def test_linked_aliases(spark):
+    """Two rules that share a label: equal neighbours match, the ends of the chain do not."""
+    rules = (R.Alias(("a", "b"), "a"), R.Alias(("b", "c"), "c"))
+    lists = [[("a", 2020, "CFT"), ("b", 2020, "TWIG")], [("b", 2020, "CFT"), ("c", 2020, "TWIG")], [("a", 2020, "CFT"), ("c", 2020, "TWIG")]]
+    out = zones(spark, lists).withColumn("d", R.event_deduper(aliases=rules)("EVENTS")).orderBy("ATOM_ID").collect()
+    assert [[e["ACTIVITY"] for e in r["d"]] for r in out] == [["a"], ["c"], ["a", "c"]]
+
+
 def test_aliases_can_be_off(spark):
     z = zones(spark, [[("Pile Burn", 2020, "CFT"), ("Broadcast Burn", 2020, "TWIG")]])
     assert z.select(F.size(R.event_deduper(aliases=())("EVENTS"))).head()[0] == 2
@@ -116,3 +173,41 @@ def test_events_as_variants(spark):
     assert [tuple(e) for e in rows[0]["a"]] == [tuple(e) for e in rows[0]["b"]] == events and (rows[0]["y"], rows[0]["none"]) == (1999, None)
     assert [tuple(e) for e in rows[1]["c"]] == [("Removal", None), (None, 3)] and rows[1]["a"] is None
     assert rows[2]["c"] is None and rows[4]["c"] is None and rows[3]["a"] == rows[3]["c"] == []
+
+
+def test_many_quantiles_in_one_series_of_passes(spark, monkeypatch):
+    """All ranks of all columns and groups together: no more passes than the slowest of them needs alone."""
+    from overlay_jobs.operators import quantiles as Q
+
+    rng = random.Random(8)
+    inf = float("inf")
+    wild = [inf, -inf, 5e-324, 0.0, -0.0, 1.7e308, -1.7e308, float("nan"), None]
+    rows = [(rng.choice(["a", "b", None]), rng.lognormvariate(0, 9), rng.choice([1.0, 2.0, 2.0 + 2**-51, None])) for _ in range(4000)]
+    rows += [("wild", rng.choice(wild), None) for _ in range(200)] + [("one", 7.0, inf), ("tiny", 0.0, 1.0), ("tiny", 5e-324, 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double").repartition(3).cache()
+    passes = []
+    kept = Q.settle
+    monkeypatch.setattr(Q, "settle", lambda d, name: (passes.append(name), kept(d, name))[1])
+
+    def run(cols, qs, small=0):
+        del passes[:]
+        out = {(r["column"], r["group"]): r["quantiles"] for r in Q.exact_quantiles(df, {c: F.col(c) for c in cols}, qs, F.col("g"), small).collect()}
+        return out, passes.count("quantile-cells")
+
+    qs = (0.5, 0.0, 1.0, 0.25, 0.333, 0.99, 0.5)
+    got, together = run("xy", qs)
+    want, none = run("xy", qs, 10**6)
+    assert none == 0 and set(got) == set(want) and ("y", "wild") not in got
+    for key, values in want.items():
+        assert [repr(v) for v in got[key]] == [repr(v) for v in values] or got[key] == pytest.approx(values, rel=1e-12, nan_ok=True), key
+    assert together <= max(run(c, (q,))[1] for c in "xy" for q in set(qs))
+    with pytest.raises(ValueError):
+        Q.exact_quantiles(df, {"x": F.col("x")}, (1.5,))
+
+
+def test_profile_of_large_and_empty_tables(spark):
+    rng = random.Random(9)
+    df = spark.createDataFrame([(rng.gauss(0, 5), rng.randrange(9), None) for _ in range(2000)] + [(None, None, None)], "a double, b int, c double")
+    large, usual = ({r["column"]: r.asDict() for r in A.profile(df, ["a", "b", "c"], small).collect()} for small in (0, 10**6))
+    assert large == usual and list(large["c"].values()) == ["c", 0, None, None, None, None, None, None, None]
+    assert [r["count"] for r in A.profile(df.limit(0), ["a", "b"]).collect()] == [0, 0]

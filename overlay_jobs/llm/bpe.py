@@ -8,8 +8,9 @@ a gadget took away (`removed`); a full table of 50,000 merges would have 2.5 bil
 
 Words are read byte by byte by the determinised form: a state is the set of arcs under way, and its last token is that of the
 word so far, as every prefix has one. Its transition table is filled by subset construction as words ask for transitions, and
-then only looked up. Texts are cut into words by arrays over whole batches, each different word of a batch is walked once, and
-ids are laid out for all texts at a time; decoding joins the labels of the ids.
+then only looked up. Texts are cut into words by arrays over parts of a batch, each different word of a part is walked once, and
+ids are laid out for all texts of it at a time; decoding joins the labels of the ids. A worker holds the ids of one part only: they
+leave it part by part.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,10 +29,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 #: Words and transitions that are kept per worker before the tables start anew; slots of the transition arrays; characters that
 #: are cut into words at a time; longest word that is walked beside others.
-KEPT, SLOTS, BATCH, LONG = 250_000, 1 << 20, 2 << 20, 256
+KEPT, SLOTS, BATCH, LONG = 250_000, 1 << 20, 1 << 19, 256
 #: Kinds of characters: symbols, letters, numbers, the blank, other white space.
 SYMBOL, LETTER, NUMBER, BLANK, SPACE = range(5)
 # Endings that stand as words of their own after an apostrophe, by their first letter.
@@ -122,7 +126,7 @@ class Automaton:
             self.token[node] = i
         self.added = {t: np.array([i], np.uint32) for t, i in added.items()}
         self.split_added = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
-        self.arcs: dict[tuple[int, int], bool] = {}
+        self.arcs: dict[int, bool] = {}
         self.words: dict[bytes, bytes] = {}
         self.lengths = np.array([len(x) for x in self.label])
         self._start_anew()
@@ -135,8 +139,8 @@ class Automaton:
             self.parts[c], self.born[c] = (a, b), k
 
     def _start_anew(self) -> None:
-        """An empty transition table: only the start, where a word's first arc begins."""
-        self.sets: list[tuple] = [((-1, 0),)]
+        """An empty transition table: only the start, where a word's first arc begins. A set of arcs under way is kept as bytes."""
+        self.sets: list[bytes] = [array("i", (-1, 0)).tobytes()]
         self.numbers = {self.sets[0]: 0}
         self.last = np.full(1 << 16, -1, np.int32)
         self.transitions: dict[int, int] = {}
@@ -159,24 +163,27 @@ class Automaton:
         return self.allowed(q, x, born_c) and self.allowed(x, y, born_c)
 
     def arc(self, q: int, c: int) -> bool:
-        found = self.arcs.get((q, c))
+        if q < 0:
+            return True
+        found = self.arcs.get(q << 32 | c)
         if found is None:
             if len(self.arcs) >= KEPT:
                 self.arcs.clear()
-            found = self.arcs[q, c] = q < 0 or self.allowed(q, c, 1 << 60)
+            found = self.arcs[q << 32 | c] = self.allowed(q, c, 1 << 60)
         return found
 
     def _transition(self, state: int, byte: int) -> int:
         """The state after a byte: arcs under way go on, the one that ends in an allowed token gives the last token."""
-        last, under_way = -1, []
-        for q, node in self.sets[state]:
+        last, under_way, own = -1, array("i"), memoryview(self.sets[state]).cast("i").tolist()
+        for q, node in zip(own[::2], own[1::2]):
             if (node := self.trie.get(node << 8 | byte)) is None:
                 continue
             if last < 0 and self.token[node] >= 0 and self.arc(q, self.token[node]):
                 last = self.token[node]
             if self.goes_on[node]:
-                under_way.append((q, node))
-        new = (*under_way, (last, 0))
+                under_way.extend((q, node))
+        under_way.extend((last, 0))
+        new = under_way.tobytes()
         number = self.numbers.get(new)
         if number is None:
             number = self.numbers[new] = len(self.sets)
@@ -367,23 +374,29 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     their way back.
     """
     path = path or default_path()
-    names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
-
-    @F.arrow_udf("struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string" + (", ids: binary>" if with_ids else ">"))
-    def both(texts: pa.Array) -> pa.Array:
-        own, out, at = automaton(path), ([], [], [], []), 0
+    more = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType()), *([StructField("ids", BinaryType())] if with_ids else [])]
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    schema = StructType([StructField(id_col, own.schema["id"].dataType), *more])
+    return own.mapInArrow(lambda batches: coded(batches, path, with_ids), schema)
+
+
+def coded(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    """(id, text) -> id, n_tokens, ids_sha256, decoded_sha256 and, with_ids, ids: a batch out for about BATCH bytes of text, so
+    that neither side holds the ids of more than that, or of one text."""
+    own = automaton(path)
+    for batch in batches:
+        texts, at = batch.column(1), 0
         sizes = np.cumsum(pc.coalesce(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-        while at < len(texts):  # ids of a few megabytes of text at a time
-            to = min(max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + 4 * BATCH))), len(texts))
+        while at < len(texts):
+            to = min(max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BATCH))), len(texts))
+            count, digests, decoded, packed = [], [], [], []
             for ids in own.encode_many([t or "" for t in texts.slice(at, to - at).to_pylist()]):
-                packed = ids.astype("<u4").tobytes()
-                out[0].append(len(ids))
-                out[1].append(hashlib.sha256(packed).hexdigest())
-                out[2].append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
+                raw = ids.astype("<u4").tobytes()
+                count.append(len(ids))
+                digests.append(hashlib.sha256(raw).hexdigest())
+                decoded.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
                 if with_ids:
-                    out[3].append(packed)
+                    packed.append(raw)
+            columns = {"id": batch.column(0).slice(at, to - at), "n_tokens": pa.array(count, pa.int64()), "ids_sha256": pa.array(digests, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
+            yield pa.RecordBatch.from_pydict(columns | ({"ids": pa.array(packed, pa.binary())} if with_ids else {}))
             at = to
-        types = [pa.int64(), pa.string(), pa.string(), pa.binary()]
-        return pa.StructArray.from_arrays([pa.array(c, k) for c, k, _ in zip(out, types, names)], names)
-
-    return docs.select(F.col(id_col), both(F.col(text_col)).alias("_coded")).select(id_col, "_coded.*")

@@ -5,6 +5,8 @@ import hashlib
 import random
 import re
 import struct
+import subprocess
+import sys
 
 import pyarrow as pa
 import pytest
@@ -235,6 +237,43 @@ def test_encoding_with_small_tables(monkeypatch):
     bpe.automaton.cache_clear()
 
 
+PEAK = """
+import random, sys, threading, time
+import psutil
+from pyspark.sql import SparkSession
+from overlay_jobs.llm import bpe
+
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.driver.memory", "2g").getOrCreate()
+rng = random.Random(44)
+words = ["".join(rng.choice("abcdefghijklmnoprstuvwyz") for _ in range(rng.randrange(3, 9))) for _ in range(100_000)]
+rows = [(n, " ".join(rng.choices(words, k=450))) for n in range(10_000)]
+docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+peak = [0]
+
+def watch():
+    while True:
+        for p in psutil.Process().children(recursive=True):
+            try:
+                if "pyspark.daemon" in " ".join(p.cmdline()):
+                    peak[0] = max(peak[0], p.memory_full_info().uss)
+            except psutil.Error:
+                pass
+        time.sleep(0.05)
+
+threading.Thread(target=watch, daemon=True).start()
+bpe.round_trip(docs, with_ids=True).write.format("noop").mode("overwrite").save()
+print("PEAK", peak[0] >> 20)
+"""
+
+
+def test_an_encoding_worker_holds_a_part_of_its_batch():
+    """A batch of 29 MB, in a worker of its own: it keeps its tables and the ids of a part, not the ids of the batch."""
+    pytest.importorskip("psutil")
+    pytest.importorskip("public_tokenizers")
+    out = subprocess.run([sys.executable, "-c", PEAK], capture_output=True, text=True, timeout=300)
+    assert 100 < int(out.stdout.split("PEAK ")[-1]) < 420, out.stderr[-2000:]
+
+
 def test_gadgets_on_small_vocabularies():
     """The arcs that the gadgets leave accept exactly what merging in order gives."""
     rng = random.Random(11)

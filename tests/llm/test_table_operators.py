@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from overlay_jobs.functions.graph import connected_components
-from overlay_jobs.llm import minhash, mixing, repeats, topk, warc
+from overlay_jobs.llm import minhash, mixing, queries, repeats, topk, warc
 from overlay_jobs.session import new_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, h string, rounds int"
@@ -212,6 +212,31 @@ def test_repeats(spark):
     assert repeats.remove_repeats(docs(spark, [])).count() == 0
 
 
+def test_repeats_of_other_lengths_with_what_stays(spark, tmp_path):
+    """Spans and bytes for any length; the query has the text that stays, not only figures of it."""
+    rng = random.Random(51)
+    planted = " ".join(f"ö{rng.randrange(1000)}" for _ in range(60))  # 60 words, under 400 bytes
+    texts = [None, "é" * 150, *(word_salad(rng, 80) for _ in range(5))]
+    texts += [f"{word_salad(rng, 90)} {planted} {word_salad(rng, 90)}" for _ in range(3)] + [word_salad(rng, 40) + "ø" + texts[2] + "é", word_salad(rng, 40) + "ù" + texts[2] + "à"]
+    assert len(planted.encode()) < 400 < len(texts[2])
+    rows = docs(spark, [(n, t, "s") for n, t in enumerate(texts)])
+    for length in (16, 250, 400, 407):
+        got = {r["doc_id"]: r for r in repeats.remove_repeats(rows, length=length).collect()}
+        for n, (t, x) in enumerate(zip(texts, plain_repeats(texts, length))):
+            raw, spans = (t or "").encode(), [(s["start"], s["end"]) for s in got[n]["spans"]]
+            assert tuple(got[n][c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) == x
+            assert len(spans) == x[2] and sum(b - a for a, b in spans) == x[1]
+            left = b"".join(raw[a:b] for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(raw)]))
+            assert bytes(got[n]["kept"]) == left and hashlib.sha256(left).hexdigest() == x[3]
+        assert all((planted.encode() in bytes(got[n]["kept"])) == (length >= 400) for n in (7, 8, 9))
+    with pytest.raises(ValueError):
+        repeats.remove_repeats(rows, length=15)
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["text"] for r in queries.op3_repeats(spark, str(tmp_path)).collect()}
+    assert [got[n] for n in range(10)] == ["", "é" * 150, "", *texts[3:10]]  # 2 stands again in 10 and 11
+    assert [got[n] for n in (10, 11)] == [texts[n][: -1 - len(texts[2])] + "\ufffd" for n in (10, 11)]  # half of é and à is a repeat
+
+
 # archives
 def test_archives(spark):
     rng = random.Random(8)

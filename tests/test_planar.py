@@ -397,3 +397,23 @@ def test_sources_in_two_systems(spark):
     assert [r["SOURCE"] for r in out] == ["A", "B"]
     for p, q in zip(out[0]["geometry"][0][0], out[1]["geometry"][0][0]):
         assert math.isclose(p["x"], q["x"], abs_tol=1e-3) and math.isclose(p["y"], q["y"], abs_tol=1e-3)
+
+
+def test_bow_ties_are_taken_apart_together(monkeypatch):
+    """A batch of crossing polygons is noded a few times in all, not once each: areas as by the faces of each alone."""
+    rng = random.Random(12)
+    rings = [[(x, 0), (x + 90, 60), (x + 90, 0), (x, 60)] for x in range(0, 14_000, 7)]
+    rings += [[(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(rng.randrange(4, 9))] for _ in range(200)]
+    rings += [[(0, 0), (600_000, 2), (600_000, 0), (0, 2)], [(0, 0), (4, 0), (4, 4), (0, 4)]]
+    column = pa.array([None] + [[[ring(*r)]] for r in rings], pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))))
+    calls, node = [], K.node
+    monkeypatch.setattr(K, "node", lambda *a: calls.append(1) or node(*a))
+    got = S._repair(column).to_pylist()
+    assert len(calls) < 10
+    assert got[0] is None and got[-1] is None and all(len(g) == 2 for g in got[1:2_001])
+    own = lambda r: abs(sum(p["x"] * q["y"] - q["x"] * p["y"] for p, q in zip(r, r[1:]))) / 2
+    area = lambda g: sum(2 * own(p[0]) - sum(map(own, p)) for p in g)
+    for g, r in zip(got[2_001:-1], rings[2_000:-1]):
+        seg = K.ring_segments(K.to_units([[ring(*r)]]))
+        inside = [f["area"] * K.UNIT**2 for f in K.faces(node(seg)) if K.covers(np.array([f["point"]]), seg)[0]]
+        assert g is None or abs(area(g) - sum(inside)) < 1e-6

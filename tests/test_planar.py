@@ -417,3 +417,33 @@ def test_bow_ties_are_taken_apart_together(monkeypatch):
         seg = K.ring_segments(K.to_units([[ring(*r)]]))
         inside = [f["area"] * K.UNIT**2 for f in K.faces(node(seg)) if K.covers(np.array([f["point"]]), seg)[0]]
         assert g is None or abs(area(g) - sum(inside)) < 1e-6
+
+
+def test_tiles_of_segments_in_arrays():
+    """Every tile that a segment passes through is among its tiles, and corners are told as by the polygon itself."""
+    rng, side = random.Random(21), 2_048
+    rings = [[(2 * rng.randrange(-6_000, 6_000), 2 * rng.randrange(-6_000, 6_000)) for _ in range(rng.randrange(3, 7))] for _ in range(60)]
+    seg = np.array([[*p, *q] for r in rings for p, q in zip(r, r[1:] + r[:1])])
+    owner = np.repeat(np.arange(60), [len(r) for r in rings])
+    tx, ty, of, mx, my, who = K.tile_rows(seg, owner, side)
+    have = set(zip(of.tolist(), tx.tolist(), ty.tolist()))
+    for k, (ax, ay, bx, by) in enumerate(seg.tolist()):
+        for t in np.linspace(0, 1, 400):
+            assert (k, math.floor((ax + t * (bx - ax) - 1) / side), math.floor((ay + t * (by - ay) - 1) / side)) in have
+    assert len(have) == len(of) < 3 * sum(1 + abs(ax - bx) // side + abs(ay - by) // side for ax, ay, bx, by in seg.tolist())
+    marks = set(zip(who.tolist(), mx.tolist(), my.tolist()))
+    corners = np.array([(x * side + 1, y * side + 1) for x in range(-7, 8) for y in range(-7, 8)], float)
+    for k in range(60):
+        inside = K.covers(corners, seg[owner == k])
+        assert {(k, int(x // side), int(y // side)) for x, y in corners[inside]} == {m for m in marks if m[0] == k}
+
+
+def test_faces_inside_a_tile_come_with_their_geometry(spark):
+    """Only faces on a seam are left for the join across tiles; zones have their area, and no ids where none are asked for."""
+    rows = [(0, 0, 0, i, *v) for i, (x, y, s) in enumerate([(100, 100, 60), (130, 130, 60), (1_990, 500, 60)]) for v in [[int(c * 1024) for c in e] for e in ((x, y, x + s, y), (x + s, y, x + s, y + s), (x + s, y + s, x, y + s), (x, y + s, x, y))]]
+    tile = pa.table([pa.array(c, pa.int64()) for c in zip(*rows)], ["level", "tx", "ty", "id", "ax", "ay", "bx", "by"])
+    faces = S._tile_faces(tile, S._tile_sides(2_000.0), 0).to_pylist()
+    assert sorted((f["cover"], f["area"], len(f["seams"]) > 0) for f in faces if f["geometry"]) == [([0], 2700.0, False), ([0, 1], 900.0, False), ([1], 2700.0, False)]
+    assert [(f["cover"], f["area"], len(f["seams"]) > 0) for f in faces if not f["geometry"]] == [([2], None, True)]
+    zones = S.build_atomic_zones(table(spark, [square(100, 100, 60), square(130, 130, 60), square(1_990, 500, 60)]), 0.5, 1_000.0, numbered=False)
+    assert "_atom_id" not in zones.columns and sorted((r["cover"], r["area"]) for r in zones.collect()) == [([0], 2700.0), ([1], 2700.0), ([2], 3600.0)]

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -447,3 +448,19 @@ def test_faces_inside_a_tile_come_with_their_geometry(spark):
     assert [(f["cover"], f["area"], len(f["seams"]) > 0) for f in faces if not f["geometry"]] == [([2], None, True)]
     zones = S.build_atomic_zones(table(spark, [square(100, 100, 60), square(130, 130, 60), square(1_990, 500, 60)]), 0.5, 1_000.0, numbered=False)
     assert "_atom_id" not in zones.columns and sorted((r["cover"], r["area"]) for r in zones.collect()) == [([0], 2700.0), ([1], 2700.0), ([2], 3600.0)]
+
+
+def test_points_of_a_leaf_meet_segments_of_their_x_only():
+    """20,000 points and 4,000 boxes of one leaf: pairs as by the boxes themselves, without a look at all 320 million of points and sides."""
+    rng = np.random.default_rng(5)
+    at, size = 2 * rng.integers(-2_000, 500_000, (4_000, 2)), 2 * rng.integers(1, 5_000, (4_000, 2))
+    (x0, y0), (x1, y1) = at.T, (at + size).T
+    seg = np.concatenate([np.stack(v, 1) for v in ((x0, y0, x1, y0), (x1, y0, x1, y1), (x1, y1, x0, y1), (x0, y1, x0, y0))])
+    points = rng.integers(2, 1_000_000, (20_000, 2)) + 0.0
+    points[:50] = at[:50] + [0, 1]  # on an edge: not inside
+    corner = ((at < 1) & (at + size > 1)).all(axis=1).astype(int)
+    began = time.perf_counter()
+    p, q = K.inside_leaf(points, seg, np.tile(np.arange(4_000), 4), corner, (1, 1))
+    assert time.perf_counter() - began < 4
+    want = {(i, k) for k in range(4_000) for i in np.flatnonzero((points > at[k]).all(axis=1) & (points < at[k] + size[k]).all(axis=1)).tolist() if (points[i] > 1).all()}
+    assert len(p) == len(want) and set(zip(p.tolist(), q.tolist())) == want

@@ -464,3 +464,33 @@ def test_points_of_a_leaf_meet_segments_of_their_x_only():
     assert time.perf_counter() - began < 4
     want = {(i, k) for k in range(4_000) for i in np.flatnonzero((points > at[k]).all(axis=1) & (points < at[k] + size[k]).all(axis=1)).tolist() if (points[i] > 1).all()}
     assert len(p) == len(want) and set(zip(p.tolist(), q.tolist())) == want
+
+
+@pytest.mark.parametrize("tile", [4000.0, 64.0])
+def test_dissolve_joins_within_tiles_first(spark, monkeypatch, tile):
+    """Unions are 4-neighbour components of cells of a key, nulls agree; only pieces on seams are left to the join of components."""
+    rng = random.Random(31)
+    boxes = [(rng.randrange(12), rng.randrange(12), rng.randrange(1, 4), rng.randrange(1, 4), rng.choice(["a", "b", None])) for _ in range(60)]
+    own = [(n, k, square(30 * x + 30, 30 * y + 30, 30 * w, 30 * h)) for n, (x, y, w, h, k) in enumerate(boxes)]
+    links, join = [], S.connected_components
+    monkeypatch.setattr(S, "connected_components", lambda df, *a: links.append(df.count()) or join(df, *a))
+    got = S.dissolve(spark.createDataFrame(own, f"OBJECTID long, ACTIVITY string, geometry {G.POLYGON}"), ["ACTIVITY"], {"n": F.count("*")}, snap=0.5, tile=tile)
+    got = sorted((str(r["ACTIVITY"]), tuple(r["ids"]), r["n"], round(r["a"])) for r in got.select("ACTIVITY", "ids", "n", G.area(F.col("geometry")).alias("a")).collect())
+    want = []
+    for key in ("a", "b", None):
+        cells = {}
+        for n, (x, y, w, h, k) in enumerate(boxes):
+            if k == key:
+                for c in ((i, j) for i in range(x, x + w) for j in range(y, y + h)):
+                    cells.setdefault(c, set()).add(n)
+        while cells:
+            todo, ids, size = [next(iter(cells))], set(cells[next(iter(cells))]), 0
+            while todo:
+                c = todo.pop()
+                if c in cells:
+                    ids |= cells.pop(c)
+                    size += 900
+                    todo += [(c[0] + i, c[1] + j) for i, j in ((0, 1), (1, 0), (0, -1), (-1, 0))]
+            want.append((str(key), tuple(sorted(ids)), len(ids), size))
+    assert got == sorted(want)
+    assert links == [0] if tile == 4000.0 else links[0] > 0

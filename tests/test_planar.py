@@ -494,3 +494,16 @@ def test_dissolve_joins_within_tiles_first(spark, monkeypatch, tile):
             want.append((str(key), tuple(sorted(ids)), len(ids), size))
     assert got == sorted(want)
     assert links == [0] if tile == 4000.0 else links[0] > 0
+
+
+def test_only_atoms_with_equal_neighbours_are_gathered(spark, monkeypatch):
+    """Outlines are made of the two that merge; the others go through as they are, and all are numbered by their least atom."""
+    event = [{"SOURCE_ID": 1, "FUND_SOURCE": " x ", "YEAR_COMP": 2015}]
+    rows = [(n, k, [n], [{**event[0], "SOURCE_ID": n}], square(30 * x, 0, 30)) for n, k, x in [(3, "a", 0), (5, "b", 1), (8, "a", 3), (9, "a", 2), (12, "a", 9)]]
+    atoms = spark.createDataFrame(rows, f"ATOM_ID long, k string, SOURCE_IDS array<long>, EVENTS array<struct<SOURCE_ID: long, FUND_SOURCE: string, YEAR_COMP: int>>, geometry {G.POLYGON}")
+    seen, outlines = [], S._outlines
+    monkeypatch.setattr(S, "_outlines", lambda df, key: seen.append(df.count()) or outlines(df, key))
+    out = S.merge_adjacent(atoms, ("k",))
+    got = [(r["ATOM_ID"], r["k"], r["SOURCE_IDS"], r["N_EVENTS"], r["FUND_SOURCES"], round(r["ACRES_GIS"] / 0.000247105)) for r in out.orderBy("ATOM_ID").collect()]
+    assert got == [(1, "a", [3], 1, "x", 900), (2, "b", [5], 1, "x", 900), (3, "a", [8, 9], 2, "x", 1800), (4, "a", [12], 1, "x", 900)]
+    assert seen == [2] and "area" not in out.columns
